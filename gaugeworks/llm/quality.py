@@ -147,3 +147,17 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     stats = staged(statistics_of(docs, id_col, text_col), "statistics")
     model = fit(stats, labels, label_col)
     return scored(stats, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` whose score is ``threshold`` or more, with all their columns.
+
+    The model is fitted as in ``quality_scores``; the score itself is a map, so texts are not shuffled.
+    """
+    model = fit(staged(statistics_of(docs, id_col, text_col), "statistics"), labels)
+
+    @F.pandas_udf("double")
+    def score(texts):  # noqa: ANN001, ANN202
+        return texts.map(lambda t: float(model.score(np.array([statistics(t or "")]))[0]))
+
+    return docs.where(score(F.col(text_col)) >= threshold)

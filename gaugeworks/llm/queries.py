@@ -7,14 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import bpe, license_scan, media, packing, quality, secret_scan, simhash, syncmers, warc
+from gaugeworks.llm import bpe, license_scan, media, packing, quality, secret_scan, simhash, substring, syncmers, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
+    """Where a public vocabulary file lies; it must lie there on every executor."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -63,13 +64,18 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each repeated span: its document, its passage, and where the partner has it."""
+    return substring.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicate_groups(_table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.encode_decode(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    coded = bpe.encode_decode(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
@@ -79,12 +85,12 @@ def op9_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality_classifier, op2_license_scan, op3_secret_scan, op4_warc_derivatives, op5_media_columns, op7_simhash_groups, op8_bpe_round_trip, op9_syncmer_fingerprints, op10_packing]
+    found = [op1_quality_classifier, op2_license_scan, op3_secret_scan, op4_warc_derivatives, op5_media_columns, op6_substring_dedup, op7_simhash_groups, op8_bpe_round_trip, op9_syncmer_fingerprints, op10_packing]
     return {f.__name__: f for f in found}
 
 

@@ -192,3 +192,17 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     lowest = staged(member.groupBy("root").agg(F.min("low").alias("component_id")), "lowest")
     ids = staged(member.join(lowest, "root").select("fp", "component_id"), "component_ids")
     return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, t: int = 3) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is their group's component_id, with all their columns.
+
+    Rows that repeat a doc_id leave one; rows with a null doc_id stay.
+    """
+    groups = near_duplicate_groups(docs, id_col, text_col, shingle, t)
+    gone = staged(groups.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct(), "near-duplicates")
+    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    if docs.groupBy(id_col).count().where(F.col(id_col).isNotNull() & (F.col("count") > 1)).isEmpty():
+        return kept
+    named = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
+    return named.unionByName(kept.where(F.col(id_col).isNull()))
