@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from gaugeworks.plans import queries  # noqa: F401  (registers)
+from gaugeworks.plans.registry import ORACLES
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

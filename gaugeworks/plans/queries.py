@@ -1,11 +1,10 @@
-"""Registered queries."""
+"""All registered queries, by name."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from gaugeworks.plans import interval_queries  # noqa: F401  (registers)
+from gaugeworks.plans.registry import QUERIES, Query
 
-from pyspark.sql import DataFrame, SparkSession
 
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
