@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugeworks.plans import interval_queries  # noqa: F401  (registers)
+from gaugeworks.plans import alarm_queries, interval_queries  # noqa: F401  (they register)
 from gaugeworks.plans.registry import QUERIES, Query
 
 
