@@ -262,10 +262,10 @@ def judged(a: DataFrame, b: DataFrame, noise: float, margin: float = 0.0, ratio:
     """
     j = a.select(*[F.col(c).alias(f"a_{c}") for c in ("auroc", "hits", "fa")]).crossJoin(b)  # one row each
     checks = [
-        F.col("auroc") - F.col("a_auroc") > margin * noise,
+        F.col("auroc") - F.col("a_auroc") > margin * noise + 1e-12,
         F.col("better") * 2 > F.col("common"),
         F.col("ew") & (F.col("hits") >= F.col("a_hits")),
-        F.col("fa") <= ratio * F.col("a_fa"),
+        F.col("fa") <= ratio * F.col("a_fa") + 1e-12,
         F.col("fa") <= most,
     ]
     out = j.select(*[F.coalesce(c, F.lit(False)).alias(f"check{i}") for i, c in enumerate(checks, 1)])
