@@ -2,17 +2,18 @@
 
 1. Seeds. A window of word k-mers gives its smallest; any run of k + window - 1 words that two documents
    share gives both the same seed.
-2. Matches. Seeds meet by hash. Every occurrence is matched with the first occurrence in the smallest
-   doc_id, so a passage that n documents share makes n - 1 matches a seed and not n * (n - 1) / 2.
+2. Matches. Each hash found in two documents or more has a head, its first occurrence in the smallest
+   doc_id. Every other occurrence is matched with the head, so a passage that n documents share makes
+   n - 1 matches a seed and not n * (n - 1) / 2.
 3. Chains. The matches of two documents are chained in order in both, with gap costs that grow with the
    distance, by a Fenwick tree over the second document's positions.
 4. Alignment. The words around each chain are fetched once for each document that takes part, and the
    chain is aligned and extended with tolerance for words that differ.
 5. Passages. Aligned spans of one document that touch are one passage; those of enough words count.
 
-Scale: two shuffles of seeds' worth and one of the texts. A hot seed is streamed, in order, with its
-first row as the only state; words are fetched in slices on a fixed grid, so thousands of chains into
-one document ask for the same few slices.
+Scale: two shuffles of seeds' worth and one of the texts. Heads come from a sum that combines on the map
+side, and seeds meet them in a join of two scans, so AQE can split the rows of a hot seed; words are
+fetched in slices on a fixed grid, so thousands of chains into one document ask for the same few slices.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.shared import id_and_text, staged
+from gaugeworks.llm.shared import id_and_text, small_batches, staged
 
 #: Words of a seed, and seeds of which a window gives one.
 K, WINDOW = 8, 16
@@ -35,6 +36,8 @@ K, WINDOW = 8, 16
 PASSAGE, SPAN, JOIN = 50, 16, 2
 #: Cost of a gap, by word of distance and by word of difference between the two distances.
 GAP, SHIFT = 0.1, 0.5
+#: Words between two matches from which a chain is cut there.
+CUT = 40
 #: Words fetched on either side of a chain, and the grid on which slices are cut.
 AROUND, GRID = 48, 128
 #: Share of equal words that an alignment must reach.
@@ -66,50 +69,53 @@ def seeds(text: str, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.n
     else:
         view = np.lib.stride_tricks.sliding_window_view(g, window)
         at = np.unique(np.concatenate([view[i : i + 65536].argmin(axis=1) + np.arange(i, min(i + 65536, len(view))) for i in range(0, len(view), 65536)]))
+    at = _thinned(g, at, window)
     return g[at].view(np.int64), at.astype(np.int32)
 
 
+def _thinned(g: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """Seeds without those that repeat a seed's hash less than half a window after it, as in runs of one word."""
+    if not ((g[at[1:]] == g[at[:-1]]) & (np.diff(at) < window // 2)).any():
+        return at
+    kept, last = [], {}
+    for i, h in zip(at.tolist(), g[at].tolist(), strict=True):
+        if i - last.get(h, -window) >= window // 2:
+            kept.append(i)
+            last[h] = i
+    return np.array(kept)
+
+
 def _seed_rows(docs: DataFrame) -> DataFrame:
-    schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32())])
+    """(h, doc_id, pos, first): the seeds of every document; first marks a hash's first place in it."""
+    schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("first", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 found = [seeds(t) for t in part.column(1).to_pylist()]
+                firsts = []
+                for h, _ in found:
+                    first = np.zeros(len(h), bool)
+                    first[np.unique(h, return_index=True)[1]] = True
+                    firsts.append(first)
                 ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(p) for _, p in found])
                 if len(ids):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h for h, _ in found])), pa.array(ids, pa.int64()), pa.array(np.concatenate([p for _, p in found]))], schema=schema)
+                    columns = [np.concatenate([h for h, _ in found]), ids.astype(np.int64), np.concatenate([p for _, p in found]), np.concatenate(firsts)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
 
-    return docs.mapInArrow(run, "h long, doc_id long, pos int")
+    return docs.mapInArrow(run, "h long, doc_id long, pos int, first boolean")
 
 
 def _matches(seed_rows: DataFrame) -> DataFrame:
-    """(doc_id, partner, pos, at): each seed's occurrences against its first, for documents that differ."""
-    schema = pa.schema([("doc_id", pa.int64()), ("partner", pa.int64()), ("pos", pa.int32()), ("at", pa.int32())])
+    """(doc_id, partner, pos, at): each seed's occurrences against its head, for documents that differ."""
+    heads = seed_rows.where("first").groupBy("h").agg(F.min("doc_id").alias("partner"), F.max("doc_id").alias("_last"), F.min_by("pos", "doc_id").alias("at"))
+    heads = staged(heads.where("partner <> _last").drop("_last"), "heads")
+    return seed_rows.join(heads, "h").where("doc_id <> partner").select("doc_id", "partner", "pos", "at")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = None  # hash, doc_id and position of the group that the last batch ended in
-        for batch in batches:
-            h, doc, pos = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            if not len(h):
-                continue
-            start = np.concatenate(([True], h[1:] != h[:-1]))
-            first = np.flatnonzero(start)[np.cumsum(start) - 1]
-            partner, at = doc[first], pos[first]
-            if head is not None and head[0] == h[0]:
-                same = first == 0
-                partner, at = np.where(same, head[1], partner), np.where(same, head[2], at)
-            head = (h[-1], partner[-1], at[-1])
-            other = partner != doc
-            if other.any():
-                yield pa.RecordBatch.from_arrays([pa.array(doc[other]), pa.array(partner[other]), pa.array(pos[other].astype(np.int32)), pa.array(at[other].astype(np.int32))], schema=schema)
-
-    return seed_rows.repartition("h").sortWithinPartitions("h", "doc_id", "pos").mapInArrow(run, "doc_id long, partner long, pos int, at int")
-
-
-def chain(pos: list[int], at: list[int], k: int = K) -> list[tuple[int, int, int, int]]:
-    """Best collinear chains of matches (pos, at), sorted by both: (first pos, last pos, first at, last at).
+
+def chain(pos: list[int], at: list[int], k: int = K) -> list[list[tuple[int, int]]]:
+    """Best collinear chains of matches (pos, at), sorted by both; each is a list of matches in order.
 
     A match adds up to k words; going on from an earlier one costs GAP for each word between and SHIFT
     for each word by which the two distances differ. The Fenwick tree holds, for each position in the
@@ -152,19 +158,40 @@ def chain(pos: list[int], at: list[int], k: int = K) -> list[tuple[int, int, int
     for m in sorted(range(len(pos)), key=lambda m: (-score[m], m)):
         if used[m]:
             continue
-        end = first = m
         used[m] = True
-        while back[first] >= 0 and not used[back[first]]:
-            first = back[first]
-            used[first] = True
-        chains.append((pos[first], pos[end], at[first], at[end]))
+        links = [m]
+        while back[links[-1]] >= 0 and not used[back[links[-1]]]:
+            prev, last = back[links[-1]], links[-1]
+            if max(pos[last] - pos[prev], at[last] - at[prev]) > CUT:
+                chains.append([(pos[x], at[x]) for x in reversed(links)])
+                links = []
+            used[prev] = True
+            links.append(prev)
+        chains.append([(pos[x], at[x]) for x in reversed(links)])
     return chains
 
 
+def _apart(chains: list[list[tuple[int, int]]]) -> list[list[tuple[int, int]]]:
+    """Chains without single matches that repeat one less than ``CUT`` words before, in the same place of the partner.
+
+    They come from words said over and over; what the first reaches by alignment holds the others. A
+    passage that counts has several matches, so none is lost.
+    """
+    kept, last = [], {}
+    for c in sorted(chains):
+        p, a = c[0]
+        if len(c) == 1 and p - last.get(a, -CUT) < CUT:
+            continue
+        if len(c) == 1:
+            last[a] = p
+        kept.append(c)
+    return kept
+
+
 def _chains(matches: DataFrame) -> DataFrame:
-    """(doc_id, partner, s, e, ps, pe): chains as word spans, ends exclusive."""
+    """(doc_id, partner, s, e, ps, pe, pos, at): chains as word spans, ends exclusive, and their matches."""
     names = ("doc_id", "partner", "s", "e", "ps", "pe")
-    schema = pa.schema([(n, pa.int64()) for n in names])
+    schema = pa.schema([*[(n, pa.int64()) for n in names], ("pos", pa.list_(pa.int32())), ("at", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -172,9 +199,10 @@ def _chains(matches: DataFrame) -> DataFrame:
         def spans(cols: list[np.ndarray], bounds: list[int]) -> pa.RecordBatch:
             rows = []
             for s, e in zip(bounds, bounds[1:], strict=False):
-                d, p = int(cols[0][s]), int(cols[1][s])
-                rows += [(d, p, a, b + K, x, y + K) for a, b, x, y in chain(cols[2][s:e].tolist(), cols[3][s:e].tolist())]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=schema)
+                for c in _apart(chain(cols[2][s:e].tolist(), cols[3][s:e].tolist())):
+                    p, a = zip(*c, strict=True)
+                    rows.append((int(cols[0][s]), int(cols[1][s]), p[0], p[-1] + K, a[0], a[-1] + K, p, a))
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -188,7 +216,7 @@ def _chains(matches: DataFrame) -> DataFrame:
             yield spans(held, [0, len(held[0])])
 
     dealt = matches.repartition("doc_id", "partner").sortWithinPartitions("doc_id", "partner", "pos", "at")
-    return dealt.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return dealt.mapInArrow(run, ", ".join(f"{n} long" for n in names) + ", pos array<int>, at array<int>")
 
 
 def _grid(chains: DataFrame) -> DataFrame:
@@ -217,11 +245,12 @@ def _slices(docs: DataFrame, asked: DataFrame) -> DataFrame:
     return got.mapInArrow(run, "doc_id long, from long, to long, words binary").dropDuplicates(["doc_id", "from", "to"])
 
 
-def align(a: np.ndarray, b: np.ndarray, s: int, e: int, ps: int, pe: int) -> tuple[int, int, int, int, int]:
-    """Aligns a[s:e] with b[ps:pe] and extends both ways: (s, e, ps, pe, equal words).
+def align(a: np.ndarray, b: np.ndarray, pos: np.ndarray, at: np.ndarray, k: int = K) -> tuple[int, int, int, int, int]:
+    """Aligns a and b along a chain's matches and extends both ways: (s, e, ps, pe, equal words).
 
-    Ends move outwards over equal words and over single words that differ, as long as more words are
-    equal than not; the body is aligned in blocks of equal words where its two sides differ in length.
+    Matches of one diagonal are compared word by word from the first to the end of the last; where the
+    diagonal changes, the words between are aligned by their longest equal blocks. Ends move outwards
+    over equal words and over words that differ, as long as two of three are equal.
     """
 
     def reach(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
@@ -237,14 +266,20 @@ def align(a: np.ndarray, b: np.ndarray, s: int, e: int, ps: int, pe: int) -> tup
         far = int(gain[:stop].argmax()) + 1
         return far, int(equal[:far].sum())
 
-    left, got_left = reach(a[:s][::-1], b[:ps][::-1])
-    right, got_right = reach(a[e:], b[pe:])
-    x, y = a[s:e], b[ps:pe]
-    if len(x) == len(y):
-        equal = int((x == y).sum())
-    else:
-        equal = sum(m.size for m in SequenceMatcher(None, x.tolist(), y.tolist(), autojunk=False).get_matching_blocks())
-    return s - left, e + right, ps - left, pe + right, equal + got_left + got_right
+    s, e, ps, pe = int(pos[0]), int(pos[-1]) + k, int(at[0]), int(at[-1]) + k
+    left, equal = reach(a[:s][::-1], b[:ps][::-1])
+    right, more = reach(a[e:], b[pe:])
+    equal += more
+    turns = np.flatnonzero(np.diff(pos - at)) + 1
+    x, y = s, ps  # what lies before has been counted
+    for i, j in zip([0, *turns], [*turns, len(pos)], strict=True):
+        p, q = int(pos[i]), int(at[i])
+        if x < p and y < q:
+            equal += sum(m.size for m in SequenceMatcher(None, a[x:p].tolist(), b[y:q].tolist(), autojunk=False).get_matching_blocks())
+        skip = max(0, x - p, y - q)
+        x, y = int(pos[j - 1]) + k, int(at[j - 1]) + k
+        equal += int((a[p + skip : x] == b[q + skip : y]).sum())
+    return s - left, e + right, ps - left, pe + right, equal
 
 
 def _aligned(chains: DataFrame, slices: DataFrame) -> DataFrame:
@@ -257,7 +292,7 @@ def _aligned(chains: DataFrame, slices: DataFrame) -> DataFrame:
             for r in batch.to_pylist():
                 a, b = np.frombuffer(r["words"], "<u4"), np.frombuffer(r["p_words"], "<u4")
                 f, g = r["from"], r["p_from"]
-                s, e, ps, pe, equal = align(a, b, r["s"] - f, r["e"] - f, r["ps"] - g, r["pe"] - g)
+                s, e, ps, pe, equal = align(a, b, np.array(r["pos"]) - f, np.array(r["at"]) - g)
                 if e - s >= SPAN and equal >= SAME * max(e - s, pe - ps):
                     rows.append((r["doc_id"], r["partner"], s + f, e + f, ps + g, pe + g, equal))
             if rows:
@@ -265,7 +300,7 @@ def _aligned(chains: DataFrame, slices: DataFrame) -> DataFrame:
 
     other = slices.select(F.col("doc_id").alias("partner"), F.col("from").alias("p_from"), F.col("to").alias("p_to"), F.col("words").alias("p_words"))
     both = chains.join(slices, ["doc_id", "from", "to"]).join(other, ["partner", "p_from", "p_to"])
-    return both.select("doc_id", "partner", "s", "e", "ps", "pe", "from", "p_from", "words", "p_words").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return both.select("doc_id", "partner", "pos", "at", "from", "p_from", "words", "p_words").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage: int = PASSAGE) -> DataFrame:
@@ -279,7 +314,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     empty one.
     """
     rows = id_and_text(docs, id_col, text_col).where("doc_id is not null")
-    chains = staged(_grid(_chains(_matches(_seed_rows(rows)))), "chains")
+    chains = staged(_grid(_chains(_matches(staged(_seed_rows(rows), "seeds")))), "chains")
     asked = chains.select("doc_id", "from", "to").unionByName(chains.selectExpr("partner as doc_id", "p_from as from", "p_to as to"))
     slices = staged(_slices(rows, asked), "slices")
     spans = _aligned(chains, slices).distinct()
@@ -306,7 +341,7 @@ def without_passages(docs: DataFrame, found: DataFrame, id_col: str = "doc_id",
     def keep(texts, cuts):  # noqa: ANN001, ANN202
         return texts.combine(cuts, lambda t, c: t if t is None or c is None else _without(t, [(x["a"], x["b"]) for x in c]))
 
-    joined = docs.join(cuts.hint("shuffle_hash"), docs[id_col] == F.col("_cut_id"), "left")
+    joined = small_batches(docs).join(cuts.hint("shuffle_hash"), docs[id_col] == F.col("_cut_id"), "left")
     kept = joined.withColumn(text_col, F.when(F.col("_cuts").isNull(), F.col(text_col)).otherwise(keep(F.col(text_col), F.col("_cuts"))))
     return kept.where(F.col("_cuts").isNull() | (F.length(F.trim(text_col)) > 0)).select(*docs.columns)
 

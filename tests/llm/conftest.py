@@ -2,21 +2,10 @@
 
 import pytest
 from pyspark.sql import functions as F
+from words import prose
 
 pytest.importorskip("gaugeworks.llm")
 
-WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
-
-
-def prose(seed: int, n: int) -> str:
-    """n words that look random, the same for a seed."""
-    out, x = [], seed * 7919 + 1
-    for _ in range(n):
-        x = (x * 1103515245 + 12345) % (1 << 31)
-        out.append(WORDS[(x >> 16) % len(WORDS)] + str((x >> 8) % 50))
-    return " ".join(out)
-
-
 ODD = [
     (1, ""),
     (2, None),
