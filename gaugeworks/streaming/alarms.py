@@ -99,3 +99,87 @@ def triggers(stream: DataFrame, rule: Rule, late: str, key: str = "gun_id", time
     rows = stream.select(F.col(key).cast("string").alias("gun_id"), F.col(time).cast("timestamp").alias("time"), F.col(code).alias("code"))
     rows = rows.withWatermark("time", late).withColumn("at", F.unix_millis("time"))
     return rows.groupBy("gun_id").transformWithStateInPandas(TriggerProcessor(rule), "gun_id string, code string, at long, repeat boolean", "Append", "EventTime")
+
+
+@dataclass(frozen=True)
+class Gate:
+    """Gating of scored windows: idle share, restart hold and early-warning runs.
+
+    Times are milliseconds; ``step`` is the distance of windows, ``idle_least`` the idle windows (missing
+    ones count) after which a restart holds for ``hold``, ``k`` the windows in a row that warn.
+    """
+
+    threshold: float
+    step: int
+    idle_least: int
+    hold: int
+    k: int
+    idle_share: float = 0.5
+
+    def next(self, state: dict, at: int, score: float, idle: float) -> dict:
+        """What the next window in order is; ``state`` is updated."""
+        resting = idle > self.idle_share
+        first = state.setdefault("first", at)
+        if not resting:
+            active = state.get("active")
+            quiet = (at - active) // self.step - 1 if active is not None else (at - first) // self.step
+            if quiet >= self.idle_least:
+                state["held_from"] = at
+            state["active"] = at
+        held = "held_from" in state and at - state["held_from"] < self.hold
+        alarm = score >= self.threshold and not resting and not held
+        follows = state.get("last") == at - self.step
+        run = (state.get("run", 0) + 1 if follows else 1) if alarm else 0
+        state["run"], state["last"] = run, at
+        return {"held": held, "alarm": alarm, "active": run >= self.k, "onset": run == self.k}
+
+
+class GateProcessor(StatefulProcessor):
+    """One gun's windows, gated in order of time as the watermark passes them."""
+
+    def __init__(self, gate: Gate) -> None:
+        self.gate = gate
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "at long", "score double, idle double")
+        self.state = handle.getMapState("state", "name string", "value long")
+
+    def _ready(self, key: tuple, watermark: int) -> Iterator[pd.DataFrame]:
+        ready = sorted((k[0], *v) for k, v in self.waiting.iterator() if k[0] <= watermark)
+        if not ready:
+            return
+        state = {k[0]: v[0] for k, v in self.state.iterator()}
+        out = []
+        for at, score, idle in ready:
+            r = self.gate.next(state, at, score, idle)
+            out.append((key[0], at, score, r["held"], r["alarm"], r["active"], r["onset"]))
+            self.waiting.removeKey((at,))
+        for name, value in state.items():
+            self.state.updateValue((name,), (int(value),))
+        yield pd.DataFrame(out, columns=["gun_id", "at", "score", "held", "alarm", "active", "onset"])
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        watermark = timerValues.getCurrentWatermarkInMs()
+        for part in rows:
+            for at, score, idle in zip(part["at"], part["score"], part["idle"], strict=True):
+                if at > watermark:
+                    self.waiting.updateValue((int(at),), (float(score), float(idle)))
+                    self.handle.registerTimer(int(at))
+        yield from self._ready(key, watermark)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        yield from self._ready(key, timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+
+def gated_windows(stream: DataFrame, gate: Gate, late: str) -> DataFrame:
+    """(gun_id, at, score, held, alarm, active, onset) of a stream of windows (gun_id, w_end, score, idle).
+
+    Needs the RocksDB state store provider. A null score is no alarm, a null idle share no rest.
+    """
+    rows = stream.select(F.col("gun_id").cast("string").alias("gun_id"), F.col("w_end").cast("timestamp").alias("w_end"), F.coalesce("score", F.lit(float("-inf"))).alias("score"), F.coalesce("idle", F.lit(0.0)).alias("idle"))
+    rows = rows.withWatermark("w_end", late).withColumn("at", F.unix_millis("w_end"))
+    return rows.groupBy("gun_id").transformWithStateInPandas(GateProcessor(gate), "gun_id string, at long, score double, held boolean, alarm boolean, active boolean, onset boolean", "Append", "EventTime")

@@ -62,3 +62,25 @@ def test_rule_steps():
         out.append(rule.step(before, code, at, accepted))
         before = code
     assert out == [(True, False), (False, False), (False, False), (False, False), (False, False), (True, True), (True, False)]
+
+
+def test_gated_windows_equal_batch(spark, sf_dir, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    step = 6 * HOUR
+    e = _events(spark, sf_dir).withColumn("t", F.unix_millis(F.col("time").cast("timestamp")))
+    w = e.groupBy("gun_id", ((F.floor(F.col("t") / step) + 1) * step).alias("at")).agg(F.avg("value").alias("score"), F.avg((F.col("code") == "view").cast("double")).alias("idle"))
+    w = w.withColumn("w_end", F.timestamp_millis("at")).drop("at")
+    src = str(tmp_path / "in")
+    early = F.col("w_end") < F.expr("timestamp'2024-01-15'")
+    w.where(early).coalesce(1).write.parquet(src)
+    w.where(~early).coalesce(1).write.mode("append").parquet(src)
+    spark.range(1).select(F.lit("none").alias("gun_id"), F.lit(0.0).alias("score"), F.lit(0.0).alias("idle"), F.expr("timestamp'2030-01-01'").alias("w_end")).coalesce(1).write.mode("append").parquet(src)
+    gate = S.Gate(threshold=40, step=step, idle_least=3, hold=24 * HOUR, k=2)
+    stream = readers.stream_of(spark, src, "gun_id string, score double, idle double, w_end timestamp")
+    _run(S.gated_windows(stream, gate, "1 hour"), tmp_path, "gated")
+    got = {tuple(r) for r in spark.sql("select gun_id, at, held, alarm, active, onset from gated").collect()}
+    rows = w.select(F.col("gun_id").alias("gun"), F.unix_millis("w_end").alias("w_end"), "score", "idle").withColumn("rest", F.col("idle") > 0.5)
+    rows = A.restart_hold(rows, "rest", 3, 24 * HOUR, step)
+    alarm, _ = A.alarm_gate(F.col("idle"), F.lit(False), F.col("held"), F.col("score") >= 40)
+    rows = A.early_warning(rows.withColumn("alarm", alarm), F.col("alarm"), 2, step)
+    assert got == {tuple(r) for r in rows.select("gun", "w_end", "held", "alarm", "active", "onset").collect()} and len(got) > 100
