@@ -152,3 +152,9 @@ def chained_episode(events: DataFrame, warnings: DataFrame, key: str = "gun", ti
     found = asof_before(shifted, facts, ["_until", "_episode"], key, time).withColumn(time, F.col(time) - 1)
     own = F.substring(F.sha2(F.concat_ws("|", key, time), 256), 1, 32)
     return found.withColumn("episode_id", F.when(F.col("_until") >= F.col(time), F.col("_episode")).otherwise(own)).drop("_until", "_episode", "last_t")
+
+
+def last_windows(df: DataFrame, n: int, key: str = "gun", time: str = "w_end") -> DataFrame:
+    """The last n rows of each key, in order: a trace."""
+    w = Window.partitionBy(key).orderBy(F.desc(time))
+    return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")

@@ -122,3 +122,39 @@ def violations(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     """Adds reasons: the names of checks a row fails, in order."""
     failed = [F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in checks.items()]
     return df.withColumn("reasons", F.array_compact(F.array(*failed)))
+
+
+def open_cases(cases: DataFrame, closed: Sequence[str] = CLOSED, status: str = "status") -> DataFrame:
+    """Cases that are in none of the closed states; a null state is open."""
+    return cases.where(~F.coalesce(F.col(status).isin(*closed), F.lit(False)))
+
+
+def lease_backoff(attempts: Column) -> Column:
+    """Seconds until a leased delivery is tried again: doubling, at most 300."""
+    return F.least(F.lit(300), F.pow(F.lit(2), F.least(attempts, F.lit(9))).cast("int"))
+
+
+def reuse_counts(resolutions: DataFrame, card: str = "card_id", case: str = "case_id", scope: str = "scope", time: str = "closed_at") -> DataFrame:
+    """(card, scope, cases, last_case): distinct cases that a card resolved in a scope, and the latest."""
+    return resolutions.groupBy(card, scope).agg(F.count_distinct(case).alias("cases"), F.max(F.struct(time, case))[case].alias("last_case"))
+
+
+def pending_patterns(outbox: DataFrame) -> DataFrame:
+    """(pattern_key, pending): patterns with a delivery still to be made (C4)."""
+    return outbox.groupBy("pattern_key").agg(F.bool_or(F.col("status") == "pending").alias("pending"))
+
+
+def excluded(judgments: DataFrame, results: DataFrame, case: str = "case_id", candidate: str = "candidate_id", time: str = "at") -> DataFrame:
+    """(case, candidate, excluded): the latest word on a candidate is a rejection, or a failed result after it."""
+    j = judgments.groupBy(case, candidate).agg(F.max(F.struct(time, "verdict")).alias("_j"))
+    r = results.groupBy(case, candidate).agg(F.max(F.struct(time, "outcome")).alias("_r"))
+    both = j.join(r, [case, candidate], "full_outer")
+    rejected = F.coalesce(F.col("_j.verdict") == "rejected", F.lit(False))
+    failed = F.coalesce(F.col("_r.outcome") == "failed", F.lit(False)) & (F.col("_j").isNull() | (F.col(f"_r.{time}") >= F.col(f"_j.{time}")))
+    return both.select(case, candidate, (rejected | failed).alias("excluded"))
+
+
+def cards(rows: DataFrame, rejected: DataFrame, card: str = "card_id", order: str = "position") -> DataFrame:
+    """The last row of each card, without those rejected (C14)."""
+    w = Window.partitionBy(card).orderBy(F.desc(order))
+    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n").join(rejected.select(card), card, "left_anti")

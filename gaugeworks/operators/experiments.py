@@ -281,3 +281,32 @@ def pooled_runs(df: DataFrame, value: str, run: str, key: str = "gun") -> DataFr
     """(mean, keys): each key's mean over runs, then the mean over keys."""
     own = df.groupBy(key, run).agg(F.avg(value).alias("_v")).groupBy(key).agg(F.avg("_v").alias("_m"))
     return own.agg(F.avg("_m").alias("mean"), F.count("*").alias("keys"))
+
+
+def classified_events(df: DataFrame, codes: Sequence[str], wait: int, horizon: int, key: str = "gun", time: str = "t") -> DataFrame:
+    """Onsets of codes after a cooldown, each a hit (within ``horizon`` of its key's end) or false."""
+    from gaugeworks.operators.alarms import triggers
+
+    end = df.groupBy(key).agg(F.max(time).alias("_end"))
+    fired = triggers(df, codes, wait, 0, key, time).join(end, key)
+    return fired.withColumn("outcome", F.when(F.col("_end") - F.col(time) <= horizon, "hit").otherwise("false")).drop("_end", "repeat")
+
+
+def crossover_odds(zones: DataFrame, exposures: dict[str, Column], stratum: str = "gun", day: str = "day") -> DataFrame:
+    """(exposure, odds_ratio, n_strata): a failure's own zone against the same hours of days before."""
+    from gaugeworks.operators.stats import matched_odds
+
+    out = None
+    for name, flag in exposures.items():
+        rows = zones.select(stratum, (F.col(day) == 0).cast("int").alias("case"), flag.cast("int").alias("exposed"))
+        part = matched_odds(rows, stratum, "case", "exposed").withColumn("exposure", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def surprise(df: DataFrame, error: str, calm: Column, key: str = "gun") -> DataFrame:
+    """Adds surprise: a forecast's error as a robust z of the key's calm rows; null without spread."""
+    from gaugeworks.operators.stats import iqr_scale
+
+    base = df.where(calm).groupBy(key).agg(F.percentile(error, F.lit(0.5)).alias("_m"), iqr_scale(error).alias("_s"))
+    return df.join(base, key, "left").withColumn("surprise", F.try_divide(F.col(error) - F.col("_m"), F.col("_s"))).drop("_m", "_s")

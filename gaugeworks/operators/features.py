@@ -115,3 +115,34 @@ def series_summary(df: DataFrame, column: str, key: str = "gun", time: str = "t"
         F.avg((F.col(column) == 0).cast("double")).alias("zero_share"),
         F.avg("_d").alias("mean_step"),
     )
+
+
+def minute_document(df: DataFrame, measurements: Sequence[str], states: Sequence[str], setpoints: Sequence[str], scaler: dict[str, tuple[float, float]], width: int, key: str = "gun", time: str = "t") -> DataFrame:
+    """One document per window: measurements by |z| (null last), on-shares of states, setpoints.
+
+    ``scaler`` gives mean and deviation of each measurement; one without stands with a null z. Equal |z|
+    stand in the order of ``measurements``.
+    """
+    g = df.groupBy(key, (F.floor(F.col(time) / width) * width).alias("w_start")).agg(
+        F.count("*").alias("n_samples"),
+        *[F.avg(c).alias(f"_m_{c}") for c in measurements],
+        *[F.avg((F.col(c) > 0).cast("double")).alias(f"_s_{c}") for c in states],
+        *[x for c in setpoints for x in (F.avg(c).alias(f"_p_{c}"), F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"_d_{c}"))],
+    )
+
+    def z(c: str) -> Column:
+        mean, std = scaler.get(c, (None, None))
+        return (F.col(f"_m_{c}") - mean) / std if std else F.lit(None).cast("double")
+
+    items = [F.struct(F.coalesce(-F.abs(z(c)), F.lit(1.0)).alias("k"), F.lit(i).alias("i"), F.lit(c).alias("feature"), z(c).alias("z"), F.col(f"_m_{c}").alias("value")) for i, c in enumerate(measurements)]
+    ordered_items = F.transform(F.sort_array(F.array(*items)), lambda x: F.struct(x["feature"].alias("feature"), x["z"].alias("z"), x["value"].alias("value")))
+    state = F.array(*[F.struct(F.lit(c).alias("signal"), F.col(f"_s_{c}").alias("on_share")) for c in states])
+    setpoint = F.array(*[F.struct(F.lit(c).alias("setpoint"), F.col(f"_p_{c}").alias("mean"), F.col(f"_d_{c}").alias("std")) for c in setpoints])
+    return g.select(key, "w_start", "n_samples", ordered_items.alias("measurements"), state.alias("states"), setpoint.alias("setpoints"))
+
+
+def with_pairwise_fill(left: DataFrame, right: DataFrame, keys: Sequence[str], columns: Sequence[str], key: str = "gun", time: str = "t") -> DataFrame:
+    """``left`` with the right side's columns of the same keys, filled forward within a key."""
+    j = left.join(right.select(*keys, *columns), list(keys), "left")
+    w = ordered(key, time).rowsBetween(Window.unboundedPreceding, 0)
+    return j.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})

@@ -137,3 +137,27 @@ def inferred_class(df: DataFrame, last: int, key: str = "gun", time: str = "t",
     rows = df.withColumn("_end", F.max(time).over(Window.partitionBy(key))).withColumn("_class", terminal_class(F.col(code), classes))
     near = F.when((F.col("_end") - F.col(time) <= last) & F.col("_class").isNotNull(), F.col(time))
     return rows.groupBy(key).agg(F.max_by("_class", near).alias("class"))
+
+
+def refused_chunks(df: DataFrame, limit: int, chunk: str = "chunk", key: str = "gun", time: str = "t") -> DataFrame:
+    """(key, chunk, reason): chunks that span more than ``limit``, or end that much before the newest row so far.
+
+    Chunks arrive in the order of ``chunk``; those refused don't move the newest row on.
+    """
+    c = df.groupBy(key, chunk).agg(F.min(time).alias("_from"), F.max(time).alias("_to"))
+    c = c.withColumn("_wide", F.col("_to") - F.col("_from") > limit)
+    newest = F.max(F.when(~F.col("_wide"), F.col("_to"))).over(Window.partitionBy(key).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1))
+    reason = F.when(F.col("_wide"), "span").when(F.col("_to") < newest - limit, "clock went back")
+    return c.select(key, chunk, reason.alias("reason")).where("reason is not null")
+
+
+def sample_time(explicit: Column, code_time: Column, end: Column, before: Column) -> Column:
+    """The time to sample: one given, else when the code began, else so long before the end."""
+    return F.coalesce(explicit, code_time, end - before)
+
+
+def clock_slots(start: Column, end: Column, step: int, least: int = 3, most: int = 60) -> Column:
+    """Whole steps of a window, or null if it is not of whole steps or has fewer or more than allowed."""
+    n = (end - start) / step
+    fits = (n == F.floor(n)) & n.between(least, most)
+    return F.when(fits, F.sequence(start, end - step, F.lit(step).cast("long")))

@@ -166,3 +166,9 @@ def findings(contributions: Column, deviations: Column, share: float = 0.03, dev
     fits = F.filter(named, lambda c: (c["share"] >= share) & (c["contribution"] > 0) & (F.abs(c["deviation"]) >= deviation) & (~spread(c) | (c["deviation"] > 0)) & ~sensor(c).isin(*clock))
     direction = lambda c: F.when(spread(c), "unstable").when(c["deviation"] > 0, "high").otherwise("low")
     return F.slice(F.transform(fits, lambda c: F.struct(c["feature"].alias("feature"), direction(c).alias("direction"), c["share"].alias("share"))), 1, most)
+
+
+def deviations(columns: Sequence[str], reference: Sequence[float]) -> Column:
+    """A map from each feature to its deviation from the reference."""
+    parts = [x for c, r in zip(columns, reference, strict=True) for x in (F.lit(c), F.col(c).cast("double") - float(r))]
+    return F.create_map(*parts)

@@ -285,3 +285,16 @@ def verdicts(windows: DataFrame, spans: DataFrame, width: int, key: str = "gun",
     hit = covered.groupBy(key, start).agg(F.bool_or(F.col("outcome") == "confirmed").alias("confirmed"), F.bool_or(F.col("outcome") == "false_alarm").alias("false_alarm"))
     out = windows.join(hit, [key, start], "left")
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in ("confirmed", "false_alarm")})
+
+
+def paired_difference(df: DataFrame, a: str, b: str, times: int, key: str = "gun", seed: int = 0) -> DataFrame:
+    """(low, high) of the mean of a - b over resamples that both share."""
+    own = df.groupBy(key).agg((F.avg(a) - F.avg(b)).alias("_d"))
+    return interval(resampled(own, "_d", times, key, seed))
+
+
+def shadow_files(files: DataFrame, *trained: DataFrame, file: str = "file") -> DataFrame:
+    """Files that none of the models was trained on."""
+    for t in trained:
+        files = files.join(t.select(file), file, "left_anti")
+    return files
