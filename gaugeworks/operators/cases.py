@@ -158,3 +158,58 @@ def cards(rows: DataFrame, rejected: DataFrame, card: str = "card_id", order: st
     """The last row of each card, without those rejected (C14)."""
     w = Window.partitionBy(card).orderBy(F.desc(order))
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n").join(rejected.select(card), card, "left_anti")
+
+
+def inbox(keys: DataFrame, cases: DataFrame, key: str = "gun", time: str = "detected_at", case: str = "case_id", closed: Sequence[str] = CLOSED) -> DataFrame:
+    """(key, n_open, cases): every key with its open cases, newest first; none is an empty list."""
+    o = open_cases(cases, closed).groupBy(key).agg(F.sort_array(F.collect_list(F.struct(time, case)), False).alias("_c"))
+    j = keys.select(key).distinct().join(o, key, "left")
+    ids = F.transform("_c", lambda x: x[case])
+    return j.select(key, F.coalesce(F.size("_c"), F.lit(0)).alias("n_open"), F.coalesce(ids, F.array()).alias("cases")).withColumn("n_open", F.greatest("n_open", F.lit(0)))
+
+
+def feedback_export(cases: DataFrame, events: DataFrame, states: Sequence[str] = ("abnormal", "normal", "unchecked"), case: str = "case_id") -> DataFrame:
+    """Closed early-warning cases by (closed_at, id): outcome, merged check counts, events in order.
+
+    ``cases`` has outcome, closed_at, kind, and maps recorded and draft; ``events`` (case_id, event_id, t).
+    """
+    e = events.groupBy(case).agg(F.sort_array(F.collect_list(F.struct("t", "event_id"))).alias("_e"))
+    rows = cases.where(F.col("closed_at").isNotNull() & (F.col("kind") == "early_warning")).join(e, case, "left")
+    counts = tallies(merged_checks(F.col("recorded"), F.col("draft")), states)
+    place = F.row_number().over(Window.partitionBy(F.to_date("closed_at")).orderBy("closed_at", case))
+    return rows.select(case, "outcome", "closed_at", counts.alias("checks"), F.transform("_e", lambda x: x["event_id"]).alias("events"), place.alias("place_in_day"))
+
+
+def group_key(episode: Column, kind: Column, code: Column) -> Column:
+    """What a handoff is grouped by: its episode, else being an early warning, else its code."""
+    return F.when(episode.isNotNull(), F.concat(F.lit("episode:"), episode)).when(kind == "early_warning", "early_warning").otherwise(code)
+
+
+def without_rejected(lists: Column, rejected: Column, card: str = "card_id") -> Column:
+    """An array of cards without those whose id is in ``rejected``."""
+    return F.filter(lists, lambda x: ~F.coalesce(F.array_contains(rejected, x[card]), F.lit(False)))
+
+
+def seen_cards(shown: Column, more: Column) -> Column:
+    """Two maps of shown cards by id; what was shown last wins."""
+    return merged_checks(shown, more)
+
+
+def distinct_in_order(items: Column, field: str) -> Column:
+    """An array of structs with the first of each ``field`` only."""
+    ids = F.transform(items, lambda x: x[field])
+    return F.filter(items, lambda x, i: F.array_position(ids, x[field]) == i + 1)
+
+
+def group_report(rows: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
+    """(keys, n, valid, failed, mean, std): failures are null values and never count as 0."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count(value).alias("valid"), F.count_if(F.col(value).isNull()).alias("failed"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
+
+
+def disjoint(*parts: DataFrame, key: str) -> DataFrame:
+    """(key, times): members of several parts of a split; empty if it is one."""
+    rows = None
+    for p in parts:
+        own = p.select(key).distinct()
+        rows = own if rows is None else rows.unionByName(own)
+    return rows.groupBy(key).agg(F.count("*").alias("times")).where("times > 1")

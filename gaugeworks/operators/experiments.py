@@ -310,3 +310,43 @@ def surprise(df: DataFrame, error: str, calm: Column, key: str = "gun") -> DataF
 
     base = df.where(calm).groupBy(key).agg(F.percentile(error, F.lit(0.5)).alias("_m"), iqr_scale(error).alias("_s"))
     return df.join(base, key, "left").withColumn("surprise", F.try_divide(F.col(error) - F.col("_m"), F.col("_s"))).drop("_m", "_s")
+
+
+def short_event_windows(windows: DataFrame, events: DataFrame, width: int, key: str = "gun", start: str = "w_start", time: str = "t") -> DataFrame:
+    """Adds short_event: some event begins in [start, start + width); windows lie on the grid of ``width``."""
+    hit = events.select(key, (F.floor(F.col(time) / width) * width).alias(start)).distinct().withColumn("short_event", F.lit(True))
+    return windows.join(hit, [key, start], "left").withColumn("short_event", F.coalesce("short_event", F.lit(False)))
+
+
+def onset_quantiles(df: DataFrame, onset: Column, ttf: str = "ttf", q: Sequence[float] = (0.1, 0.5, 0.9), key: str = "gun") -> DataFrame:
+    """(keys, quantiles): of each key's first onset, how long before its end it was."""
+    first = df.where(onset).groupBy(key).agg(F.max(ttf).alias("_t"))
+    return first.agg(F.count("*").alias("keys"), F.percentile("_t", F.array(*map(F.lit, q))).alias("quantiles"))
+
+
+def after_power_on(df: DataFrame, column: str, on: Column, span: int, controls: int, day: int, width: int, key: str = "gun", time: str = "t") -> DataFrame:
+    """(key, at, shift, n, mean): ``column`` in [on, on + span) and at the same time of the days before."""
+    starts = df.where(on).select(key, F.col(time).alias("at"))
+    spans = starts.withColumn("shift", F.explode(F.sequence(F.lit(0), F.lit(controls))))
+    spans = spans.select(key, "at", "shift", (F.col("at") - F.col("shift") * day).alias("start_t"), (F.col("at") - F.col("shift") * day + span).alias("end_t"))
+    found = interval_join(df.select(key, time, column), spans, width, key, time)
+    return found.groupBy(key, "at", "shift").agg(F.count(column).alias("n"), F.avg(column).alias("mean"))
+
+
+def phase_z(df: DataFrame, column: str, before: Column, fault: Column, key: str = "gun") -> DataFrame:
+    """(key, z): the mean in the fault phase as a z-score of the phase before it."""
+    a, b = F.when(before, F.col(column)), F.when(fault, F.col(column))
+    return df.groupBy(key).agg(F.try_divide(F.avg(b) - F.avg(a), F.stddev_samp(a)).alias("z"))
+
+
+def card_scores(cards: DataFrame, gold: DataFrame, key: str = "case_id", label: str = "label", most: int = 5) -> DataFrame:
+    """(key, precision, recall) of a case's first cards; a card is relevant if any of its labels is gold.
+
+    ``cards`` has an array ``labels`` and a place; recall is the share of gold labels that they cover.
+    """
+    top = cards.where(F.col("place") <= most).select(key, "place", F.explode_outer("labels").alias(label))
+    hit = top.join(gold.select(key, label).distinct().withColumn("_g", F.lit(True)), [key, label], "left")
+    per = hit.groupBy(key).agg(F.count_distinct(F.when(F.col("_g"), F.col("place"))).alias("_r"), F.count_distinct("place").alias("_n"), F.count_distinct(F.when(F.col("_g"), F.col(label))).alias("_c"))
+    size = gold.groupBy(key).agg(F.count_distinct(label).alias("_all"))
+    j = size.join(per, key, "left").fillna(0, ["_r", "_n", "_c"])
+    return j.select(key, F.try_divide("_r", "_n").alias("precision"), F.try_divide("_c", "_all").alias("recall"))

@@ -161,3 +161,31 @@ def clock_slots(start: Column, end: Column, step: int, least: int = 3, most: int
     n = (end - start) / step
     fits = (n == F.floor(n)) & n.between(least, most)
     return F.when(fits, F.sequence(start, end - step, F.lit(step).cast("long")))
+
+
+def normal_rows(df: DataFrame, label: str = "label", error: str = "error_active", rest: str | None = None) -> DataFrame:
+    """Rows before no failure, without an error, and welding where ``rest`` is given."""
+    keep = (F.col(label) == 0) & (F.col(error) == 0)
+    return df.where(keep & (F.col(rest) == 0) if rest else keep)
+
+
+def clean_windows(df: DataFrame, error: str = "error_active", rest: str = "non_welding") -> DataFrame:
+    """Windows without an error of which at most half is at rest."""
+    return df.where((F.col(error) == 0) & (F.col(rest) <= 0.5))
+
+
+def carried_code(df: DataFrame, code: str = "code", none: str = "0", key: str = "gun", time: str = "t") -> DataFrame:
+    """The code of a missing row is that of the last row with one, and ``none`` before the first."""
+    held = F.last(code, ignorenulls=True).over(up_to_here(ordered(key, time)))
+    return df.withColumn(code, F.coalesce(held, F.lit(none)))
+
+
+def offsets(df: DataFrame, slot: str, key: str = "event_id") -> DataFrame:
+    """Adds offset: 0 at a window's last slot, -1 before it, and so on."""
+    return df.withColumn("offset", (F.col(slot) - F.max(slot).over(Window.partitionBy(key))).cast("int"))
+
+
+def weld_rate(df: DataFrame, counter: str, slot: int, unit: int, key: str = "gun", time: str = "t") -> DataFrame:
+    """(key, rate): the median of a counter's positive sums by slot, in ``unit`` of time."""
+    sums = df.groupBy(key, F.floor(F.col(time) / slot).alias("_s")).agg(F.sum(counter).alias("_n")).where("_n > 0")
+    return sums.groupBy(key).agg((F.percentile("_n", F.lit(0.5)) * (unit / slot)).alias("rate"))

@@ -172,3 +172,14 @@ def deviations(columns: Sequence[str], reference: Sequence[float]) -> Column:
     """A map from each feature to its deviation from the reference."""
     parts = [x for c, r in zip(columns, reference, strict=True) for x in (F.lit(c), F.col(c).cast("double") - float(r))]
     return F.create_map(*parts)
+
+
+def threshold_of(df: DataFrame, score: str, normal: Column, q: float = 0.99) -> DataFrame:
+    """One row, threshold: a quantile of the scores of normal rows."""
+    return df.agg(F.percentile(F.when(normal, F.col(score)), F.lit(q)).alias("threshold"))
+
+
+def top_contributors(contributions: Column, most: int = 3, clock: Sequence[str] = ("hour_sin", "hour_cos", "dow")) -> Column:
+    """The first contributors that add to the score, without features of the clock (O3)."""
+    sensor = lambda c: F.regexp_replace(c["feature"], "_[^_]*$", "")
+    return F.slice(F.filter(contributions, lambda c: (c["contribution"] > 0) & ~sensor(c).isin(*clock) & ~c["feature"].isin(*clock)), 1, most)

@@ -95,3 +95,68 @@ def left_merge_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = readings(spark, sf_dir)
     right = ev.where("code = 'click'").select("gun", "t", F.col("value").alias("v"))
     return W.with_pairwise_fill(ev.select("event_id", "gun", "t"), right, ["gun", "t"], ["v"])
+
+
+@query("""SELECT c_custkey AS gun, count(o_orderkey) AS n_open, coalesce(list(o_orderkey ORDER BY o_orderdate DESC, o_orderkey DESC) FILTER (WHERE o_orderkey IS NOT NULL), []) AS cases
+FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'F') o ON o_custkey = c_custkey GROUP BY 1""")
+def gun_inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    guns = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("gun"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("gun"), F.col("o_orderkey").alias("case_id"), F.col("o_orderdate").alias("detected_at"), F.col("o_orderstatus").alias("status"))
+    return C.inbox(guns, o, closed=("F",))
+
+
+@query("""WITH l AS (SELECT l_orderkey, CASE l_returnflag WHEN 'R' THEN 'abnormal' WHEN 'A' THEN 'normal' ELSE 'unchecked' END AS s, l_linenumber FROM lineitem),
+m AS (SELECT l_orderkey, l_linenumber, max(s) AS s FROM l GROUP BY 1, 2)
+SELECT o_orderkey AS case_id, count(*) FILTER (WHERE s = 'abnormal') AS abnormal, count(*) FILTER (WHERE s = 'normal') AS normal, count(*) FILTER (WHERE s = 'unchecked') AS unchecked,
+CAST(row_number() OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) AS INTEGER) AS place_in_day FROM orders JOIN m ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' AND o_orderpriority LIKE '1%' GROUP BY o_orderkey, o_orderdate""")
+def feedback_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed urgent orders as early-warning cases; each line is a check, its flag the check's state."""
+    state = F.when(F.col("l_returnflag") == "R", "abnormal").when(F.col("l_returnflag") == "A", "normal").otherwise("unchecked")
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max(state).alias("s"))
+    checks = lines.groupBy(F.col("l_orderkey").alias("case_id")).agg(F.map_from_entries(F.collect_list(F.struct("l_linenumber", "s"))).alias("recorded"))
+    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
+    cases = o.select(F.col("o_orderkey").alias("case_id"), F.col("o_orderstatus").alias("outcome"), F.col("o_orderdate").alias("closed_at"), F.when(F.col("o_orderpriority").startswith("1"), "early_warning").alias("kind")).join(checks, "case_id")
+    cases = cases.withColumn("draft", F.lit(None).cast("map<int,string>"))
+    events = o.select(F.col("o_orderkey").alias("case_id"), F.col("o_orderkey").alias("event_id"), F.col("o_orderdate").alias("t"))
+    return C.feedback_export(cases, events).select("case_id", "checks.*", "place_in_day")
+
+
+@query("SELECT code, count(*) AS n, count(v) AS valid, count(*) - count(v) AS failed, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std FROM (SELECT code, CASE WHEN k >= 20 THEN value END AS v FROM ev) GROUP BY 1")
+def group_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(C.group_report(readings(spark, sf_dir).withColumn("v", F.when(F.col("k") >= 20, F.col("value"))), "v", ["code"]))
+
+
+@query(f"""SELECT w.gun, w.w_start, EXISTS (SELECT 1 FROM ev e WHERE e.gun = w.gun AND e.code = 'error' AND e.t >= w.w_start AND e.t < w.w_start + {SIX}) AS short_event FROM (SELECT DISTINCT gun, t // {SIX} * {SIX} AS w_start FROM ev) w""")
+def short_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = readings(spark, sf_dir)
+    w = ev.select("gun", (F.floor(F.col("t") / SIX) * SIX).alias("w_start")).distinct()
+    return X.short_event_windows(w, ev.where("code = 'error'"), SIX)
+
+
+@query(f"""SELECT a.gun, a.t AS at, CAST(s.shift AS INTEGER) AS shift, count(p.value) AS n, round(avg(p.value), 6) AS mean FROM (SELECT * FROM ev WHERE code = 'signup') a, range(0, 4) s(shift)
+JOIN ev p ON p.gun = a.gun AND p.t >= a.t - s.shift * {DAY} AND p.t < a.t - s.shift * {DAY} + {12 * HOUR} GROUP BY 1, 2, 3""")
+def after_power_on(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(X.after_power_on(readings(spark, sf_dir), "value", F.col("code") == "signup", 12 * HOUR, 3, DAY, 12 * HOUR))
+
+
+@query(f"""WITH r AS (SELECT *, max(t) OVER (PARTITION BY gun) - t AS ttf FROM ev) SELECT gun, round((avg(value) FILTER (WHERE ttf <= {2 * DAY}) - avg(value) FILTER (WHERE ttf > {7 * DAY})) / stddev_samp(value) FILTER (WHERE ttf > {7 * DAY}), 4) AS z FROM r GROUP BY 1""")
+def phase_z(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = P.with_ttf(readings(spark, sf_dir), DAY)
+    return rounded(X.phase_z(rows, "value", F.col("ttf") > 7 * DAY, F.col("ttf") <= 2 * DAY), 4)
+
+
+@query(f"SELECT gun, round(quantile_cont(n, 0.5) / 6.0, 6) AS rate FROM (SELECT gun, t // {SIX} AS s, sum(k) AS n FROM ev GROUP BY 1, 2 HAVING sum(k) > 0) GROUP BY 1")
+def weld_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(P.weld_rate(readings(spark, sf_dir), "k", SIX, HOUR))
+
+
+@query("SELECT event_id, coalesce(last_value(c IGNORE NULLS) OVER (PARTITION BY gun ORDER BY t ROWS UNBOUNDED PRECEDING), '0') AS code FROM (SELECT event_id, gun, t, CASE WHEN k >= 30 THEN code END AS c FROM ev)")
+def carried_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = readings(spark, sf_dir).withColumn("code", F.when(F.col("k") >= 30, F.col("code")))
+    return P.carried_code(rows).select("event_id", "code")
+
+
+@query("""SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_discount), 4) AS discount FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)""")
+def cube_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of every combination of two columns, as Spark's cube gives them."""
+    return rounded(table(spark, sf_dir, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.avg("l_discount").alias("discount")), 4)
