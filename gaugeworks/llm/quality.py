@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.shared import id_and_text, per_batch, staged
+from gaugeworks.llm.shared import id_and_text, per_batch, small_batches, staged
 
 STATISTICS = ("words", "word_length", "length_spread", "upper", "digits", "symbols", "stops", "distinct", "short", "repeated_lines", "lines")
 _D = len(STATISTICS)
@@ -160,4 +160,4 @@ def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     def score(texts):  # noqa: ANN001, ANN202
         return texts.map(lambda t: float(model.score(np.array([statistics(t or "")]))[0]))
 
-    return docs.where(score(F.col(text_col)) >= threshold)
+    return small_batches(docs).where(score(F.col(text_col)) >= threshold)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.shared import id_and_text, per_batch
+from gaugeworks.llm.shared import id_and_text, per_batch, small_batches
 
 KINDS = ("assign", "access", "hex", "random")
 ALPHABET = string.ascii_letters + string.digits + "+/_=-."
@@ -142,7 +142,7 @@ def redacted(docs: DataFrame, text_col: str = "text", model: MarkovPair | None =
     def clean(texts):  # noqa: ANN001, ANN202
         return texts.map(lambda t: t if t is None else _replace(t, scan(t, pair, threshold)))
 
-    return docs.withColumn(text_col, clean(F.col(text_col)))
+    return small_batches(docs).withColumn(text_col, clean(F.col(text_col)))
 
 
 def _replace(text: str, spans: list[tuple[int, int, int]]) -> str:

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeworks.llm.shared import small_batches
+
 #: All records are dated so unless the input has a date of its own.
 DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space of RFC 4122
@@ -127,7 +129,7 @@ def _mapped(df: DataFrame, f, rows: int = 64) -> DataFrame:  # noqa: ANN001
                 out = [x for r in batch.slice(at, rows).to_pylist() for x in f(r)]
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return df.mapInArrow(run, f"page_id long, {_RECORD}")
+    return small_batches(df).mapInArrow(run, f"page_id long, {_RECORD}")
 
 
 def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
