@@ -14,7 +14,9 @@ task returns a spanning forest of the links it finds, never all pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -47,11 +49,7 @@ def simhash64(text: str, shingle: int = 3) -> int:
         grams = iter([b" ".join(words)])
     else:
         grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    h = np.frombuffer(b"".join(map(xxhash.xxh64_digest, grams, repeat(SEED))), np.uint8).reshape(-1, 8)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(h), 1 << 14):
-        ones += np.unpackbits(h[at : at + (1 << 14)], axis=1).sum(axis=0, dtype=np.int32)
-    return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
+    return int(_vote(grams, SEED)) & _FULL
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -65,13 +63,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return per_batch(id_and_text(docs, id_col, text_col), run, schema, "doc_id long, fp long")
 
 
-def _keys(fp: Column) -> Column:
-    """The 24 chain keys of a fingerprint: where the chain starts, two segments, two of the next three."""
+def _keys(fp: Column, table: int = 0) -> Column:
+    """The 24 chain keys of a table's fingerprint: where the chain starts, two segments, two of the next three."""
     part = lambda i: F.shiftrightunsigned(fp, 8 * (i % SEGMENTS)).bitwiseAND(F.lit(255))
     keys = []
     for start in range(SEGMENTS):
         for v, (p, q) in enumerate(((2, 3), (2, 4), (3, 4))):
-            bits = F.lit((3 * start + v) << 32)
+            bits = F.lit((3 * (SEGMENTS * table + start) + v) << 32)
             for shift, i in ((24, 0), (16, 1), (8, p), (0, q)):
                 bits = bits + F.shiftleft(part(start + i), shift)
             keys.append(bits)
@@ -88,8 +86,12 @@ def _near(x: np.ndarray, start: int, t: int) -> np.ndarray:
     return ok
 
 
-def _forest(left: np.ndarray, right: np.ndarray, start: int, t: int) -> list[tuple[int, int]]:
-    """Links between two blocks of distinct fingerprints (or within one): a spanning forest of them."""
+def _forest(rows: tuple[np.ndarray, ...], left: np.ndarray, right: np.ndarray, start: int, t: int, bits: int | None) -> list[tuple[int, int]]:
+    """Links between two blocks of rows (or within one): a spanning forest of them.
+
+    ``rows`` are nodes, fingerprints and any further fingerprints; ``left`` and ``right`` number the rows.
+    """
+    node, fp, *more = rows
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -98,39 +100,43 @@ def _forest(left: np.ndarray, right: np.ndarray, start: int, t: int) -> list[tup
         return x
 
     links = []
-    for i, x in enumerate(left):
-        others = right[i + 1 :] if right is left else right
-        for y in others[_near(others ^ x, start, t)]:
-            p, q = root(int(x)), root(int(y))
+    for n, i in enumerate(left):
+        others = right[n + 1 :] if right is left else right
+        others = others[_near(fp[others] ^ fp[i], start, t)]
+        if bits is not None and len(others):
+            others = others[sum(np.bitwise_count(m[others] ^ m[i]).astype(np.int64) for m in more) <= bits]
+        for x, y in zip(repeat(int(node[i])), node[others].tolist(), strict=False):
+            p, q = root(x), root(y)
             if p != q:
                 parent[max(p, q)] = min(p, q)
-                links.append((int(x), int(y)))
+                links.append((x, y))
     return links
 
 
-def _link_blocks(t: int):
-    """Rows (key, bi, bj, side, fp), sorted, to links; one group of rows is at most two blocks."""
+def _link_blocks(t: int, bits: int | None):
+    """Rows (key, bi, bj, side, node, fp, ...), sorted, to links; one group of rows is at most two blocks."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def links_of(key: int, side: np.ndarray, fp: np.ndarray) -> list[tuple[int, int]]:
-        start = (key >> 32) // 3
-        if len(fp) == 2 and side[0] == side[1]:
-            x = int(fp[0] ^ fp[1])
-            return [(int(fp[0]), int(fp[1]))] if x.bit_count() <= t else []
-        left, right = fp[side == 0], fp[side == 1]
-        return _forest(left, right if len(right) else left, start, t)
+    def links_of(key: int, side: np.ndarray, rows: tuple[np.ndarray, ...]) -> list[tuple[int, int]]:
+        start = (key >> 32) % (3 * SEGMENTS) // 3
+        if len(side) == 2:
+            (a, b), (x, y), *more = (r.tolist() for r in rows)
+            close = (x ^ y).bit_count() <= t and (bits is None or sum((u ^ v).bit_count() for u, v in more) <= bits)
+            return [(a, b)] if close else []
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        return _forest(rows, left, right if len(right) else left, start, t, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
         def flush(parts: list, last: bool) -> tuple[list, list]:
             cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
-            key, bi, bj, side, fp = cols
+            key, bi, bj, side, *rows = cols
             edge = np.flatnonzero((np.diff(key) != 0) | (np.diff(bi) != 0) | (np.diff(bj) != 0)) + 1
             bounds = [0, *edge.tolist(), *([len(key)] if last else [])]
             out = []
             for s, e in zip(bounds, bounds[1:], strict=False):
-                out += links_of(int(key[s]), side[s:e], fp[s:e])
+                out += links_of(int(key[s]), side[s:e], tuple(r[s:e] for r in rows))
             rest = [] if last else [tuple(c[bounds[-1] :] for c in cols)]
             return out, rest
 
@@ -140,7 +146,7 @@ def _link_blocks(t: int):
 
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            held.append((cols[0], cols[1], cols[2], cols[3], cols[4].astype(np.int64).view(np.uint64)))
+            held.append((*cols[:4], *(c.astype(np.int64).view(np.uint64) for c in cols[4:])))
             out, held = flush(held, last=False)
             if out:
                 yield batch_of(out)
@@ -152,31 +158,36 @@ def _link_blocks(t: int):
     return run
 
 
-def links(fps: DataFrame, t: int = 3) -> DataFrame:
-    """(a, b): enough links at ``t`` or fewer differing bits to reach all that any links reach.
-
-    ``fps`` has distinct fingerprints ``fp``. Exact: no link between components is lost.
-    """
-    if not 0 <= t <= 3:
-        raise ValueError("the chain keys hold for 0 to 3 differing bits")
-    rows = fps.select("fp", F.explode(_keys(F.col("fp"))).alias("key"))
-    counted = rows.selectExpr("key", "fp", "count(*) over (partition by key) as n").where("n > 1")
-    few = counted.where(F.col("n") <= BLOCK).selectExpr("key", "0 as bi", "0 as bj", "0 as side", "fp")
+def _links_of_keys(rows: DataFrame, t: int, bits: int | None = None) -> DataFrame:
+    """(a, b) from rows (key, node, fp, ...): a spanning forest of the links that each key's rows have."""
+    rest = [c for c in rows.columns if c != "key"]
+    counted = rows.selectExpr("key", *rest, "count(*) over (partition by key) as n").where("n > 1")
+    few = counted.where(F.col("n") <= BLOCK).selectExpr("key", "0 as bi", "0 as bj", "0 as side", *rest)
     many = (
         counted.where(F.col("n") > BLOCK)
         .withColumn("blocks", F.ceil(2 * F.col("n") / BLOCK).cast("int"))
-        .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .selectExpr("key", "least(own, other) as bi", "greatest(own, other) as bj", "if(own <= other, 0, 1) as side", "fp")
+        .selectExpr("key", "least(own, other) as bi", "greatest(own, other) as bj", "if(own <= other, 0, 1) as side", *rest)
     )
     found = [
         few.sortWithinPartitions("key", "bi", "bj", "side"),
         many.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "side"),
     ]
-    found = [x.mapInArrow(_link_blocks(t), "a long, b long") for x in found]
+    found = [x.mapInArrow(_link_blocks(t, bits), "a long, b long") for x in found]
     return found[0].unionByName(found[1]).distinct()
 
 
+def links(fps: DataFrame, t: int = 3) -> DataFrame:
+    """(a, b): enough links at ``t`` or fewer differing bits to reach all that any links reach.
+
+    ``fps`` has distinct fingerprints ``fp``. Exact: no link between components is lost.
+    """
+    if not 0 <= t <= 3:
+        raise ValueError("the chain keys hold for 0 to 3 differing bits")
+    return _links_of_keys(fps.select(F.explode(_keys(F.col("fp"))).alias("key"), F.col("fp").alias("node"), "fp"), t)
+
+
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, t: int = 3) -> DataFrame:
     """(doc_id, fp, component_id): one row for each row of ``docs``.
 
@@ -188,18 +199,69 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     fps = staged(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     distinct = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
     roots = components(links(distinct.select("fp"), t))
-    member = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return _with_lowest(fps, distinct, roots, "fp").select("doc_id", "fp", "component_id")
+
+
+def _vote(grams: list[bytes], seed: int) -> np.ndarray:
+    """The 64 bits that are set in over half the hashes of ``grams``, as a signed number."""
+    h = np.frombuffer(b"".join(map(xxhash.xxh64_digest, grams, repeat(seed))), np.uint8).reshape(-1, 8)
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), 1 << 14):
+        ones += np.unpackbits(h[at : at + (1 << 14)], axis=1).sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > len(h)).view(">i8")[0]
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, tables: int = 3, prints: int = 4) -> DataFrame:
+    """(doc_id, component_id): groups of documents whose shingles of ``shingle`` words are alike.
+
+    Candidates come from ``tables`` fingerprints of a text's distinct words (an edit changes few of them),
+    each through the pigeonring filter at 3 bits. The full check counts the bits in which ``prints``
+    fingerprints of the shingles differ: Jaccard similarity s means an angle of acos(2s / (1 + s)), and
+    a deviation more is allowed, so that pairs at the threshold are mostly found. Both estimates make
+    errors near the threshold; texts with equal words always link.
+
+    Null and empty texts are one group; a text of fewer words than a shingle links with none but its like.
+    Rows that repeat keep one row each; a null doc_id stays null. An empty table gives an empty one.
+    """
+    names = [*(f"f{i}" for i in range(tables)), *(f"v{i}" for i in range(prints))]
+    schema = pa.schema([("doc_id", pa.int64()), *[(n, pa.int64()) for n in names]])
+
+    def run(ids: list, texts: list) -> dict:
+        out = np.zeros((len(ids), len(names)), np.int64)
+        for row, text in zip(out, texts, strict=True):
+            words = text.encode().translate(_LOWER).split()
+            if words:
+                own = list(dict.fromkeys(words))
+                grams = list(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))) or [b" ".join(words)]
+                row[:tables] = [_vote(own, SEED + i) for i in range(tables)]
+                row[tables:] = [_vote(grams, SEED + i) for i in range(prints)]
+        return {"doc_id": ids, **{n: out[:, i] for i, n in enumerate(names)}}
+
+    ddl = "doc_id long, " + ", ".join(f"{n} long" for n in names)
+    made = staged(per_batch(id_and_text(docs, id_col, text_col), run, schema, ddl).withColumn("node", F.xxhash64(*names)), "fingerprints")
+    nodes = staged(made.groupBy("node").agg(F.min("doc_id").alias("low"), *[F.any_value(n).alias(n) for n in names]), "nodes")
+    rows = [nodes.select(F.explode(_keys(F.col(f"f{i}"), i)).alias("key"), "node", F.col(f"f{i}").alias("fp"), *names[tables:]) for i in range(tables)]
+    rows = reduce(DataFrame.unionByName, rows)
+    angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = round(64 * prints * angle + math.sqrt(64 * prints * angle * (1 - angle)))
+    roots = components(_links_of_keys(rows, 3, bits))
+    return _with_lowest(made.select("doc_id", "node"), nodes.select("node", "low"), roots, "node")
+
+
+def _with_lowest(rows: DataFrame, nodes: DataFrame, roots: DataFrame, node: str) -> DataFrame:
+    """``rows`` with component_id: the smallest ``low`` among the nodes of their node's component."""
+    member = nodes.join(roots.withColumnRenamed("node", node), node, "left").withColumn("root", F.coalesce("root", node))
     lowest = staged(member.groupBy("root").agg(F.min("low").alias("component_id")), "lowest")
-    ids = staged(member.join(lowest, "root").select("fp", "component_id"), "component_ids")
-    return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
+    ids = staged(member.join(lowest, "root").select(node, "component_id"), "component_ids")
+    return rows.join(ids, node)
 
 
-def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, t: int = 3) -> DataFrame:
+def one_of_each_group(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose doc_id is their group's component_id, with all their columns.
 
-    Rows that repeat a doc_id leave one; rows with a null doc_id stay.
+    ``groups`` is what ``similar_groups`` or ``near_duplicate_groups`` gives. Rows that repeat a doc_id
+    leave one; rows with a null doc_id stay.
     """
-    groups = near_duplicate_groups(docs, id_col, text_col, shingle, t)
     gone = staged(groups.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct(), "near-duplicates")
     kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
     if docs.groupBy(id_col).count().where(F.col(id_col).isNotNull() & (F.col("count") > 1)).isEmpty():

@@ -14,6 +14,7 @@ import public_tokenizers
 import pytest
 import xxhash
 from tokenizers import Tokenizer
+from words import prose
 
 from gaugeworks.llm import bpe, license_scan, media, packing, quality, queries, secret_scan, simhash, syncmers, warc
 
@@ -376,7 +377,8 @@ def test_empty_tables(empty):
     assert secret_scan.secret_spans(empty).count() == 0
     assert license_scan.license_labels(empty).count() == 0
     assert simhash.near_duplicate_groups(empty).count() == 0
-    assert simhash.one_of_each_group(empty).count() == 0
+    assert simhash.similar_groups(empty).count() == 0
+    assert simhash.one_of_each_group(empty, simhash.similar_groups(empty)).count() == 0
 
 
 def test_normal_forms_match_library():
@@ -388,6 +390,38 @@ def test_normal_forms_match_library():
 
 
 def test_one_of_each_group(odd):
-    kept = simhash.one_of_each_group(odd).select("doc_id").collect()
-    ids = Counter(r["doc_id"] for r in kept)
-    assert ids[None] == 1 and ids[16] == 1 and ids[1] == 1 and ids[2] == 0 and ids[3] == 0 and ids[11] == 1 and ids[12] == 0
+    for groups in (simhash.near_duplicate_groups(odd), simhash.similar_groups(odd)):
+        kept = simhash.one_of_each_group(odd, groups).select("doc_id").collect()
+        ids = Counter(r["doc_id"] for r in kept)
+        assert ids[None] == 1 and ids[16] == 1 and ids[1] == 1 and ids[2] == 0 and ids[3] == 0 and ids[11] == 1 and ids[12] == 0
+
+
+def jaccard(a, b, k=5):
+    a, b = (x.split() for x in (a, b))
+    a, b = ({tuple(x[i : i + k]) for i in range(len(x) - k + 1)} for x in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_similar_groups(spark):
+    """Copies with a few changed words are found; documents that share half their text are not."""
+    texts, alike, apart = [], 0, 0
+    for n in range(30):
+        words = prose(n, 300).split()
+        edited = list(words)
+        for i in range(3):
+            edited[(n * 37 + i * 90) % 300] = f"edit{n}{i}"
+        texts += [" ".join(words), " ".join(edited), " ".join(words[:150]) + " " + prose(1000 + n, 150)]
+        alike += jaccard(texts[-3], texts[-2]) >= 0.8
+        apart += jaccard(texts[-3], texts[-1]) < 0.5
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(df).collect()}
+    assert alike == apart == 30
+    assert sum(got[3 * n + 1] == 3 * n for n in range(30)) >= 28
+    assert all(got[3 * n + 2] == 3 * n + 2 for n in range(30))
+
+
+def test_similar_groups_blocks(spark, monkeypatch):
+    texts = [prose(5, 200) + f" tail{i}" for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    assert {r["component_id"] for r in simhash.similar_groups(df).collect()} == {0}
