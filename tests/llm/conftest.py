@@ -4,8 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 from words import prose
 
-pytest.importorskip("gaugeworks.llm")
-
 ODD = [
     (1, ""),
     (2, None),

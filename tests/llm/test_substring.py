@@ -7,11 +7,11 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from words import prose
 
+import corpus_pipeline as pipeline
 from gaugeworks.llm import substring
 
-pipeline = pytest.importorskip("corpus_pipeline")
-prose = pytest.importorskip("words").prose
 
 
 def rows_of(spark, texts):
