@@ -126,7 +126,7 @@ _METRICS = f"""{_ZONES}, q AS (SELECT p.gun, (t_end - w_end) // {DAY} AS back, m
 m AS (SELECT gun, max(CASE WHEN back = 0 THEN hit_any END) AS hit, avg(CASE WHEN back BETWEEN 1 AND 6 THEN hit_any END) AS chance, sum(CASE WHEN back >= 1 THEN onsets ELSE 0 END) AS false_onsets, count(*) FILTER (WHERE back >= 1) AS days FROM q GROUP BY 1)"""
 
 
-@query(f"WITH {_EW.format(thr=40)}, {_METRICS} SELECT gun, hit, round(chance, 6) AS chance, CAST(false_onsets AS BIGINT) AS false_onsets, days FROM m")
+@query(f"WITH {_EW.format(thr=40)}, {_METRICS} SELECT gun, CAST(hit AS DOUBLE) AS hit, round(chance, 6) AS chance, CAST(false_onsets AS BIGINT) AS false_onsets, days FROM m")
 def ew_event_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_event_metrics(A.early_warning(windows(spark, sf_dir), F.col("score") >= 40, 2, W)))
 

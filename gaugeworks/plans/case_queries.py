@@ -89,7 +89,7 @@ def _outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select("event_id", F.expr("gun % 9").alias("pattern_key"), F.col("t").alias("next_attempt_at"), F.expr("k % 7").alias("attempts"), F.when(F.col("code") == "view", "sent").otherwise("pending").alias("status"), http.alias("http"))
 
 
-@query("""SELECT event_id, rank() OVER (PARTITION BY pattern_key ORDER BY next_attempt_at, event_id) AS rank FROM (SELECT event_id, gun % 9 AS pattern_key, t AS next_attempt_at, k % 7 AS attempts, code FROM ev)
+@query("""SELECT event_id, CAST(rank() OVER (PARTITION BY pattern_key ORDER BY next_attempt_at, event_id) AS INTEGER) AS rank FROM (SELECT event_id, gun % 9 AS pattern_key, t AS next_attempt_at, k % 7 AS attempts, code FROM ev)
 WHERE code <> 'view' AND attempts < 5 AND next_attempt_at <= 1705000000000000""")
 def outbox_due(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.due(_outbox(spark, sf_dir), 1_705_000_000_000_000, 5).select("event_id", "rank")

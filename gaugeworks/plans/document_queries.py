@@ -102,7 +102,7 @@ def neighbour_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 f AS (SELECT query_id, rank, size AS used, true AS kept FROM (SELECT *, required OR size <= 18000 AS ok FROM r WHERE rank = 1) WHERE ok
  UNION ALL SELECT query_id, rank, 0, false FROM (SELECT *, required OR size <= 18000 AS ok FROM r WHERE rank = 1) WHERE NOT ok
  UNION ALL SELECT r.query_id, r.rank, CASE WHEN r.required OR f.used + r.size <= 18000 THEN f.used + r.size ELSE f.used END, r.required OR f.used + r.size <= 18000 FROM f JOIN r ON r.query_id = f.query_id AND r.rank = f.rank + 1)
-SELECT query_id, rank FROM f WHERE kept""")
+SELECT query_id, CAST(rank AS INTEGER) AS rank FROM f WHERE kept""")
 def budget_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("query_id"), F.col("n_chars").alias("size"))
     ranked = d.withColumn("rank", F.row_number().over(R.Window.partitionBy("query_id").orderBy(F.expr("size % 97"), "doc_id"))).withColumn("required", F.expr("doc_id % 25 = 0"))

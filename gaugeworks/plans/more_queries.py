@@ -97,7 +97,7 @@ def left_merge_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.with_pairwise_fill(ev.select("event_id", "gun", "t"), right, ["gun", "t"], ["v"])
 
 
-@query("""SELECT c_custkey AS gun, count(o_orderkey) AS n_open, coalesce(list(o_orderkey ORDER BY o_orderdate DESC, o_orderkey DESC) FILTER (WHERE o_orderkey IS NOT NULL), []) AS cases
+@query("""SELECT c_custkey AS gun, CAST(count(o_orderkey) AS INTEGER) AS n_open, coalesce(list(o_orderkey ORDER BY o_orderdate DESC, o_orderkey DESC) FILTER (WHERE o_orderkey IS NOT NULL), []) AS cases
 FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'F') o ON o_custkey = c_custkey GROUP BY 1""")
 def gun_inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     guns = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("gun"))
@@ -107,7 +107,7 @@ def gun_inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH l AS (SELECT l_orderkey, CASE l_returnflag WHEN 'R' THEN 'abnormal' WHEN 'A' THEN 'normal' ELSE 'unchecked' END AS s, l_linenumber FROM lineitem),
 m AS (SELECT l_orderkey, l_linenumber, max(s) AS s FROM l GROUP BY 1, 2)
-SELECT o_orderkey AS case_id, count(*) FILTER (WHERE s = 'abnormal') AS abnormal, count(*) FILTER (WHERE s = 'normal') AS normal, count(*) FILTER (WHERE s = 'unchecked') AS unchecked,
+SELECT o_orderkey AS case_id, CAST(count(*) FILTER (WHERE s = 'abnormal') AS INTEGER) AS abnormal, CAST(count(*) FILTER (WHERE s = 'normal') AS INTEGER) AS normal, CAST(count(*) FILTER (WHERE s = 'unchecked') AS INTEGER) AS unchecked,
 CAST(row_number() OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) AS INTEGER) AS place_in_day FROM orders JOIN m ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' AND o_orderpriority LIKE '1%' GROUP BY o_orderkey, o_orderdate""")
 def feedback_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed urgent orders as early-warning cases; each line is a check, its flag the check's state."""
