@@ -425,3 +425,19 @@ def test_similar_groups_blocks(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     monkeypatch.setattr(simhash, "BLOCK", 8)
     assert {r["component_id"] for r in simhash.similar_groups(df).collect()} == {0}
+
+
+def test_license_rules_on_shuffled_phrases(spark):
+    words = "mit license apache licensed under the terms of gnu general public version 2 0 cc by sa nc 4 bsd 3 clause or later only spdx identifier mpl dual all rights reserved x".split()
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(words, 80)) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in license_scan.license_labels(df).collect():
+        t = texts[r["doc_id"]]
+        assert set(r["labels"]) == brute_rules(t) | set(filter(None, brute_base(t)[4].split(",")))
+
+
+def test_license_text_of_thousands_of_matches(spark):
+    df = spark.createDataFrame([(1, "MIT License Apache License " * 1500)], "doc_id long, text string")
+    r = license_scan.license_labels(df).first()
+    assert r["n_base"] == 3000 and len(r["detections"]) == 3000 and r["labels"] == ["apache", "mit"] and r["last_word"] == 5998
