@@ -20,17 +20,24 @@ class IsolationForest:
     right: np.ndarray
     depth: np.ndarray
     expected: float
+    steps: int
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """From 0 to 1, higher: easier to isolate. Missing values are 0."""
-        x = np.nan_to_num(x)
-        total = np.zeros(len(x))
-        rows = np.arange(len(x))
+        x = np.ascontiguousarray(np.nan_to_num(x))
+        n, d = x.shape
+        flat, row = x.ravel(), np.arange(n) * d
+        total = np.zeros(n)
+        node = np.arange(self.feature.shape[1])
         for t in range(len(self.feature)):
-            at = np.zeros(len(x), np.int64)
-            while (inner := self.feature[t, at] >= 0).any():
-                go = x[rows, np.maximum(self.feature[t, at], 0)] < self.threshold[t, at]
-                at = np.where(inner, np.where(go, self.left[t, at], self.right[t, at]), at)
+            leaf = self.feature[t] < 0
+            # a leaf leads to itself, so every row takes the same number of steps
+            feature = np.where(leaf, 0, self.feature[t])
+            threshold = np.where(leaf, np.inf, self.threshold[t])
+            child = np.stack([np.where(leaf, node, self.right[t]), np.where(leaf, node, self.left[t])], axis=1).ravel()
+            at = np.zeros(n, np.int64)
+            for _ in range(self.steps):
+                at = child[2 * at + (flat[row + feature[at]] < threshold[at])]
             total += self.depth[t, at]
         return np.exp2(-total / len(self.feature) / self.expected)
 
@@ -69,7 +76,7 @@ def fit_forest(df: DataFrame, columns: Sequence[str], trees: int = 100, sample:
     width = max(map(len, grown))
     table = np.array([n + [[-1, 0, 0, 0, 0]] * (width - len(n)) for n in grown], float)
     ints = [table[:, :, i].astype(np.int64) for i in (0, 2, 3)]
-    return IsolationForest(ints[0], table[:, :, 1], ints[1], ints[2], table[:, :, 4], max(_average_depth(size), 1.0))
+    return IsolationForest(ints[0], table[:, :, 1], ints[1], ints[2], table[:, :, 4], max(_average_depth(size), 1.0), limit)
 
 
 def with_score(df: DataFrame, forest: IsolationForest, columns: Sequence[str], name: str = "score") -> DataFrame:
