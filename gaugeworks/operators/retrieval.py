@@ -37,6 +37,76 @@ def bm25(docs: DataFrame, terms: DataFrame, text: Column, id_col: str = "doc_id"
     return scored.groupBy(query, id_col).agg(F.round(F.sum("_w"), digits).alias("score"))
 
 
+def keyword_top_k(docs: DataFrame, terms: DataFrame, text: Column, k: int, id_col: str = "doc_id", k1: float = 1.2, b: float = 0.75, digits: int = 6, block: int = 2048) -> DataFrame:
+    """(query_id, id, score, rank): the k best documents of each query by BM25.
+
+    The same scores as ``bm25``, but pairs of query and document exist only inside a task: queries are
+    taken in blocks, each task keeps the k best of the documents it sees, and only those are shuffled. A
+    block's terms and their document counts come to the driver, at most a few for each query.
+    """
+    spark = docs.sparkSession
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    sized = docs.select(F.col(id_col).cast("long").alias(id_col), words.alias("_w")).select(id_col, F.size("_w").alias("length"), "_w")
+    wanted = terms.select("term").distinct()
+    hits = sized.select(id_col, "length", F.explode("_w").alias("term")).join(wanted, "term", "left_semi")
+    tf = hits.groupBy(id_col, "length", "term").agg(F.count("*").alias("tf"))
+    distinct = sized.select(F.explode(F.array_distinct("_w")).alias("term"))
+    df = distinct.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    whole = sized.agg(F.count("*").alias("docs"), F.avg("length").alias("mean_length")).first()
+    per_doc = tf.groupBy(id_col, "length").agg(F.collect_list("term").alias("terms"), F.collect_list("tf").alias("tfs"))
+    schema = pa.schema([("query_id", pa.int64()), (id_col, pa.int64()), ("score", pa.float64())])
+    ddl = f"query_id long, {id_col} long, score double"
+
+    def one_block(rows: list) -> DataFrame:
+        ids = sorted({r["query_id"] for r in rows})
+        place = {q: i for i, q in enumerate(ids)}
+        postings: dict[str, list[int]] = {}
+        idf: dict[str, float] = {}
+        for r in rows:
+            postings.setdefault(r["term"], []).append(place[r["query_id"]])
+            idf[r["term"]] = float(np.log(1 + (whole["docs"] - r["df"] + 0.5) / (r["df"] + 0.5)))
+        listed = {t: (np.array(sorted(set(p))), idf[t]) for t, p in postings.items()}
+        mean = whole["mean_length"] or 1.0
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best, best_id = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256).to_pylist()
+                    scores = np.zeros((len(ids), len(part)))
+                    for n, r in enumerate(part):
+                        own = k1 * (1 - b + b * r["length"] / mean)
+                        for term, count in zip(r["terms"], r["tfs"], strict=True):
+                            if term in listed:
+                                queries, weight = listed[term]
+                                scores[queries, n] += weight * count * (k1 + 1) / (count + own)
+                    best = np.concatenate((best, np.round(scores, digits)), axis=1)
+                    best_id = np.concatenate((best_id, np.broadcast_to([r[id_col] for r in part], scores.shape)), axis=1)
+                    order = np.lexsort((best_id, -best), axis=1)[:, :k]
+                    best, best_id = np.take_along_axis(best, order, 1), np.take_along_axis(best_id, order, 1)
+            if best.shape[1]:
+                keep = (best > 0).ravel()
+                q = np.repeat(ids, best.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(best_id.ravel()[keep]), pa.array(best.ravel()[keep])], schema=schema)
+
+        return per_doc.mapInArrow(run, ddl)
+
+    found, rows, seen = None, [], set()
+    counted = terms.select(F.col("query_id").cast("long").alias("query_id"), "term").distinct().join(df, "term").orderBy("query_id", "term")
+    for r in counted.toLocalIterator():
+        if r["query_id"] not in seen and len(seen) == block:
+            part = one_block(rows)
+            found, rows, seen = (part if found is None else found.unionByName(part)), [], set()
+        seen.add(r["query_id"])
+        rows.append(r)
+    if rows:
+        part = one_block(rows)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = spark.createDataFrame([], ddl)
+    return top_k(found, k, "query_id", id_col)
+
+
 def top_k(scores: DataFrame, k: int, query: str = "query_id", id_col: str = "doc_id", score: str = "score") -> DataFrame:
     """The k best of each query, with rank; equal scores by id."""
     w = Window.partitionBy(query).orderBy(F.desc(score), id_col)

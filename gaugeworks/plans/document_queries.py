@@ -28,8 +28,7 @@ def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = R.bm25(table(spark, sf_dir, "documents"), _terms(spark, sf_dir), F.col("text"))
-    return R.top_k(scores, 8)
+    return R.keyword_top_k(table(spark, sf_dir, "documents"), _terms(spark, sf_dir), F.col("text"), 8)
 
 
 @query("WITH " + _TERMS + " SELECT query_id, term FROM terms")

@@ -116,3 +116,13 @@ def test_day_index_and_sample(spark, q):
     df = spark.createDataFrame([("g", float(i)) for i in range(10)], "gun string, ttf double")
     assert df.select(W.day_index(F.col("ttf"), day=5).alias("d")).distinct().count() == 2
     assert W.hashed_sample(df, 4, ["gun", "ttf"]).count() == 4
+
+
+def test_keyword_search_in_blocks(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 7}" for j in range(1, 9))) for i in range(30)] + [(99, None)], "doc_id long, text string")
+    terms = spark.createDataFrame([(q, f"w{t}") for q in range(5) for t in (q, q + 1)] + [(9, "none")], "query_id long, term string")
+    want = R.top_k(R.bm25(docs, terms, F.col("text")), 4)
+    for block in (2048, 2):
+        got = R.keyword_top_k(docs, terms, F.col("text"), 4, block=block)
+        assert sorted(map(tuple, got.select("query_id", "doc_id", "score", "rank").collect())) == sorted(map(tuple, want.select("query_id", "doc_id", "score", "rank").collect()))
+    assert R.keyword_top_k(docs, terms.where("false"), F.col("text"), 4).count() == 0
