@@ -211,40 +211,111 @@ def _vote(grams: list[bytes], seed: int) -> np.ndarray:
     return np.packbits(2 * ones > len(h)).view(">i8")[0]
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, tables: int = 3, prints: int = 4) -> DataFrame:
-    """(doc_id, component_id): groups of documents whose shingles of ``shingle`` words are alike.
+#: Documents of the sample in which frequent shingles are counted, and in how many of them one is frequent.
+SAMPLE, FREQUENT = 20_000, 8
 
-    Candidates come from ``tables`` fingerprints of a text's distinct words (an edit changes few of them),
-    each through the pigeonring filter at 3 bits. The full check counts the bits in which ``prints``
-    fingerprints of the shingles differ: Jaccard similarity s means an angle of acos(2s / (1 + s)), and
-    a deviation more is allowed, so that pairs at the threshold are mostly found. Both estimates make
-    errors near the threshold; texts with equal words always link.
+
+def shingle_set(text: str, shingle: int = 5) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted; fewer words make one shingle, none makes none."""
+    words = text.encode().translate(_LOWER).split()
+    if not words:
+        return np.zeros(0, np.int64)
+    grams = list(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))) or [b" ".join(words)]
+    return np.unique(np.frombuffer(b"".join(map(xxhash.xxh64_digest, grams, repeat(SEED))), ">i8").astype(np.int64))
+
+
+def _frequent(rows: DataFrame, shingle: int) -> np.ndarray:
+    """Hashes of shingles that many documents of an even sample hold, sorted: a bounded number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, shingle))], ["h"])
+
+    share = min(1.0, SAMPLE / max(rows.count(), 1))
+    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1_000_000)) < int(1_000_000 * share)).select("text")
+    held = sample.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= FREQUENT)
+    return np.sort(np.array([r["h"] for r in held.select("h").collect()], np.int64))
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole sets of shingles have the Jaccard similarity."""
+    set_schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [shingle_set(t, shingle).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], schema=set_schema)
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "low", "tid"), "node")
+    texts = rows.select("text", F.col("doc_id").alias("low"), F.xxhash64("text").alias("tid"))
+    joined = asked.alias("q").join(texts.alias("t"), F.expr("q.tid = t.tid and q.low <=> t.low")).select("node", "text")
+    known = staged(joined.mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"]), "shingles")
+    full = pairs.join(known.selectExpr("node as a", "shingles as x"), "a").join(known.selectExpr("node as b", "shingles as y"), "b")
+    return full.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id): groups of documents that links of a Jaccard similarity of ``similarity`` or more reach.
+
+    Exact, over the sets of shingles of ``shingle`` words. In one order of all shingles, two sets that are
+    alike share one among the first n - ceil(similarity * n) + 1 of each (the prefix filter), and their
+    first common one leaves room for the words in common that they need. Candidates that share a key are
+    first checked against the key's smallest node only; then those that are still in different components
+    are checked with each other, so a large group costs no pairs within. Every candidate is decided by its
+    whole sets. Shingles that are frequent in a sample stand last in the order, whatever the sample holds
+    the result is the same.
 
     Null and empty texts are one group; a text of fewer words than a shingle links with none but its like.
     Rows that repeat keep one row each; a null doc_id stays null. An empty table gives an empty one.
     """
-    names = [*(f"f{i}" for i in range(tables)), *(f"v{i}" for i in range(prints))]
-    schema = pa.schema([("doc_id", pa.int64()), *[(n, pa.int64()) for n in names]])
+    rows = id_and_text(docs, id_col, text_col)
+    frequent = _frequent(rows, shingle)
+    schema = pa.schema([("doc_id", pa.int64()), ("tid", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("keys", pa.list_(pa.int64()))])
 
-    def run(ids: list, texts: list) -> dict:
-        out = np.zeros((len(ids), len(names)), np.int64)
-        for row, text in zip(out, texts, strict=True):
-            words = text.encode().translate(_LOWER).split()
-            if words:
-                own = list(dict.fromkeys(words))
-                grams = list(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))) or [b" ".join(words)]
-                row[:tables] = [_vote(own, SEED + i) for i in range(tables)]
-                row[tables:] = [_vote(grams, SEED + i) for i in range(prints)]
-        return {"doc_id": ids, **{n: out[:, i] for i, n in enumerate(names)}}
-
-    ddl = "doc_id long, " + ", ".join(f"{n} long" for n in names)
-    made = staged(per_batch(id_and_text(docs, id_col, text_col), run, schema, ddl).withColumn("node", F.xxhash64(*names)), "fingerprints")
-    nodes = staged(made.groupBy("node").agg(F.min("doc_id").alias("low"), *[F.any_value(n).alias(n) for n in names]), "nodes")
-    rows = [nodes.select(F.explode(_keys(F.col(f"f{i}"), i)).alias("key"), "node", F.col(f"f{i}").alias("fp"), *names[tables:]) for i in range(tables)]
-    rows = reduce(DataFrame.unionByName, rows)
-    angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = round(64 * prints * angle + math.sqrt(64 * prints * angle * (1 - angle)))
-    roots = components(_links_of_keys(rows, 3, bits))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, size, keys = [], [], []
+            for text in batch.column(2).to_pylist():
+                own = shingle_set(text, shingle)
+                node.append(xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63))
+                size.append(len(own))
+                last = np.isin(own, frequent)
+                keys.append(np.concatenate([own[~last], own[last]])[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, f.type) for c, f in zip((node, size, keys), list(schema)[2:], strict=True))], schema=schema)
+
+    made = rows.select("doc_id", F.xxhash64("text").alias("tid"), "text").mapInArrow(run, "doc_id long, tid long, node long, n int, keys array<long>")
+    made = staged(made, "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tid")).alias("first")
+    nodes = staged(made.groupBy("node").agg(first, F.any_value("n").alias("n"), F.any_value("keys").alias("keys")).selectExpr("node", "first.doc_id as low", "first.tid as tid", "n", "keys"), "nodes")
+    # a key's smallest node, with its size and the key's place in it, in each row of a key that several nodes share
+    keyed = nodes.select("node", "n", F.posexplode("keys").alias("pos", "key"))
+    shared = keyed.selectExpr("*", "min(struct(node, n, pos)) over (partition by key) as head", "count(*) over (partition by key) as shares").where("shares > 1")
+    shared = staged(shared.drop("shares"), "shared")
+
+    def fits(n: str, pos: str, m: str, at: str) -> Column:
+        need = F.ceil((F.col(n) + F.col(m)) * F.lit(similarity / (1 + similarity)) - F.lit(1e-6))
+        room = F.least(F.col(n) - F.col(pos), F.col(m) - F.col(at))
+        return (F.least(n, m) >= F.greatest(n, m) * F.lit(similarity) - F.lit(1e-6)) & (room >= need)
+
+    to_head = shared.where("node <> head.node").where(fits("n", "pos", "head.n", "head.pos")).selectExpr("head.node as a", "node as b").distinct()
+    near = staged(_verified(staged(to_head, "pairs"), nodes, rows, shingle, similarity), "links")
+    roots = components(near)
+    rooted = shared.join(roots, "node", "left").select("key", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
+    rooted = staged(rooted.selectExpr("*", "min(root) over (partition by key) <> max(root) over (partition by key) as open").where("open").drop("open"), "open")
+    other = rooted.selectExpr("key", "node as b", "n as m", "pos as at", "root as other")
+    pairs = rooted.withColumnRenamed("node", "a").join(other, "key").where("a < b and root <> other").where(fits("n", "pos", "m", "at")).select("a", "b").distinct()
+    more = _verified(staged(pairs, "pairs"), nodes, rows, shingle, similarity)
+    roots = components(near.unionByName(more))
     return _with_lowest(made.select("doc_id", "node"), nodes.select("node", "low"), roots, "node")
 
 

@@ -420,6 +420,39 @@ def test_similar_groups(spark):
     assert all(got[3 * n + 2] == 3 * n + 2 for n in range(30))
 
 
+def brute_similar(texts):
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if jaccard(texts[a], texts[b]) >= 0.8:
+                p, q = sorted((root(a), root(b)))
+                parent[q] = p
+    return {i: root(i) for i in range(len(texts))}
+
+
+def test_similar_groups_are_exact(spark):
+    """Edits spread over the text, from well above to well below the threshold; shared lines, chains of copies."""
+    rng = np.random.default_rng(5)
+    line, texts = prose(900, 40), []
+    for n in range(60):
+        words = (prose(n, int(rng.integers(60, 400))) + (" " + line if n % 2 else "")).split()
+        texts.append(" ".join(words))
+        for share in rng.uniform(0.005, 0.05, 3):
+            words = [f"new{n}x{i}" if rng.random() < share else w for i, w in enumerate(words)]
+            texts.append(" ".join(words))
+    want = brute_similar(texts)
+    near = sum(0.8 <= jaccard(texts[i], texts[i + 1]) < 0.85 for i in range(len(texts) - 1))
+    assert near >= 8 and sum(want[i] == i for i in want) > 70
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(df).collect()} == want
+
+
 def test_similar_groups_blocks(spark, monkeypatch):
     texts = [prose(5, 200) + f" tail{i}" for i in range(60)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
