@@ -2,8 +2,9 @@
 
 Three kinds come from patterns. A fourth, ``random``, comes from two first-order character models, one
 trained on random strings and one on ordinary identifiers: a candidate whose log-likelihood ratio per
-character exceeds a threshold looks generated. Candidates that a pattern's span already holds are not
-reported again.
+character exceeds a threshold looks generated. Candidates are runs and all their stretches between
+separators, so a name or a path before a value does not hide it. What a pattern's span already holds is
+not reported again; what it leaves of a run is.
 
 Scale: a map over documents with no shuffle; the two models are a table of 70 x 70 numbers.
 """
@@ -77,6 +78,8 @@ class MarkovPair:
 
 
 _PLACE = {c: i for i, c in enumerate(ALPHABET)}
+#: Where the alphabet's separators begin: letters and digits stand before them.
+_SEPARATORS = 62
 
 
 def train(samples: list[tuple[str, int]], smoothing: float = 0.5) -> MarkovPair:
@@ -103,16 +106,53 @@ def scan(text: str, model: MarkovPair, threshold: float = THRESHOLD) -> list[tup
         found += [(m.start(), m.end(), 1) for m in _ACCESS.finditer(text)]
     found += [(m.start(), m.end(), 2) for m in _HEX.finditer(text)]
     patterns = sorted(found)
-    reach, at = 0, 0
+    at = 0
     for m in _RUN.finditer(text):
-        while at < len(patterns) and patterns[at][0] < m.end():
-            reach = max(reach, patterns[at][1])
+        while at < len(patterns) and patterns[at][1] <= m.start():
             at += 1
-        if reach <= m.start() and model.ratio(m.group()) > threshold:
-            found.append((m.start(), m.end(), 3))
+        begin = m.start()
+        for p in range(at, len(patterns)):  # what the patterns' spans leave of the run
+            if patterns[p][0] >= m.end():
+                break
+            found += [(s, e, 3) for s, e in _random_parts(text, begin, patterns[p][0], model, threshold)]
+            begin = max(begin, patterns[p][1])
+        found += [(s, e, 3) for s, e in _random_parts(text, begin, m.end(), model, threshold)]
     return sorted(found)
 
 
+def _random_parts(text: str, begin: int, end: int, model: MarkovPair, threshold: float) -> list[tuple[int, int]]:
+    """(start, end) of the stretches of a run that look generated.
+
+    A stretch starts and ends at the run's ends or at separators and has ``CANDIDATE`` characters or
+    more; of those whose ratio per character exceeds the threshold the one that exceeds it by most in
+    sum is found. It grows over parts next to it that are likelier random, and what is left on either
+    side is searched in the same way.
+    """
+    out, todo = [], [(begin, end)]
+    while todo:
+        s, e = todo.pop()
+        if e - s < CANDIDATE:
+            continue
+        at = np.array([_PLACE[c] for c in text[s:e]], np.int64)
+        first, steps = model.first[at], np.concatenate([[0.0], np.cumsum(model.step[at[:-1], at[1:]])])
+        inner = at < _SEPARATORS
+        starts = np.concatenate([[True], inner[1:] & ~inner[:-1]])
+        ends = np.concatenate([inner[:-1] & ~inner[1:], [True]])
+        over = threshold * np.arange(len(at))
+        low = np.where(starts, first - threshold - steps + over, -np.inf)
+        best = np.maximum.accumulate(low)[: len(at) - CANDIDATE + 1] + np.where(ends, steps - over, -np.inf)[CANDIDATE - 1 :]
+        if best.max() <= 0:
+            continue
+        right = int(best.argmax()) + CANDIDATE - 1
+        left = int(low[: right - CANDIDATE + 2].argmax())
+        gain = np.where(starts, first - steps, -np.inf)[: left + 1]
+        left = int(gain.argmax()) if gain.max() > gain[left] else left
+        right += int(np.where(ends, steps, -np.inf)[right:].argmax())
+        out.append((s + left, s + right + 1))
+        todo += [(s, s + left), (s + right + 1, e)]
+    return out
+
+
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: MarkovPair | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, spans): one row for each row of ``docs``; spans is an array of (kind, start, end).
 

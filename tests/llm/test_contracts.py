@@ -300,6 +300,28 @@ def test_secret_model_on_new_samples():
     assert none.ratio("anything") == 0
 
 
+@pytest.mark.parametrize("name", ["database_connection_string=", "AZURE_STORAGE_ACCOUNT_CONNECTION=", "/api/v1/users/settings/account/", "config/production/service/credentials/", ""])
+def test_values_behind_names_and_paths(name):
+    model = secret_scan.train(secret_scan.labelled_samples())
+    rng = np.random.default_rng(len(name))
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    found = 0
+    for n in (20, 32, 40) * 30:
+        value = "".join(rng.choice(letters, n))
+        found += (len(name) + 4, len(name) + 4 + n, 3) in secret_scan.scan(f"see {name}{value} end", model)
+    assert found >= 88
+    assert not secret_scan.scan(f"see {name}user/settings/default_value_of_the_account end", model)
+
+
+def test_what_a_pattern_leaves_of_a_run():
+    model = secret_scan.train(secret_scan.labelled_samples())
+    value = "Zx9Qp4Lm2Tr8Vb6Nw1Ks7Hd3"
+    text = f"{value}/deadbeefdeadbeefdeadbeef01/service/{value[::-1]}"
+    found = secret_scan.scan(text, model)
+    assert all(any(s <= a and a + 24 <= e for s, e, k in found if k == 3) for a in (0, len(text) - 24))
+    assert [k for *_, k in found] == [3, 2, 3]
+
+
 def test_redaction(odd):
     got = {r["doc_id"]: r["text"] for r in secret_scan.redacted(odd).select("doc_id", "text").collect()}
     assert got[2] is None and got[7].startswith("[assign]") and "AKIA" not in got[7] and "Zx9Q" not in got[7] and "token:abc" in got[7]
