@@ -1,8 +1,8 @@
 """License scans: ordered signature rules over normalised words (operator 2). DataFrame functions only.
 
-A text becomes its words, A-Z in lower case, one space apart. A few keyword stems decide whether it is
-looked at further; each rule then has a keyword of its own, and only rules whose keyword is present are
-matched. Detections that overlap are resolved by priority, then by containment: one goes if another of
+A text becomes its words, A-Z in lower case, one space apart. Each rule has a keyword without which it
+cannot match; only texts with some keyword are looked at further, and only rules whose keyword is present
+are matched. Detections that overlap are resolved by priority, then by containment: one goes if another of
 higher priority overlaps it, or if it lies inside a longer one (or an earlier rule's equal one) of the
 same priority. Four base phrases are found besides, and their labels always stay.
 
@@ -21,8 +21,8 @@ _GAP = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
 #: (label, keyword, names as a pattern, versions as a pattern or nothing); words as normalised.
 FAMILIES = [
-    ("gpl", "gnu general", "gnu general public licen[cs]e|gnu gpl", "[123](?: 0)?"),
-    ("gpl", "gpl", "gpl", "[123](?: 0)?"),
+    ("gpl", "gnu general", "gnu general public licen[cs]e", "[123](?: 0)?"),
+    ("gpl", "gpl", "gnu gpl|gpl", "[123](?: 0)?"),
     ("lgpl", "lesser general", "gnu lesser general public licen[cs]e|lesser general public licen[cs]e", "[23](?: [01])?"),
     ("lgpl", "library general", "gnu library general public licen[cs]e", "2(?: 0)?"),
     ("lgpl", "lgpl", "lgpl|gnu lgpl", "[23](?: [01])?"),
@@ -54,7 +54,8 @@ FAMILIES = [
     ("wtfpl", "wtfpl", "wtfpl", "[12]?"),
     ("wtfpl", "do what the fuck", "do what the fuck you want to public licen[cs]e", "2?"),
     ("postgresql", "postgresql", "postgresql licen[cs]e", ""),
-    ("python", "python", "python(?: software foundation)? licen[cs]e|psf licen[cs]e", "[23](?: [0-9])?"),
+    ("python", "python", "python(?: software foundation)? licen[cs]e", "[23](?: [0-9])?"),
+    ("python", "psf", "psf licen[cs]e", "[23](?: [0-9])?"),
     ("php", "php", "php licen[cs]e", "3(?: [01]{1,2})?"),
     ("ruby", "ruby", "ruby licen[cs]e", ""),
     ("openssl", "openssl", "openssl licen[cs]e", ""),
@@ -75,7 +76,8 @@ FAMILIES = [
     ("sspl", "sspl", "sspl", "1?"),
     ("busl", "business source", "business source licen[cs]e", "1(?: 1)?"),
     ("elastic", "elastic", "elastic licen[cs]e", "2?(?: 0)?"),
-    ("cc0", "cc0", "cc0|creative commons zero", "1(?: 0)?"),
+    ("cc0", "cc0", "cc0", "1(?: 0)?"),
+    ("cc0", "creative commons zero", "creative commons zero", "1(?: 0)?"),
     ("cc-by", "creative commons attribution", "creative commons attribution", "[1234](?: [05])?(?: international| unported)?"),
     ("cc-by-sa", "cc by sa", "cc by sa", "[1234](?: [05])?"),
     ("cc-by-nc", "cc by nc", "cc by nc", "[1234](?: [05])?"),
@@ -102,10 +104,6 @@ NOTICES = [
     ("gpl", "free software foundation", "redistribute it and or modify it under the terms of the gnu general public licen[cs]e"),
     ("lgpl", "free software foundation", "redistribute it and or modify it under the terms of the gnu lesser general public licen[cs]e"),
 ]
-#: Stems of which a text must hold one before any rule is tried.
-STEMS = ["licen", "cc by", "cc0", "gpl", "public domain", "creative commons", "permission ", "redistribution and use", "neither the name", "altered source", "all rights reserved", "confidential", "free software", "wtfpl", "eupl", "odbl", "sspl", "beerware"]
-
-
 #: The highest priority.
 TOP = 5
 
@@ -130,13 +128,17 @@ def rules() -> list[tuple[str, str, str, int]]:
     return [(k, f"(?<= )(?:{p})(?= )", label, priority) for k, p, label, priority in out]
 
 
+#: The rules' keywords, whole words each: a text with none of them can match no rule.
+STEMS = sorted({keyword for keyword, *_ in rules()})
+
+
 def _spaces(s: Column) -> Column:
     return F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
 
 
 def _detections(words: Column) -> Column:
     """Array of (start, end, priority, rule, label): every match of every rule whose keyword is present."""
-    table = F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(p).alias("pattern"), F.lit(label).alias("label"), F.lit(n).alias("priority"), F.lit(i).alias("rule")) for i, (k, p, label, n) in enumerate(rules())])
+    table = F.array(*[F.struct(F.lit(f" {k} ").alias("keyword"), F.lit(p).alias("pattern"), F.lit(label).alias("label"), F.lit(n).alias("priority"), F.lit(i).alias("rule")) for i, (k, p, label, n) in enumerate(rules())])
     present = F.filter(table, lambda r: F.contains(words, r["keyword"]))
 
     def matches(r: Column) -> Column:
@@ -194,10 +196,10 @@ def license_labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     plain = F.trim(F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), _GAP, " "))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), plain.alias("plain"))
-    low = F.lower("plain")
-    gate = F.contains(low, F.lit(STEMS[0]))
+    low = F.concat(F.lit(" "), F.lower("plain"), F.lit(" "))
+    gate = F.contains(low, F.lit(f" {STEMS[0]} "))
     for stem in STEMS[1:]:
-        gate = gate | F.contains(low, F.lit(stem))
+        gate = gate | F.contains(low, F.lit(f" {stem} "))
     n_words = F.when(F.col("plain") == "", 0).otherwise(_spaces(F.col("plain")) + 1).cast("long")
     # "^" is in no word: it keeps a match from standing first, where split() would leave out the gap
     words = F.when(gate, F.concat(F.lit("^ "), F.translate("plain", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(" ")))

@@ -273,6 +273,26 @@ def test_license_rules(spark):
     assert "lgpl" in got[0] and "mit" in got[2] and got[8] == set() and len(license_scan.rules()) > 200
 
 
+SHORT = [
+    ("Released under Apache 2.0", "apache"), ("distributed under the MPL 2.0", "mpl"), ("BSD 3-Clause", "bsd"), ("EPL 2.0", "epl"), ("CDDL 1.0", "cddl"), ("published under MIT", "mit"),
+    ("available under the ISC", "isc"), ("OFL 1.1", "ofl"), ("BSL 1.0", "boost"), ("released under the GNU GPL 3", "gpl"), ("released under the PSF License", "python"), ("Creative Commons Zero 1.0", "cc0"),
+]
+
+
+def test_license_rules_without_any_gate(spark, monkeypatch):
+    """Every rule tried on every text, whatever its keyword, finds the same labels."""
+    texts = [t for t, _ in SHORT] + TEXTS + ["submit or permit commits", "mit freundlichen Grüßen", "see the psf for apache"]
+    texts += [re.sub(r"\\|[?]:|[()?]", "", x).replace("|", " ").replace("[cs]", "s") for _, names, *_ in [f[1:] for f in license_scan.FAMILIES] for x in (f"released under {names}", f"{names} license")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: set(r["labels"]) for r in license_scan.license_labels(df).collect()}
+    ungated = [("", *rule[1:]) for rule in license_scan.rules()]
+    monkeypatch.setattr(license_scan, "rules", lambda: ungated)
+    monkeypatch.setattr(license_scan, "STEMS", [""])
+    for i, t in enumerate(texts):
+        assert got[i] == brute_rules(t) | set(filter(None, brute_base(t)[4].split(","))), t
+    assert all(label in got[i] for i, (_, label) in enumerate(SHORT))
+
+
 def brute_secrets(text):
     t = text or ""
     out = []
