@@ -47,11 +47,17 @@ def _average_depth(n: float) -> float:
 
 
 def fit_forest(df: DataFrame, columns: Sequence[str], trees: int = 100, sample: int = 256, seed: int = 0, most: int = 50_000) -> IsolationForest:
-    """Trees grown on the driver from a sample of at most ``most`` rows (the same for a seed)."""
-    share = F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1_000_000))
+    """Trees grown on the driver from a sample of at most ``most`` rows (the same for a seed).
+
+    The sample is the rows of the smallest hashes of all their columns, so it is even at every size, and
+    rows that share a combination of ``columns`` come and go one by one if any other column tells them apart.
+    """
+    hashed = F.xxhash64(F.lit(seed), *[F.col(c) for c, kind in sorted(df.dtypes) if "map<" not in kind])
     n = df.count()
-    rows = df.where(share < int(1_000_000 * min(1.0, 1.2 * most / max(n, 1)))).select(*columns)
-    x = np.nan_to_num(np.array([list(r) for r in rows.orderBy(*columns).limit(most).collect()], float).reshape(-1, len(columns)))
+    share = int(1_000_000 * min(1.0, 1.2 * most / max(n, 1)))
+    rows = df.select(*columns, hashed.alias("_hash")).where(F.pmod("_hash", F.lit(1_000_000)) < share)
+    found = rows.orderBy("_hash", *columns).limit(most).select(*columns).collect()
+    x = np.nan_to_num(np.array([list(r) for r in found], float).reshape(-1, len(columns)))
     rng = np.random.default_rng(seed)
     grown = []
     size = min(sample, len(x))

@@ -118,6 +118,14 @@ def test_forest_finds_outlier(spark):
     assert {x["feature"] for x in c} == {"a", "b"} and all(x["contribution"] > 0 for x in c)
 
 
+def test_forest_sample_is_even(spark):
+    """With more rows than the bound, trees still cut where the largest values of the first column lie."""
+    rows = spark.range(6000).selectExpr("id", "cast(id as double) as a", "cast(id % 7 as double) as b")
+    forest = scoring.fit_forest(rows, ["a", "b"], most=2000)
+    cuts = forest.threshold[forest.feature == 0]
+    assert (cuts > 5400).mean() > 0.03 and (cuts < 600).mean() > 0.03
+
+
 def test_boosted_trees(spark):
     rows = spark.createDataFrame([(float(i % 10), float(i % 3), int(i % 10 > 5)) for i in range(200)], "a double, b double, y int")
     model = scoring.boosted(rows, ["a", "b"], "y", iterations=3, depth=2)
