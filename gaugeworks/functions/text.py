@@ -99,3 +99,12 @@ def unit_kind(line: Column) -> Column:
         .when(line.rlike(TABLE_MARKER), "table_marker").when(line.rlike(FIGURE_MARKER), "figure").when(line.rlike(SECTION), "section")
         .when(F.contains(line, F.lit(" | ")), "table_row").otherwise("prose")
     )
+
+
+def draw(*parts: Column) -> Column:
+    """A number from 0 to below 1, evenly spread and always the same for the same parts: 32 bits of their MD5.
+
+    Parts are written out and joined by "|", nulls as nothing.
+    """
+    text = F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / 4294967296.0

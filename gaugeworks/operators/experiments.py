@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.text import draw
 from gaugeworks.operators.intervals import interval_join, ordered, since_and_until
-from gaugeworks.operators.stats import auroc
+from gaugeworks.operators.stats import auroc, cumulative, quantiles, same_keys
 
 
 def masked(column: str, mask: Column, how: str = "median", least: int = 1) -> Column:
@@ -52,7 +53,9 @@ def gap_starts(df: DataFrame, step: int, span: int, key: str = "gun", time: str
 def pair_agreement(df: DataFrame, a: str, b: str, keys: Sequence[str], within: float = 0.1) -> DataFrame:
     """(keys, r, ratio, agree): correlation, median ratio, share of rows within a tenth of each other."""
     ratio = F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))
-    return df.groupBy(*keys).agg(F.corr(a, b).alias("r"), F.percentile(ratio, F.lit(0.5)).alias("ratio"), F.avg((F.abs(ratio - 1) <= within).cast("double")).alias("agree"))
+    out = df.groupBy(*keys).agg(F.corr(a, b).alias("r"), F.avg((F.abs(ratio - 1) <= within).cast("double")).alias("agree"))
+    median = quantiles(df.withColumn("_ratio", ratio), "_ratio", [0.5], keys).select(*keys, F.col("quantiles")[0].alias("ratio"))
+    return same_keys(out, median, keys, "left")
 
 
 def cap_cycle(df: DataFrame, column: str, key: str = "gun", time: str = "t", dress: tuple[float, float] = (0.05, 0.6), change: float = -1.0) -> DataFrame:
@@ -138,14 +141,14 @@ def findings_sweep(df: DataFrame, shares: Sequence[float], deviations: Sequence[
 def permuted(df: DataFrame, value: str, flag: str, key: str, times: int, seed: int = 0) -> DataFrame:
     """(difference, p): flagged less other keys' mean, and how often shuffled flags do as well.
 
-    A shuffle is a hash order of the keys: in each, as many keys are flagged as truly are. Rows are one
-    for each key; each shuffle is a group of its own.
+    A shuffle orders the keys by their draws: in each, as many keys are flagged as truly are. Rows are one
+    for each key; a shuffle's keys are counted range by range.
     """
-    truly = F.count_if(F.col(flag)).over(Window.partitionBy(F.lit(1)))
-    rows = df.withColumn("_m", truly).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(times))))
-    order = F.row_number().over(Window.partitionBy("_i").orderBy(F.xxhash64(F.lit(seed), "_i", key), key))
-    chosen = F.when(F.col("_i") == 0, F.col(flag)).otherwise(order <= F.col("_m"))
-    rows = rows.withColumn("_c", chosen)
+    truly = df.agg(F.count_if(F.col(flag)).alias("_m"))
+    rows = df.crossJoin(F.broadcast(truly)).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(times))))  # one row
+    rows = rows.withColumn("_order", F.struct(draw(F.lit(seed), F.col("_i"), F.col(key)).alias("u"), F.col(key).alias("key"))).withColumn("_one", F.lit(1))
+    rows = cumulative(rows, "_order", "_one", "_before", ["_i"])
+    rows = rows.withColumn("_c", F.when(F.col("_i") == 0, F.col(flag)).otherwise(F.col("_before") < F.col("_m")))
     per = rows.groupBy("_i").agg((F.avg(F.when(F.col("_c"), F.col(value))) - F.avg(F.when(~F.col("_c"), F.col(value)))).alias("d"))
     true = F.max(F.when(F.col("_i") == 0, F.abs("d"))).over(Window.partitionBy(F.lit(1)))
     marked = per.withColumn("_t", true)
@@ -178,15 +181,15 @@ def detectable(df: DataFrame, score: str, label: str, shifts: Sequence[float]) -
 
 def type_thresholds(df: DataFrame, score: str, kind: str, q: float = 0.99, least: int = 10, key: str = "gun") -> DataFrame:
     """Adds margin: the score less the greater of its type's quantile and the key's own for the type."""
-    common = df.groupBy(kind).agg(F.percentile(score, F.lit(q)).alias("_all"))
-    own = df.groupBy(key, kind).agg(F.percentile(score, F.lit(q)).alias("_own"), F.count(score).alias("_n")).where(F.col("_n") >= least)
-    j = df.join(common, kind).join(own, [key, kind], "left")
+    common = quantiles(df, score, [q], [kind]).select(kind, F.col("quantiles")[0].alias("_all"))
+    own = quantiles(df, score, [q], [key, kind]).select(key, kind, F.col("quantiles")[0].alias("_own"), F.col("n").alias("_n")).where(F.col("_n") >= least)
+    j = same_keys(same_keys(df, common, [kind]), own, [key, kind], "left")
     return j.withColumn("margin", F.col(score) - F.greatest("_all", F.coalesce("_own", "_all"))).drop("_all", "_own", "_n")
 
 
 def pseudo_events(events: DataFrame, real: DataFrame, low: int, high: int, apart: int, key: str = "gun", time: str = "t", seed: int = 0) -> DataFrame:
-    """Events moved ``low`` to ``high`` earlier by a hash, kept if more than ``apart`` from every real one."""
-    shift = F.lit(low) + F.pmod(F.xxhash64(F.lit(seed), key, time), F.lit(high - low))
+    """Events moved ``low`` to ``high`` earlier by a draw, kept if more than ``apart`` from every real one."""
+    shift = F.lit(low) + F.floor(draw(F.lit(seed), F.col(key), F.col(time)) * (high - low))
     moved = events.withColumn("shifted", F.col(time) - shift)
     both = moved.select(key, F.col("shifted").alias(time), F.col(time).alias("_of"), F.lit(False).alias("_real")).unionByName(real.select(key, time, F.lit(None).cast("long").alias("_of"), F.lit(True).alias("_real")))
     near = since_and_until(both, F.col("_real"), key, time)
@@ -253,13 +256,16 @@ def last_of_kinds(df: DataFrame, kinds: Sequence[str], at: Column, key: str = "g
     return df.withColumn("_at", at).withColumns(lags).where("_at").drop("_at")
 
 
-def forecast_origins(df: DataFrame, context: int, horizon: int, per_stratum: int, stratum: str, segment: str = "segment_id", key: str = "gun", time: str = "t") -> DataFrame:
-    """Rows with ``context`` rows before and ``horizon`` after in their segment, some of each stratum by hash."""
+def forecast_origins(df: DataFrame, context: int, horizon: int, per_stratum: int, stratum: str, seed: int = 0, segment: str = "segment_id", key: str = "gun", time: str = "t") -> DataFrame:
+    """Rows with ``context`` rows before and ``horizon`` after in their segment, some of each stratum by draw.
+
+    Key and time tell rows apart.
+    """
     w = Window.partitionBy(key, segment)
     rows = df.withColumn("_i", F.row_number().over(w.orderBy(time))).withColumn("_n", F.count("*").over(w))
     fit = rows.where((F.col("_i") >= context) & (F.col("_n") - F.col("_i") >= horizon))
-    pick = F.row_number().over(Window.partitionBy(stratum).orderBy(F.xxhash64(key, time), key, time))
-    return fit.withColumn("_p", pick).where(F.col("_p") <= per_stratum).drop("_i", "_n", "_p")
+    fit = fit.withColumn("_order", F.struct(draw(F.lit(seed), F.col(key), F.col(time)).alias("u"), F.col(key).alias("k"), F.col(time).alias("t"))).withColumn("_one", F.lit(1))
+    return cumulative(fit, "_order", "_one", "_p", [stratum]).where(F.col("_p") < per_stratum).drop("_i", "_n", "_p", "_order", "_one")
 
 
 def moment_of(ticks: DataFrame, rows: DataFrame, value: str, before: int, after: int, width: int, key: str = "gun", time: str = "t") -> DataFrame:
@@ -306,10 +312,9 @@ def crossover_odds(zones: DataFrame, exposures: dict[str, Column], stratum: str
 
 def surprise(df: DataFrame, error: str, calm: Column, key: str = "gun") -> DataFrame:
     """Adds surprise: a forecast's error as a robust z of the key's calm rows; null without spread."""
-    from gaugeworks.operators.stats import iqr_scale
-
-    base = df.where(calm).groupBy(key).agg(F.percentile(error, F.lit(0.5)).alias("_m"), iqr_scale(error).alias("_s"))
-    return df.join(base, key, "left").withColumn("surprise", F.try_divide(F.col(error) - F.col("_m"), F.col("_s"))).drop("_m", "_s")
+    q = F.col("quantiles")
+    base = quantiles(df.where(calm), error, [0.25, 0.5, 0.75], [key]).select(key, q[1].alias("_m"), ((q[2] - q[0]) / 1.349).alias("_s"))
+    return same_keys(df, base, [key], "left").withColumn("surprise", F.try_divide(F.col(error) - F.col("_m"), F.col("_s"))).drop("_m", "_s")
 
 
 def short_event_windows(windows: DataFrame, events: DataFrame, width: int, key: str = "gun", start: str = "w_start", time: str = "t") -> DataFrame:

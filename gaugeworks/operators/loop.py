@@ -28,7 +28,7 @@ class Registry:
     log: list[tuple[int, list[str]]] = field(default_factory=list)
 
 
-def replay(ended: Sequence[int], schedule: Schedule, judge: Callable[[str, str, int], bool]) -> Registry:
+def replay(ended: Sequence[int], schedule: Schedule, judge: Callable[[str, str, int, int], bool]) -> Registry:
     """Ticks of a control loop: ``ended`` is the number of files that have ended by each tick.
 
     Without a champion it waits for the first model. A challenger is judged once enough files that
@@ -56,7 +56,7 @@ def replay(ended: Sequence[int], schedule: Schedule, judge: Callable[[str, str,
                 shadow = n - reg.trained[reg.challenger]
                 if shadow >= schedule.shadow:
                     a, b = reg.champion, reg.challenger
-                    swap = judge(a, b, shadow)
+                    swap = judge(a, b, reg.trained[b], n)
                     done.append(f"{'swap' if swap else 'keep'}:{a}|{b}")
                     reg.champion, reg.challenger = (b if swap else a), None
                 else:
@@ -73,15 +73,13 @@ def replay(ended: Sequence[int], schedule: Schedule, judge: Callable[[str, str,
 def what_if(files: DataFrame, order: str, better: dict[str, str], schedules: Sequence[Schedule], tick: int) -> list[Registry]:
     """Replays each schedule over one count of ended files per tick of ``order``.
 
-    ``better`` names the columns in which a challenger's and a champion's file scores stand; the majority
-    of files after training decides. Only one row a tick comes to the driver.
+    ``better`` names the columns in which a challenger's and a champion's file scores stand; a challenger
+    replaces the champion if it is at least as good in more than half of the files that have ended since
+    it was trained. Only one row a tick comes to the driver.
     """
     per = files.groupBy(F.floor(F.col(order) / tick).alias("tick")).agg(F.count("*").alias("n"), F.count_if(F.col(better["b"]) >= F.col(better["a"])).alias("wins"))
-    rows = per.orderBy("tick").collect()
-    ended, wins, total = [], [], 0
-    for r in rows:
-        total += r["n"]
-        ended.append(total)
-        wins.append(r["wins"])
-    share = sum(wins) / max(total, 1)
-    return [replay(ended, s, lambda a, b, n: share > 0.5) for s in schedules]
+    ended, won = [0], {0: 0}
+    for r in per.orderBy("tick").collect():
+        ended.append(ended[-1] + r["n"])
+        won[ended[-1]] = won[ended[-2]] + r["wins"]
+    return [replay(ended[1:], s, lambda a, b, seen, n: 2 * (won[n] - won[seen]) > n - seen) for s in schedules]

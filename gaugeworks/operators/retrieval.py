@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.operators.staging import staged
+
 
 def word_counts(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     """(id, term, tf, length): each distinct lower-case word of a text, and the text's number of words."""
@@ -37,74 +39,115 @@ def bm25(docs: DataFrame, terms: DataFrame, text: Column, id_col: str = "doc_id"
     return scored.groupBy(query, id_col).agg(F.round(F.sum("_w"), digits).alias("score"))
 
 
+#: Wanted terms up to which they are broadcast; beyond it words meet them in a shuffled join.
+BROADCAST_TERMS = 1_000_000
+#: Pairs of document and term that one task scores against one block of queries.
+TASK_HITS = 1_000_000
+
+
+def keyword_hits(docs: DataFrame, terms: DataFrame, text: Column, id_col: str = "doc_id") -> DataFrame:
+    """(id, length, term, tf), written once: the words of each text that ``terms`` has, and one row of term "" for each text.
+
+    Every text is read and split once; words are filtered before the first shuffle.
+    """
+    wanted = terms.select("term").distinct().union(docs.sparkSession.createDataFrame([("",)], "term string"))
+    if wanted.count() <= BROADCAST_TERMS:
+        wanted = F.broadcast(wanted)
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    split = docs.select(F.col(id_col).cast("long").alias(id_col), F.coalesce(words, F.array().cast("array<string>")).alias("_w"))
+    rows = split.select(id_col, F.size("_w").alias("length"), F.explode(F.concat(F.array(F.lit("")), "_w")).alias("term"))
+    kept = rows.join(wanted, "term", "left_semi")
+    return staged(kept.groupBy(id_col, "length", "term").agg(F.count("*").alias("tf")), "hits")
+
+
 def keyword_top_k(docs: DataFrame, terms: DataFrame, text: Column, k: int, id_col: str = "doc_id", k1: float = 1.2, b: float = 0.75, digits: int = 6, block: int = 2048) -> DataFrame:
     """(query_id, id, score, rank): the k best documents of each query by BM25.
 
-    The same scores as ``bm25``, but pairs of query and document exist only inside a task: queries are
-    taken in blocks, each task keeps the k best of the documents it sees, and only those are shuffled. A
-    block's terms and their document counts come to the driver, at most a few for each query.
+    The same scores as ``bm25``, but pairs of query and document exist only inside a task: it scores one
+    range of documents against one block of queries and keeps the k best of each query. Ranges are made
+    by a hash of the ids, as many as the hits need; blocks are dealt out by a hash of the queries' ids.
+    Only three numbers come to the driver. Null ids and null texts have no results.
     """
-    spark = docs.sparkSession
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    sized = docs.select(F.col(id_col).cast("long").alias(id_col), words.alias("_w")).select(id_col, F.size("_w").alias("length"), "_w")
-    wanted = terms.select("term").distinct()
-    hits = sized.select(id_col, "length", F.explode("_w").alias("term")).join(wanted, "term", "left_semi")
-    tf = hits.groupBy(id_col, "length", "term").agg(F.count("*").alias("tf"))
-    distinct = sized.select(F.explode(F.array_distinct("_w")).alias("term"))
-    df = distinct.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    whole = sized.agg(F.count("*").alias("docs"), F.avg("length").alias("mean_length")).first()
-    per_doc = tf.groupBy(id_col, "length").agg(F.collect_list("term").alias("terms"), F.collect_list("tf").alias("tfs"))
+    hits = keyword_hits(docs.where(F.col(id_col).isNotNull()), terms, text, id_col)
+    sizes = hits.where("term = ''").agg(F.count("*").alias("docs"), F.avg("length").alias("mean")).first()
+    found = hits.where("term <> ''")
+    asked = terms.select(F.col("query_id").cast("long").alias("query_id"), "term").where("query_id is not null and term <> ''").distinct()
+    df = found.groupBy("term").agg(F.count("*").alias("_df"))
+    ranges, blocks = (max(1, -(-x // n)) for x, n in ((found.count(), TASK_HITS), (asked.select("query_id").distinct().count(), block)))
+    number = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    idf = F.log(1 + (sizes["docs"] - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
+    queries = asked.join(df, "term").select(F.explode(number(ranges)).alias("_range"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("_block"), "query_id", "term", idf.alias("idf"))
+    own = k1 * (1 - b + b * F.col("length") / (sizes["mean"] or 1.0))
+    gain = F.col("tf") * (k1 + 1) / (F.col("tf") + own)
+    dealt = found.select(F.pmod(F.xxhash64(id_col), F.lit(ranges)).cast("int").alias("_range"), F.explode(number(blocks)).alias("_block"), F.col(id_col).alias("doc"), "term", gain.alias("gain"))
     schema = pa.schema([("query_id", pa.int64()), (id_col, pa.int64()), ("score", pa.float64())])
-    ddl = f"query_id long, {id_col} long, score double"
-
-    def one_block(rows: list) -> DataFrame:
-        ids = sorted({r["query_id"] for r in rows})
-        place = {q: i for i, q in enumerate(ids)}
-        postings: dict[str, list[int]] = {}
-        idf: dict[str, float] = {}
-        for r in rows:
-            postings.setdefault(r["term"], []).append(place[r["query_id"]])
-            idf[r["term"]] = float(np.log(1 + (whole["docs"] - r["df"] + 0.5) / (r["df"] + 0.5)))
-        listed = {t: (np.array(sorted(set(p))), idf[t]) for t, p in postings.items()}
-        mean = whole["mean_length"] or 1.0
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best, best_id = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
-            for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256).to_pylist()
-                    scores = np.zeros((len(ids), len(part)))
-                    for n, r in enumerate(part):
-                        own = k1 * (1 - b + b * r["length"] / mean)
-                        for term, count in zip(r["terms"], r["tfs"], strict=True):
-                            if term in listed:
-                                queries, weight = listed[term]
-                                scores[queries, n] += weight * count * (k1 + 1) / (count + own)
-                    best = np.concatenate((best, np.round(scores, digits)), axis=1)
-                    best_id = np.concatenate((best_id, np.broadcast_to([r[id_col] for r in part], scores.shape)), axis=1)
-                    order = np.lexsort((best_id, -best), axis=1)[:, :k]
-                    best, best_id = np.take_along_axis(best, order, 1), np.take_along_axis(best_id, order, 1)
-            if best.shape[1]:
-                keep = (best > 0).ravel()
-                q = np.repeat(ids, best.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(best_id.ravel()[keep]), pa.array(best.ravel()[keep])], schema=schema)
-
-        return per_doc.mapInArrow(run, ddl)
-
-    found, rows, seen = None, [], set()
-    counted = terms.select(F.col("query_id").cast("long").alias("query_id"), "term").distinct().join(df, "term").orderBy("query_id", "term")
-    for r in counted.toLocalIterator():
-        if r["query_id"] not in seen and len(seen) == block:
-            part = one_block(rows)
-            found, rows, seen = (part if found is None else found.unionByName(part)), [], set()
-        seen.add(r["query_id"])
-        rows.append(r)
-    if rows:
-        part = one_block(rows)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], ddl)
-    return top_k(found, k, "query_id", id_col)
+    def score(own: pa.Table, asked: pa.Table) -> pa.Table:
+        return _scored(own, asked, k, digits, schema)
+
+    best = dealt.groupBy("_range", "_block").cogroup(queries.groupBy("_range", "_block")).applyInArrow(score, f"query_id long, {id_col} long, score double")
+    return top_k(best, k, "query_id", id_col)
+
+
+def _scored(hits: pa.Table, asked: pa.Table, k: int, digits: int, schema: pa.Schema) -> pa.Table:
+    """The k best documents of each query of a block among those of a range."""
+    if not (hits.num_rows and asked.num_rows):
+        return schema.empty_table()
+    query, q = np.unique(asked["query_id"].to_numpy(), return_inverse=True)
+    doc, d = np.unique(hits["doc"].to_numpy(), return_inverse=True)
+    terms, t = np.unique(np.array(asked["term"].to_pylist()), return_inverse=True)
+    # queries of a term lie next to each other: from ``start`` on, ``size`` of them
+    order = np.argsort(t, kind="stable")
+    q, idf = q[order], asked["idf"].to_numpy()[order]
+    size = np.bincount(t, minlength=len(terms))
+    start = np.cumsum(size) - size
+    term = np.array(hits["term"].to_pylist())
+    of = np.minimum(np.searchsorted(terms, term), len(terms) - 1)
+    known = terms[of] == term
+    d, gain, of = d[known], hits["gain"].to_numpy()[known], of[known]
+    order = np.argsort(d, kind="stable")
+    d, gain, of = d[order], gain[order], of[order]
+    best = np.zeros((len(query), 0))
+    best_doc = np.zeros((len(query), 0), np.int64)
+    step = max(1, 4_000_000 // len(query))  # documents at a time: bounds the table of scores
+    for low in range(0, len(doc), step):
+        s, e = np.searchsorted(d, [low, low + step])
+        times = size[of[s:e]]
+        hit = np.repeat(np.arange(s, e), times)
+        at = start[of[hit]] + np.arange(len(hit)) - np.repeat(np.cumsum(times) - times, times)
+        width = min(step, len(doc) - low)
+        scores = np.bincount(q[at] * width + d[hit] - low, idf[at] * gain[hit], len(query) * width).reshape(len(query), width)
+        best = np.concatenate((best, np.round(scores, digits)), axis=1)
+        best_doc = np.concatenate((best_doc, np.broadcast_to(doc[low : low + width], scores.shape)), axis=1)
+        top = np.lexsort((best_doc, -best), axis=1)[:, :k]
+        best, best_doc = np.take_along_axis(best, top, 1), np.take_along_axis(best_doc, top, 1)
+    keep = (best > 0).ravel()
+    columns = [np.repeat(query, best.shape[1])[keep], best_doc.ravel()[keep], best.ravel()[keep]]
+    return pa.Table.from_arrays([pa.array(c) for c in columns], schema=schema)
+
+
+#: Words of the seed by which a whole passage is looked for.
+SEED_WORDS = 5
+
+
+def holders(docs: DataFrame, items: DataFrame, text: str = "text", id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
+    """(item_id, id): documents whose text holds an item's text whole, as it stands.
+
+    An item's first words but one, which are whole words wherever it stands, seed the search; documents
+    that have the seed are compared with the item itself. Items of too few words for a seed are compared
+    with every document, in one pass.
+    """
+    words = lambda c: F.split(c, r"\s+")
+    n = SEED_WORDS
+    own = items.select(F.col(item_col).alias("item_id"), F.col(text).alias("_item"), words(F.col(text)).alias("_w")).where("_item is not null")
+    seeded = own.where(F.size("_w") >= n + 2).select("item_id", "_item", F.xxhash64(F.array_join(F.slice("_w", 2, n), " ")).alias("_seed"))
+    grams = F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("_w", i, n), " ")))
+    split = docs.select(F.col(id_col).alias(id_col), F.col(text).alias("_text"), words(F.col(text)).alias("_w")).where(F.size("_w") >= n)
+    hit = split.select(id_col, F.explode(F.array_distinct(grams)).alias("_seed")).join(seeded, "_seed").select(id_col, "item_id", "_item")
+    found = hit.join(docs.select(F.col(id_col), F.col(text).alias("_text")), id_col).where(F.contains("_text", F.col("_item"))).select("item_id", id_col)
+    short = own.where(F.size("_w") < n + 2).select("item_id", "_item")
+    rest = docs.join(short, F.contains(docs[text], F.col("_item"))).select("item_id", id_col)
+    return found.unionByName(rest).distinct()
 
 
 def top_k(scores: DataFrame, k: int, query: str = "query_id", id_col: str = "doc_id", score: str = "score") -> DataFrame:

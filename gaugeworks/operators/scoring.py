@@ -6,9 +6,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeworks.operators.stats import cumulative, quantiles, same_keys
+
 
 @dataclass(frozen=True)
 class IsolationForest:
@@ -124,8 +126,10 @@ def share_below(df: DataFrame, reference: DataFrame, score: str, knots: int = 10
 
 
 def exact_share(df: DataFrame, score: str, keys: Sequence[str]) -> DataFrame:
-    """Adds cdf: the share of a key's own scores at or below each."""
-    return df.withColumn("cdf", F.cume_dist().over(Window.partitionBy(*keys).orderBy(score)))
+    """Adds cdf: the share of a key's own rows with scores at or below each, nulls below all."""
+    n = df.groupBy(*keys, score).agg(F.count("*").alias("_n"))
+    n = cumulative(n, score, "_n", "_below", keys, "_all")
+    return same_keys(df, n.select(*keys, score, ((F.col("_below") + F.col("_n")) / F.col("_all")).alias("cdf")), [*keys, score])
 
 
 def combined(parts: Sequence[Column], weights: Sequence[float] | None = None, kind: str = "mean") -> Column:
@@ -189,7 +193,7 @@ def deviations(columns: Sequence[str], reference: Sequence[float]) -> Column:
 
 def threshold_of(df: DataFrame, score: str, normal: Column, q: float = 0.99) -> DataFrame:
     """One row, threshold: a quantile of the scores of normal rows."""
-    return df.agg(F.percentile(F.when(normal, F.col(score)), F.lit(q)).alias("threshold"))
+    return quantiles(df.where(normal), score, [q]).select(F.col("quantiles")[0].alias("threshold"))
 
 
 def top_contributors(contributions: Column, most: int = 3, clock: Sequence[str] = ("hour_sin", "hour_cos", "dow")) -> Column:

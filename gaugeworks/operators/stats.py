@@ -2,51 +2,86 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.text import draw
 from gaugeworks.operators.intervals import ordered
+from gaugeworks.operators.staging import staged
+
+
+def same_keys(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """``a`` joined with ``b`` on equal keys, null with null; without keys ``b`` has one row."""
+    if not keys:
+        return a.crossJoin(F.broadcast(b))  # one row
+    other = b.select(*[F.col(k).alias(f"_of_{k}") for k in keys], *[c for c in b.columns if c not in keys])
+    on = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    return a.join(other, on, how).drop(*[f"_of_{k}" for k in keys])
+
+
+def cumulative(df: DataFrame, order: str, value: str, name: str, keys: Sequence[str] = (), total: str | None = None) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over all rows of a key with smaller ``order``, which is distinct in it.
+
+    Rows are dealt out in ranges of (keys, order), so a key of any size is split. The ranges are numbered
+    in a table that is written once: what is read twice later has the same numbers. Each range's total is
+    added to those after it; of these totals there are as many as keys and ranges together. ``total``
+    names a further column for the sum over the whole key.
+    """
+    part = df.repartitionByRange(*keys, order).withColumn("_range", F.spark_partition_id())
+    rows = staged(part, "ranges")
+    ends = rows.groupBy(*keys, "_range").agg(F.sum(value).alias("_range_sum"))
+    of_key = Window.partitionBy(*keys)
+    before = of_key.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*keys, "_range", F.coalesce(F.sum("_range_sum").over(before), F.lit(0)).alias("_ranges_before"), F.sum("_range_sum").over(of_key).alias("_range_all"))
+    inside = Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_range_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    out = same_keys(rows, ends, [*keys, "_range"]).withColumn(name, F.col("_ranges_before") + F.col("_range_in"))
+    if total:
+        out = out.withColumn(total, F.col("_range_all"))
+    return out.drop("_range", "_range_in", "_ranges_before", "_range_all")
 
 
 def ranked(df: DataFrame, score: str, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, score, n, rank): distinct scores with their average rank.
+    """(keys, score, n, rank, all): distinct scores with their average rank, and the key's rows.
 
     Ranks come from counts of distinct values, which are added up range by range: a value's rows are
-    never gathered, and without keys no single task sorts the table.
+    never gathered, and no single task sorts a key.
     """
     n = df.groupBy(*keys, score).agg(F.count("*").alias("n"))
-    if keys:
-        w = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-        return n.withColumn("rank", F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2)
-    before = cumulative(n, score, "n", "below")
-    return before.withColumn("rank", F.col("below") + (F.col("n") + 1) / 2).drop("below")
+    before = cumulative(n, score, "n", "_below", keys, "all")
+    return before.withColumn("rank", F.col("_below") + (F.col("n") + 1) / 2).drop("_below")
 
 
-def cumulative(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
-    """Adds ``name``: the sum of ``value`` over all rows of smaller ``order``, without one task for all rows.
+def quantiles(df: DataFrame, column: str, shares: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, n, quantiles): exact quantiles of each key's values, linear between neighbours.
 
-    Rows are dealt out in ranges of ``order`` (distinct); each range's total is added to those after it,
-    and only the totals, one for each partition, are seen together.
+    n counts the values other than null; a key without any has no row. Without keys there is one row, of
+    n 0 and null quantiles if there is no value. The values are counted and
+    their counts added up range by range, so a key's values are in no task together.
     """
-    parts = df.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id())
-    inside = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = parts.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    ends = rows.groupBy("_part").agg(F.sum(value).alias("_total"), F.min(order).alias("_low"))
-    totals = Window.orderBy("_low").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.withColumn("_before", F.coalesce(F.sum("_total").over(totals), F.lit(0))).select("_part", "_before")
-    return rows.join(F.broadcast(ends), "_part").withColumn(name, F.col("_before") + F.col("_in")).drop("_part", "_in", "_before")
+    n = df.select(*keys, F.col(column).cast("double").alias("_x")).where("_x is not null").groupBy(*keys, "_x").agg(F.count("*").alias("_n"))
+    rows = cumulative(n, "_x", "_n", "_below", keys, "n")
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("_below") <= place) & (place < F.col("_below") + F.col("_n")), F.col("_x")))
+
+    ends, values = [], []
+    for i, q in enumerate(shares):
+        place = F.lit(float(q)) * (F.col("n") - 1)
+        ends += [at(F.floor(place)).alias(f"_low{i}"), at(F.ceil(place)).alias(f"_high{i}")]
+        values.append(F.col(f"_low{i}") + (place - F.floor(place)) * (F.col(f"_high{i}") - F.col(f"_low{i}")))
+    found = rows.groupBy(*keys).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), *ends)
+    return found.select(*keys, "n", F.array(*values).alias("quantiles"))
 
 
 def auroc(df: DataFrame, score: str, label: str, keys: Sequence[str] = (), least_pos: int = 1, least_neg: int = 1) -> DataFrame:
     """(keys, n_pos, n_neg, auroc): exact, ties at half; null with fewer rows of a class than asked."""
     n = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*keys, score).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-    if keys:
-        w = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-        n = n.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-    else:
-        n = cumulative(n, score, "neg", "below")
+    n = cumulative(n, score, "neg", "below", keys)
     out = n.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("_wins"))
     fair = (F.col("n_pos") >= least_pos) & (F.col("n_neg") >= least_neg)
     return out.withColumn("auroc", F.when(fair, F.try_divide("_wins", F.col("n_pos") * F.col("n_neg")))).drop("_wins")
@@ -54,8 +89,8 @@ def auroc(df: DataFrame, score: str, label: str, keys: Sequence[str] = (), least
 
 def rank_share(df: DataFrame, score: str, key: str) -> DataFrame:
     """Adds rank_share: rows below plus half the ties, over all rows of the key."""
-    n = ranked(df, score, [key]).withColumn("_all", F.sum("n").over(Window.partitionBy(key)))
-    return df.join(n.select(key, score, ((F.col("rank") - 0.5) / F.col("_all")).alias("rank_share")), [key, score])
+    n = ranked(df, score, [key]).select(key, score, ((F.col("rank") - 0.5) / F.col("all")).alias("rank_share"))
+    return same_keys(df, n, [key, score])
 
 
 def bh_adjusted(df: DataFrame, p: str = "p", test: str = "test") -> DataFrame:
@@ -86,23 +121,26 @@ def matched_odds(df: DataFrame, stratum: str, case: str, exposed: str) -> DataFr
 def robust(df: DataFrame, column: str, keys: Sequence[str], reference: Column | None = None, least: int = 1, floor: float = 0.1) -> DataFrame:
     """(keys, location, scale): median and 1.4826 MAD; where that is 0, ``floor`` times the deviation."""
     rows = df.where(reference) if reference is not None else df
-    centre = rows.groupBy(*keys).agg(F.percentile(column, F.lit(0.5)).alias("location"), F.stddev_samp(column).alias("_sd"), F.count(column).alias("_n"))
-    spread = rows.join(centre, list(keys)).groupBy(*keys).agg(F.percentile(F.abs(F.col(column) - F.col("location")), F.lit(0.5)).alias("_mad"))
+    rows = rows.select(*keys, F.col(column).cast("double").alias("_v"))
+    centre = same_keys(quantiles(rows, "_v", [0.5], keys), rows.groupBy(*keys).agg(F.stddev_samp("_v").alias("_sd")), keys).select(*keys, F.col("quantiles")[0].alias("location"), "_sd", F.col("n").alias("_n"))
+    away = same_keys(rows, centre.select(*keys, "location"), keys).withColumn("_away", F.abs(F.col("_v") - F.col("location")))
+    spread = quantiles(away, "_away", [0.5], keys).select(*keys, F.col("quantiles")[0].alias("_mad"))
     scale = F.greatest(F.lit(1.4826) * F.col("_mad"), floor * F.col("_sd"))
-    return centre.join(spread, list(keys)).select(*keys, "location", F.when(F.col("_n") >= least, scale).alias("scale"))
+    return same_keys(centre, spread, keys).select(*keys, "location", F.when(F.col("_n") >= least, scale).alias("scale"))
 
 
 def iqr_scale(column: str) -> Column:
-    """Aggregate: the interquartile range over 1.349."""
+    """Aggregate: the interquartile range over 1.349, for keys of few values; ``quantiles`` is for many."""
     q = F.percentile(column, F.array(F.lit(0.25), F.lit(0.75)))
     return (q[1] - q[0]) / 1.349
 
 
-def key_threshold(df: DataFrame, score: str, overall: Column, calibration: Column, q: float = 0.99, least: int = 10, key: str = "gun") -> DataFrame:
-    """(key, threshold): the greater of the common threshold and the key's own quantile, if it has ``least`` rows (A5)."""
-    cal = F.when(calibration, F.col(score))
-    own = df.groupBy(key).agg(F.percentile(cal, F.lit(q)).alias("_own"), F.count(cal).alias("_n"))
-    return own.select(key, F.when(F.col("_n") >= least, F.greatest(overall, F.col("_own"))).otherwise(overall).alias("threshold"))
+def key_threshold(df: DataFrame, score: str, calibration: Column, overall: float = 0.9, q: float = 0.99, least: int = 10, key: str = "gun") -> DataFrame:
+    """(key, threshold): the greater of the quantile ``overall`` of all scores and the key's own ``q``, if it has ``least`` rows (A5)."""
+    common = quantiles(df, score, [overall]).select(F.col("quantiles")[0].alias("_common"))
+    own = quantiles(df.where(calibration), score, [q], [key]).select(key, F.col("quantiles")[0].alias("_own"), F.col("n").alias("_n"))
+    rows = same_keys(df.select(key).distinct(), own, [key], "left").crossJoin(F.broadcast(common))  # one row
+    return rows.select(key, F.when(F.col("_n") >= least, F.greatest("_common", "_own")).otherwise(F.col("_common")).alias("threshold"))
 
 
 def warm_up_stats(df: DataFrame, column: str, span: int, least: int, floor: float, key: str = "gun", time: str = "t") -> DataFrame:
@@ -129,9 +167,15 @@ def crosstab(df: DataFrame, row: str, column: str, values: Sequence[str]) -> Dat
 def column_statistics(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """One row for each key and column: n, zero_share, distinct, mean, std, min, p01, p50, p99, max."""
     long = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(list(keys), list(columns), "column", "x")
-    q = F.percentile("x", F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99)))
-    out = long.groupBy(*keys, "column").agg(F.count("x").alias("n"), F.avg((F.col("x") == 0).cast("double")).alias("zero_share"), F.count_distinct("x").alias("distinct"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("low"), q.alias("_q"), F.max("x").alias("high"))
-    return out.select(*keys, "column", "n", "zero_share", "distinct", "mean", "std", "low", F.col("_q")[0].alias("p01"), F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p99"), "high")
+    by = [*keys, "column"]
+    n = long.groupBy(*by, "x").agg(F.count("*").alias("_n"))  # values are counted first: few rows reach the rest
+    x, w = F.col("x"), F.when(F.col("x").isNotNull(), F.col("_n")).otherwise(0)
+    sums = n.groupBy(*by).agg(F.sum(w).alias("n"), F.sum(F.when(x == 0, F.col("_n")).otherwise(0)).alias("_zeros"), F.count("x").alias("distinct"), (F.sum(x * F.col("_n")) / F.sum(w)).alias("mean"), F.min("x").alias("low"), F.max("x").alias("high"))
+    away = same_keys(n, sums.select(*by, F.col("mean").alias("_mean")), by).groupBy(*by).agg(F.sum((x - F.col("_mean")) ** 2 * F.col("_n")).alias("_squares"))
+    out = same_keys(same_keys(sums, away, by), quantiles(long, "x", [0.01, 0.5, 0.99], by).drop("n"), by, "left")
+    std = F.when(F.col("n") > 1, F.sqrt(F.col("_squares") / (F.col("n") - 1)))
+    p = [F.col("quantiles")[i].alias(f"p{q}") for i, q in enumerate(("01", "50", "99"))]
+    return out.select(*by, "n", F.try_divide("_zeros", "n").alias("zero_share"), "distinct", "mean", std.alias("std"), "low", *p, "high")
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -157,8 +201,8 @@ def effect_size(df: DataFrame, column: str, flag: Column) -> DataFrame:
 
 def median_of_medians(df: DataFrame, column: str, group: str, key: str = "gun") -> DataFrame:
     """(group, value): the median over keys of each key's median, so that every key counts once."""
-    own = df.groupBy(group, key).agg(F.percentile(column, F.lit(0.5)).alias("_m"))
-    return own.groupBy(group).agg(F.percentile("_m", F.lit(0.5)).alias("value"))
+    own = quantiles(df, column, [0.5], [group, key]).select(group, F.col("quantiles")[0].alias("_m"))
+    return quantiles(own, "_m", [0.5], [group]).select(group, F.col("quantiles")[0].alias("value"))
 
 
 def repeat_period(df: DataFrame, code: str, longest: int, slack: float = 0.05, key: str = "gun", time: str = "t") -> DataFrame:
@@ -188,21 +232,23 @@ def rank_sum(df: DataFrame, column: str, flag: str, keys: Sequence[str]) -> Data
 
 def rank_correlation(df: DataFrame, a: str, b: str, key: str = "gun") -> DataFrame:
     """(key, rho): Spearman's, with average ranks."""
-    r = df.join(ranked(df, a, [key]).select(key, a, F.col("rank").alias("_ra")), [key, a])
-    r = r.join(ranked(df, b, [key]).select(key, b, F.col("rank").alias("_rb")), [key, b])
-    return r.groupBy(key).agg(F.corr("_ra", "_rb").alias("rho"))
+    for column, rank in ((a, "_ra"), (b, "_rb")):
+        df = same_keys(df, ranked(df, column, [key]).select(key, column, F.col("rank").alias(rank)), [key, column])
+    return df.groupBy(key).agg(F.corr("_ra", "_rb").alias("rho"))
+
+
+#: Chances that a Poisson variable of mean 1 is at most 0, 1, 2, ...; beyond the last they are below 1e-9.
+POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(i + 1)) for i in range(12)]
 
 
 def resampled(df: DataFrame, value: str, times: int, key: str = "gun", seed: int = 0) -> DataFrame:
-    """(resample, mean): each key's weight is Poisson-like, from a hash, so every resample is a map and a sum.
+    """(resample, mean): each key's weight is a Poisson variable of mean 1, so every resample is a map and a sum.
 
-    Repeatable for a seed. The weight of a key in a resample is 0, 1, 2 or 3 with the chances of a
-    Poisson variable of mean 1; drawing with replacement tends to it.
+    Drawing with replacement tends to it. Weights are drawn by ``draw``: repeatable for a seed.
     """
-    u = F.pmod(F.xxhash64(F.lit(seed), key, "resample"), F.lit(1_000_000)) / 1_000_000
-    weight = F.when(u < 0.367879, 0).when(u < 0.735759, 1).when(u < 0.919699, 2).otherwise(3)
-    grid = df.withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(times))))
-    return grid.groupBy("resample").agg(F.try_divide(F.sum(F.col(value) * weight), F.sum(weight)).alias("mean"))
+    grid = df.withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(times)))).withColumn("_u", draw(F.lit(seed), F.col(key), F.col("resample")))
+    weight = reduce(Column.__add__, [(F.col("_u") >= p).cast("int") for p in POISSON])
+    return grid.withColumn("_w", weight).groupBy("resample").agg(F.try_divide(F.sum(F.col(value) * F.col("_w")), F.sum("_w")).alias("mean"))
 
 
 def interval(resamples: DataFrame, value: str = "mean") -> DataFrame:
@@ -211,16 +257,16 @@ def interval(resamples: DataFrame, value: str = "mean") -> DataFrame:
     return resamples.agg(q.alias("_q")).select(F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"))
 
 
-def stratified_folds(df: DataFrame, member: str, stratum: str, k: int) -> DataFrame:
-    """Adds fold: members of a stratum dealt out in the order of their hash."""
-    w = Window.partitionBy(stratum).orderBy(F.xxhash64(member), member)
-    return df.withColumn("fold", (F.row_number().over(w) - 1) % k)
+def stratified_folds(df: DataFrame, member: str, stratum: str, k: int, seed: int = 0) -> DataFrame:
+    """Adds fold: distinct members of a stratum dealt out in the order of their draws."""
+    rows = df.withColumn("_order", F.struct(draw(F.lit(seed), F.col(member)).alias("u"), F.col(member).alias("m"))).withColumn("_one", F.lit(1))
+    return cumulative(rows, "_order", "_one", "_before", [stratum]).withColumn("fold", F.col("_before") % k).drop("_order", "_one", "_before")
 
 
 def joined_folds(df: DataFrame, member: str, group: str, fold: str = "fold") -> DataFrame:
     """Moves all members of a group to the fold of its first member."""
-    first = F.first(fold).over(Window.partitionBy(group).orderBy(member))
-    return df.withColumn(fold, first)
+    first = df.groupBy(group).agg(F.min_by(fold, member).alias("_first"))
+    return same_keys(df, first, [group]).withColumn(fold, F.col("_first")).drop("_first")
 
 
 def forecast_errors(df: DataFrame, actual: str, forecast: str, keys: Sequence[str]) -> DataFrame:

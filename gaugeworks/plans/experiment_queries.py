@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gaugeworks.operators import experiments as X
 from gaugeworks.operators import intervals as I
 from gaugeworks.operators import prep as P
-from gaugeworks.plans.registry import DAY, HOUR, query, readings, rounded
+from gaugeworks.plans.registry import DAY, HOUR, drawn, query, readings, rounded
 
 SIX = 6 * HOUR
 _TTF = "r AS (SELECT *, max(t) OVER (PARTITION BY gun) - t AS ttf FROM ev)"
@@ -178,14 +178,17 @@ def event_separation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(X.separation(readings(spark, sf_dir), "value", F.col("code") == "error", DAY, 2 * DAY, HOUR))
 
 
-@query()
+@query(f"""WITH o AS (SELECT gun, avg(value) AS v, max(k) >= 95 AS flag FROM ev GROUP BY 1), m AS (SELECT count(*) FILTER (WHERE flag) AS m FROM o),
+c AS (SELECT i, v, CASE WHEN i = 0 THEN flag ELSE row_number() OVER (PARTITION BY i ORDER BY {drawn("0", "i", "gun")}, gun) <= m END AS c FROM o, m, (SELECT unnest(range(0, 201)) AS i)),
+d AS (SELECT i, avg(v) FILTER (WHERE c) - avg(v) FILTER (WHERE NOT c) AS d FROM c GROUP BY 1)
+SELECT round(max(d) FILTER (WHERE i = 0), 6) AS difference, round((1 + count(*) FILTER (WHERE i > 0 AND abs(d) >= (SELECT abs(d) FROM d WHERE i = 0))) / 201.0, 6) AS p FROM d""")
 def permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hash-ordered shuffles; no SQL twin, since the order is Spark's hash."""
     own = readings(spark, sf_dir).groupBy("gun").agg(F.avg("value").alias("v"), (F.max("k") >= 95).alias("flag"))
     return rounded(X.permuted(own, "v", "flag", "gun", 200))
 
 
-@query()
+@query(f"""WITH e AS (SELECT gun, t FROM ev WHERE code = 'error'), s AS (SELECT gun, t AS original, t - {DAY} - CAST(floor({drawn("0", "gun", "t")} * {DAY}) AS BIGINT) AS t FROM e)
+SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.gun = s.gun AND abs(e.t - s.t) <= {SIX})""")
 def pseudo_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = readings(spark, sf_dir).where("code = 'error'")
     return X.pseudo_events(ev, ev, DAY, 2 * DAY, SIX)
@@ -205,7 +208,9 @@ def detection_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(X.detectable(rows, "value", "y", [0.0, 0.5, 1.0]), 4)
 
 
-@query()
+@query(f"""WITH g AS (SELECT *, sum(n) OVER (PARTITION BY gun ORDER BY t ROWS UNBOUNDED PRECEDING) AS seg FROM (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY gun ORDER BY t) > {2 * DAY} THEN 1 ELSE 0 END AS n FROM ev)),
+r AS (SELECT *, row_number() OVER (PARTITION BY gun, seg ORDER BY t) AS i, count(*) OVER (PARTITION BY gun, seg) AS c FROM g), p AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY {drawn("0", "gun", "t")}, gun, t) AS p FROM r WHERE i >= 5 AND c - i >= 3)
+SELECT event_id, gun, t, code FROM p WHERE p <= 20""")
 def forecast_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = I.with_segments(readings(spark, sf_dir), 2 * DAY)
     return X.forecast_origins(rows, 5, 3, 20, "code").select("event_id", "gun", "t", "code")

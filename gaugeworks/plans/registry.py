@@ -56,3 +56,9 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Double columns rounded, so that the order of a sum doesn't show."""
     return df.withColumns({n: F.round(n, digits) for n, kind in df.dtypes if kind == "double"})
+
+
+def drawn(*parts: str) -> str:
+    """DuckDB's SQL for ``functions.text.draw``."""
+    text = " || '|' || ".join(f"coalesce(CAST({p} AS VARCHAR), '')" for p in parts)
+    return f"(CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE)"

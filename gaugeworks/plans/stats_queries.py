@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gaugeworks.operators import prep as P
 from gaugeworks.operators import stats as S
 from gaugeworks.operators.intervals import ordered
-from gaugeworks.plans.registry import DAY, HOUR, query, readings, rounded, table
+from gaugeworks.plans.registry import DAY, HOUR, drawn, query, readings, rounded, table
 
 SIX = 6 * HOUR
 TYPES = ("click", "error", "purchase", "signup", "view")
@@ -72,10 +72,7 @@ _G = "(SELECT quantile_cont(value, 0.9) FROM ev)"
 
 @query(f"SELECT gun, round(CASE WHEN count(CASE WHEN code <> 'error' THEN value END) >= 10 THEN greatest({_G}, quantile_cont(CASE WHEN code <> 'error' THEN value END, 0.99)) ELSE {_G} END, 6) AS threshold FROM ev GROUP BY 1")
 def gun_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = readings(spark, sf_dir)
-    common = ev.agg(F.percentile("value", F.lit(0.9)).alias("g"))
-    joined = ev.crossJoin(F.broadcast(common))  # one row
-    return rounded(S.key_threshold(joined.withColumn("g", F.col("g")), "value", F.lit(common.first()["g"]), F.col("code") != "error"))
+    return rounded(S.key_threshold(readings(spark, sf_dir), "value", F.col("code") != "error"))
 
 
 @query(f"""WITH e AS (SELECT *, t < min(t) OVER (PARTITION BY gun) + {5 * DAY} AS early FROM ev)
@@ -113,9 +110,9 @@ _STEPS = "s AS (SELECT code, (t - lag(t) OVER (PARTITION BY gun ORDER BY t)) / 1
 def gap_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = readings(spark, sf_dir)
     rows = ev.select("code", ((F.col("t") - F.lag("t").over(ordered("gun", "t"))) / 1e6).alias("step"))
-    q = F.percentile("step", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
-    out = rows.groupBy("code").agg(F.count("step").alias("n"), F.avg("step").alias("mean"), F.stddev_samp("step").alias("std"), F.min("step").alias("low"), q.alias("_q"), F.max("step").alias("high"))
-    return rounded(out.select("code", "n", "mean", "std", "low", F.col("_q")[0].alias("p50"), F.col("_q")[1].alias("p90"), F.col("_q")[2].alias("p99"), "high"), 4)
+    q = S.quantiles(rows, "step", [0.5, 0.9, 0.99], ["code"]).select("code", *[F.col("quantiles")[i].alias(p) for i, p in enumerate(("p50", "p90", "p99"))])
+    out = rows.groupBy("code").agg(F.count("step").alias("n"), F.avg("step").alias("mean"), F.stddev_samp("step").alias("std"), F.min("step").alias("low"), F.max("step").alias("high"))
+    return rounded(S.same_keys(out, q, ["code"], "left"), 4)
 
 
 @query("""SELECT 'l_quantity' AS a, 'l_extendedprice' AS b, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem UNION ALL SELECT 'l_quantity', 'l_discount', round(corr(l_quantity, l_discount), 6) FROM lineitem
@@ -168,14 +165,19 @@ def spearman_leak(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.rank_correlation(readings(spark, sf_dir), "value", "k"))
 
 
-@query()
+_WEIGHT = " + ".join(f"CAST(u >= {p!r} AS INTEGER)" for p in S.POISSON)
+
+
+@query(f"""WITH o AS (SELECT gun, avg(CASE WHEN code = 'error' THEN 1.0 ELSE 0.0 END) AS share FROM ev GROUP BY 1), u AS (SELECT i, share, {drawn("0", "gun", "i")} AS u FROM o, (SELECT unnest(range(1, 201)) AS i)),
+m AS (SELECT i, sum(share * ({_WEIGHT})) / sum({_WEIGHT}) AS mean FROM u GROUP BY 1) SELECT round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM m""")
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hash-weighted resamples of guns; no SQL twin, since the weights come from Spark's hash."""
+    """Weighted resamples of guns."""
     own = readings(spark, sf_dir).groupBy("gun").agg(F.avg((F.col("code") == "error").cast("double")).alias("share"))
     return rounded(S.interval(S.resampled(own, "share", 200)))
 
 
-@query()
+@query(f"""WITH g AS (SELECT gun, arg_max(code, t) AS class FROM ev GROUP BY 1), f AS (SELECT *, (row_number() OVER (PARTITION BY class ORDER BY {drawn("0", "gun")}, gun) - 1) % 4 AS fold FROM g)
+SELECT gun, class, first_value(fold) OVER (PARTITION BY gun // 2 ORDER BY gun) AS fold FROM f""")
 def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     guns = readings(spark, sf_dir).groupBy("gun").agg(F.max_by("code", "t").alias("class"))
     folds = S.stratified_folds(guns, "gun", "class", 4).withColumn("physical", F.expr("gun div 2"))
@@ -264,9 +266,10 @@ SELECT bin, count(*) AS n, round(quantile_cont((value - m) / s, 0.5), 6) AS medi
 def epoch_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Robust z by time before each gun's end, against its own earlier rows."""
     rows = P.with_ttf(readings(spark, sf_dir), DAY).withColumn("bin", F.floor(F.col("ttf") / (2 * DAY)))
-    base = rows.where("bin >= 5").groupBy("gun").agg(F.percentile("value", F.lit(0.5)).alias("m"), S.iqr_scale("value").alias("s")).where("s > 0")
+    q = F.col("quantiles")
+    base = S.quantiles(rows.where("bin >= 5"), "value", [0.25, 0.5, 0.75], ["gun"]).select("gun", q[1].alias("m"), ((q[2] - q[0]) / 1.349).alias("s")).where("s > 0")
     z = rows.join(base, "gun").withColumn("z", (F.col("value") - F.col("m")) / F.col("s"))
-    return rounded(z.groupBy("bin").agg(F.count("*").alias("n"), F.percentile("z", F.lit(0.5)).alias("median_z")))
+    return rounded(S.quantiles(z, "z", [0.5], ["bin"]).select("bin", "n", q[0].alias("median_z")))
 
 
 @query(f"""SELECT code, CAST(b AS BIGINT) AS bin, round(avg(CASE WHEN k >= 50 THEN 1.0 ELSE 0.0 END), 6) AS share, count(*) AS n FROM (SELECT code, k, ((max(t) OVER (PARTITION BY gun)) - t) // {5 * DAY} AS b FROM ev) GROUP BY 1, 2""")

@@ -138,7 +138,7 @@ def test_loop_timeline():
     for w in weeks:
         n += w
         ended.append(n)
-    reg = L.replay(ended, L.Schedule(), lambda a, b, k: False)
+    reg = L.replay(ended, L.Schedule(), lambda a, b, seen, n: False)
     assert [d for _, d in reg.log] == [
         ["wait_first:3"], ["wait_first:5"], ["first:v001"], ["train:v002"], ["keep:v001|v002", "train:v003"], ["defer:1"],
         ["keep:v001|v003", "train:v004"], ["defer:3"], ["keep:v001|v004", "train:v005"], ["defer:3"], ["defer:4"],
