@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from gaugeworks.llm.shared import id_and_text
 
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 6_000_000
 KEPT = 500_000
 #: These four count as white space for str.split(), but not for the vocabulary's normaliser.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
@@ -226,7 +226,8 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     ids are those of the tokenizers library without added special tokens (strings of special tokens in
     a text become their ids); decoded is its decode() with special tokens kept, which for a vocabulary
     without a decoder joins the tokens by spaces. Null and empty texts have no ids and decode to
-    nothing. Letters and numbers are told apart by the regex module's Unicode tables. Repeated rows and null doc_ids keep their rows. An empty table gives an empty one.
+    nothing. Letters and numbers are told apart by the regex module's Unicode tables. Repeated rows and
+    null doc_ids keep their rows. An empty table gives an empty one.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 

@@ -1,8 +1,8 @@
 """License scans: ordered signature rules over normalised words (operator 2). DataFrame functions only.
 
-A text becomes its words, A-Z in lower case, one space apart. Each rule has a keyword without which it
-cannot match; only texts with some keyword are looked at further, and only rules whose keyword is present
-are matched. Detections that overlap are resolved by priority, then by containment: one goes if another of
+A text becomes its words, A-Z in lower case, one space apart. Each rule has a keyword, and most a second
+piece, without which it cannot match: both are parts of every text that its pattern matches. Only texts
+with some keyword are looked at further, and only rules of which both are present are matched. Detections that overlap are resolved by priority, then by containment: one goes if another of
 higher priority overlaps it, or if it lies inside a longer one (or an earlier rule's equal one) of the
 same priority. Four base phrases are found besides, and their labels always stay.
 
@@ -11,6 +11,11 @@ Scale: one projection, with no shuffle and no Python; the rules are a constant o
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,57 +94,319 @@ FAMILIES = [
     ("cc-by-nd", "noderivatives", "creative commons attribution noderivatives", "[1234](?: [05])?(?: international| unported)?"),
     ("cc-by", "cc by", "cc by", "[1234](?: [05])?"),
 ]
-#: (label, keyword, pattern): sentences that stand for a license without naming it.
-NOTICES = [
-    ("mit", "permission is hereby granted", "permission is hereby granted free of charge to any person obtaining a copy"),
-    ("isc", "permission to use copy modify", "permission to use copy modify and (?:or )?distribute this software for any purpose"),
-    ("bsd", "redistribution and use", "redistribution and use in source and binary forms with or without modification"),
-    ("bsd", "neither the name", "neither the name of .{1,60}? may be used to endorse or promote products"),
-    ("zlib", "altered source versions", "altered source versions must be plainly marked as such"),
-    ("unlicense", "released into the public domain", "free and unencumbered software released into the public domain"),
-    ("public-domain", "public domain", "(?:in|into|to) the public domain"),
-    ("proprietary", "all rights reserved", "all rights reserved"),
-    ("proprietary", "confidential", "proprietary and confidential"),
-    ("boost", "permission is hereby granted", "permission is hereby granted free of charge to any person or organization obtaining a copy"),
-    ("gpl", "free software foundation", "redistribute it and or modify it under the terms of the gnu general public licen[cs]e"),
-    ("lgpl", "free software foundation", "redistribute it and or modify it under the terms of the gnu lesser general public licen[cs]e"),
-]
+#: One signature a line: label, priority, keyword, pattern over normalised words. Titles, headers, notices,
+#: addresses, classifiers and badges as licenses and their users write them.
+SIGNATURES = """
+    gpl|4|gnu general|(?:this program is free software you can )?redistribute it and or modify it under the terms of the gnu general public licen[cs]e
+    gpl|4|gnu general|you should have received a copy of the gnu general public licen[cs]e
+    gpl|4|gnu general|may be used under the terms of the gnu general public licen[cs]e
+    gpl|4|gnu general|covered by the gnu general public licen[cs]e
+    gpl|4|gnu general|see the gnu general public licen[cs]e for more details
+    gpl|3|gnu general|gnu general public licen[cs]e(?: as published by the free software foundation)? either version [123]
+    gpl|3|gnu general|version [123] of the gnu general public licen[cs]e
+    gpl|2|gnu general|gnu general public licen[cs]e
+    gpl|2|general public license|(?:the )?general public license
+    gpl|3|gplv|gplv[123](?: only| or later)?
+    gpl|3|gnu gpl|(?:the )?gnu gpl(?: v[123]| version [123])?
+    gpl|5|gnu org|gnu org licen[cs]es (?:old licen[cs]es )?gpl(?: [123] 0)?
+    gpl|5|gpl|licen[cs]e gpl v?[123](?: 0)?
+    gpl|5|osi|licen[cs]e osi approved gnu general public licen[cs]e
+    gpl|5|badge|badge licen[cs]e gpl(?:v?[123]| v?[123](?: 0)?)?
+    gpl|4|classpath|gpl(?: [123](?: 0)?)? with classpath exception
+    lgpl|4|lesser general|(?:this library is free software you can )?redistribute it and or modify it under the terms of the gnu lesser general public licen[cs]e
+    lgpl|4|lesser general|you should have received a copy of the gnu lesser general public licen[cs]e
+    lgpl|4|library general|you should have received a copy of the gnu library general public licen[cs]e
+    lgpl|4|lesser general|see the gnu lesser general public licen[cs]e for more details
+    lgpl|3|lesser general|version [23](?: 1)? of the gnu lesser general public licen[cs]e
+    lgpl|2|lesser general|gnu lesser general public licen[cs]e
+    lgpl|2|library general|gnu library general public licen[cs]e
+    lgpl|3|lgplv|lgplv[23](?: 1)?(?: only| or later)?
+    lgpl|5|gnu org|gnu org licen[cs]es (?:old licen[cs]es )?lgpl(?: [23] [01])?
+    lgpl|5|osi|licen[cs]e osi approved gnu lesser general public licen[cs]e
+    lgpl|5|badge|badge licen[cs]e lgpl(?:v?[23]| v?[23](?: [01])?)?
+    agpl|4|affero|under the terms of the gnu affero general public licen[cs]e
+    agpl|4|affero|you should have received a copy of the gnu affero general public licen[cs]e
+    agpl|3|affero|version [13] of the gnu affero general public licen[cs]e
+    agpl|2|affero|gnu affero general public licen[cs]e
+    agpl|3|agplv|agplv3(?: only| or later)?
+    agpl|5|gnu org|gnu org licen[cs]es agpl(?: 3 0)?
+    agpl|5|osi|licen[cs]e osi approved gnu affero general public licen[cs]e
+    agpl|5|badge|badge licen[cs]e agpl(?:v?3| v?3(?: 0)?)?
+    gfdl|4|free documentation|permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[cs]e
+    gfdl|2|free documentation|gnu free documentation licen[cs]e
+    gfdl|4|invariant sections|with no invariant sections no front cover texts and no back cover texts
+    gfdl|5|gnu org|gnu org licen[cs]es fdl(?: 1 [123])?
+    apache|4|apache|licen[cs]ed under the apache licen[cs]e version 2 0
+    apache|4|apache|licen[cs]ed to the apache software foundation asf under one or more contributor licen[cs]e agreements
+    apache|4|apache|the asf licen[cs]es this file to you under the apache licen[cs]e
+    apache|5|apache org|apache org licen[cs]es licen[cs]e [12] [01]
+    apache|5|osi|licen[cs]e osi approved apache software licen[cs]e
+    apache|5|badge|badge licen[cs]e apache(?: 2(?: 0)?)?
+    apache|3|apache|apache(?: software)? licen[cs]e v?2(?: 0)?
+    apache|3|asl|asl 2 0
+    apache|2|apache software|apache software licen[cs]e
+    apache|4|apache|this product includes software developed by the apache software foundation
+    apache|4|as is basis|distributed on an as is basis without warranties or conditions of any kind either express or implied
+    apache|2|you may not use this file|you may not use this file except in compliance with the licen[cs]e
+    mit|4|permission is hereby granted|permission is hereby granted free of charge to any person obtaining a copy(?: of this software and associated documentation files)?
+    mit|4|substantial portions|the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
+    mit|3|as is|the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability
+    mit|4|mit|(?:licen[cs]ed|released|available) under the mit licen[cs]e
+    mit|4|mit|see the mit licen[cs]e for (?:more )?details
+    mit|5|opensource org|opensource org licen[cs]es mit(?: licen[cs]e)?(?: php)?
+    mit|5|osi|licen[cs]e osi approved mit licen[cs]e
+    mit|5|badge|badge licen[cs]e mit
+    mit|5|choosealicense|choosealicense com licen[cs]es mit
+    mit|3|mit|the mit licen[cs]e mit
+    mit|2|expat|mit expat licen[cs]e
+    mit|4|mit 0|mit 0
+    mit|4|mit no attribution|mit no attribution(?: licen[cs]e)?
+    x11|4|x consortium|except as contained in this notice the name of the x consortium shall not be used in advertising
+    x11|2|x11|(?:mit )?x11(?: style)? licen[cs]e
+    bsd|4|redistribution and use|redistribution and use in source and binary forms with or without modification(?: are permitted provided that the following conditions are met)?
+    bsd|4|redistributions of source|redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+    bsd|4|redistributions in binary|redistributions in binary form must reproduce the above copyright notice this list of conditions
+    bsd|4|copyright holders and contributors|this software is provided by the copyright holders and contributors as is
+    bsd|4|regents|this software is provided by the regents and contributors as is
+    bsd|4|advertising materials|all advertising materials mentioning features or use of this software must display the following acknowledg(?:e)?ment
+    bsd|4|bsd style|use of this source code is governed by a bsd style licen[cs]e
+    bsd|5|opensource org|opensource org licen[cs]es bsd(?: [23] clause| licen[cs]e)
+    bsd|5|osi|licen[cs]e osi approved bsd licen[cs]e
+    bsd|5|badge|badge licen[cs]e bsd(?: [0234] clause)?
+    bsd|3|bsd|[0234] clause bsd(?: licen[cs]e)?
+    bsd|3|bsd|(?:new|modified|simplified|revised|original|free) bsd(?: licen[cs]e)?
+    bsd|2|bsd|bsd(?: style)? licen[cs]ed?
+    0bsd|3|0bsd|0bsd(?: licen[cs]e)?
+    0bsd|3|zero clause|zero clause bsd(?: licen[cs]e)?
+    isc|4|permission to use copy modify|permission to use copy modify and (?:or )?distribute this software for any purpose(?: with or without fee is hereby granted)?
+    isc|4|the author disclaims|the software is provided as is and the author disclaims all warranties with regard to this software
+    isc|5|opensource org|opensource org licen[cs]es isc(?: licen[cs]e)?
+    isc|5|osi|licen[cs]e osi approved isc licen[cs]e
+    isc|5|badge|badge licen[cs]e isc
+    isc|2|isc|isc licen[cs]ed?
+    isc|2|internet systems|internet systems consortium licen[cs]e
+    mpl|4|mozilla|this source code form is subject to the terms of the mozilla public licen[cs]e
+    mpl|4|mozilla|the contents of this file are subject to the mozilla public licen[cs]e version 1 [01]
+    mpl|4|incompatible with secondary|incompatible with secondary licen[cs]es as defined by the mozilla public licen[cs]e
+    mpl|5|mozilla org|mozilla org mpl(?: 2 0| mpl 1 [01])?
+    mpl|5|osi|licen[cs]e osi approved mozilla public licen[cs]e
+    mpl|5|badge|badge licen[cs]e mpl(?: 2(?: 0)?)?
+    mpl|2|mozilla|mozilla public licen[cs]e
+    epl|4|eclipse|this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e
+    epl|5|eclipse org|eclipse org (?:legal epl|org documents epl)(?: v10| 2 0| v20)?
+    epl|5|osi|licen[cs]e osi approved eclipse public licen[cs]e
+    epl|5|badge|badge licen[cs]e epl(?: [12](?: 0)?)?
+    epl|2|eclipse|eclipse public licen[cs]e
+    edl|5|eclipse org|eclipse org org documents edl
+    edl|2|eclipse distribution|eclipse distribution licen[cs]e
+    cddl|4|common development|the contents of this file are subject to the terms of the common development and distribution licen[cs]e
+    cddl|4|cddl|include this cddl header notice in each file
+    cddl|2|common development|common development and distribution licen[cs]e
+    cddl|5|opensource org|opensource org licen[cs]es cddl(?: 1 0| 1)?
+    cpl|4|common public|made available under the terms of the common public licen[cs]e
+    cpl|2|common public|common public licen[cs]e
+    eupl|4|eupl|licen[cs]ed under the eupl
+    eupl|5|joinup|joinup ec europa eu (?:software page|collection) eupl
+    eupl|2|european union|european union public licen[cs]e
+    artistic|4|artistic|under the artistic licen[cs]e
+    artistic|2|artistic|(?:the )?(?:clarified )?artistic licen[cs]e
+    artistic|5|opensource org|opensource org licen[cs]es artistic licen[cs]e(?: [12] 0)?
+    perl|4|same terms as perl|under the same terms as perl(?: itself| 5)?
+    zlib|4|altered source versions|altered source versions must be plainly marked as such(?: and must not be misrepresented as being the original software)?
+    zlib|4|origin of this software|the origin of this software must not be misrepresented you must not claim that you wrote the original software
+    zlib|4|in no event will the authors|in no event will the authors be held liable for any damages arising from the use of this software
+    zlib|2|zlib|zlib(?: libpng)? licen[cs]e
+    libpng|4|libpng|this code is released under the libpng licen[cs]e
+    libpng|2|libpng|libpng licen[cs]e
+    boost|4|boost|distributed under the boost software licen[cs]e version 1 0
+    boost|5|boost org|boost org licen[cs]e 1 0
+    boost|2|boost|boost software licen[cs]e
+    boost|5|badge|badge licen[cs]e bsl 1 0
+    unlicense|4|free and unencumbered|(?:this is )?free and unencumbered software released into the public domain
+    unlicense|4|anyone is free|anyone is free to copy modify publish use compile sell or distribute this software
+    unlicense|5|unlicense org|unlicense org
+    unlicense|5|badge|badge licen[cs]e unlicense
+    unlicense|2|unlicense|the unlicense
+    wtfpl|4|do what the fuck|you just do what the fuck you want to
+    wtfpl|5|wtfpl net|wtfpl net
+    wtfpl|2|wtfpl|wtfpl(?: licen[cs]e)?
+    postgresql|4|postgresql|released under the postgresql licen[cs]e
+    postgresql|2|postgresql|postgresql licen[cs]e
+    python|4|python software foundation|this licen[cs]e agreement is between the python software foundation psf and the individual or organization
+    python|5|osi|licen[cs]e osi approved python software foundation licen[cs]e
+    python|2|python|python(?: software foundation)? licen[cs]e
+    python|3|psf|psf licen[cs]e agreement for python
+    php|4|php|this source file is subject to version [23](?: [01]{1,2})? of the php licen[cs]e
+    php|5|php net|php net licen[cs]e(?: [23] [01]{1,2} txt)?
+    ruby|4|ruby|(?:distributed|released) under the (?:same terms as ruby|ruby licen[cs]e)
+    openssl|4|openssl|this product includes software developed by the openssl project for use in the openssl toolkit
+    openssl|2|openssl|openssl licen[cs]e
+    ssleay|4|eric young|this product includes cryptographic software written by eric young
+    ofl|4|open font|this font software is licen[cs]ed under the sil open font licen[cs]e
+    ofl|4|reserved font name|with reserved font name
+    ofl|5|scripts sil org|scripts sil org ofl
+    ofl|2|open font|(?:sil )?open font licen[cs]e
+    odbl|4|open database|made available under the open database licen[cs]e
+    odbl|5|opendatacommons|opendatacommons org licen[cs]es odbl(?: 1 0)?
+    pddl|5|opendatacommons|opendatacommons org licen[cs]es pddl(?: 1 0)?
+    odc-by|5|opendatacommons|opendatacommons org licen[cs]es by(?: 1 0)?
+    odc-by|2|open data commons|open data commons attribution licen[cs]e
+    odbl|2|open data commons|open data commons open database licen[cs]e
+    ms-pl|2|microsoft public|microsoft public licen[cs]e
+    ms-pl|3|ms pl|ms pl(?: licen[cs]e)?
+    ms-rl|3|ms rl|ms rl(?: licen[cs]e)?
+    ms-rl|2|microsoft reciprocal|microsoft reciprocal licen[cs]e
+    upl|4|universal permissive|licen[cs]ed under the universal permissive licen[cs]e
+    upl|5|oss oracle com|oss oracle com licen[cs]es upl
+    ecl|4|educational community|licen[cs]ed under the educational community licen[cs]e
+    ncsa|4|illinois|university of illinois ncsa open source licen[cs]e
+    ncsa|2|ncsa|(?:illinois )?ncsa(?: open source)? licen[cs]e
+    vim|2|vim|vim licen[cs]e
+    beerware|4|buy me a beer|you can buy me a beer in return
+    beerware|2|beerware|beerware licen[cs]e
+    beerware|2|beer ware|(?:the )?beer ware licen[cs]e
+    json|4|good not evil|the software shall be used for good not evil
+    json|2|json|json licen[cs]e
+    sspl|4|server side public|under the terms of the server side public licen[cs]e
+    sspl|5|mongodb com|mongodb com licen[cs]ing server side public licen[cs]e
+    sspl|2|server side public|server side public licen[cs]e
+    busl|4|business source|use of this software is governed by the business source licen[cs]e
+    busl|4|additional use grant|additional use grant
+    busl|5|mariadb com|mariadb com bsl11
+    busl|2|business source|business source licen[cs]e
+    elastic|4|elastic|licen[cs]ed under the elastic licen[cs]e
+    elastic|5|elastic co|elastic co licen[cs]ing elastic licen[cs]e
+    elastic|2|elastic|elastic licen[cs]e
+    commons-clause|4|commons clause|the software is provided to you by the licensor under the licen[cs]e as defined below subject to the following condition commons clause
+    commons-clause|2|commons clause|commons clause(?: licen[cs]e condition)?
+    cc0|4|waived all copyright|has waived all copyright and related or neighbo(?:u)?ring rights
+    cc0|5|creativecommons org|creativecommons org publicdomain zero(?: 1 0)?
+    cc0|4|creative commons|creative commons cc0
+    cc0|4|no rights reserved|no rights reserved
+    cc0|5|badge|badge licen[cs]e cc0(?: 1 0)?
+    cc-pdm|5|creativecommons org|creativecommons org publicdomain mark(?: 1 0)?
+    cc-by|5|creativecommons org|creativecommons org licen[cs]es by(?: [1234] [05])?(?! (?:nc|nd|sa) )
+    cc-by-sa|5|creativecommons org|creativecommons org licen[cs]es by sa(?: [1234] [05])?
+    cc-by-nd|5|creativecommons org|creativecommons org licen[cs]es by nd(?! nc )(?: [1234] [05])?
+    cc-by-nc|5|creativecommons org|creativecommons org licen[cs]es by nc(?! (?:nd|sa) )(?: [1234] [05])?
+    cc-by-nc-sa|5|creativecommons org|creativecommons org licen[cs]es by nc sa(?: [1234] [05])?
+    cc-by-nc-nd|5|creativecommons org|creativecommons org licen[cs]es by nc nd(?: [1234] [05])?
+    cc-by|4|creative commons|this work is licen[cs]ed under a creative commons attribution(?: [1234] [05])?(?: international)? licen[cs]e
+    cc-by-sa|4|creative commons|this work is licen[cs]ed under a creative commons attribution share ?alike
+    cc-by-nc|4|creative commons|this work is licen[cs]ed under a creative commons attribution non ?commercial(?! share| no ?deriv)
+    cc-by-nc-sa|4|creative commons|creative commons attribution non ?commercial share ?alike
+    cc-by-nc-nd|4|creative commons|creative commons attribution non ?commercial no ?deriv(?:ative)?s
+    cc-by-nd|4|creative commons|creative commons attribution no ?deriv(?:ative)?s
+    creative-commons|2|creative commons|creative commons licen[cs]e
+    public-domain|3|public domain|(?:in|into|to) the public domain
+    bsd|4|neither the name|neither the name of .{1,60} may be used to endorse or promote products
+    boost|4|permission is hereby granted|permission is hereby granted free of charge to any person or organization obtaining a copy
+    public-domain|4|public domain|(?:dedicated|released|placed|put) (?:in|into|to) the public domain
+    public-domain|4|public domain|this (?:work|file|code|software|text) is (?:in|hereby in) the public domain
+    public-domain|3|dedicated to the public|dedicated to the public domain by
+    w3c|4|w3c|w3c software (?:and document )?(?:notice and )?licen[cs]e
+    unicode|4|unicode|unicode(?: inc)? licen[cs]e agreement
+    ijg|4|independent jpeg group|this software is based in part on the work of the independent jpeg group
+    freetype|4|freetype|portions of this software are copyright (?:.{0,20} )?the freetype project
+    freetype|2|freetype|freetype licen[cs]e
+    curl|2|curl|curl licen[cs]e
+    bzip2|2|bzip2|bzip2(?: and libbzip2)? licen[cs]e
+    hpnd|4|permission to use copy modify|permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted
+    afl|2|academic free|academic free licen[cs]e(?: v?[123](?: [012])?)?
+    osl|2|open software|open software licen[cs]e(?: v?[123](?: 0)?)?
+    qpl|2|q public|q public licen[cs]e
+    ipl|2|ibm public|ibm public licen[cs]e
+    apsl|2|apple public|apple public source licen[cs]e
+    rpl|2|reciprocal public|reciprocal public licen[cs]e
+    cecill|2|cecill|(?:the )?cecill(?: [abc])?(?: v?[12](?: [01])?)?(?: licen[cs]e)?
+    mulan|2|mulan|mulan (?:psl|permissive software licen[cs]e)(?: v?[12])?
+    openrail|4|openrail|(?:creativeml |bigscience )?openrail(?: m)?(?: licen[cs]e)?
+    llama|4|llama|llama [234](?: [0-9])? community licen[cs]e(?: agreement)?
+    gemma|4|gemma|gemma terms of use
+    proprietary|4|all rights reserved|all rights reserved
+    proprietary|4|confidential|(?:proprietary and confidential|confidential and proprietary)
+    proprietary|4|unauthorized copying|unauthorized copying of this file via any medium is strictly prohibited
+    proprietary|4|may be reproduced|no part of this (?:publication|book|document|work) may be reproduced
+    proprietary|4|trade secrets|contains (?:confidential information and )?trade secrets of
+    proprietary|3|end user|end user licen[cs]e agreement
+    proprietary|3|commercial|(?:a )?commercial licen[cs]e is required
+"""
 #: The highest priority.
 TOP = 5
 
 
-def rules() -> list[tuple[str, str, str, int]]:
-    """(keyword, pattern, label, priority), in order; a higher priority is surer of its label.
+@dataclass(frozen=True)
+class Rule:
+    """A signature: no text without both ``keyword`` and ``also`` can match ``pattern``."""
+
+    keyword: str
+    also: str
+    pattern: str
+    label: str
+    priority: int
+
+
+def required(pattern: str) -> str:
+    """The longest piece that every match of a pattern has: what stands outside groups and is not optional."""
+    while "(" in pattern:
+        pattern = re.sub(r"\([^()]*\)[?]?", "\0", pattern)
+    if "|" in pattern:
+        return ""
+    return max(re.split(r"\0|\[[^\]]*\][?]?|.\{[^}]*\}[?]?|.\?|\.", pattern), key=len)
+
+
+def rules() -> list[Rule]:
+    """All rules in order; a higher priority is surer of its label.
 
     Each family gives a rule for an identifier line, a grant, a name with its version, a "dual" mention,
-    and its bare name followed by "license"; each notice gives one.
+    and its bare name followed by "license"; each signature is one.
     """
     out = []
     for label, keyword, names, versions in FAMILIES:
         version = f"(?:(?: version| v)? v?{versions})" if versions else ""
         named = f"(?:{names})"
-        out.append((keyword, f"spdx licen[cs]e identifier {named}{version and version + '?'}(?: only| or later)?", label, 5))
-        out.append((keyword, f"(?:licen[cs]ed|released|distributed|available|published) under (?:the )?(?:terms of (?:the )?)?{named}{version and version + '?'}", label, 4))
+        out.append((keyword, "identifier", f"spdx licen[cs]e identifier {named}{version and version + '?'}(?: only| or later)?", label, 5))
+        out.append((keyword, "under", f"(?:licen[cs]ed|released|distributed|available|published) under (?:the )?(?:terms of (?:the )?)?{named}{version and version + '?'}", label, 4))
         if version:
-            out.append((keyword, f"{named}{version}(?: only| or later| or any later version)?", label, 3))
-        out.append((keyword, f"dual licen[cs]ed .{{0,40}}?{named}", label, 2))
-        out.append((keyword, f"(?:{names})(?: public)? licen[cs]e|{named}(?= licen[cs]ed )", label, 1))
-    out += [(keyword, pattern, label, 4) for label, keyword, pattern in NOTICES]
-    return [(k, f"(?<= )(?:{p})(?= )", label, priority) for k, p, label, priority in out]
+            out.append((keyword, "", f"{named}{version}(?: only| or later| or any later version)?", label, 3))
+        out.append((keyword, "dual licen", f"dual licen[cs]ed (?:.{{0,40}} )?{named}", label, 2))
+        out.append((keyword, "licen", f"(?:{names})(?: public)? licen[cs]e|{named}(?= licen[cs]ed )", label, 1))
+    for line in SIGNATURES.strip().split("\n"):
+        label, priority, keyword, pattern = line.strip().split("|", 3)
+        out.append((keyword, required(pattern), pattern, label, int(priority)))
+    return [Rule(k, also, f"(?<= )(?:{p})(?= )", label, priority) for k, also, p, label, priority in out]
+
+
+def keyword_pattern(keywords: Iterable[str]) -> str:
+    """Finds, at the start of each word, the longest keyword that stands there (group 1); words are not consumed.
+
+    A keyword ends with a word, but for those that a version follows at once ("gplv"). Keywords of one
+    first letter share a branch.
+    """
+    by_letter: dict[str, list[str]] = {}
+    for k in sorted(keywords, key=lambda k: (-len(k), k)):
+        by_letter.setdefault(k[0], []).append(k[1:] + ("" if k.endswith("plv") else "(?= )"))
+    return " (?=(" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(by_letter.items())) + "))"
 
 
-#: The rules' keywords, whole words each: a text with none of them can match no rule.
-STEMS = sorted({keyword for keyword, *_ in rules()})
+def _by_keyword() -> dict[str, list[dict]]:
+    """The rules that a text with a keyword may match: those of the keyword and of keywords that it begins with."""
+    own: dict[str, list[dict]] = {k: [] for k in BASE}
+    for i, r in enumerate(rules()):
+        own.setdefault(r.keyword, []).append({"rule": i, "also": r.also, "pattern": r.pattern, "label": r.label, "priority": r.priority})
+    return {k: [r for other, rs in own.items() if k.startswith(other) for r in rs] for k in own}
 
 
 def _spaces(s: Column) -> Column:
     return F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
 
 
-def _detections(words: Column) -> Column:
+def _detections(words: Column, keywords: Column) -> Column:
     """Array of (start, end, priority, rule, label): every match of every rule whose keyword is present."""
-    table = F.array(*[F.struct(F.lit(f" {k} ").alias("keyword"), F.lit(p).alias("pattern"), F.lit(label).alias("label"), F.lit(n).alias("priority"), F.lit(i).alias("rule")) for i, (k, p, label, n) in enumerate(rules())])
-    present = F.filter(table, lambda r: F.contains(words, r["keyword"]))
+    # a constant, made when the plan is
+    table = F.from_json(F.lit(json.dumps(_by_keyword())), "map<string,array<struct<rule:int,also:string,pattern:string,label:string,priority:int>>>")
+    near = F.array_distinct(F.flatten(F.transform(F.array_distinct(keywords), lambda k: F.element_at(table, k))))
+    present = F.filter(near, lambda r: F.contains(words, r["also"]))
 
     def matches(r: Column) -> Column:
         pairs = F.arrays_zip(F.split(words, r["pattern"], -1).alias("gap"), F.regexp_extract_all(words, r["pattern"], F.lit(0)).alias("text"))
@@ -158,14 +425,13 @@ def _detections(words: Column) -> Column:
     return F.flatten(F.transform(present, matches))
 
 
-def _kept(found: Column) -> Column:
-    """Detections that no other overrules, in order: two sweeps, each with one number for each priority.
+def _kept(inside: Column) -> Column:
+    """Of detections in order, those that no other overrules: two sweeps, each with one number for each priority.
 
     Forwards it is how far detections before reach: one of the same priority that reaches this one's end
     contains it, one of a higher that reaches beyond its start overlaps it. Backwards it is where the next
     detection begins: one of a higher priority that begins before this one's end overlaps it.
     """
-    inside = F.array_sort(found)
     no_flags = F.array().cast("array<boolean>")
 
     def sweep(items: Column, first: int, better, over) -> Column:  # noqa: ANN001
@@ -196,16 +462,16 @@ def license_labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     plain = F.trim(F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), _GAP, " "))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), plain.alias("plain"))
-    low = F.concat(F.lit(" "), F.lower("plain"), F.lit(" "))
-    gate = F.contains(low, F.lit(f" {STEMS[0]} "))
-    for stem in STEMS[1:]:
-        gate = gate | F.contains(low, F.lit(f" {stem} "))
     n_words = F.when(F.col("plain") == "", 0).otherwise(_spaces(F.col("plain")) + 1).cast("long")
     # "^" is in no word: it keeps a match from standing first, where split() would leave out the gap
-    words = F.when(gate, F.concat(F.lit("^ "), F.translate("plain", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(" ")))
-    rows = rows.select("doc_id", n_words.alias("n_words"), words.alias("words"))
+    low = F.concat(F.lit("^ "), F.translate("plain", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(" "))
+    rows = rows.select("doc_id", n_words.alias("n_words"), low.alias("low"))
+    rows = rows.select("*", F.regexp_extract_all("low", F.lit(keyword_pattern(_by_keyword())), F.lit(1)).alias("keywords"))
+    rows = rows.select("doc_id", "n_words", "keywords", F.when(F.size("keywords") > 0, F.col("low")).alias("words"))
     at_phrase = "(?= (?:" + "|".join(BASE) + ") )"
-    rows = rows.select("*", F.coalesce(F.split("words", at_phrase, -1), F.array(F.lit(""))).alias("pieces"), F.coalesce(_kept(_detections(F.col("words"))), F.array()).alias("detections"))
+    rows = rows.select("*", F.coalesce(F.split("words", at_phrase, -1), F.array(F.lit(""))).alias("pieces"), F.array_sort(_detections(F.col("words"), F.col("keywords"))).alias("found"))
+    # a column of its own, since it is read several times
+    rows = rows.select("doc_id", "n_words", "words", "pieces", F.coalesce(_kept(F.col("found")), F.array()).alias("detections"))
     any_base = F.size("pieces") > 1
     base = F.array_compact(F.array(*[F.when(F.contains("words", F.lit(f" {phrase} ")), F.lit(label)) for phrase, label in BASE.items()]))
     rows = rows.select(

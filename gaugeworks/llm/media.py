@@ -1,9 +1,10 @@
 """Media columns: WAV bytes, short-time Fourier transforms, spectral-peak fingerprints (operator 5).
 
 A text's UTF-8 bytes, padded to whole blocks of 64, are the samples of an 8-bit mono WAV file. Its
-frames are transformed, each frame's strongest bin of every band is a peak, and each peak is paired
-with the peaks of the frames that follow; a pair codes both frequencies and their distance, and is
-stored with its time.
+frames, which overlap by half, are transformed, and each frame's strongest bin of every band is a peak.
+Each peak is paired with the peaks of its own frame's higher bands and with all bands' peaks of the
+frames that follow; a pair codes both frequencies and their distance in frames, and is stored with its
+time. So a text of one frame has pairs as well.
 
 Scale: a map over documents with no shuffle. Long payloads are transformed in runs of ``FRAMES``.
 """
@@ -21,7 +22,7 @@ from gaugeworks.llm.shared import id_and_text, per_batch
 
 BLOCK = 64
 RATE = 8000
-WINDOW, HOP = 256, 256
+WINDOW, HOP = 256, 128
 #: Edges of the bands of which each gives a frame's peak (bins of the transform).
 BANDS = (2, 12, 32, 64, 129)
 #: How many frames ahead a peak is paired.
@@ -64,15 +65,19 @@ def peaks(payload: bytes) -> np.ndarray:
 
 
 def landmarks(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Times and codes of peak pairs: for each frame and band, the same band's peak 1 to AHEAD frames on."""
+    """Times (frames) and codes of peak pairs, in order of both.
+
+    A code is first bin << 16 | second bin << 8 | frames between. Pairs join a peak with the higher
+    bands' peaks of its own frame and with every band's peak 1 to ``AHEAD`` frames on.
+    """
+    n, bands = found.shape
+    pairs = [(i, j, 0) for i in range(bands) for j in range(i + 1, bands)]
+    pairs += [(i, j, d) for d in range(1, AHEAD + 1) for i in range(bands) for j in range(bands)]
     times, codes = [], []
-    for d in range(1, AHEAD + 1):
-        first, second = found[:-d], found[d:]
-        if len(first):
-            codes.append((first << 16 | second << 8 | d).ravel())
-            times.append(np.repeat(np.arange(len(first)), found.shape[1]))
-    if not times:
-        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+    for i, j, d in pairs:
+        if n > d:
+            codes.append(found[: n - d, i] << 16 | found[d:, j] << 8 | d)
+            times.append(np.arange(n - d))
     t, c = np.concatenate(times), np.concatenate(codes)
     order = np.lexsort((c, t))
     return t[order].astype(np.int32), c[order].astype(np.int32)

@@ -12,6 +12,7 @@ run again, as those of a file scan are.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,6 +21,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from gaugeworks.llm.bpe import _byte_symbols
 from gaugeworks.llm.shared import id_and_text
@@ -42,6 +44,26 @@ def encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+#: Runs of white space from this length on are left to the tokenizers library: the other's pattern engine
+#: recurses once for each character of them, and near a million its stack is full.
+LONG_RUN = 100_000
+_BLANKS = re.compile(r"\s+")
+
+
+class Encoder:
+    """Ids of a text, by a fast library where it can and by the tokenizers library, whose ids are equal, where not."""
+
+    def __init__(self, path: str) -> None:
+        self.path, self.fast = path, encoding(path)
+        self.exact: Tokenizer | None = None
+
+    def encode(self, text: str) -> list[int]:
+        if len(text) >= LONG_RUN and any(m.end() - m.start() >= LONG_RUN for m in _BLANKS.finditer(text)):
+            self.exact = self.exact or Tokenizer.from_file(self.path)
+            return self.exact.encode(text, add_special_tokens=False).ids
+        return self.fast.encode(text, allowed_special="all") if "<|" in text else self.fast.encode_ordinary(text)
+
+
 def cut(n: int, size: int = SEQUENCE) -> list[int]:
     """Lengths of the pieces of a document of n tokens; ``size`` is a power of two."""
     rest = n % size
@@ -58,7 +80,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     a piece fills its sequence, which as a power of two takes no padding.
 
     Null and empty texts are one piece, END alone. Strings of special tokens in a text become their
-    ids. Repeated rows are packed each; a null doc_id stays null. An empty table gives an empty one.
+    ids; texts of any length and any runs are encoded whole. Repeated rows are packed each; a null doc_id stays null. An empty table gives an empty one.
     """
     if size & (size - 1) or size < 1:
         raise ValueError("the size of a sequence must be a power of two")
@@ -66,7 +88,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(tokenizer)
+        encoder = Encoder(tokenizer)
         partition = TaskContext.get().partitionId()
         made = dict.fromkeys((1 << b for b in range(size.bit_length())), 0)
         for batch in batches:
@@ -74,7 +96,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                 part = batch.slice(at, 256)
                 rows: list[tuple] = []
                 for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = enc.encode(text, allowed_special="all") if "<|" in text else enc.encode_ordinary(text)
+                    ids = encoder.encode(text)
                     ids.append(END)
                     raw, n, start = np.array(ids, "<u4").tobytes(), len(ids), 0
                     for length in cut(n, size):

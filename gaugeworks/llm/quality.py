@@ -13,6 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -158,6 +159,7 @@ def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     @F.pandas_udf("double")
     def score(texts):  # noqa: ANN001, ANN202
-        return texts.map(lambda t: float(model.score(np.array([statistics(t or "")]))[0]))
+        x = np.array([statistics(t or "") for t in texts]).reshape(-1, _D)
+        return pd.Series(model.score(x))
 
     return small_batches(docs).where(score(F.col(text_col)) >= threshold)

@@ -2,38 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeworks.operators.staging import staged
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only where a session names none (as in tests, on one machine) a folder of our own is set.
-    """
-    conf = spark.sparkContext.getConf()
-    folder = conf.get("spark.checkpoint.dir") or spark.conf.get("gaugeworks.shared.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="gaugeworks-")
-        spark.conf.set("gaugeworks.shared.dir", folder)
-    return folder
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back.
-
-    Cuts the lineage: an executor lost later costs no recomputation, and the rows are computed once
-    though several later steps read them.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["id_and_text", "per_batch", "small_batches", "staged"]
 
 
 #: Rows of an Arrow batch: texts can be long, and a batch is held several times over.
@@ -41,7 +18,11 @@ BATCH_ROWS = 256
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, in a session whose Arrow batches have at most ``BATCH_ROWS`` rows from now on."""
+    """``df``, in a session whose Arrow batches have at most ``BATCH_ROWS`` rows from now on.
+
+    A pandas function sees a batch whole, so its rows bound a task's memory; a session that asks for
+    fewer rows keeps its own number.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     conf = df.sparkSession.conf
     if not 0 < int(conf.get(key)) <= BATCH_ROWS:

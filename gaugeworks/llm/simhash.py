@@ -160,10 +160,12 @@ def _link_blocks(t: int, bits: int | None):
 def _links_of_keys(rows: DataFrame, t: int, bits: int | None = None) -> DataFrame:
     """(a, b) from rows (key, node, fp, ...): a spanning forest of the links that each key's rows have."""
     rest = [c for c in rows.columns if c != "key"]
-    counted = rows.selectExpr("key", *rest, "count(*) over (partition by key) as n").where("n > 1")
-    few = counted.where(F.col("n") <= BLOCK).selectExpr("key", "0 as bi", "0 as bj", "0 as side", *rest)
+    # keys are counted before rows meet: sums combine on the map side, so a hot key gathers in no task
+    hot = staged(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK), "hot-keys")
+    few = rows.join(hot.select("key"), "key", "left_anti").selectExpr("key", *rest, "count(*) over (partition by key) as n").where("n > 1")
+    few = few.selectExpr("key", "0 as bi", "0 as bj", "0 as side", *rest)
     many = (
-        counted.where(F.col("n") > BLOCK)
+        rows.join(hot, "key")
         .withColumn("blocks", F.ceil(2 * F.col("n") / BLOCK).cast("int"))
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -9,7 +9,9 @@
    distance, by a Fenwick tree over the second document's positions.
 4. Alignment. The words around each chain are fetched once for each document that takes part, and the
    chain is aligned and extended with tolerance for words that differ.
-5. Passages. Aligned spans of one document that touch are one passage; those of enough words count.
+5. Passages. Spans that touch and go on in the same partner are one stretch; a stretch of enough words in
+   one partner counts, and counted stretches that touch are one passage. Short spans with different
+   partners side by side, such as stock lines, make no passage.
 
 Scale: two shuffles of seeds' worth and one of the texts. Heads come from a sum that combines on the map
 side, and seeds meet them in a join of two scans, so AQE can split the rows of a hot seed; words are
@@ -18,22 +20,24 @@ fetched in slices on a fixed grid, so thousands of chains into one document ask
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.shared import id_and_text, small_batches, staged
 
 #: Words of a seed, and seeds of which a window gives one.
-K, WINDOW = 8, 16
+K, WINDOW = 5, 16
 #: Words from which a passage counts, an aligned span is kept, and spans that far apart are one passage.
 PASSAGE, SPAN, JOIN = 50, 16, 2
+#: Words by which a partner's place may shift between two spans that make one stretch.
+DRIFT = 8
 #: Cost of a gap, by word of distance and by word of difference between the two distances.
 GAP, SHIFT = 0.1, 0.5
 #: Words between two matches from which a chain is cut there.
@@ -307,7 +311,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """(doc_id, passage_start, passage_end, partner_id, start, end, partner_start, partner_end, equal_words).
 
     One row for each aligned span, in words from 0, ends exclusive; passage_start and passage_end are the
-    whole repeated passage that the span is part of, of ``passage`` words at least. The document with the
+    whole repeated passage that the span is part of: ``passage`` words or more of it stand in one partner
+    in the same order. The document with the
     smallest doc_id of those that share a seed keeps its passage: it stands as a partner only. Repeats
     inside one document, null doc_ids, null and empty texts and texts of fewer than ``K`` words have no
     rows. Rows of one doc_id must have one text; rows that repeat count once. An empty table gives an
@@ -318,10 +323,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     asked = chains.select("doc_id", "from", "to").unionByName(chains.selectExpr("partner as doc_id", "p_from as from", "p_to as to"))
     slices = staged(_slices(rows, asked), "slices")
     spans = _aligned(chains, slices).distinct()
-    by_start = Window.partitionBy("doc_id").orderBy("s", "e", "partner", "ps")
-    reached = F.max("e").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
-    islands = spans.withColumn("new", (F.col("s") > F.coalesce(reached, F.lit(-JOIN - 1)) + JOIN).cast("int"))
-    islands = islands.withColumn("island", F.sum("new").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
+    stretches = _numbered(spans.withColumn("drift", F.col("ps") - F.col("s")), ["doc_id", "partner"], "stretch", apart=lambda w: F.abs(F.col("drift") - F.lag("drift").over(w)) > DRIFT)
+    stretch = Window.partitionBy("doc_id", "partner", "stretch")
+    counted = stretches.withColumn("words", F.max("e").over(stretch) - F.min("s").over(stretch)).where(F.col("words") >= passage)
+    islands = _numbered(counted, ["doc_id"], "island")
     whole = Window.partitionBy("doc_id", "island")
     found = islands.withColumn("passage_start", F.min("s").over(whole)).withColumn("passage_end", F.max("e").over(whole))
     return found.where(F.col("passage_end") - F.col("passage_start") >= passage).selectExpr(
@@ -329,6 +334,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
 
 
+def _numbered(spans: DataFrame, keys: list[str], name: str, apart: Callable[[WindowSpec], Column] | None = None) -> DataFrame:
+    """Adds ``name``: spans of the keys by start, numbered anew after a gap of over ``JOIN`` words, or where ``apart`` holds."""
+    by_start = Window.partitionBy(*keys).orderBy("s", "e", "partner", "ps")
+    reached = F.max("e").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.col("s") > F.coalesce(reached, F.lit(-JOIN - 1)) + JOIN
+    if apart is not None:
+        new = new | F.coalesce(apart(by_start), F.lit(False))
+    return spans.withColumn("new", new.cast("int")).withColumn(name, F.sum("new").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
+
+
 def without_passages(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the words of every repeated passage taken out of ``text_col``; nothing else changes.
 

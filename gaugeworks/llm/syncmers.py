@@ -2,24 +2,29 @@
 
 A k-mer of characters is a closed syncmer if the smallest hash among its inner s-mers stands first or
 last. That depends on the k-mer alone, so an edit moves no anchor but those whose k-mers it touches.
-A fingerprint is a one-permutation sketch of a document's anchors: each anchor falls into one of
-``BINS`` by its hash, each bin keeps its smallest value; two fingerprints are as alike as the share of
-bins, among those that either fills, that agree (an estimate of the Jaccard coefficient).
+A fingerprint is a one-permutation sketch of a document's anchors with their places: each anchor falls
+into one of ``BINS`` by its hash, each bin keeps its smallest value and where that anchor first stands.
+Two fingerprints are matched by position: bins of equal value are pairs of places, and of these the
+longest series that stands in the same order in both documents counts. Likeness is its length over the
+number of bins that either fills; without the order it would estimate the Jaccard coefficient.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.shared import id_and_text, per_batch
 
 K, S, BINS = 12, 5, 64
 _EMPTY = 0xFFFF
+#: A bin of a sketch: the anchor's value, and its place in code points.
+_BIN = np.dtype([("value", ">u2"), ("place", ">u4")])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -62,18 +67,36 @@ def anchors(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
     return _mix(h), at
 
 
-def sketch(hashes: np.ndarray, bins: int = BINS) -> np.ndarray:
-    """The smallest 16-bit value of each bin; 0xFFFF where a bin is empty."""
-    out = np.full(bins, _EMPTY, np.uint16)
-    value = np.minimum((hashes >> np.uint64(32)) & np.uint64(0xFFFF), _EMPTY - 1).astype(np.uint16)
-    np.minimum.at(out, (hashes % np.uint64(bins)).astype(np.int64), value)
+def sketch(found: tuple[np.ndarray, np.ndarray], bins: int = BINS) -> np.ndarray:
+    """Of anchors (hashes, positions): each bin's smallest value and where it first stands; 0xFFFF where empty."""
+    hashes, positions = found
+    value = np.minimum((hashes >> np.uint64(32)) & np.uint64(0xFFFF), _EMPTY - 1).astype(np.int64)
+    bin_of = (hashes % np.uint64(bins)).astype(np.int64)
+    order = np.lexsort((positions, value, bin_of))
+    first = order[np.concatenate(([True], np.diff(bin_of[order]) > 0))] if len(order) else order
+    out = np.zeros(bins, _BIN)
+    out["value"] = _EMPTY
+    out["value"][bin_of[first]] = value[first]
+    out["place"][bin_of[first]] = np.minimum(positions[first], 0xFFFFFFFF)
     return out
 
 
+def in_order(a: np.ndarray, b: np.ndarray) -> int:
+    """How many pairs of places (a, b) stand in strictly the same order in both, at most."""
+    ends: list[int] = []
+    for x in b[np.lexsort((-b, a))].tolist():
+        at = bisect_left(ends, x)
+        ends[at : at + 1] = [x]
+    return len(ends)
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two sketches, from 0 to 1; two empty ones are alike."""
-    filled = (a != _EMPTY) | (b != _EMPTY)
-    return float(((a == b) & filled).sum() / filled.sum()) if filled.any() else 1.0
+    """Of two sketches, from 0 to 1: matches in order, over bins that either fills; two empty ones are alike."""
+    filled = (a["value"] != _EMPTY) | (b["value"] != _EMPTY)
+    if not filled.any():
+        return 1.0
+    same = (a["value"] == b["value"]) & filled
+    return in_order(a["place"][same].astype(np.int64), b["place"][same].astype(np.int64)) / int(filled.sum())
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, s: int = S) -> DataFrame:
@@ -86,13 +109,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(ids: list, texts: list) -> dict:
         found = [anchors(t, k, s) for t in texts]
-        return {"doc_id": ids, "hashes": [h.view(np.int64) for h, _ in found], "positions": [p for _, p in found], "fingerprint": [_hex(sketch(h)) for h, _ in found]}
+        return {"doc_id": ids, "hashes": [h.view(np.int64) for h, _ in found], "positions": [p for _, p in found], "fingerprint": [_hex(sketch(f)) for f in found]}
 
     return per_batch(id_and_text(docs, id_col, text_col), run, schema, "doc_id long, hashes array<long>, positions array<long>, fingerprint string", rows=128)
 
 
 def _hex(x: np.ndarray) -> str:
-    return x.astype(">u2").tobytes().hex()
+    return x.tobytes().hex()
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -108,21 +131,25 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = rows.select("doc_id").approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n)) if n > 1 else []
     bounds = sorted({int(b) for b in bounds})
-    edges = F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<long>")
-    # a null doc_id comes first, like a number below all
-    bucket = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(edges, lambda b: b <= F.col("doc_id"))))
-    rows = rows.withColumn("bucket", bucket)
+
+    def bucket(low: int, high: int) -> Column:
+        """Of buckets low to high the one of doc_id, by halving; a null doc_id comes first."""
+        if low == high:
+            return F.lit(low)
+        half = (low + high) // 2
+        return F.when(F.coalesce(F.col("doc_id") < bounds[half], F.lit(True)), bucket(low, half)).otherwise(bucket(half + 1, high))
+
+    rows = rows.withColumn("bucket", bucket(0, len(bounds)))
     firsts = rows.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("first"))
     found = sorted((r.bucket, r.first.doc_id) for r in firsts.collect())
-    sends = [(found[i][1], found[i - 1][0] if i else found[-1][0]) for i in range(len(found))]
-    known = [x for f, t in sends if f is not None for x in (F.lit(f).cast("long"), F.lit(t))]
-    extra = F.try_element_at(F.create_map(*known), F.col("doc_id")) if known else F.lit(None).cast("int")
-    for first, to in sends:
-        if first is None:
-            extra = F.when(F.col("doc_id").isNull(), to).otherwise(extra)
+    sends = {found[i][0]: (found[i][1], found[i - 1][0] if i else found[-1][0]) for i in range(len(found))}
+    # a row can only be the first of its own bucket
+    first_of = F.array(*[F.lit(sends.get(i, (None, 0))[0]).cast("long") for i in range(len(bounds) + 1)])
+    goes_to = F.array(*[F.lit(sends.get(i, (None, 0))[1]) for i in range(len(bounds) + 1)])
+    extra = F.when(F.get(first_of, F.col("bucket")).eqNullSafe(F.col("doc_id")), F.get(goes_to, F.col("bucket")))
     places = F.array_compact(F.array(F.struct("bucket", F.lit(False).alias("carry")), F.when(extra.isNotNull(), F.struct(extra.alias("bucket"), F.lit(True).alias("carry")))))
     dealt = rows.select("doc_id", "text", F.explode(places).alias("place")).select("place.bucket", "doc_id", "text", "place.carry")
-    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "carry", "doc_id", "text")
+    return dealt.repartitionById(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", "carry", "doc_id", "text")
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,12 +175,12 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 for bucket, i, text, carry in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    own = sketch(anchors(text)[0])
+                    own = sketch(anchors(text))
                     if last is not None and last[0] == bucket:
                         _, j, before, a = last
                         n = len(before)
                         edited = before[: n - n // 4] + text[: n // 4]
-                        e = sketch(anchors(edited)[0])
+                        e = sketch(anchors(edited))
                         out.append((j, n, edited, _hex(a), _hex(e), likeness(a, e), likeness(a, own)))
                         chars += len(edited)
                         if chars > 4_000_000:

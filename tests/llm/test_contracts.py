@@ -143,7 +143,8 @@ def test_pure_tone_peaks_at_its_bin():
     tone = (128 + 100 * np.sin(2 * np.pi * 20 * n / media.WINDOW)).astype(np.uint8).tobytes()
     assert set(media.peaks(tone)[:, 1].tolist()) == {20}
     times, codes = media.landmarks(media.peaks(tone))
-    assert len(times) == len(codes) == (7 + 6) * (len(media.BANDS) - 1)
+    n, bands = len(media.peaks(tone)), len(media.BANDS) - 1
+    assert n == 16 and len(times) == len(codes) == n * 6 + (n - 1 + n - 2) * bands**2
 
 
 def test_long_payload_in_runs(monkeypatch):
@@ -239,12 +240,10 @@ def test_license(spark, table):
 
 
 def brute_rules(text):
-    """Labels by the rules, with Python's regular expressions and plain loops."""
+    """Labels by the rules, each tried on every text, with Python's regular expressions and plain loops."""
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(text))
     norm = "^ " + " ".join(words) + " "
-    if not any(s in norm for s in license_scan.STEMS):
-        return set()
-    found = [(m.start(), m.end(), pr, n, label) for n, (kw, pattern, label, pr) in enumerate(license_scan.rules()) if kw in norm for m in re.finditer(pattern, norm)]
+    found = [(m.start(), m.end(), r.priority, n, r.label) for n, r in enumerate(license_scan.rules()) for m in re.finditer(r.pattern, norm)]
 
     def overruled(d):
         for e in found:
@@ -279,15 +278,12 @@ SHORT = [
 ]
 
 
-def test_license_rules_without_any_gate(spark, monkeypatch):
+def test_license_rules_without_any_gate(spark):
     """Every rule tried on every text, whatever its keyword, finds the same labels."""
     texts = [t for t, _ in SHORT] + TEXTS + ["submit or permit commits", "mit freundlichen Grüßen", "see the psf for apache"]
     texts += [re.sub(r"\\|[?]:|[()?]", "", x).replace("|", " ").replace("[cs]", "s") for _, names, *_ in [f[1:] for f in license_scan.FAMILIES] for x in (f"released under {names}", f"{names} license")]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: set(r["labels"]) for r in license_scan.license_labels(df).collect()}
-    ungated = [("", *rule[1:]) for rule in license_scan.rules()]
-    monkeypatch.setattr(license_scan, "rules", lambda: ungated)
-    monkeypatch.setattr(license_scan, "STEMS", [""])
     for i, t in enumerate(texts):
         assert got[i] == brute_rules(t) | set(filter(None, brute_base(t)[4].split(","))), t
     assert all(label in got[i] for i, (_, label) in enumerate(SHORT))

