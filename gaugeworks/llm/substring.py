@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from gaugeworks.llm.shared import id_and_text, small_batches, staged
 
 #: Words of a seed, and seeds of which a window gives one.
-K, WINDOW = 5, 16
+K, WINDOW = 6, 16
 #: Words from which a passage counts, an aligned span is kept, and spans that far apart are one passage.
 PASSAGE, SPAN, JOIN = 50, 16, 2
 #: Words by which a partner's place may shift between two spans that make one stretch.
