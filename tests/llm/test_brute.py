@@ -446,3 +446,35 @@ def test_hot_keys_are_dealt_out(spark, monkeypatch):
 
 def test_clashing_and_extra_columns(odd):
     assert "score" in odd.columns and quality.accepted(odd.where("false"), odd.select("doc_id", F.lit(1).alias("quality"))).columns == odd.columns
+
+
+def test_large_group_around_one_original(spark, monkeypatch):
+    """Copies that are like the original but not like each other: all are found, in blocks, whichever comes first."""
+    monkeypatch.setattr(simhash, "SET_BLOCK", 16)
+    rng = np.random.default_rng(4)
+    own = prose(4321, 300).split()
+    texts = []
+    for n in range(120):
+        words = list(own)
+        for i in rng.choice(300, 6, replace=False):
+            words[int(i)] = f"edit{n}x{i}"
+        texts.append(" ".join(words))
+    texts.append(" ".join(own))
+    texts += [prose(5000 + i, 200) for i in range(20)]
+    sets = [set(simhash.shingle_set(t).tolist()) for t in texts]
+    like = lambda a, b: len(a & b) / len(a | b)
+    assert sum(like(s, sets[120]) >= 0.8 for s in sets[:120]) > 20 and sum(like(sets[0], s) >= 0.8 for s in sets[1:120]) < 10
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if like(sets[a], sets[b]) >= 0.8:
+                p, q = sorted((root(a), root(b)))
+                parent[q] = p
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(df).collect()} == {i: root(i) for i in range(len(texts))}
