@@ -48,14 +48,15 @@ TASK_HITS = 1_000_000
 def keyword_hits(docs: DataFrame, terms: DataFrame, text: Column, id_col: str = "doc_id") -> DataFrame:
     """(id, length, term, tf), written once: the words of each text that ``terms`` has, and one row of term "" for each text.
 
-    Every text is read and split once; words are filtered before the first shuffle.
+    Every text is read and split once; words are filtered before the first shuffle. The length of a null
+    text is null.
     """
     wanted = terms.select("term").distinct().union(docs.sparkSession.createDataFrame([("",)], "term string"))
     if wanted.count() <= BROADCAST_TERMS:
         wanted = F.broadcast(wanted)
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    split = docs.select(F.col(id_col).cast("long").alias(id_col), F.coalesce(words, F.array().cast("array<string>")).alias("_w"))
-    rows = split.select(id_col, F.size("_w").alias("length"), F.explode(F.concat(F.array(F.lit("")), "_w")).alias("term"))
+    split = docs.select(F.col(id_col).cast("long").alias(id_col), words.alias("_w"))
+    rows = split.select(id_col, F.size("_w").alias("length"), F.explode(F.concat(F.array(F.lit("")), F.coalesce("_w", F.array().cast("array<string>")))).alias("term"))
     kept = rows.join(wanted, "term", "left_semi")
     return staged(kept.groupBy(id_col, "length", "term").agg(F.count("*").alias("tf")), "hits")
 
