@@ -87,6 +87,27 @@ def due(outbox: DataFrame, now: int, most: int) -> DataFrame:
     return rows.withColumn("rank", F.rank().over(Window.partitionBy("pattern_key").orderBy("next_attempt_at", "event_id")))
 
 
+def claimed(outbox: DataFrame, now: int, lease_until: int, most: int = 1) -> DataFrame:
+    """The ``most`` pending rows that have been due longest, each with one more attempt and a lease.
+
+    Each task keeps its own ``most`` first rows, so ``most`` is what a worker can deliver in one go.
+    """
+    first = outbox.where((F.col("status") == "pending") & (F.col("next_attempt_at") <= now)).orderBy("next_attempt_at", "event_id").limit(most)
+    return first.withColumn("attempts", F.col("attempts") + 1).withColumn("next_attempt_at", F.lit(lease_until).cast(outbox.schema["next_attempt_at"].dataType))
+
+
+def finished(outbox: DataFrame, answers: DataFrame) -> DataFrame:
+    """``outbox`` with the status and next time that ``answers`` (event_id, attempts, status, next_attempt_at) set.
+
+    An answer counts only if the row is pending and no later attempt has been claimed; answers are distinct by event_id
+    and attempts.
+    """
+    a = answers.select("event_id", "attempts", F.struct("status", "next_attempt_at").alias("_set"))
+    j = outbox.join(a, ["event_id", "attempts"], "left").withColumn("_set", F.when(F.col("status") == "pending", F.col("_set")))
+    changed = {c: F.when(F.col("_set").isNotNull(), F.col(f"_set.{c}").cast(outbox.schema[c].dataType)).otherwise(F.col(c)) for c in ("status", "next_attempt_at")}
+    return j.withColumns(changed).select(*outbox.columns)
+
+
 def backoff(attempts: Column, steps: Sequence[int] = (10, 30, 120, 600)) -> Column:
     """Seconds until the next attempt after so many."""
     table = F.array(*map(F.lit, steps))
@@ -140,8 +161,9 @@ def reuse_counts(resolutions: DataFrame, card: str = "card_id", case: str = "cas
 
 
 def pending_patterns(outbox: DataFrame) -> DataFrame:
-    """(pattern_key, pending): patterns with a delivery still to be made (C4)."""
-    return outbox.groupBy("pattern_key").agg(F.bool_or(F.col("status") == "pending").alias("pending"))
+    """(pattern_key, pending): patterns with a delivery that is pending or has failed (C4); null keys have none."""
+    waiting = F.coalesce(F.col("status").isin("pending", "failed"), F.lit(False))
+    return outbox.where(F.col("pattern_key").isNotNull()).groupBy("pattern_key").agg(F.bool_or(waiting).alias("pending"))
 
 
 def excluded(judgments: DataFrame, results: DataFrame, case: str = "case_id", candidate: str = "candidate_id", time: str = "at") -> DataFrame:

@@ -160,6 +160,42 @@ def recent_turns(turns: DataFrame, most: int = 8, chars: int = 1500, key: str =
     return rows.withColumn("text", F.left(F.col("text"), F.lit(chars)))
 
 
+def bounded_context(records: DataFrame, now: int, keys: Sequence[str], outcomes: Sequence[str], most: int = 5, chars: int = 1200, case: str = "case_id", order: str = "position") -> DataFrame:
+    """Each key's newest past records, at most ``most``: of one case the last counts, notes are cut.
+
+    Records (keys, case_id, position, closed_at, outcome, note) with a null case or time, a time after
+    ``now`` or another outcome are left out before. A null note is empty.
+    """
+    ok = F.col(case).isNotNull() & (F.col("closed_at") <= now) & F.col("outcome").isin(*outcomes)
+    last = Window.partitionBy(*keys, case).orderBy(F.desc(order))
+    newest = Window.partitionBy(*keys).orderBy(F.desc("closed_at"), F.desc(case))
+    rows = records.where(ok).withColumn("_n", F.row_number().over(last)).where("_n = 1")
+    rows = rows.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= most).drop("_n")
+    return rows.withColumn("note", F.left(F.coalesce("note", F.lit("")), F.lit(chars)))
+
+
+def valid_questions(questions: DataFrame, quotes: DataFrame, pages: DataFrame, least: int = 12, code: str = r"E\d{3}") -> DataFrame:
+    """(question_id, problems) of a question set (X49): (question_id, pack_id, code, question, reference).
+
+    A question of a code's pack names the code, any other names none; it has a reference and at least one
+    quote (question_id, doc, page, quote), each of ``least`` characters or more and on a page of its pack
+    (pack_id, doc, page, text).
+    """
+    p = pages.select("pack_id", "doc", "page", collapsed(F.col("text")).alias("_text"))
+    own = quotes.join(questions.select("question_id", "pack_id"), "question_id")
+    inside = (F.length(F.trim("quote")) >= least) & F.contains(F.col("_text"), collapsed(F.col("quote")))
+    held = own.join(p, ["pack_id", "doc", "page"], "left").groupBy("question_id").agg(F.bool_and(F.coalesce(inside, F.lit(False))).alias("_held"))
+    j = questions.join(held, "question_id", "left")
+    text = F.coalesce("question", F.lit(""))
+    problems = F.array_compact(F.array(
+        F.when(F.col("_held").isNull() | (F.trim(F.coalesce("reference", F.lit(""))) == ""), F.lit("no reference or source")),
+        F.when(F.col("code").isNotNull() & ~F.contains(text, F.col("code")), F.lit("code not named")),
+        F.when(F.col("code").isNull() & text.rlike(code), F.lit("a code named")),
+        F.when(~F.col("_held"), F.lit("quote not on its page")),
+    ))
+    return j.select("question_id", problems.alias("problems"))
+
+
 def warning_block(runs: DataFrame, minute: int) -> DataFrame:
     """Adds active_min of an early warning's run: started minutes, the first one included."""
     return runs.withColumn("active_min", F.floor((F.col("end_t") - F.col("start_t")) / minute) + 1)

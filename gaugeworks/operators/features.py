@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.text import draw
 from gaugeworks.operators.intervals import ordered
 
 
@@ -83,8 +84,8 @@ def every_kth(df: DataFrame, k: int, key: str = "gun", time: str = "t") -> DataF
 
 
 def hashed_sample(df: DataFrame, n: int, by: Sequence[str], seed: int = 0) -> DataFrame:
-    """n rows, the same for a seed, in the order of a hash of ``by``."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *by), *by).limit(n)
+    """n rows, the same for a seed, in the order of draws from ``by`` (O12); each task keeps its own n first rows."""
+    return df.orderBy(draw(F.lit(seed), *[F.col(c) for c in by]), *by).limit(n)
 
 
 def first_in_last(df: DataFrame, flag: Column, last: int, fallback: int, key: str = "gun", time: str = "t") -> DataFrame:

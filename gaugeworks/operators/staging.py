@@ -35,13 +35,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     though several later steps read them. An application's tables are deleted when its driver ends.
     """
     spark = df.sparkSession
-    home = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
-    path = f"{home}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    _deleted_at_exit(spark, home)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for files that an application needs until its driver ends."""
+    home = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+    _deleted_at_exit(spark, home)
+    return f"{home}/{name}-{uuid.uuid4().hex}"
+
+
 def _deleted_at_exit(spark: SparkSession, home: str) -> None:
     if spark.conf.get(f"{_OWN}.marked", None) != home:
         where = spark._jvm.org.apache.hadoop.fs.Path(home)

@@ -7,6 +7,7 @@ dropped, one by one (the batch form has no such rule).
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -23,6 +24,27 @@ def complete_windows(stream: DataFrame, width: str, late: str, columns: Sequence
     return w.select(key, F.col("window.start").alias("w_start"), F.col("window.end").alias("w_end"), "n", *[f"{c}_{s}" for c in columns for s in ("mean", "std")])
 
 
+def sliding_windows(stream: DataFrame, width: str, step: str, late: str, column: str, key: str = "gun_id", time: str = "time") -> DataFrame:
+    """(key, w_start, w_end, n, mean) of windows that begin every ``step``, each once when the watermark has passed it."""
+    w = stream.withWatermark(time, late).groupBy(key, F.window(time, width, step)).agg(F.count("*").alias("n"), F.avg(column).alias("mean"))
+    return w.select(key, F.col("window.start").alias("w_start"), F.col("window.end").alias("w_end"), "n", "mean")
+
+
+def session_windows(stream: DataFrame, gap: str, late: str, column: str, key: str = "gun_id", time: str = "time") -> DataFrame:
+    """(key, s_start, s_end, n, mean) of runs of rows less than ``gap`` apart; s_end is the last row's time plus ``gap``."""
+    w = stream.withWatermark(time, late).groupBy(key, F.session_window(time, gap)).agg(F.count("*").alias("n"), F.avg(column).alias("mean"))
+    return w.select(key, F.col("session_window.start").alias("s_start"), F.col("session_window.end").alias("s_end"), "n", "mean")
+
+
+def state_folder(folder: str, *model: object) -> str:
+    """The checkpoint folder of a stream scored by one model.
+
+    A restarted stream of the same model finds its state again; a new model, or a new rule, starts with
+    none. ``model`` is what the state depends on: version, rule, channels.
+    """
+    return f"{folder}/{hashlib.sha256(repr(model).encode()).hexdigest()[:32]}"
+
+
 @dataclass(frozen=True)
 class Rule:
     """Terminal codes, cooldown and repeat span (milliseconds); per code or shared."""
