@@ -6,7 +6,7 @@ Rows of one key are ordered by time and then by ``tie``, so results don't depend
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -20,8 +20,42 @@ def up_to_here(w: WindowSpec) -> WindowSpec:
     return w.rowsBetween(Window.unboundedPreceding, 0)
 
 
-def with_segments(df: DataFrame, limit: int, key: str = "gun", time: str = "t", tie: Sequence[str] = ()) -> DataFrame:
-    """Adds segment_id: rows of a key, numbered anew after every step longer than ``limit`` (T5)."""
+def _chunked(df: DataFrame, key: str, time: str, chunk: int) -> DataFrame:
+    return df.withColumn("_chunk", F.floor(F.col(time) / chunk))
+
+
+def by_chunk(df: DataFrame, key: str, more: dict[str, Column], carried: dict[str, Column]) -> DataFrame:
+    """Joins to each row what its chunk needs from the other chunks of its key.
+
+    ``more`` are aggregates of a chunk, ``carried`` are windows over these, a row a chunk. So a key of any size is
+    in as many tasks as it has chunks; only its chunks' aggregates come together.
+    """
+    ends = df.groupBy(key, "_chunk").agg(*[c.alias(n) for n, c in more.items()])
+    ends = ends.select(F.col(key).alias("_k"), F.col("_chunk").alias("_c"), *[c.alias(n) for n, c in carried.items()])
+    return df.join(ends, F.col(key).eqNullSafe(F.col("_k")) & F.col("_chunk").eqNullSafe(F.col("_c"))).drop("_k", "_c")
+
+
+def earlier_chunks(key: str) -> WindowSpec:
+    return Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _numbered_in_chunks(df: DataFrame, name: str, parts: Sequence[str], starts: Callable[[Column], Column], key: str, time: str, chunk: int) -> DataFrame:
+    """Adds ``name``: how many rows up to here start something. ``starts`` gets the row before, a struct of time and ``parts``."""
+    here = F.struct(time, *parts)
+    rows = by_chunk(_chunked(df, key, time, chunk), key, {"_last": F.max(here)}, {"_carried": F.lag("_last").over(Window.partitionBy(key).orderBy("_chunk"))})
+    w = Window.partitionBy(key, "_chunk").orderBy(time, *parts)
+    rows = rows.withColumn("_before", F.coalesce(F.lag(here).over(w), F.col("_carried"))).withColumn("_new", starts(F.col("_before")).cast("long"))
+    rows = by_chunk(rows, key, {"_sum": F.sum("_new")}, {"_base": F.coalesce(F.sum("_sum").over(earlier_chunks(key)), F.lit(0))})
+    return rows.withColumn(name, F.col("_base") + F.sum("_new").over(up_to_here(w))).drop("_chunk", "_carried", "_before", "_new", "_base")
+
+
+def with_segments(df: DataFrame, limit: int, key: str = "gun", time: str = "t", tie: Sequence[str] = (), chunk: int | None = None) -> DataFrame:
+    """Adds segment_id: rows of a key, numbered anew after every step longer than ``limit`` (T5).
+
+    ``chunk`` splits the work of a key into spans of so much time, with the same result; times are not null then.
+    """
+    if chunk is not None:
+        return _numbered_in_chunks(df, "segment_id", tie, lambda before: F.coalesce(F.col(time) - before[time] > limit, F.lit(False)), key, time, chunk)
     w = ordered(key, time, *tie)
     step = F.col(time) - F.lag(time).over(w)
     return df.withColumn("_new", F.when(step > limit, 1).otherwise(0)).withColumn("segment_id", F.sum("_new").over(up_to_here(w))).drop("_new")
@@ -35,16 +69,24 @@ def gap_list(df: DataFrame, limit: int, context: Sequence[str], key: str = "gun"
     return steps.withColumn("gap", F.col("gap_end") - F.col("gap_start")).where(F.col("gap") > limit)
 
 
-def runs(df: DataFrame, state: str, key: str = "gun", time: str = "t", limit: int | None = None) -> DataFrame:
+def runs(df: DataFrame, state: str, key: str = "gun", time: str = "t", limit: int | None = None, chunk: int | None = None) -> DataFrame:
     """Maximal runs of equal ``state``: start_t, end_t, duration, n_rows.
 
-    With ``limit``, a step longer than it ends a run too (T15); without, gaps don't.
+    With ``limit``, a step longer than it ends a run too (T15); without, gaps don't. ``chunk`` splits the work of
+    a key into spans of so much time, with the same result; times are not null then, and rows of one time
+    go by their state.
     """
-    w = ordered(key, time)
-    change = ~F.col(state).eqNullSafe(F.lag(state).over(w)) | F.lag(time).over(w).isNull()
-    if limit is not None:
-        change = change | (F.col(time) - F.lag(time).over(w) > limit)
-    islands = df.withColumn("_new", change.cast("int")).withColumn("run_id", F.sum("_new").over(up_to_here(w)))
+
+    def changed(state_before: Column, time_before: Column) -> Column:
+        change = ~F.col(state).eqNullSafe(state_before) | time_before.isNull()
+        return change if limit is None else change | (F.col(time) - time_before > limit)
+
+    if chunk is not None:
+        islands = _numbered_in_chunks(df, "run_id", [state], lambda before: changed(before[state], before[time]), key, time, chunk)
+    else:
+        w = ordered(key, time)
+        change = changed(F.lag(state).over(w), F.lag(time).over(w))
+        islands = df.withColumn("_new", change.cast("int")).withColumn("run_id", F.sum("_new").over(up_to_here(w)))
     out = islands.groupBy(key, "run_id").agg(F.first(state).alias(state), F.min(time).alias("start_t"), F.max(time).alias("end_t"), F.count("*").alias("n_rows"))
     return out.withColumn("duration", F.col("end_t") - F.col("start_t"))
 
@@ -62,11 +104,12 @@ def with_sessions(df: DataFrame, gap: int, key: str = "gun", time: str = "t") ->
     return out.withColumn("session_size", size).withColumn("simultaneous", size > 1)
 
 
-def asof_before(left: DataFrame, right: DataFrame, values: Sequence[str], key: str = "gun", time: str = "t") -> DataFrame:
+def asof_before(left: DataFrame, right: DataFrame, values: Sequence[str], key: str = "gun", time: str = "t", chunk: int | None = None) -> DataFrame:
     """Each row of ``left`` with the last row of ``right`` strictly before it: last_t and ``values``.
 
     One pass over both sides in order of time; no join of every pair. Rows of ``right`` at one time:
-    the greatest by ``values`` counts.
+    the greatest by ``values`` counts. ``chunk`` splits the work of a key into spans of so much time, with
+    the same result; times are not null then.
     """
     facts = F.struct(F.col(time).alias("last_t"), *[F.col(v) for v in values])
     none = F.lit(None)
@@ -74,8 +117,14 @@ def asof_before(left: DataFrame, right: DataFrame, values: Sequence[str], key: s
     l = left.select(F.struct(*l_names).alias("_row"), F.col(key).alias("_key"), F.col(time).alias("_t"), F.lit(0).alias("_side"))
     r = right.select(F.col(key).alias("_key"), F.col(time).alias("_t"), F.lit(1).alias("_side"), facts.alias("_fact"))
     both = l.withColumn("_fact", none.cast(r.schema["_fact"].dataType)).unionByName(r.withColumn("_row", none.cast(l.schema["_row"].dataType)))
-    w = Window.partitionBy("_key").orderBy("_t", "_side", "_fact").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_last", F.last("_fact", ignorenulls=True).over(w)).where(F.col("_side") == 0)
+    if chunk is not None:
+        both = by_chunk(_chunked(both, "_key", "_t", chunk), "_key", {"_newest": F.max("_fact")}, {"_earlier": F.max("_newest").over(earlier_chunks("_key"))})
+        w = Window.partitionBy("_key", "_chunk").orderBy("_t", "_side", "_fact").rowsBetween(Window.unboundedPreceding, 0)
+        last = F.coalesce(F.last("_fact", ignorenulls=True).over(w), F.col("_earlier"))
+    else:
+        w = Window.partitionBy("_key").orderBy("_t", "_side", "_fact").rowsBetween(Window.unboundedPreceding, 0)
+        last = F.last("_fact", ignorenulls=True).over(w)
+    found = both.withColumn("_last", last).where(F.col("_side") == 0)
     return found.select("_row.*", "_last.*")
 
 

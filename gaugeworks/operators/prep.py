@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.operators.intervals import ordered, up_to_here
+from gaugeworks.operators.intervals import by_chunk, earlier_chunks, ordered, up_to_here
 
 #: Terminal controller codes and the fault class of each.
 TERMINAL = {"E012": "E01", "E016": "E02", "E028": "E03", "E029": "E04"}
@@ -49,14 +49,26 @@ def non_welding(c16: Column, low: float = 0.0, high: float | None = None) -> Col
     return (c16 <= low) | (c16 > high) if high is not None else c16 <= low
 
 
-def carry(df: DataFrame, blank: Column, columns: Sequence[str], key: str = "gun", time: str = "t") -> DataFrame:
+def carry(df: DataFrame, blank: Column, columns: Sequence[str], key: str = "gun", time: str = "t", chunk: int | None = None) -> DataFrame:
     """``columns`` are blanked where ``blank``, then filled forward, and the head backward.
 
-    Whatever must see the measured values (P4) is computed before.
+    Whatever must see the measured values (P4) is computed before. ``chunk`` splits the work of a key into spans of
+    so much time, with the same result; times are not null then.
     """
     w = ordered(key, time)
     named = {c: F.when(~blank, F.col(c)) for c in columns}
     rows = df.withColumns({f"_{c}": e for c, e in named.items()})
+    if chunk is not None:
+        at = {c: F.when(F.col(f"_{c}").isNotNull(), F.col(time)) for c in columns}
+        later = Window.partitionBy(key).orderBy("_chunk").rowsBetween(1, Window.unboundedFollowing)
+        ends = {f"_{c}_{n}": f(f"_{c}", at[c]) for c in columns for n, f in (("first", F.min_by), ("last", F.max_by))}
+        carried = {f"_{c}_before": F.last(f"_{c}_last", ignorenulls=True).over(earlier_chunks(key)) for c in columns}
+        carried |= {f"_{c}_after": F.first(f"_{c}_first", ignorenulls=True).over(later) for c in columns}
+        rows = by_chunk(rows.withColumn("_chunk", F.floor(F.col(time) / chunk)), key, ends, carried)
+        w = Window.partitionBy(key, "_chunk").orderBy(time)
+        ahead = w.rowsBetween(0, Window.unboundedFollowing)
+        held = {c: F.coalesce(F.last(f"_{c}", ignorenulls=True).over(up_to_here(w)), F.col(f"_{c}_before"), F.first(f"_{c}", ignorenulls=True).over(ahead), F.col(f"_{c}_after")) for c in columns}
+        return rows.withColumns(held).drop("_chunk", *[f"_{c}" for c in columns], *carried)
     held = {c: F.coalesce(F.last(f"_{c}", ignorenulls=True).over(up_to_here(w)), F.first(f"_{c}", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))) for c in columns}
     return rows.withColumns(held).drop(*[f"_{c}" for c in columns])
 

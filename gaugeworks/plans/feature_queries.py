@@ -60,6 +60,15 @@ def carry_non_welding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.carry(rows, F.col("non_welding"), ["value"]).select("event_id", "non_welding", "value")
 
 
+@query("""WITH b AS (SELECT *, CASE WHEN k > 20 THEN value END AS v, k <= 20 AS non_welding FROM ev)
+SELECT event_id, non_welding, coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY gun ORDER BY t ROWS UNBOUNDED PRECEDING),
+ first_value(v IGNORE NULLS) OVER (PARTITION BY gun ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS value FROM b""")
+def carry_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, a gun's rows in spans of three days."""
+    rows = readings(spark, sf_dir).withColumn("non_welding", P.non_welding(F.col("k"), 20))
+    return P.carry(rows, F.col("non_welding"), ["value"], chunk=3 * DAY).select("event_id", "non_welding", "value")
+
+
 @query("""SELECT event_id, round(sin(2 * pi() * m / 1440), 6) AS hour_sin, round(cos(2 * pi() * m / 1440), 6) AS hour_cos, CAST(isodow - 1 AS INTEGER) AS dow
 FROM (SELECT event_id, hour(ts) * 60 + minute(ts) AS m, isodow(ts) AS isodow FROM events)""")
 def clock_features(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,6 +58,18 @@ def code_runs_gap_break(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.runs(readings(spark, sf_dir), "code", limit=12 * HOUR)
 
 
+@query(_RUNS.format(more=f"OR t - lag(t) OVER w > {12 * HOUR}"))
+def code_runs_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, a gun's rows in spans of three days."""
+    return I.runs(readings(spark, sf_dir), "code", limit=12 * HOUR, chunk=3 * DAY)
+
+
+@query(f"WITH p AS (SELECT *, t - lag(t) OVER (PARTITION BY gun ORDER BY t, event_id) > {12 * HOUR} AS far FROM ev) SELECT event_id, count_if(coalesce(far, false)) OVER (PARTITION BY gun ORDER BY t, event_id) AS segment_id FROM p")
+def segments_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T5, a gun's rows in spans of three days."""
+    return I.with_segments(readings(spark, sf_dir), 12 * HOUR, tie=["event_id"], chunk=3 * DAY).select("event_id", "segment_id")
+
+
 @query(f"""WITH d AS (SELECT gun, t // {6 * HOUR} AS slot, avg(CASE WHEN code = 'error' THEN 0.0 ELSE 1.0 END) AS share FROM ev GROUP BY 1, 2),
 i AS (SELECT *, slot - row_number() OVER (PARTITION BY gun ORDER BY slot) AS island FROM d WHERE share >= 0.9)
 SELECT gun, min(slot) AS first_slot, max(slot) AS last_slot, count(*) AS n_slots FROM i GROUP BY gun, island HAVING count(*) >= 3""")
@@ -95,6 +107,15 @@ def asof_last_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.asof_before(ev.where("code = 'error'").select("event_id", "gun", "t"), other, ["last_value"])
 
 
+@query("""SELECT a.event_id, a.gun, a.t, b.t AS last_t, b.value AS last_value FROM (SELECT * FROM ev WHERE code = 'error') a
+ASOF LEFT JOIN (SELECT * FROM ev WHERE code = 'purchase') b ON a.gun = b.gun AND a.t > b.t""")
+def asof_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, a gun's rows in spans of three days."""
+    ev = readings(spark, sf_dir)
+    other = ev.where("code = 'purchase'").select("gun", "t", F.col("value").alias("last_value"))
+    return I.asof_before(ev.where("code = 'error'").select("event_id", "gun", "t"), other, ["last_value"], chunk=3 * DAY)
+
+
 @query("""SELECT event_id, t - max(CASE WHEN code = 'error' THEN t END) OVER (PARTITION BY gun ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS since,
 min(CASE WHEN code = 'error' THEN t END) OVER (PARTITION BY gun ORDER BY t ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) - t AS until FROM ev""")
 def time_to_next_event(spark: SparkSession, sf_dir: str) -> DataFrame:
