@@ -53,6 +53,22 @@ def test_eligible_and_conflicts(spark):
     assert {r["event_id"]: r["conflict"] for r in E.conflicts(scores, cases).collect()} == {"e": True, "f": False}
 
 
+def test_bounded_context(spark):
+    made = [("g", "c1", 1, 10, "resolved", "first"), ("g", "c1", 2, 5, "resolved", "second"), ("g", "c2", 3, 20, "resolved", None), ("g", "c3", 4, 99, "resolved", "later"), ("g", "c4", 5, 7, "open", "x"), ("g", None, 6, 7, "resolved", "x"), ("g", "c5", 7, None, "resolved", "x"), ("g", "c6", 8, 1, "resolved", "old")]
+    df = spark.createDataFrame(made, "gun string, case_id string, position int, closed_at int, outcome string, note string")
+    got = E.bounded_context(df, 50, ["gun"], ["resolved", "false_alarm"], 2, 3).orderBy("case_id").collect()
+    assert [(r["case_id"], r["note"]) for r in got] == [("c1", "sec"), ("c2", "")]
+    assert E.bounded_context(df.where("false"), 50, ["gun"], ["resolved"]).count() == 0
+
+
+def test_questions(spark):
+    pages = spark.createDataFrame([("p", "d", 1, "the pres-\nsure is  too low")], "pack_id string, doc string, page int, text string")
+    q = spark.createDataFrame([("a", "p", "E012", "what of E012", "x"), ("b", "p", "E012", None, "x"), ("c", "p", None, "E016 there", "x"), ("e", "p", None, "short", "x"), ("f", "p", None, "no quote", "x"), ("g", "p", None, "other", " ")], "question_id string, pack_id string, code string, question string, reference string")
+    quotes = spark.createDataFrame([(i, "d", 1, "pressure is too low") for i in "abcg"] + [("e", "d", 1, "too low"), ("a", "d", 1, "the pressure is")], "question_id string, doc string, page int, quote string")
+    want = {"a": [], "b": ["code not named"], "c": ["a code named"], "e": ["quote not on its page"], "f": ["no reference or source"], "g": ["no reference or source"]}
+    assert {r["question_id"]: r["problems"] for r in E.valid_questions(q, quotes, pages).collect()} == want
+
+
 def test_version_guard(spark):
     df = spark.createDataFrame([("v1",)], "version string")
     assert E.same_version(df, F.col("version"), "v1").count() == 1

@@ -47,10 +47,21 @@ def test_cards(spark):
     assert [r["f"] for r in C.disjoint(a, b, key="f").collect()] == [2]
     out = spark.createDataFrame([("p", "pending"), ("p", "done"), ("q", "done")], "pattern_key string, status string")
     assert {r["pattern_key"]: r["pending"] for r in C.pending_patterns(out).collect()} == {"p": True, "q": False}
+    failed = spark.createDataFrame([("p", "failed"), (None, "pending"), ("q", None)], "pattern_key string, status string")
+    assert {r["pattern_key"]: r["pending"] for r in C.pending_patterns(failed).collect()} == {"p": True, "q": False}
     r = one(spark, C.group_key(F.lit("x"), F.lit("k"), F.lit("E1")).alias("a"), C.group_key(F.lit(None), F.lit("early_warning"), F.lit("E1")).alias("b"), C.group_key(F.lit(None), F.lit("k"), F.lit("E1")).alias("c"))
     assert tuple(r) == ("episode:x", "early_warning", "E1")
 
 
+def test_claims(spark):
+    box = spark.createDataFrame([(1, "pending", 0, 5), (2, "pending", 1, 3), (3, "done", 1, 1), (4, "pending", 0, 50), (5, None, 0, 1)], "event_id int, status string, attempts int, next_attempt_at long")
+    got = C.claimed(box, 10, 70, 1).collect()
+    assert [tuple(r) for r in got] == [(2, "pending", 2, 70)]
+    answers = spark.createDataFrame([(1, 0, "done", 0), (2, 0, "done", 0), (3, 1, "failed", 9), (9, 0, "done", 0)], "event_id int, attempts int, status string, next_attempt_at int")
+    done = {r["event_id"]: (r["status"], r["next_attempt_at"]) for r in C.finished(box, answers).collect()}
+    assert done == {1: ("done", 0), 2: ("pending", 3), 3: ("done", 1), 4: ("pending", 50), 5: (None, 1)}
+
+
 def test_findings(spark):
     kind = "array<struct<feature:string,contribution:double,share:double>>"
     parts = [("c1_mean", 0.5, 0.5), ("hour_sin_mean", 0.3, 0.3), ("c2_std", 0.1, 0.1), ("c3_mean", 0.01, 0.01), ("c4_std", 0.2, 0.2)]

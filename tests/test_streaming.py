@@ -84,3 +84,17 @@ def test_gated_windows_equal_batch(spark, sf_dir, tmp_path):
     alarm, _ = A.alarm_gate(F.col("idle"), F.lit(False), F.col("held"), F.col("score") >= 40)
     rows = A.early_warning(rows.withColumn("alarm", alarm), F.col("alarm"), 2, step)
     assert got == {tuple(r) for r in rows.select("gun", "w_end", "held", "alarm", "active", "onset").collect()} and len(got) > 100
+
+
+def test_state_of_a_model(spark, sf_dir, tmp_path):
+    """The same model goes on from its state, another begins anew."""
+    assert S.state_folder("f", "m1", ("E012",)) != S.state_folder("f", "m2", ("E012",)) and S.state_folder("f", "m1", 3) == S.state_folder("f", "m1", 3)
+    src = str(tmp_path / "in")
+    _events(spark, sf_dir).coalesce(1).write.parquet(src)
+    given = []
+    for model in ("m1", "m1", "m2"):
+        stream = readers.stream_of(spark, src, "gun_id string, time timestamp_ntz, code string, value double").withColumn("time", F.col("time").cast("timestamp"))
+        q = S.session_windows(stream, "6 hours", "1 hour", "value").writeStream.format("noop").option("checkpointLocation", S.state_folder(str(tmp_path / "state"), model)).trigger(availableNow=True).start()
+        q.awaitTermination()
+        given.append(sum(p["numInputRows"] for p in q.recentProgress))
+    assert given[0] == given[2] > 0 and given[1] == 0
