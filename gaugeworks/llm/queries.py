@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import bpe, license_scan, media, packing, quality, secret_scan, simhash, substring, syncmers, warc
+from gaugeworks.llm import bpe, license_scan, media, minhash, packing, quality, secret_scan, simhash, spelling, substring, syncmers, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,8 +89,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """deviation is null where it is beyond a long."""
+    rows = whitening.whitened(_table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.expr("try_cast(deviation as long)"))
+
+
+def op13_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality_classifier, op2_license_scan, op3_secret_scan, op4_warc_derivatives, op5_media_columns, op6_substring_dedup, op7_simhash_groups, op8_bpe_round_trip, op9_syncmer_fingerprints, op10_packing]
+    found = [op1_quality_classifier, op2_license_scan, op3_secret_scan, op4_warc_derivatives, op5_media_columns, op6_substring_dedup, op7_simhash_groups, op8_bpe_round_trip, op9_syncmer_fingerprints, op10_packing, op11_spelling_variants, op12_embedding_whitening, op13_minhash_groups]
     return {f.__name__: f for f in found}
 
 

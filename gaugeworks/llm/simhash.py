@@ -14,7 +14,7 @@ task returns a spanning forest of the links it finds, never all pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -215,7 +215,7 @@ def _vote(grams: list[bytes], seed: int) -> np.ndarray:
 #: chance (1 - s ** ROWS) ** BANDS: 5e-5 at 0.8, 5e-7 at 0.85, below 1e-9 at 0.9.
 BANDS, ROWS = 25, 5
 _MULTIPLIERS = np.random.default_rng(SEED).integers(1, 1 << 63, (BANDS * ROWS, 2), np.uint64) * np.uint64(2) + np.uint64(1)
-#: Bytes kept of a shingle's hash where two sets are compared.
+#: Bytes kept of a shingle's hash where two sets are compared, unless a caller says otherwise.
 KEPT_BYTES = 5
 
 
@@ -242,20 +242,20 @@ def bands(own: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def _numbers(raw: bytes) -> np.ndarray:
-    """A set's hashes, of ``KEPT_BYTES`` each, as numbers."""
-    out = np.zeros((len(raw) // KEPT_BYTES, 8), np.uint8)
-    out[:, :KEPT_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, KEPT_BYTES)
+def _numbers(raw: bytes, kept: int) -> np.ndarray:
+    """A set's hashes, of ``kept`` bytes each, as numbers."""
+    out = np.zeros((len(raw) // kept, 8), np.uint8)
+    out[:, :kept] = np.frombuffer(raw, np.uint8).reshape(-1, kept)
     return out.view("<u8").ravel()
 
 
-def _sets_of(asked: DataFrame, nodes: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
+def _sets_of(asked: DataFrame, nodes: DataFrame, rows: DataFrame, shingle: int, kept: int) -> DataFrame:
     """(node, shingles): the whole sets of the nodes of ``asked``, written once."""
     schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [np.unique(shingle_set(t, shingle).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT_BYTES], axis=0).tobytes() for t in batch.column(1).to_pylist()]
+            made = [np.unique(shingle_set(t, shingle).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :kept], axis=0).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], schema=schema)
 
     wanted = asked.join(nodes.select("node", "low", "tid"), "node").hint("merge")
@@ -266,19 +266,19 @@ def _sets_of(asked: DataFrame, nodes: DataFrame, rows: DataFrame, shingle: int)
     return staged(joined.mapInArrow(sets, "node long, shingles binary"), "shingles")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, shingle: int, similarity: float, kept: int) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets of shingles have the Jaccard similarity."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = _numbers(x), _numbers(y)
+                x, y = _numbers(x, kept), _numbers(y, kept)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    known = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, rows, shingle)
+    known = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, rows, shingle, kept)
     full = pairs.join(known.selectExpr("node as b", "shingles as y"), "b").join(known.selectExpr("node as a", "shingles as x"), "a")
     return full.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
@@ -287,7 +287,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, shingle: int,
 SET_BLOCK = 256
 
 
-def _links_between_roots(members: DataFrame, similarity: float) -> DataFrame:
+def _links_between_roots(members: DataFrame, similarity: float, kept: int) -> DataFrame:
     """(a, b) from (cand, node, root, shingles): enough links of the similarity to join what any links join.
 
     Nodes of one cand and different roots are compared by their whole sets. A cand of more than
@@ -306,7 +306,7 @@ def _links_between_roots(members: DataFrame, similarity: float) -> DataFrame:
 
         left = [i for i, s in enumerate(side) if not s]
         right = [i for i, s in enumerate(side) if s] or left
-        sets = [_numbers(r) for r in raw]
+        sets = [_numbers(r, kept) for r in raw]
         values, place = np.unique(np.concatenate(sets), return_inverse=True)
         size = np.array([len(x) for x in sets])
         end = np.cumsum(size)
@@ -374,6 +374,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null and empty texts are one group; a text of fewer words than a shingle links with none but its like.
     Rows that repeat keep one row each; a null doc_id stays null. An empty table gives an empty one.
     """
+    return sketched_groups(docs, bands, id_col, text_col, shingle, similarity).select("doc_id", "component_id")
+
+
+def sketched_groups(docs: DataFrame, keys_of: Callable[[np.ndarray], np.ndarray], id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, kept: int = KEPT_BYTES) -> DataFrame:
+    """(doc_id, n_shingles, component_id): the groups of ``similar_groups``, with candidates that share a key of ``keys_of(set)``.
+
+    Whole sets, of ``kept`` bytes of each shingle's hash, decide every candidate.
+    """
     rows = id_and_text(docs, id_col, text_col)
     schema = pa.schema([("doc_id", pa.int64()), ("tid", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("keys", pa.list_(pa.int64()))])
 
@@ -381,7 +389,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             found = [shingle_set(t, shingle) for t in batch.column(2).to_pylist()]
             node = [xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63) for own in found]
-            columns = (node, [len(own) for own in found], [bands(own) for own in found])
+            columns = (node, [len(own) for own in found], [keys_of(own) for own in found])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[2:], strict=True))], schema=schema)
 
     made = rows.select("doc_id", F.xxhash64("text").alias("tid"), "text").mapInArrow(run, "doc_id long, tid long, node long, n int, keys array<long>")
@@ -396,7 +404,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return F.least(n, m) >= F.greatest(n, m) * F.lit(similarity) - F.lit(1e-6)
 
     to_head = shared.where("node <> head").where(fits("n", "head_n")).selectExpr("head as a", "node as b").distinct()
-    near = staged(_verified(staged(to_head, "pairs"), nodes, rows, shingle, similarity), "links")
+    near = staged(_verified(staged(to_head, "pairs"), nodes, rows, shingle, similarity, kept), "links")
     roots = components(near)
     rooted = staged(shared.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "rooted")
     opened = rooted.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high").select("key", "_low")
@@ -404,9 +412,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # groups of components that share a band; within a group, whole sets are compared block by block
     cands = components(rooted, "root", "_low").select(F.col("node").alias("root"), F.col("root").alias("cand"))
     members = rooted.select("node", "root").distinct().join(cands, "root")
-    more = _links_between_roots(members.join(_sets_of(members.select("node"), nodes, rows, shingle), "node"), similarity)
+    more = _links_between_roots(members.join(_sets_of(members.select("node"), nodes, rows, shingle, kept), "node"), similarity, kept)
     roots = components(near.unionByName(more))
-    return _with_lowest(made.select("doc_id", "node"), nodes.select("node", "low"), roots, "node")
+    return _with_lowest(made.selectExpr("doc_id", "cast(n as long) as n_shingles", "node"), nodes.select("node", "low"), roots, "node").select("doc_id", "n_shingles", "component_id")
 
 
 def _with_lowest(rows: DataFrame, nodes: DataFrame, roots: DataFrame, node: str) -> DataFrame:
