@@ -1,20 +1,20 @@
 """Streams: complete windows, and triggers with cooldown kept in state.
 
-A row is taken in the order of its time, not of its arrival: rows wait in state until the watermark has
-passed them, and of rows of one time the last to arrive counts. Rows later than the watermark are
-dropped, one by one (the batch form has no such rule).
+A row is taken in the order of its time, not of its arrival (``ordered.InOrder``). Rows later than the
+watermark are dropped one by one; ``ordered.chunked`` refuses whole chunks, as the batch form does.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from gaugeworks.streaming.ordered import InOrder, Part, run
 
 
 def complete_windows(stream: DataFrame, width: str, late: str, columns: Sequence[str], key: str = "gun_id", time: str = "time") -> DataFrame:
@@ -40,7 +40,8 @@ def state_folder(folder: str, *model: object) -> str:
     """The checkpoint folder of a stream scored by one model.
 
     A restarted stream of the same model finds its state again; a new model, or a new rule, starts with
-    none. ``model`` is what the state depends on: version, rule, channels.
+    none, or with what ``ordered.begin`` keeps of a snapshot. ``model`` is what the state depends on:
+    version, rule, channels.
     """
     return f"{folder}/{hashlib.sha256(repr(model).encode()).hexdigest()[:32]}"
 
@@ -66,61 +67,37 @@ class Rule:
         return True, repeat
 
 
-class TriggerProcessor(StatefulProcessor):
-    """One gun's triggers: waiting rows, the code before, and when each code last triggered."""
+class TriggerProcessor(InOrder):
+    """One gun's triggers: waiting rows, the code before, and when each code last triggered; all last under another model."""
+
+    parts = {"waiting": Part("map", ("at",), ("name",)), "before": Part("value", (), ("name",)), "accepted": Part("map", ("name",), ("at",))}
 
     def __init__(self, rule: Rule) -> None:
         self.rule = rule
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at long", "code string")
-        self.before = handle.getValueState("before", "code string")
-        self.accepted = handle.getMapState("accepted", "code string", "at long")
-
-    def _ready(self, key: tuple, watermark: int) -> Iterator[pd.DataFrame]:
-        ready = sorted(((k[0], v[0]) for k, v in self.waiting.iterator() if k[0] <= watermark))
-        if not ready:
-            return
-        before = self.before.get()[0] if self.before.exists() else None
-        accepted = {k[0]: v[0] for k, v in self.accepted.iterator()}
+    def judge(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
+        before = self.value("before")
+        accepted = {k[0]: v[0] for k, v in self.state["accepted"].iterator()}
         fired = []
-        for at, code in ready:
+        for at, code in rows:
             fires, repeat = self.rule.step(before, code, at, accepted)
             if fires:
                 fired.append((key[0], code, at, repeat))
             before = code
-            self.waiting.removeKey((at,))
-        self.before.update((before,))
+        self.state["before"].update((before,))
         for code, at in accepted.items():
-            self.accepted.updateValue((code,), (at,))
-        if fired:
-            yield pd.DataFrame(fired, columns=["gun_id", "code", "at", "repeat"])
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        watermark = timerValues.getCurrentWatermarkInMs()
-        for part in rows:
-            for at, code in zip(part["at"], part["code"], strict=True):
-                if at > watermark:
-                    self.waiting.updateValue((int(at),), (code,))
-                    self.handle.registerTimer(int(at))
-        yield from self._ready(key, watermark)
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        yield from self._ready(key, timerValues.getCurrentWatermarkInMs())
-
-    def close(self) -> None:
-        pass
+            self.state["accepted"].updateValue((code,), (at,))
+        return pd.DataFrame(fired, columns=["gun_id", "code", "at", "repeat"])
 
 
-def triggers(stream: DataFrame, rule: Rule, late: str, key: str = "gun_id", time: str = "time", code: str = "code") -> DataFrame:
+def triggers(stream: DataFrame, rule: Rule, late: str, key: str = "gun_id", time: str = "time", code: str = "code", initial: DataFrame | None = None) -> DataFrame:
     """(gun_id, code, at, repeat) of a stream's accepted triggers; ``at`` in milliseconds since 1970.
 
-    Needs the RocksDB state store provider.
+    ``initial`` is the state to begin with (``ordered.begin``). Needs the RocksDB state store provider.
     """
-    rows = stream.select(F.col(key).cast("string").alias("gun_id"), F.col(time).cast("timestamp").alias("time"), F.col(code).alias("code"))
+    rows = stream.select(F.col(key).cast("string").alias("gun_id"), F.col(time).cast("timestamp").alias("time"), F.col(code).alias("name"))
     rows = rows.withWatermark("time", late).withColumn("at", F.unix_millis("time"))
-    return rows.groupBy("gun_id").transformWithStateInPandas(TriggerProcessor(rule), "gun_id string, code string, at long, repeat boolean", "Append", "EventTime")
+    return run(rows, TriggerProcessor(rule), "gun_id string, code string, at long, repeat boolean", initial)
 
 
 @dataclass(frozen=True)
@@ -156,52 +133,32 @@ class Gate:
         return {"held": held, "alarm": alarm, "active": run >= self.k, "onset": run == self.k}
 
 
-class GateProcessor(StatefulProcessor):
-    """One gun's windows, gated in order of time as the watermark passes them."""
+class GateProcessor(InOrder):
+    """One gun's windows, gated in order of time; a restart's hold lasts under another model, a run of alarms does not."""
+
+    parts = {"waiting": Part("map", ("at",), ("a", "b")), "rest": Part("map", ("name",), ("at",)), "run": Part("map", ("name",), ("at",), lasting=False)}
+    _RUN = ("run", "last")
 
     def __init__(self, gate: Gate) -> None:
         self.gate = gate
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at long", "score double, idle double")
-        self.state = handle.getMapState("state", "name string", "value long")
-
-    def _ready(self, key: tuple, watermark: int) -> Iterator[pd.DataFrame]:
-        ready = sorted((k[0], *v) for k, v in self.waiting.iterator() if k[0] <= watermark)
-        if not ready:
-            return
-        state = {k[0]: v[0] for k, v in self.state.iterator()}
+    def judge(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
+        state = {k[0]: v[0] for part in ("rest", "run") for k, v in self.state[part].iterator()}
         out = []
-        for at, score, idle in ready:
+        for at, score, idle in rows:
             r = self.gate.next(state, at, score, idle)
             out.append((key[0], at, score, r["held"], r["alarm"], r["active"], r["onset"]))
-            self.waiting.removeKey((at,))
         for name, value in state.items():
-            self.state.updateValue((name,), (int(value),))
-        yield pd.DataFrame(out, columns=["gun_id", "at", "score", "held", "alarm", "active", "onset"])
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        watermark = timerValues.getCurrentWatermarkInMs()
-        for part in rows:
-            for at, score, idle in zip(part["at"], part["score"], part["idle"], strict=True):
-                if at > watermark:
-                    self.waiting.updateValue((int(at),), (float(score), float(idle)))
-                    self.handle.registerTimer(int(at))
-        yield from self._ready(key, watermark)
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        yield from self._ready(key, timerValues.getCurrentWatermarkInMs())
-
-    def close(self) -> None:
-        pass
+            self.state["run" if name in self._RUN else "rest"].updateValue((name,), (int(value),))
+        return pd.DataFrame(out, columns=["gun_id", "at", "score", "held", "alarm", "active", "onset"])
 
 
-def gated_windows(stream: DataFrame, gate: Gate, late: str) -> DataFrame:
+def gated_windows(stream: DataFrame, gate: Gate, late: str, initial: DataFrame | None = None) -> DataFrame:
     """(gun_id, at, score, held, alarm, active, onset) of a stream of windows (gun_id, w_end, score, idle).
 
-    Needs the RocksDB state store provider. A null score is no alarm, a null idle share no rest.
+    ``initial`` is the state to begin with (``ordered.begin``). Needs the RocksDB state store provider. A null
+    score is no alarm, a null idle share no rest.
     """
-    rows = stream.select(F.col("gun_id").cast("string").alias("gun_id"), F.col("w_end").cast("timestamp").alias("w_end"), F.coalesce("score", F.lit(float("-inf"))).alias("score"), F.coalesce("idle", F.lit(0.0)).alias("idle"))
+    rows = stream.select(F.col("gun_id").cast("string").alias("gun_id"), F.col("w_end").cast("timestamp").alias("w_end"), F.coalesce("score", F.lit(float("-inf"))).alias("a"), F.coalesce("idle", F.lit(0.0)).alias("b"))
     rows = rows.withWatermark("w_end", late).withColumn("at", F.unix_millis("w_end"))
-    return rows.groupBy("gun_id").transformWithStateInPandas(GateProcessor(gate), "gun_id string, at long, score double, held boolean, alarm boolean, active boolean, onset boolean", "Append", "EventTime")
+    return run(rows, GateProcessor(gate), "gun_id string, at long, score double, held boolean, alarm boolean, active boolean, onset boolean", initial)
