@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,26 +29,51 @@ def trailing(key: str, time: str, span: int) -> Window:
     return Window.partitionBy(key).orderBy(time).rangeBetween(-(span - 1), 0)
 
 
-def rolling(df: DataFrame, span: int, column: str, key: str = "gun", time: str = "t") -> DataFrame:
-    """Adds n, sum and mean of ``column`` over (t - span, t]."""
-    w = trailing(key, time, span)
-    return df.withColumns({f"{column}_n": F.count(column).over(w), f"{column}_sum": F.sum(column).over(w), f"{column}_avg": F.avg(column).over(w)})
+def _over(df: DataFrame, made: Callable[[Callable[[int], Window]], dict[str, Column]], column: str, longest: int, key: str, time: str, chunk: int | None) -> DataFrame:
+    """Adds what ``made(frame)`` gives; frame(span) is the trailing frame.
 
+    With ``chunk`` a key's rows are dealt out by spans of so much time, each with a halo: the rows that lie
+    less than ``longest`` before it, of which only time and ``column`` are copied. A row is copied once for
+    each span its halo meets, so ``chunk`` should not be much below ``longest``.
+    """
+    if chunk is None:
+        return df.withColumns(made(lambda span: trailing(key, time, span)))
+    own = df.withColumn("_chunk", F.floor(F.col(time) / chunk))
+    reach = F.sequence(F.col("_chunk"), F.floor((F.col(time) + (longest - 1)) / chunk))
+    halo = own.select(key, time, column, F.explode(F.slice(reach, 2, F.size(reach))).alias("_chunk"), F.lit(True).alias("_copy"))
+    rows = own.withColumn("_copy", F.lit(False)).unionByName(halo, allowMissingColumns=True)
+    rows = rows.withColumns(made(lambda span: Window.partitionBy(key, "_chunk").orderBy(time).rangeBetween(-(span - 1), 0)))
+    return rows.where(~F.col("_copy")).drop("_chunk", "_copy")
+
+
+def rolling(df: DataFrame, span: int, column: str, key: str = "gun", time: str = "t", chunk: int | None = None) -> DataFrame:
+    """Adds n, sum and mean of ``column`` over (t - span, t]. ``chunk`` splits a key's rows by time, with the same result."""
+
+    def made(frame: Callable[[int], Window]) -> dict[str, Column]:
+        w = frame(span)
+        return {f"{column}_n": F.count(column).over(w), f"{column}_sum": F.sum(column).over(w), f"{column}_avg": F.avg(column).over(w)}
+
+    return _over(df, made, column, span, key, time, chunk)
+
+
+def lookback(df: DataFrame, column: str, spans: Sequence[int], key: str = "gun", time: str = "t", chunk: int | None = None) -> DataFrame:
+    """Adds the trailing mean over each span, its difference to the longest, and the std over the middle one.
+
+    ``chunk`` splits a key's rows by time, with the same result.
+    """
+
+    def made(frame: Callable[[int], Window]) -> dict[str, Column]:
+        spread = F.stddev_samp(column).over(frame(spans[len(spans) // 2]))
+        return {f"{column}_m{i}": F.avg(column).over(frame(s)) for i, s in enumerate(spans)} | {f"{column}_spread": F.coalesce(spread, F.lit(0.0))}
 
-def lookback(df: DataFrame, column: str, spans: Sequence[int], key: str = "gun", time: str = "t") -> DataFrame:
-    """Adds the trailing mean over each span, its difference to the longest, and the std over the middle one."""
-    means = {f"{column}_m{i}": F.avg(column).over(trailing(key, time, s)) for i, s in enumerate(spans)}
-    out = df.withColumns(means)
-    last = len(spans) - 1
-    out = out.withColumn(f"{column}_drift", F.col(f"{column}_m0") - F.col(f"{column}_m{last}"))
-    spread = F.stddev_samp(column).over(trailing(key, time, spans[len(spans) // 2]))
-    return out.withColumn(f"{column}_spread", F.coalesce(spread, F.lit(0.0)))
+    out = _over(df, made, column, max(spans), key, time, chunk)
+    return out.withColumn(f"{column}_drift", F.col(f"{column}_m0") - F.col(f"{column}_m{len(spans) - 1}"))
 
 
-def fused(df: DataFrame, score: str, span: int, key: str = "gun", time: str = "t") -> DataFrame:
-    """Adds the mean and the greater of a score and its own trailing mean."""
-    mean = F.avg(score).over(trailing(key, time, span))
-    return df.withColumn("fused_mean", (F.col(score) + mean) / 2).withColumn("fused_max", F.greatest(F.col(score), mean))
+def fused(df: DataFrame, score: str, span: int, key: str = "gun", time: str = "t", chunk: int | None = None) -> DataFrame:
+    """Adds the mean and the greater of a score and its own trailing mean (W3). ``chunk`` splits a key's rows by time, with the same result."""
+    out = _over(df, lambda frame: {"_trail": F.avg(score).over(frame(span))}, score, span, key, time, chunk)
+    return out.withColumn("fused_mean", (F.col(score) + F.col("_trail")) / 2).withColumn("fused_max", F.greatest(F.col(score), F.col("_trail"))).drop("_trail")
 
 
 def centred(df: DataFrame, column: str, reference: Column, key: str = "gun") -> DataFrame:

@@ -39,14 +39,48 @@ def earlier_chunks(key: str) -> WindowSpec:
     return Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _numbered_in_chunks(df: DataFrame, name: str, parts: Sequence[str], starts: Callable[[Column], Column], key: str, time: str, chunk: int) -> DataFrame:
-    """Adds ``name``: how many rows up to here start something. ``starts`` gets the row before, a struct of time and ``parts``."""
+def row_before(df: DataFrame, parts: Sequence[str], key: str = "gun", time: str = "t", chunk: int | None = None) -> DataFrame:
+    """Adds _before: time and ``parts`` of the key's row before, a struct, null at the first.
+
+    ``chunk`` splits the work of a key into spans of so much time; rows of one time go by ``parts`` then.
+    """
     here = F.struct(time, *parts)
+    if chunk is None:
+        return df.withColumn("_before", F.lag(here).over(ordered(key, time)))
     rows = by_chunk(_chunked(df, key, time, chunk), key, {"_last": F.max(here)}, {"_carried": F.lag("_last").over(Window.partitionBy(key).orderBy("_chunk"))})
     w = Window.partitionBy(key, "_chunk").orderBy(time, *parts)
-    rows = rows.withColumn("_before", F.coalesce(F.lag(here).over(w), F.col("_carried"))).withColumn("_new", starts(F.col("_before")).cast("long"))
-    rows = by_chunk(rows, key, {"_sum": F.sum("_new")}, {"_base": F.coalesce(F.sum("_sum").over(earlier_chunks(key)), F.lit(0))})
-    return rows.withColumn(name, F.col("_base") + F.sum("_new").over(up_to_here(w))).drop("_chunk", "_carried", "_before", "_new", "_base")
+    return rows.withColumn("_before", F.coalesce(F.lag(here).over(w), F.col("_carried"))).drop("_chunk", "_carried")
+
+
+def held(df: DataFrame, values: dict[str, tuple[Column, str]], key: str = "gun", time: str = "t", chunk: int | None = None) -> DataFrame:
+    """Adds columns: a value's last non-null one ``before`` a row or ``upto`` it, or its next one ``after`` it.
+
+    ``values`` gives (value, which) by name; rows of one key have different times. ``chunk`` splits the work of a
+    key into spans of so much time, with the same result.
+    """
+    rows = df.withColumns({f"_v_{n}": v for n, (v, _) in values.items()})
+    back = {"before": -1, "upto": 0}
+    keys = [key] if chunk is None else [key, "_chunk"]
+    w = Window.partitionBy(*keys).orderBy(time)
+    found = {n: F.first(f"_v_{n}", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)) if which == "after" else F.last(f"_v_{n}", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, back[which])) for n, (_, which) in values.items()}
+    if chunk is None:
+        return rows.withColumns(found).drop(*[f"_v_{n}" for n in values])
+    later = Window.partitionBy(key).orderBy("_chunk").rowsBetween(1, Window.unboundedFollowing)
+    ends, carried = {}, {}
+    for n, (_, which) in values.items():
+        at = F.when(F.col(f"_v_{n}").isNotNull(), F.col(time))
+        ends[f"_e_{n}"] = F.min_by(f"_v_{n}", at) if which == "after" else F.max_by(f"_v_{n}", at)
+        carried[f"_c_{n}"] = F.first(f"_e_{n}", ignorenulls=True).over(later) if which == "after" else F.last(f"_e_{n}", ignorenulls=True).over(earlier_chunks(key))
+    rows = by_chunk(_chunked(rows, key, time, chunk), key, ends, carried)
+    return rows.withColumns({n: F.coalesce(c, F.col(f"_c_{n}")) for n, c in found.items()}).drop("_chunk", *[f"_v_{n}" for n in values], *carried)
+
+
+def _numbered_in_chunks(df: DataFrame, name: str, parts: Sequence[str], starts: Callable[[Column], Column], key: str, time: str, chunk: int) -> DataFrame:
+    """Adds ``name``: how many rows up to here start something. ``starts`` gets the row before, a struct of time and ``parts``."""
+    rows = row_before(df, parts, key, time, chunk).withColumn("_new", starts(F.col("_before")).cast("long"))
+    rows = by_chunk(_chunked(rows, key, time, chunk), key, {"_sum": F.sum("_new")}, {"_base": F.coalesce(F.sum("_sum").over(earlier_chunks(key)), F.lit(0))})
+    w = Window.partitionBy(key, "_chunk").orderBy(time, *parts)
+    return rows.withColumn(name, F.col("_base") + F.sum("_new").over(up_to_here(w))).drop("_chunk", "_before", "_new", "_base")
 
 
 def with_segments(df: DataFrame, limit: int, key: str = "gun", time: str = "t", tie: Sequence[str] = (), chunk: int | None = None) -> DataFrame:
@@ -61,11 +95,14 @@ def with_segments(df: DataFrame, limit: int, key: str = "gun", time: str = "t",
     return df.withColumn("_new", F.when(step > limit, 1).otherwise(0)).withColumn("segment_id", F.sum("_new").over(up_to_here(w))).drop("_new")
 
 
-def gap_list(df: DataFrame, limit: int, context: Sequence[str], key: str = "gun", time: str = "t") -> DataFrame:
-    """One row for each step longer than ``limit``, with the columns of ``context`` on either side."""
-    w = ordered(key, time)
-    before = [F.lag(c).over(w).alias(f"{c}_before") for c in context]
-    steps = df.select(key, F.lag(time).over(w).alias("gap_start"), F.col(time).alias("gap_end"), *before, *[F.col(c).alias(f"{c}_after") for c in context])
+def gap_list(df: DataFrame, limit: int, context: Sequence[str], key: str = "gun", time: str = "t", chunk: int | None = None) -> DataFrame:
+    """One row for each step longer than ``limit``, with the columns of ``context`` on either side.
+
+    ``chunk`` splits the work of a key into spans of so much time, with the same result.
+    """
+    before = [F.col(f"_before.{c}").alias(f"{c}_before") for c in context]
+    rows = row_before(df.select(key, time, *context), context, key, time, chunk)
+    steps = rows.select(key, F.col(f"_before.{time}").alias("gap_start"), F.col(time).alias("gap_end"), *before, *[F.col(c).alias(f"{c}_after") for c in context])
     return steps.withColumn("gap", F.col("gap_end") - F.col("gap_start")).where(F.col("gap") > limit)
 
 
@@ -91,10 +128,13 @@ def runs(df: DataFrame, state: str, key: str = "gun", time: str = "t", limit: in
     return out.withColumn("duration", F.col("end_t") - F.col("start_t"))
 
 
-def merge_near(df: DataFrame, gap: int, key: str = "gun", time: str = "t") -> DataFrame:
-    """Rows more than ``gap`` after the row before, merged or not: events merge in chains."""
-    w = ordered(key, time)
-    return df.withColumn("_step", F.col(time) - F.lag(time).over(w)).where(F.col("_step").isNull() | (F.col("_step") > gap)).drop("_step")
+def merge_near(df: DataFrame, gap: int, key: str = "gun", time: str = "t", chunk: int | None = None) -> DataFrame:
+    """Rows more than ``gap`` after the row before, merged or not: events merge in chains.
+
+    ``chunk`` splits the work of a key into spans of so much time, with the same result.
+    """
+    step = F.col(time) - F.col(f"_before.{time}")
+    return row_before(df, [], key, time, chunk).where(F.col("_before").isNull() | (step > gap)).drop("_before")
 
 
 def with_sessions(df: DataFrame, gap: int, key: str = "gun", time: str = "t") -> DataFrame:
@@ -128,18 +168,19 @@ def asof_before(left: DataFrame, right: DataFrame, values: Sequence[str], key: s
     return found.select("_row.*", "_last.*")
 
 
-def since_and_until(df: DataFrame, flag: Column, key: str = "gun", time: str = "t") -> DataFrame:
-    """Adds since (time from the last flagged row strictly before) and until (to the next after)."""
-    w = ordered(key, time)
+def since_and_until(df: DataFrame, flag: Column, key: str = "gun", time: str = "t", chunk: int | None = None) -> DataFrame:
+    """Adds since (time from the last flagged row strictly before) and until (to the next after).
+
+    ``chunk`` splits the work of a key into spans of so much time, with the same result.
+    """
     mark = F.when(flag, F.col(time))
-    before = F.last(mark, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(mark, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    return df.withColumn("since", F.col(time) - before).withColumn("until", after - F.col(time))
+    rows = held(df, {"since": (mark, "before"), "until": (mark, "after")}, key, time, chunk)
+    return rows.withColumn("since", F.col(time) - F.col("since")).withColumn("until", F.col("until") - F.col(time))
 
 
-def nearest(df: DataFrame, flag: Column, tolerance: int, key: str = "gun", time: str = "t") -> DataFrame:
+def nearest(df: DataFrame, flag: Column, tolerance: int, key: str = "gun", time: str = "t", chunk: int | None = None) -> DataFrame:
     """Adds near: the distance to the nearest flagged other row, or null beyond ``tolerance``."""
-    out = since_and_until(df, flag, key, time)
+    out = since_and_until(df, flag, key, time, chunk)
     near = F.least("since", "until")
     return out.withColumn("near", F.when(near <= tolerance, near)).drop("since", "until")
 

@@ -31,6 +31,18 @@ def alarm_rule_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.triggers(readings(spark, sf_dir), CODES, WAIT, REPEAT, per_code=False).select("gun", "code", "t", "repeat")
 
 
+@query(_RULE.format(start="(before IS NULL OR before <> code)", keys="gun, code", match="n.gun = f.gun AND n.code = f.code"))
+def alarm_rule_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R10, R11 per code, R13, a gun's rows in spans of three days and no key's times in one task."""
+    return A.triggers(readings(spark, sf_dir), CODES, WAIT, REPEAT, chunk=3 * DAY).select("gun", "code", "t", "repeat")
+
+
+@query(_RULE.format(start="(before IS NULL OR before NOT IN ('error', 'signup'))", keys="gun", match="n.gun = f.gun"))
+def alarm_rule_shared_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shared rule, likewise."""
+    return A.triggers(readings(spark, sf_dir), CODES, WAIT, REPEAT, per_code=False, chunk=3 * DAY).select("gun", "code", "t", "repeat")
+
+
 @query("""SELECT event_id, code, CASE WHEN gun % 3 = 0 THEN false WHEN gun % 3 = 1 THEN code <> 'error' ELSE true END AS out_of_profile FROM ev WHERE code IN ('error', 'signup')""")
 def profile_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Guns by thirds: no profile, a profile of one code, an empty profile."""

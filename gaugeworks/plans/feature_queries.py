@@ -125,26 +125,53 @@ def window_min_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(W.enough(W.tumbling(readings(spark, sf_dir), DAY, ["value"]), 4))
 
 
-@query(f"""SELECT event_id, count(value) OVER w AS value_n, round(sum(value) OVER w, 6) AS value_sum, round(avg(value) OVER w, 6) AS value_avg FROM ev
-WINDOW w AS (PARTITION BY gun ORDER BY t RANGE BETWEEN {DAY - 1} PRECEDING AND CURRENT ROW)""")
+_ROLLING = f"""SELECT event_id, count(value) OVER w AS value_n, round(sum(value) OVER w, 6) AS value_sum, round(avg(value) OVER w, 6) AS value_avg FROM ev
+WINDOW w AS (PARTITION BY gun ORDER BY t RANGE BETWEEN {DAY - 1} PRECEDING AND CURRENT ROW)"""
+
+
+@query(_ROLLING)
 def rolling_time_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(W.rolling(readings(spark, sf_dir), DAY, "value").select("event_id", "value_n", "value_sum", "value_avg"))
 
 
-@query(f"""SELECT event_id, round(avg(value) OVER a, 6) AS value_m0, round(avg(value) OVER b, 6) AS value_m1, round(avg(value) OVER c, 6) AS value_m2,
+@query(_ROLLING)
+def rolling_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, a gun's rows in spans of three days with halos of one."""
+    return rounded(W.rolling(readings(spark, sf_dir), DAY, "value", chunk=3 * DAY).select("event_id", "value_n", "value_sum", "value_avg"))
+
+
+_LOOKBACK = f"""SELECT event_id, round(avg(value) OVER a, 6) AS value_m0, round(avg(value) OVER b, 6) AS value_m1, round(avg(value) OVER c, 6) AS value_m2,
 round(avg(value) OVER a - avg(value) OVER c, 6) AS value_drift, round(coalesce(stddev_samp(value) OVER b, 0), 6) AS value_spread FROM ev
 WINDOW a AS (PARTITION BY gun ORDER BY t RANGE BETWEEN {SIX - 1} PRECEDING AND CURRENT ROW), b AS (PARTITION BY gun ORDER BY t RANGE BETWEEN {DAY - 1} PRECEDING AND CURRENT ROW),
-c AS (PARTITION BY gun ORDER BY t RANGE BETWEEN {7 * DAY - 1} PRECEDING AND CURRENT ROW)""")
+c AS (PARTITION BY gun ORDER BY t RANGE BETWEEN {7 * DAY - 1} PRECEDING AND CURRENT ROW)"""
+
+
+@query(_LOOKBACK)
 def lookback_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(W.lookback(readings(spark, sf_dir), "value", [SIX, DAY, 7 * DAY]).select("event_id", "value_m0", "value_m1", "value_m2", "value_drift", "value_spread"))
 
 
-@query(f"""SELECT event_id, round((value + avg(value) OVER a) / 2, 6) AS fused_mean, round(greatest(value, avg(value) OVER a), 6) AS fused_max FROM ev
-WINDOW a AS (PARTITION BY gun ORDER BY t RANGE BETWEEN {DAY - 1} PRECEDING AND CURRENT ROW)""")
+@query(_LOOKBACK)
+def lookback_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, a gun's rows in spans of five days with halos of seven."""
+    return rounded(W.lookback(readings(spark, sf_dir), "value", [SIX, DAY, 7 * DAY], chunk=5 * DAY).select("event_id", "value_m0", "value_m1", "value_m2", "value_drift", "value_spread"))
+
+
+_FUSED = f"""SELECT event_id, round((value + avg(value) OVER a) / 2, 6) AS fused_mean, round(greatest(value, avg(value) OVER a), 6) AS fused_max FROM ev
+WINDOW a AS (PARTITION BY gun ORDER BY t RANGE BETWEEN {DAY - 1} PRECEDING AND CURRENT ROW)"""
+
+
+@query(_FUSED)
 def score_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(W.fused(readings(spark, sf_dir), "value", DAY).select("event_id", "fused_mean", "fused_max"))
 
 
+@query(_FUSED)
+def score_fusion_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, a gun's rows in spans of three days."""
+    return rounded(W.fused(readings(spark, sf_dir), "value", DAY, chunk=3 * DAY).select("event_id", "fused_mean", "fused_max"))
+
+
 @query(f"SELECT event_id, round(value - avg(CASE WHEN ttf > {2 * DAY} THEN value END) OVER (PARTITION BY gun), 4) AS value_centred FROM (SELECT *, max(t) OVER (PARTITION BY gun) - t AS ttf FROM ev)")
 def gun_centering(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = P.with_ttf(readings(spark, sf_dir), DAY)
