@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.operators.blocks import searched
 from gaugeworks.operators.staging import staged
 
 
@@ -157,57 +158,45 @@ def top_k(scores: DataFrame, k: int, query: str = "query_id", id_col: str = "doc
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def vector_top_k(rows: DataFrame, queries: DataFrame, k: int, least: float = -1.0, block: int = 4096, digits: int = 6, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, id, score): the k most similar rows of each query by cosine, ``least`` or more.
+def vector_top_k(rows: DataFrame, queries: DataFrame, k: int, least: float = -1.0, block: int = 8192, digits: int = 6, id_col: str = "vec_id", vector: str = "embedding", span: int = 65536) -> DataFrame:
+    """(query_id, id, score, rank): the k most similar rows of each query by cosine, ``least`` or more.
 
-    Queries are taken in blocks of ``block``, so what a task holds is bounded; each task keeps the k best
-    of what it has seen and only those are shuffled. Null vectors and queries have no results.
+    ``queries`` has an id and a vector. Blocks of queries meet ranges of rows inside tasks
+    (``blocks.searched``), each of which gives the k best of its range. Vectors that are null, hold nulls or
+    have no length have no results.
     """
     names = queries.columns
     schema = pa.schema([("query_id", pa.int64()), (id_col, pa.int64()), ("score", pa.float64())])
-    found = None
-
-    def one_block(ids: list[int], matrix: np.ndarray):  # noqa: ANN202
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best_id = np.zeros((len(ids), 0), np.int64)
-            best = np.zeros((len(ids), 0))
-            for batch in batches:
-                own = np.array(batch.column(0).to_pylist(), np.int64)
-                if not len(own):
-                    continue
-                x = np.array(batch.column(1).to_pylist(), float)
-                size = np.linalg.norm(x, axis=1)
-                x = x[size > 0] / size[size > 0][:, None]
-                best = np.concatenate((best, np.round(matrix @ x.T, digits)), axis=1)
-                best_id = np.concatenate((best_id, np.broadcast_to(own[size > 0], (len(ids), len(x)))), axis=1)
-                order = np.lexsort((best_id, -best), axis=1)[:, :k]
-                best, best_id = np.take_along_axis(best, order, 1), np.take_along_axis(best_id, order, 1)
-            if best.shape[1]:
-                keep = (best >= least).ravel()
-                q = np.repeat(ids, best.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(best_id.ravel()[keep]), pa.array(best.ravel()[keep])], schema=schema)
-
-        return run
-
-    def blocks() -> Iterator[tuple[list[int], np.ndarray]]:
-        ids, vectors = [], []
-        for r in queries.where(F.col(names[1]).isNotNull()).toLocalIterator():
-            v = np.array(r[1], float)
-            if np.linalg.norm(v):
-                ids.append(r[0])
-                vectors.append(v / np.linalg.norm(v))
-            if len(ids) == block:
-                yield ids, np.array(vectors)
-                ids, vectors = [], []
-        if ids:
-            yield ids, np.array(vectors)
-
-    known = rows.select(F.col(id_col).cast("long"), vector).where(F.col(vector).isNotNull())
-    for ids, matrix in blocks():
-        part = known.mapInArrow(one_block(ids, matrix), f"query_id long, {id_col} long, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = rows.sparkSession.createDataFrame([], f"query_id long, {id_col} long, score double")
+    whole = lambda c: F.col(c).isNotNull() & (F.size(c) > 0) & F.forall(c, lambda x: x.isNotNull())
+    asked = queries.where(whole(names[1])).select(F.col(names[0]).cast("long").alias("query_id"), F.col(names[1]).cast("array<double>").alias("_v"))
+    known = rows.where(whole(vector)).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("_v"))
+
+    def unit(t: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+        x = t["_v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+        size = np.linalg.norm(x, axis=1)
+        return t[name].to_numpy()[size > 0], x[size > 0] / size[size > 0][:, None]
+
+    def search(own: pa.Table, near: pa.Table) -> pa.Table:
+        if not (own.num_rows and near.num_rows):
+            return schema.empty_table()
+        (query, q), (ids, x) = unit(own, "query_id"), unit(near, "id")
+        order = np.argsort(ids, kind="stable")
+        ids, x = ids[order], x[order]
+        out = []
+        for at in range(0, len(query), 512):
+            part = q[at : at + 512]
+            best_id, best = np.zeros((len(part), 0), np.int64), np.zeros((len(part), 0))
+            for low in range(0, len(ids), 8192):
+                best = np.concatenate((best, np.round(part @ x[low : low + 8192].T, digits)), axis=1)
+                best_id = np.concatenate((best_id, np.broadcast_to(ids[low : low + 8192], (len(part), len(ids[low : low + 8192])))), axis=1)
+                # ids ascend, so equal scores keep the order of their ids
+                top = np.argsort(-best, axis=1, kind="stable")[:, :k]
+                best, best_id = np.take_along_axis(best, top, 1), np.take_along_axis(best_id, top, 1)
+            keep = (best >= least).ravel()
+            out.append(pa.Table.from_arrays([pa.array(np.repeat(query[at : at + 512], best.shape[1])[keep]), pa.array(best_id.ravel()[keep]), pa.array(best.ravel()[keep])], schema=schema))
+        return pa.concat_tables(out) if out else schema.empty_table()
+
+    found = searched(asked, known, search, f"query_id long, {id_col} long, score double", "query_id", "id", block, span)
     return top_k(found, k, "query_id", id_col)
 
 

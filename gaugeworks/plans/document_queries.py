@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions import text as X
 from gaugeworks.operators import retrieval as R
+from gaugeworks.operators import waveforms
 from gaugeworks.plans.registry import DAY, HOUR, query, readings, rounded, table
 
 _STOP = "('" + "', '".join(X.STOPWORDS) + "')"
@@ -194,6 +195,13 @@ def waveform_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(R.waveform_scores(s.where("event_id % 50 = 0"), s))
 
 
+@query(f"WITH {_WAVE} SELECT event_id, past_id, score, channels, CAST(row_number() OVER (PARTITION BY event_id ORDER BY score DESC, past_id) AS INTEGER) AS rank FROM z QUALIFY rank <= 8")
+def waveform_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight events most like each, found by bounds on their scores."""
+    s = series(spark, sf_dir)
+    return waveforms.waveform_top_k(s.where("event_id % 50 = 0"), s, 8, ["k", "value"], 30)
+
+
 @query(f"""WITH {_SERIES}, b AS (SELECT *, lag(value) OVER (PARTITION BY event_id, channel ORDER BY "offset") AS p FROM s)
 SELECT event_id, channel, count(*) AS observed, arg_min(value, "offset") AS first, arg_max(value, "offset") AS last, min(value) AS low, max(value) AS high, count(*) FILTER (WHERE value <> p) AS change_count FROM b GROUP BY 1, 2""")
 def observation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
