@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.operators.staging import scratch
 from gaugeworks.plans.registry import query, readings, rounded
-from gaugeworks.sources import readers
+from gaugeworks.sources import case_sink, readers
 from gaugeworks.streaming import alarms as S
 from gaugeworks.streaming import ordered as O
 
@@ -185,3 +185,34 @@ def stream_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     for part in _parts(rows, "chunk"):
         replay.give(part, lambda s: O.chunked(s.withColumn("rest", F.col("code") == "view"), _LIMIT))
     return replay.results()
+
+
+@query(f"""WITH c AS (SELECT gun * 1000 + t // {DAY * 1000} % 1000 AS id, arg_max(code, (t, event_id)) AS value FROM ev GROUP BY 1),
+o AS (SELECT event_id AS id, CASE WHEN k % 2 = 0 THEN 'sent' ELSE 'pending' END AS value, t FROM ev WHERE code = 'error')
+SELECT 'case' AS kind, id, value FROM c UNION ALL SELECT 'delivery', id, value FROM o WHERE value = 'pending' OR t >= (SELECT max(t) FROM ev) - {10 * DAY * 1000}""")
+def stream_case_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases and outbox of a stream, written together, each batch given twice; deliveries kept for ten days."""
+    rows = readings(spark, sf_dir)
+    inputs, checkpoint = scratch(spark, "cases-in"), scratch(spark, "cases-state")
+    sink = case_sink.BatchSink(spark, scratch(spark, "cases"), case_sink.CASES)
+
+    def split(batch: DataFrame) -> dict[str, DataFrame]:
+        case = F.expr(f"gun * 1000 + t div {DAY * 1000} % 1000")
+        last = batch.groupBy(case.alias("case_id"), "gun").agg(F.max(F.struct("t", "event_id", "code")).alias("_last"))
+        outbox = batch.where("code = 'error'").select("event_id", case.alias("case_id"), F.when(F.expr("k % 2 = 0"), "sent").otherwise("pending").alias("status"), F.col("t").alias("created_at"))
+        return {"cases": last.select("case_id", "gun", F.col("_last.code").alias("code"), F.col("_last.t").alias("updated_at")), "outbox": outbox}
+
+    def twice(batch: DataFrame, i: int) -> None:
+        sink.write(batch, i, split)
+        sink.write(batch, i, split)
+
+    for part in _parts(rows, "t"):
+        part.write.mode("append").parquet(inputs)
+        stream = readers.stream_of(spark, inputs, part.schema, files=100_000)
+        q = stream.writeStream.foreachBatch(twice).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q.awaitTermination()
+    now = rows.agg(F.max("t")).first()[0]
+    if now is not None:
+        sink.compacted({"outbox": case_sink.past_retention(now, 10 * DAY * 1000)})
+    cases = sink.read("cases").select(F.lit("case").alias("kind"), F.col("case_id").alias("id"), F.col("code").alias("value"))
+    return cases.unionByName(sink.read("outbox").select(F.lit("delivery").alias("kind"), F.col("event_id").alias("id"), F.col("status").alias("value")))
