@@ -512,3 +512,52 @@ def test_license_text_of_thousands_of_matches(spark):
     df = spark.createDataFrame([(1, "MIT License Apache License " * 1500)], "doc_id long, text string")
     r = license_scan.license_labels(df).first()
     assert r["n_base"] == 3000 and len(r["detections"]) == 3000 and r["labels"] == ["apache", "mit"] and r["last_word"] == 5998
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<![foo[x]]>after", "after"),
+        ("<head><title>T</title><p>body text here", "body text here"),
+        ("<html><p>a<noscript>b", "ab"),
+        ("<p>a<template>b", "ab"),
+        ("<p>a<noscript>b</noscript>c", "ac"),
+        ("<p>a<!-- b > c", "a c"),
+        ("<p>a<!-->b", "ab"),
+        ("<title>T<p>body", "body"),
+        ("<script>x()", ""),
+        ("a < b <3 <", "a < b <3 <"),
+        ("<p title='>'>x</p", "x</p"),
+        ('<p title=">x</p>', "x"),
+        ("<a href=x>y</a><?php z ?>&#99999999999999999999;&#" + "9" * 5000 + ";&amp;&#0000000000065;", "y��&A"),
+        ("<div/>a</>b</1>c<br/>d", "abc\nd"),
+    ],
+)
+def test_broken_pages_keep_their_text(html, text):
+    assert warc.read_page(html)[0] == text
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<", "<!--", "</", "<a '", '<a ">" ', "<script", "<title>", "<noscript>", "&#", "<a b=", "<a =", "<a /", "-->", "<![x[", "<template></template>", '<a ">">', "<p a='" + '"'])
+def test_broken_pages_take_time_in_proportion(unit):
+    import time
+
+    def took(n):
+        page = unit * n
+        began = time.perf_counter()
+        warc.read_page(page)
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(100_000) < 4
+
+
+def test_byte_soup_gives_two_records_each(spark):
+    rng = np.random.default_rng(6)
+    bits = ["<", ">", "</", "<!", "--", "-->", "<![", "]]>", '"', "'", "=", " ", "a", "script", "style", "title", "head", "body", "noscript", "&#x", ";", "&", "é", "\u0000", "\r\n", "İ", "p", "/", "<?", "\U0001f600"]
+    rows = [(i, f"http://h/{i}\r\nX-Evil: 1\n", "".join(rng.choice(bits, rng.integers(0, 120)))) for i in range(400)]
+    made = warc.derive(warc.responses(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
+    assert Counter((r["page_id"], r["warc_type"]) for r in made) == Counter((i, k) for i in range(400) for k in ("metadata", "conversion"))
+    for r in made:
+        fields, block = warc.parse(r["record"])
+        assert fields["WARC-Block-Digest"] == warc.digest(block) and "X-Evil" not in fields
+        assert fields["WARC-Target-URI"] == f"http://h/{r['page_id']}%0D%0AX-Evil: 1%0A"
