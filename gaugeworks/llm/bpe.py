@@ -13,14 +13,16 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer, normalizers
 
 from gaugeworks.llm.shared import id_and_text
 
@@ -42,10 +44,32 @@ def _byte_symbols() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+_BYTES = {s: b for b, s in enumerate(_byte_symbols())}
+
+
+@lru_cache(maxsize=1)
+def _unsure() -> re.Pattern[str]:
+    """The code points on which Unicode tables of different versions disagree.
+
+    They are those that have no name yet in Python's tables, and the marks that the tokenizers library puts into
+    another order than Python does.
+    """
+    nfc = normalizers.NFC().normalize_str
+    odd = []
+    for c in map(chr, (*range(0xD800), *range(0xE000, 0x110000))):
+        kind = unicodedata.category(c)
+        if kind == "Cn" or (kind == "Mn" and nfc(t := f"a\u0301{c}\u0323{c}") != unicodedata.normalize("NFC", t)):
+            odd.append(ord(c))
+    edges = [i for i in range(len(odd)) if i == 0 or odd[i] != odd[i - 1] + 1]
+    ranges = zip(edges, [*edges[1:], len(odd)], strict=True)
+    return re.compile("[" + "".join(f"\\U{odd[a]:08x}-\\U{odd[b - 1]:08x}" for a, b in ranges) + "]")
+
+
 class Vocabulary:
     """A BPE vocabulary file of the tokenizers library: split pattern, merges, ids."""
 
     def __init__(self, path: str) -> None:
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -68,6 +92,17 @@ class Vocabulary:
         marks = "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))
         self.mark = regex.compile(f"({marks})") if marks else None
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        """The library's own tokenizer, which normalises and splits what ``_unsure`` finds."""
+        return Tokenizer.from_file(self.path)
+
+    def words(self, chunk: str) -> list[bytes]:
+        """The words of a chunk, in UTF-8."""
+        if chunk.isascii() or not _unsure().search(chunk):
+            return [w.encode() for w in self.pattern.findall(chunk)]
+        return [bytes(_BYTES[c] for c in piece) for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(chunk)]
+
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Ranks of pairs of ids; the number of merges where a pair has none."""
         key = a.astype(np.int64) << 32 | b
@@ -168,9 +203,10 @@ class _Encoder:
             return out
         return self._plain(text)
 
-    @staticmethod
-    def _plain(text: str) -> list[str]:
+    def _plain(self, text: str) -> list[str]:
         if not text.isascii():
+            if _unsure().search(text):
+                return [c for c in self.vocab.library.normalizer.normalize_str(text).split(" ") if c]
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no word-final form
         if any(c in text for c in _SEPARATORS):
             return _SPACE.split(text.lower())
@@ -179,7 +215,7 @@ class _Encoder:
     def learn(self, words: set[str]) -> None:
         """Encodes the chunks that are new, all together."""
         new = sorted(words - self.codes.keys())
-        parts = [[w.encode() for w in self.vocab.pattern.findall(c)] for c in new]
+        parts = [self.vocab.words(c) for c in new]
         distinct = sorted({w for p in parts for w in p})
         place = {w: i for i, w in enumerate(distinct)}
         flat, at = self.vocab.encode_all(distinct)
@@ -226,8 +262,8 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     ids are those of the tokenizers library without added special tokens (strings of special tokens in
     a text become their ids); decoded is its decode() with special tokens kept, which for a vocabulary
     without a decoder joins the tokens by spaces. Null and empty texts have no ids and decode to
-    nothing. Letters and numbers are told apart by the regex module's Unicode tables. Repeated rows and
-    null doc_ids keep their rows. An empty table gives an empty one.
+    nothing. Texts with code points on which Unicode tables disagree (``_unsure``) are normalised and split into
+    words by the library itself. Repeated rows and null doc_ids keep their rows. An empty table gives an empty one.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 

@@ -427,6 +427,22 @@ def test_normal_forms_match_library():
     assert [i.tolist() for i in ids] == [tk.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@pytest.mark.parametrize("shape", ["a{}Y {}1 '{}\u0301", "{}"])
+def test_every_code_point_is_encoded_as_the_library_does(shape):
+    v, tk = bpe.vocabulary(WORD), Tokenizer.from_file(WORD)
+    points = np.array([c for c in range(0x110000) if not 0xD800 <= c < 0xE000])
+    if shape == "{}":  # random texts of any code points instead
+        rng = np.random.default_rng(12)
+        texts = ["".join(map(chr, rng.choice(points, rng.integers(1, 12)))) for _ in range(4000)]
+    else:
+        texts = [shape.format(*[chr(c)] * 3) for c in points[::97]]
+    for at in range(0, len(texts), 20_000):
+        part = texts[at : at + 20_000]
+        ids, decoded = bpe._Encoder(v).encode(part)
+        assert [i.tolist() for i in ids] == [x.ids for x in tk.encode_batch(part, add_special_tokens=False)]
+        assert decoded == tk.decode_batch([i.tolist() for i in ids], skip_special_tokens=False)
+
+
 def test_one_of_each_group(odd):
     for groups in (simhash.near_duplicate_groups(odd), simhash.similar_groups(odd)):
         kept = simhash.one_of_each_group(odd, groups).select("doc_id").collect()
