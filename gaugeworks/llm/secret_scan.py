@@ -3,7 +3,7 @@
 Three kinds come from patterns. A fourth, ``random``, comes from two first-order character models, one
 trained on random strings and one on ordinary identifiers: a candidate whose log-likelihood ratio per
 character exceeds a threshold looks generated. Candidates are runs and all their stretches between
-separators, so a name or a path before a value does not hide it. What a pattern's span already holds is
+separators, so a name or a path before a value does not hide it, and ordinary parts between two values stay. What a pattern's span already holds is
 not reported again; what it leaves of a run is.
 
 Scale: a map over documents with no shuffle; the two models are a table of 70 x 70 numbers.
@@ -27,6 +27,9 @@ KINDS = ("assign", "access", "hex", "random")
 ALPHABET = string.ascii_letters + string.digits + "+/_=-."
 #: Length from which a run of the alphabet is a candidate, and the ratio per character it must exceed.
 CANDIDATE, THRESHOLD = 20, 0.75
+#: Log-likelihood ratio, in sum, at or under which neighbouring parts end a stretch: a part of a random string is
+#: that far on the other side with a chance of exp(-5) at most.
+ORDINARY = -5.0
 _ASSIGN = re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww](?:[Oo][Rr])?[Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
@@ -49,8 +52,30 @@ target task template test text thread time title total trace tree type update us
 width window word worker write the and of ing tion er re nt th an in on es ed st ent ment que les der die und""".split()
 
 
+def _pattern(rng: random.Random) -> str:
+    """A string that a person or a program makes without chance: a ruler, a stretch of an alphabet, a date, a version, a path."""
+    both = "".join(map("".join, zip(string.ascii_uppercase, string.ascii_lowercase, strict=True)))
+    order = rng.choice((string.ascii_lowercase, string.ascii_uppercase, string.digits, string.ascii_letters + string.digits, both, both.swapcase(), "qwertyuiopasdfghjklzxcvbnm", "QWERTYUIOPASDFGHJKLZXCVBNM"))
+    kind = rng.randrange(6)
+    if kind == 0:
+        return rng.choice(ALPHABET) * rng.randint(20, 80)
+    if kind == 1:
+        at = rng.randrange(len(order))
+        cycle = (order[at:] + order[:at]) * 3
+        return (cycle if rng.random() < 0.7 else cycle[::-1])[: rng.randint(20, 70)]
+    if kind == 2:
+        return "".join(rng.choices("-=_+/.", k=rng.randint(1, 4))) * 20
+    day = f"{rng.randint(1970, 2040)}{{0}}{rng.randint(1, 12):02d}{{0}}{rng.randint(1, 28):02d}".format(rng.choice(("-", "", "_", "/")))
+    clock = f"{rng.randint(0, 23):02d}{rng.choice(('-', '', '.', '_'))}{rng.randint(0, 59):02d}{rng.randint(0, 59):02d}"
+    if kind == 3:
+        return rng.choice(("-", "_", "T", "/")).join((day, clock, day))
+    if kind == 4:
+        return rng.choice(("-", "_", ".")).join(str(rng.randint(0, 10 ** rng.randint(1, 6))) for _ in range(6))
+    return "/".join((*rng.choices(_PARTS, k=3), day, f"{rng.choice(_PARTS)}_{rng.choice(_PARTS)}.{rng.choice(('txt', 'csv', 'json', 'html', 'py', 'log'))}"))
+
+
 def labelled_samples(n: int = 4000, seed: int = 7) -> list[tuple[str, int]]:
-    """n random strings (label 1) and n ordinary identifiers (label 0), always the same for a seed."""
+    """n random strings (label 1), n ordinary identifiers and n // 2 patterns (label 0), always the same for a seed."""
     rng = random.Random(seed)
     sets = (string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, string.ascii_letters + string.digits + "-_")
     out = [("".join(rng.choices(rng.choice(sets), k=rng.randint(20, 64))), 1) for _ in range(n)]
@@ -59,7 +84,7 @@ def labelled_samples(n: int = 4000, seed: int = 7) -> list[tuple[str, int]]:
         kind = rng.randrange(6)
         joined = ("".join(p.title() for p in parts), "_".join(parts), "-".join(parts), "/".join(parts), "_".join(parts).upper(), "".join(parts))[kind]
         out.append((joined + (str(rng.randint(0, 2030)) if rng.random() < 0.2 else ""), 0))
-    return out
+    return out + [(_pattern(rng), 0) for _ in range(n // 2)]
 
 
 @dataclass(frozen=True)
@@ -120,20 +145,56 @@ def scan(text: str, model: MarkovPair, threshold: float = THRESHOLD) -> list[tup
     return sorted(found)
 
 
+def _repeats(s: str) -> bool:
+    """Whether a string is a unit said three times or more (its last time may be cut short)."""
+    unit = (s + s).find(s[: len(s) - len(s) // 3], 1)
+    return 0 < unit <= len(s) // 3 and all(s[i] == s[i - unit] for i in range(unit, len(s)))
+
+
+def _segments(at: np.ndarray, model: MarkovPair) -> list[tuple[int, int]]:
+    """(start, end) of what is left of a run without its ordinary parts.
+
+    Parts are what stands between separators. Neighbouring parts of a negative ratio that come to
+    ``ORDINARY`` or less together are ordinary; the separators next to them go with them.
+    """
+    inner = at < _SEPARATORS
+    edge = np.diff(inner.astype(np.int8), prepend=0, append=0)
+    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if not len(begin):
+        return [(0, len(at))]
+    steps = np.concatenate([[0.0], np.cumsum(model.step[at[:-1], at[1:]])])
+    mass = model.first[at[begin]] + steps[end - 1] - steps[begin]
+    out, start, i = [], 0, 0
+    while i < len(begin):
+        j = i
+        while j < len(begin) and mass[j] < 0:
+            j += 1
+        if j > i and mass[i:j].sum() <= ORDINARY:
+            if i:
+                out.append((start, int(end[i - 1])))
+            start = int(begin[j]) if j < len(begin) else len(at)
+        i = max(j, i + 1)
+    return [*out, (start, len(at))] if start < len(at) else out
+
+
 def _random_parts(text: str, begin: int, end: int, model: MarkovPair, threshold: float) -> list[tuple[int, int]]:
     """(start, end) of the stretches of a run that look generated.
 
-    A stretch starts and ends at the run's ends or at separators and has ``CANDIDATE`` characters or
-    more; of those whose ratio per character exceeds the threshold the one that exceeds it by most in
-    sum is found. It grows over parts next to it that are likelier random, and what is left on either
-    side is searched in the same way.
+    Ordinary parts of the run are in none (``_segments``). A stretch starts and ends at the ends of what is
+    left or at separators and has ``CANDIDATE`` characters or more; of those whose ratio per character
+    exceeds the threshold the one that exceeds it by most in sum is found. It grows over parts next to it
+    that are likelier random, and what is left on either side is searched in the same way. A stretch that
+    repeats one unit is no secret.
     """
-    out, todo = [], [(begin, end)]
+    if end - begin < CANDIDATE:
+        return []
+    whole = np.array([_PLACE[c] for c in text[begin:end]], np.int64)
+    out, todo = [], [(begin + s, begin + e) for s, e in _segments(whole, model)]
     while todo:
         s, e = todo.pop()
         if e - s < CANDIDATE:
             continue
-        at = np.array([_PLACE[c] for c in text[s:e]], np.int64)
+        at = whole[s - begin : e - begin]
         first, steps = model.first[at], np.concatenate([[0.0], np.cumsum(model.step[at[:-1], at[1:]])])
         inner = at < _SEPARATORS
         starts = np.concatenate([[True], inner[1:] & ~inner[:-1]])
@@ -148,7 +209,8 @@ def _random_parts(text: str, begin: int, end: int, model: MarkovPair, threshold:
         gain = np.where(starts, first - steps, -np.inf)[: left + 1]
         left = int(gain.argmax()) if gain.max() > gain[left] else left
         right += int(np.where(ends, steps, -np.inf)[right:].argmax())
-        out.append((s + left, s + right + 1))
+        if not _repeats(text[s + left : s + right + 1]):
+            out.append((s + left, s + right + 1))
         todo += [(s, s + left), (s + right + 1, e)]
     return out
 
