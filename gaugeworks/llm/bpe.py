@@ -48,8 +48,8 @@ _BYTES = {s: b for b, s in enumerate(_byte_symbols())}
 
 
 @lru_cache(maxsize=1)
-def _unsure() -> re.Pattern[str]:
-    """The code points on which Unicode tables of different versions disagree.
+def _disagreed() -> tuple[re.Pattern[str], frozenset[str]]:
+    """The code points on which Unicode tables of different versions disagree: a pattern up to U+FFFF, a set beyond.
 
     They are those that have no name yet in Python's tables, and the marks that the tokenizers library puts into
     another order than Python does.
@@ -59,10 +59,20 @@ def _unsure() -> re.Pattern[str]:
     for c in map(chr, (*range(0xD800), *range(0xE000, 0x110000))):
         kind = unicodedata.category(c)
         if kind == "Cn" or (kind == "Mn" and nfc(t := f"a\u0301{c}\u0323{c}") != unicodedata.normalize("NFC", t)):
-            odd.append(ord(c))
-    edges = [i for i in range(len(odd)) if i == 0 or odd[i] != odd[i - 1] + 1]
-    ranges = zip(edges, [*edges[1:], len(odd)], strict=True)
-    return re.compile("[" + "".join(f"\\U{odd[a]:08x}-\\U{odd[b - 1]:08x}" for a, b in ranges) + "]")
+            odd.append(c)
+    # re looks a character of a class up in a table only where the class ends at U+FFFF
+    return re.compile("[" + "".join(re.escape(c) for c in odd if c <= "\uffff") + "]"), frozenset(c for c in odd if c > "\uffff")
+
+
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")
+
+
+def _unsure(text: str) -> bool:
+    """Whether a text has code points on which Unicode tables disagree."""
+    if text.isascii():
+        return False
+    low, high = _disagreed()
+    return low.search(text) is not None or any(c in high for c in _BEYOND.findall(text))
 
 
 class Vocabulary:
@@ -99,7 +109,7 @@ class Vocabulary:
 
     def words(self, chunk: str) -> list[bytes]:
         """The words of a chunk, in UTF-8."""
-        if chunk.isascii() or not _unsure().search(chunk):
+        if not _unsure(chunk):
             return [w.encode() for w in self.pattern.findall(chunk)]
         return [bytes(_BYTES[c] for c in piece) for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(chunk)]
 
@@ -205,7 +215,7 @@ class _Encoder:
 
     def _plain(self, text: str) -> list[str]:
         if not text.isascii():
-            if _unsure().search(text):
+            if _unsure(text):
                 return [c for c in self.vocab.library.normalizer.normalize_str(text).split(" ") if c]
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no word-final form
         if any(c in text for c in _SEPARATORS):
