@@ -7,6 +7,8 @@
    n - 1 matches a seed and not n * (n - 1) / 2.
 3. Chains. The matches of two documents are chained in order in both, with gap costs that grow with the
    distance, by a Fenwick tree over the second document's positions.
+   Where a document goes over from one partner to another, documents that do so at the same places are
+   matched with each other too (``_joints``), so a passage whose parts were first seen apart is found.
 4. Alignment. The words around each chain are fetched once for each document that takes part, and the
    chain is aligned and extended with tolerance for words that differ.
 5. Passages. Spans that touch and go on in the same partner are one stretch; a stretch of enough words in
@@ -223,6 +225,29 @@ def _chains(matches: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, ", ".join(f"{n} long" for n in names) + ", pos array<int>, at array<int>")
 
 
+def _joints(chains: DataFrame) -> DataFrame:
+    """Chains, like ``chains``, across places where a document's chains go over from one partner to another.
+
+    Heads alone may each hold only a part of a passage that two later documents both hold whole. Both then have
+    chains with the same heads, one after the other: the last place in one head and the first in the next name
+    the joint, and every document with the joint is matched there with the smallest that has it. As with
+    seeds, n documents make n - 1 matches a joint; alignment carries them over the passage.
+    """
+    by_start = Window.partitionBy("doc_id").orderBy("s", "e", "partner", "ps")
+    first, last = lambda c: F.element_at(c, 1), lambda c: F.element_at(c, -1)
+    start = F.struct("partner", first("pos").alias("pos"), first("at").alias("at"))
+    # the next chain may lie inside this one, so the one after it is taken too
+    after = F.array(*[F.lead(start, n).over(by_start) for n in (1, 2)])
+    turns = chains.select("doc_id", F.col("partner").alias("_a"), last("at").alias("_at_a"), last("pos").alias("_p"), after.alias("_b"))
+    turns = turns.withColumn("_b", F.explode("_b"))
+    near = (F.col("_b.partner") != F.col("_a")) & (F.col("_b.pos") > F.col("_p")) & (F.col("_b.pos") - F.col("_p") <= CUT)
+    key = ["_a", "_at_a", "_c", "_at_c"]
+    turns = staged(turns.where(near).select("doc_id", "_a", "_at_a", F.col("_b.partner").alias("_c"), F.col("_b.at").alias("_at_c"), F.col("_p").alias("p"), F.col("_b.pos").alias("q")), "joints")
+    heads = turns.groupBy(*key).agg(F.min(F.struct("doc_id", "p", "q")).alias("_head"), F.max("doc_id").alias("_last")).where("_head.doc_id <> _last").drop("_last")
+    found = turns.join(heads, key).where("doc_id <> _head.doc_id")
+    return found.selectExpr("doc_id", "_head.doc_id as partner", "cast(p as long) as s", f"cast(q + {K} as long) as e", "cast(_head.p as long) as ps", f"cast(_head.q + {K} as long) as pe", "array(p, q) as pos", "array(_head.p, _head.q) as at")
+
+
 def _grid(chains: DataFrame) -> DataFrame:
     """Chains with the slices (on a grid) of both documents' words that their alignment needs."""
     low = lambda c: F.greatest(F.floor((F.col(c) - AROUND) / GRID) * GRID, F.lit(0)).cast("long")
@@ -319,7 +344,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     empty one.
     """
     rows = id_and_text(docs, id_col, text_col).where("doc_id is not null")
-    chains = staged(_grid(_chains(_matches(staged(_seed_rows(rows), "seeds")))), "chains")
+    chains = staged(_chains(_matches(staged(_seed_rows(rows), "seeds"))), "chains")
+    chains = _grid(chains.unionByName(staged(_joints(chains), "turns")))
     asked = chains.select("doc_id", "from", "to").unionByName(chains.selectExpr("partner as doc_id", "p_from as from", "p_to as to"))
     slices = staged(_slices(rows, asked), "slices")
     spans = _aligned(chains, slices).distinct()

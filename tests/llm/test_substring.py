@@ -180,3 +180,51 @@ def test_run_gives_the_last_stage(spark, stages):
         return Counter(tuple(r) for r in df.select(*columns).withColumn("ids", F.hex("ids")).collect())
 
     assert counted(pipeline.run(spark, sf)) == counted(out[4][2])
+
+
+@pytest.mark.parametrize("sizes", [(40, 40), (45, 45), (30, 30), (30, 30, 30), (25, 25, 25, 25), (45, 20)])
+def test_passages_whose_parts_were_first_seen_apart(spark, sizes):
+    """Earlier documents hold the parts, two later ones the whole, and a third whole comes after them: none is lost."""
+    rows, whole = [], []
+    for n in range(40):
+        words = prose(31_000 + 97 * n + len(sizes) * 7 + sizes[0], sum(sizes)).split()
+        base, at = 10 * n, 0
+        for i, size in enumerate(sizes):
+            rows.append((base + i, f"{prose(base + i + 50_000, 40)} {' '.join(words[at : at + size])} {prose(base + i + 60_000, 40)}"))
+            at += size
+        for i in (7, 8, 9):
+            rows.append((base + i, f"{prose(base + i + 70_000, 45)} {' '.join(words)} {prose(base + i + 80_000, 45)}"))
+        whole.append((base, sum(sizes)))
+    found = substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).select("doc_id", "passage_start", "passage_end").distinct().collect()
+    spans = {}
+    for r in found:
+        spans.setdefault(r["doc_id"], []).append((r["passage_start"], r["passage_end"]))
+    for base, size in whole:
+        for i in (8, 9):
+            assert sum(min(e, 45 + size) - max(s, 45) for s, e in spans.get(base + i, [])) >= min(size, 50), (base, i, spans.get(base + i))
+    # the first whole has no partner that holds 50 words of it, unless a part does
+    assert not any(base + 7 in spans for base, _ in whole)
+
+
+def test_passages_by_brute_force(spark):
+    """Documents made of fragments of a few sources: every document that shares a run of 50 words with one before it has a passage there."""
+    rng = np.random.default_rng(17)
+    sources = [prose(90_000 + i, 160).split() for i in range(6)]
+    rows = []
+    for d in range(70):
+        words = prose(91_000 + d, 20).split()
+        for _ in range(int(rng.integers(1, 4))):
+            source = sources[rng.integers(0, 6)]
+            size = int(rng.choice([20, 30, 45, 80, 120]))
+            at = int(rng.integers(0, 160 - size))
+            words += source[at : at + size] + prose(int(rng.integers(1, 10**6)), 15).split()
+        rows.append((d, " ".join(words)))
+    split = [t.split() for _, t in rows]
+    runs = [{tuple(w[i : i + 50]): i for i in range(len(w) - 49)} for w in split]
+    want = {d: {i for r, i in runs[d].items() if any(r in runs[e] for e in range(d))} for d in range(70)}
+    found = {}
+    for r in substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        found.setdefault(r["doc_id"], set()).update(range(r["passage_start"], r["passage_end"]))
+    lost = [(d, i) for d, at in want.items() for i in at if len(found.get(d, set()) & set(range(i, i + 50))) < 45]
+    total = sum(map(len, want.values()))
+    assert total > 500 and len(lost) <= 0.01 * total, (len(lost), total)
