@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,43 +50,105 @@ def _average_depth(n: float) -> float:
     return 0.0 if n < 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else 1.0
 
 
-def fit_forest(df: DataFrame, columns: Sequence[str], trees: int = 100, sample: int = 256, seed: int = 0, most: int = 50_000) -> IsolationForest:
-    """Trees grown on the driver from a sample of at most ``most`` rows (the same for a seed).
+#: Nodes of a forest that the driver and each task may hold: a few tens of megabytes.
+MOST_NODES = 1_000_000
+_NODE = "tree int, node int, feature int, threshold double, lower int, upper int, depth double"
 
-    The sample is the rows of the smallest hashes of all their columns, so it is even at every size, and
-    rows that share a combination of ``columns`` come and go one by one if any other column tells them apart.
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64 bits that all depend on each bit of ``x``."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def draws(hashes: np.ndarray, place: int, tree: int, seed: int) -> np.ndarray:
+    """A number for each row of a batch and one tree; the rows of a tree's smallest numbers are its sample.
+
+    A row's number comes from its own hash. Copies in a batch have numbers of their own, from the batch's
+    place besides, so a row that is a third of all is a third of a sample.
     """
-    hashed = F.xxhash64(F.lit(seed), *[F.col(c) for c, kind in sorted(df.dtypes) if "map<" not in kind])
+    order = np.argsort(hashes, kind="stable")
+    new = np.concatenate(([True], hashes[order][1:] != hashes[order][:-1]))
+    first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    copy = np.empty(len(order), np.uint64)
+    copy[order] = (np.arange(len(order)) - first).astype(np.uint64)
+    salt = np.where(copy > 0, _mixed(copy + np.uint64([place]) * np.uint64(0x9E3779B97F4A7C15)), np.uint64(0))
+    return _mixed(hashes ^ salt ^ _mixed(np.uint64([(seed << 32) + tree + 1]))[0])
+
+
+def grown(x: np.ndarray, seed: int, tree: int, limit: int) -> list[tuple[int, float, int, int, float]]:
+    """An isolation tree over the rows of ``x``: (feature or -1, threshold, lower, upper, depth) of each node."""
+    rng = np.random.default_rng((seed, tree))
+    nodes: list[tuple[int, float, int, int, float]] = []
+    todo = [(x, 0, -1, 0)]
+    while todo:
+        part, depth, above, side = todo.pop()
+        at = len(nodes)
+        nodes.append((-1, 0.0, 0, 0, depth + _average_depth(len(part))))
+        if above >= 0:
+            up = list(nodes[above])
+            up[2 + side] = at
+            nodes[above] = tuple(up)
+        spread = np.ptp(part, axis=0) if len(part) else np.zeros(x.shape[1])
+        if depth < limit and len(part) > 1 and spread.any():
+            f = int(rng.choice(np.flatnonzero(spread)))
+            cut = float(rng.uniform(part[:, f].min(), part[:, f].max()))
+            nodes[at] = (f, cut, 0, 0, nodes[at][4])
+            todo += [(part[part[:, f] >= cut], depth + 1, at, 1), (part[part[:, f] < cut], depth + 1, at, 0)]
+    return nodes
+
+
+def fit_forest(df: DataFrame, columns: Sequence[str], trees: int = 300, sample: int = 256, seed: int = 0) -> IsolationForest:
+    """Trees grown in the executors, each from its own ``sample`` rows (the same for a seed).
+
+    A tree's sample is the rows of its smallest numbers (``draws``). Each task sends on only rows whose
+    number is low enough to be among them, about twice as many as are needed in all, whatever the table's
+    size. What comes to the driver is the trees' nodes, at most 2 * ``sample`` for each; more than
+    ``MOST_NODES`` are refused. Nulls count as 0; a table without rows gives trees of one leaf.
+    """
+    if trees * 2 * sample > MOST_NODES:
+        raise ValueError(f"{trees} trees of {sample} rows may have more than {MOST_NODES} nodes")
     n = df.count()
-    share = int(1_000_000 * min(1.0, 1.2 * most / max(n, 1)))
-    rows = df.select(*columns, hashed.alias("_hash")).where(F.pmod("_hash", F.lit(1_000_000)) < share)
-    found = rows.orderBy("_hash", *columns).limit(most).select(*columns).collect()
-    x = np.nan_to_num(np.array([list(r) for r in found], float).reshape(-1, len(columns)))
-    rng = np.random.default_rng(seed)
-    grown = []
-    size = min(sample, len(x))
-    limit = max(1, int(np.ceil(np.log2(max(size, 2)))))
-    for _ in range(trees):
-        nodes: list[list[float]] = []
-
-        def grow(part: np.ndarray, depth: int) -> int:
-            at = len(nodes)
-            nodes.append([-1, 0.0, 0, 0, depth + _average_depth(len(part))])
-            spread = np.ptp(part, axis=0) if len(part) else np.zeros(len(columns))
-            if depth < limit and len(part) > 1 and spread.any():
-                f = int(rng.choice(np.flatnonzero(spread)))
-                cut = rng.uniform(part[:, f].min(), part[:, f].max())
-                nodes[at][:2] = [f, cut]
-                nodes[at][2] = grow(part[part[:, f] < cut], depth + 1)
-                nodes[at][3] = grow(part[part[:, f] >= cut], depth + 1)
-            return at
-
-        grow(x[rng.choice(len(x), size, replace=False)] if len(x) else x, 0)
-        grown.append(nodes)
-    width = max(map(len, grown))
-    table = np.array([n + [[-1, 0, 0, 0, 0]] * (width - len(n)) for n in grown], float)
+    share = 2 * sample + 40 * np.sqrt(sample)
+    bar = np.uint64(min(share / max(n, 1) * 2.0**64, 2.0**64 - 2.0**12))
+    hashed = F.xxhash64(F.lit(seed), *[F.col(c) for c, kind in sorted(df.dtypes) if "map<" not in kind])
+    rows = df.select(hashed.alias("_hash"), F.array(*[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in columns]).alias("_x"))
+    schema = pa.schema([("tree", pa.int32()), ("number", pa.int64()), ("x", pa.list_(pa.float64()))])
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        for i, batch in enumerate(batches):
+            hashes = batch.column(0).to_numpy().view(np.uint64)
+            for tree in range(trees if len(hashes) else 0):
+                number = draws(hashes, (task << 32) + i, tree, seed)
+                low = np.flatnonzero(number <= bar)
+                if len(low):
+                    # the order of unsigned numbers holds for their halves
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(low), tree, np.int32)), pa.array((number[low] >> np.uint64(1)).view(np.int64)), batch.column(1).take(pa.array(low))], schema=schema)
+
+    limit = max(1, int(np.ceil(np.log2(max(min(sample, n), 2)))))
+
+    def grow(part: pa.Table) -> pa.Table:
+        x = np.array(part["x"].to_pylist(), float).reshape(part.num_rows, len(columns))
+        first = np.lexsort((*x.T[::-1], part["number"].to_numpy()))[:sample]
+        tree = part["tree"][0].as_py()
+        nodes = grown(x[first], seed, tree, limit)
+        names = [f.split()[0] for f in _NODE.split(", ")]
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.float64()]
+        columns_of = zip(*((tree, i, *node) for i, node in enumerate(nodes)), strict=True)
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns_of, kinds, strict=True)], names=names)
+
+    sent = rows.mapInArrow(chosen, "tree int, number long, x array<double>")
+    found = sent.groupBy("tree").applyInArrow(grow, _NODE).orderBy("tree", "node").collect()
+    by_tree: dict[int, list] = {}
+    for r in found:
+        by_tree.setdefault(r["tree"], []).append((r["feature"], r["threshold"], r["lower"], r["upper"], r["depth"]))
+    tables = list(by_tree.values()) or [[(-1, 0.0, 0, 0, 0.0)]]
+    width = max(map(len, tables))
+    table = np.array([t + [(-1, 0.0, 0, 0, 0.0)] * (width - len(t)) for t in tables], float)
     ints = [table[:, :, i].astype(np.int64) for i in (0, 2, 3)]
-    return IsolationForest(ints[0], table[:, :, 1], ints[1], ints[2], table[:, :, 4], max(_average_depth(size), 1.0), limit)
+    return IsolationForest(ints[0], table[:, :, 1], ints[1], ints[2], table[:, :, 4], max(_average_depth(min(sample, n)), 1.0), limit)
 
 
 def with_score(df: DataFrame, forest: IsolationForest, columns: Sequence[str], name: str = "score") -> DataFrame:

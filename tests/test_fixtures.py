@@ -119,9 +119,9 @@ def test_forest_finds_outlier(spark):
 
 
 def test_forest_sample_is_even(spark):
-    """With more rows than the bound, trees still cut where the largest values of the first column lie."""
+    """With far more rows than a sample has, trees still cut where the largest values of the first column lie."""
     rows = spark.range(6000).selectExpr("id", "cast(id as double) as a", "cast(id % 7 as double) as b")
-    forest = scoring.fit_forest(rows, ["a", "b"], most=2000)
+    forest = scoring.fit_forest(rows, ["a", "b"], trees=100)
     cuts = forest.threshold[forest.feature == 0]
     assert (cuts > 5400).mean() > 0.03 and (cuts < 600).mean() > 0.03
 
