@@ -108,5 +108,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+#: Links are joined up by passing on roots that are smaller than the document they come to: the smallest of a
+#: component always is. doc_id is a key here, as it is in the table.
+_OP13 = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS grams FROM w),
+n AS (SELECT doc_id, CAST(len(grams) AS BIGINT) AS n_shingles FROM s), e AS (SELECT doc_id, unnest(grams) AS gram FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM e a JOIN e b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 85 * (a.n_shingles + b.n_shingles - k)),
+m AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS node, doc_id AS root FROM n UNION SELECT m.y, r.root FROM r JOIN m ON m.x = r.node WHERE r.root < m.y)
+SELECT doc_id, n_shingles, min(root) AS component_id, min(root) = doc_id AS kept FROM r JOIN n ON n.doc_id = r.node GROUP BY 1, 2"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op13_minhash_groups": _OP13}

@@ -293,3 +293,10 @@ def test_new_queries_have_their_columns(spark, sf_dir):
         out = queries.queries()[name](spark, sf_dir)
         assert [(f.name, f.dataType) for f in out.schema] == columns
         assert out.where(F.col("n_near").isNull() if "n_near" in out.columns else F.col("kept").isNull()).isEmpty()
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_equals_its_sql(spark, sf_dir, name):
+    from compare import difference
+
+    assert difference(queries.queries()[name](spark, sf_dir), queries.oracle_sql()[name], sf_dir) == ""
