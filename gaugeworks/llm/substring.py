@@ -233,12 +233,14 @@ def _joints(chains: DataFrame) -> DataFrame:
     the joint, and every document with the joint is matched there with the smallest that has it. As with
     seeds, n documents make n - 1 matches a joint; alignment carries them over the passage.
     """
-    by_start = Window.partitionBy("doc_id").orderBy("s", "e", "partner", "ps")
     first, last = lambda c: F.element_at(c, 1), lambda c: F.element_at(c, -1)
-    start = F.struct("partner", first("pos").alias("pos"), first("at").alias("at"))
+    # only a chain's ends go to its document's task
+    ends = chains.select("doc_id", "s", "e", "partner", "ps", *[f(c).alias(f"{c}_{n}") for c in ("pos", "at") for n, f in (("first", first), ("last", last))])
+    by_start = Window.partitionBy("doc_id").orderBy("s", "e", "partner", "ps")
+    start = F.struct("partner", F.col("pos_first").alias("pos"), F.col("at_first").alias("at"))
     # the next chain may lie inside this one, so the one after it is taken too
     after = F.array(*[F.lead(start, n).over(by_start) for n in (1, 2)])
-    turns = chains.select("doc_id", F.col("partner").alias("_a"), last("at").alias("_at_a"), last("pos").alias("_p"), after.alias("_b"))
+    turns = ends.select("doc_id", F.col("partner").alias("_a"), F.col("at_last").alias("_at_a"), F.col("pos_last").alias("_p"), after.alias("_b"))
     turns = turns.withColumn("_b", F.explode("_b"))
     near = (F.col("_b.partner") != F.col("_a")) & (F.col("_b.pos") > F.col("_p")) & (F.col("_b.pos") - F.col("_p") <= CUT)
     key = ["_a", "_at_a", "_c", "_at_c"]
