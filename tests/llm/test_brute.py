@@ -427,9 +427,12 @@ def test_long_texts_are_encoded_as_the_library_does(spark, long, monkeypatch):
         assert got == [*byte.encode(t, add_special_tokens=False).ids, packing.END]
 
 
-@pytest.mark.parametrize("name", [n for n in queries.queries() if not n.startswith(("op4_", "op8_", "op10_"))])
+@pytest.mark.parametrize("name", [n for n in queries.queries() if not n.startswith(("op4_", "op8_", "op10_", "op12_"))])
 def test_long_texts_through_every_operator(spark, long, name):
     out = queries.queries()[name](spark, long)
+    if name.startswith("op11_"):  # a row a word, not a document
+        assert out.where("n_near is null or root is null").isEmpty() and out.count() > 0
+        return
     ids = [r["doc_id"] for r in out.select("doc_id").collect()]
     assert name.startswith("op6_") or sorted(ids) == list(range(len(LONG)))
 
