@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.text import collapsed
+from gaugeworks.operators.staging import staged
+from gaugeworks.operators.stats import cumulative
 
 
 def hop(nodes: DataFrame, edges: DataFrame, kind: str, node: str = "id") -> DataFrame:
@@ -73,6 +75,33 @@ def eligible(history: DataFrame, events: DataFrame, on: str = "scope") -> DataFr
     return e.join(history, [on, "revision"]).where(ok).drop("_episode", "_at")
 
 
+def latest_eligible(history: DataFrame, events: DataFrame, k: int, on: str = "scope") -> DataFrame:
+    """(event_id, case_id, place): the ``k`` eligible cases of each event that were closed last, the latest first.
+
+    Of cases closed at once the greater case_id is later. No event meets all of its class's history: both
+    are numbered in one order, an event knows from that how many cases came before it and how many of those
+    are of its own episode, and so the numbers of the k last others, which are looked up. Classes and
+    episodes may be of any size. Rows without scope, revision or time are never eligible; null episodes are
+    the same one, and a case given twice counts once.
+    """
+    of = [on, "revision"]
+    known = F.col(on).isNotNull() & F.col("revision").isNotNull()
+    cases = history.where(F.col("confirmed") & known & F.col("closed_at").isNotNull()).select(*of, "episode_id", F.struct(F.col("closed_at").alias("at"), F.lit(0).alias("kind")).alias("_at"), "case_id", F.lit(None).cast(dict(events.dtypes)["event_id"]).alias("event_id"), F.lit(1).alias("_one")).distinct()
+    asked = events.where(known & F.col("at").isNotNull()).select(*of, "episode_id", F.struct(F.col("at").alias("at"), F.lit(1).alias("kind")).alias("_at"), F.lit(None).cast(dict(history.dtypes)["case_id"]).alias("case_id"), "event_id", F.lit(0).alias("_one"))
+    rows = cases.unionByName(asked).withColumn("_order", F.struct("_at", "case_id", "event_id"))
+    rows = cumulative(rows, "_order", "_one", "_place", of)
+    rows = staged(cumulative(rows, "_order", "_one", "_own", [*of, "episode_id"]).select(*of, "episode_id", "case_id", "event_id", "_one", "_place", "_own"), "classes")
+    case, others = F.col("_one") == 1, F.col("_place") - F.col("_own")
+    # an own case stands before the j-th other if no more than j others stand before it
+    own = rows.where(case).select(*of, "episode_id", F.lit(None).cast(dict(rows.dtypes)["event_id"]).alias("event_id"), F.struct(others.alias("j"), F.lit(0).alias("kind"), F.col("_place").alias("n")).alias("_order"), "_one", F.lit(0).cast("long").alias("_j"), F.lit(0).cast("long").alias("_all"))
+    wanted = F.explode(F.sequence(F.greatest(others - k, F.lit(0)), others - 1))
+    ask = rows.where(~case & (others > 0)).select(*of, "episode_id", "event_id", wanted.alias("_j"), others.alias("_all"), "_one")
+    ask = ask.select(*of, "episode_id", "event_id", F.struct(F.col("_j").alias("j"), F.lit(1).alias("kind"), F.lit(None).cast(dict(rows.dtypes)["_place"]).alias("n")).alias("_order"), "_one", F.col("_j").cast("long").alias("_j"), F.col("_all").cast("long").alias("_all"))
+    found = cumulative(own.unionByName(ask), "_order", "_one", "_skipped", [*of, "episode_id"]).where("_one = 0")
+    found = found.select(*of, "event_id", (F.col("_j") + F.col("_skipped")).alias("_place"), (F.col("_all") - F.col("_j")).cast("int").alias("place"))
+    return found.join(rows.where(case).select(*of, "_place", "case_id"), [*of, "_place"]).select("event_id", "case_id", "place")
+
+
 def conflicts(scores: DataFrame, cases: DataFrame, same: float = 1.0) -> DataFrame:
     """(event_id, conflict): whether past events with identical samples point to different cases."""
     hit = scores.where(F.col("score") >= same).join(cases.select(F.col("event_id").alias("past_id"), "case_id"), "past_id")

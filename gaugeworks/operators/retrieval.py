@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from gaugeworks.operators.blocks import searched
 from gaugeworks.operators.staging import staged
@@ -128,16 +130,20 @@ def _scored(hits: pa.Table, asked: pa.Table, k: int, digits: int, schema: pa.Sch
     return pa.Table.from_arrays([pa.array(c) for c in columns], schema=schema)
 
 
+#: Is no key of a row, null included.
+_NO_KEY = object()
+
 #: Words of the seed by which a whole passage is looked for.
 SEED_WORDS = 5
 
 
-def holders(docs: DataFrame, items: DataFrame, text: str = "text", id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
+def holders(docs: DataFrame, items: DataFrame, text: str = "text", id_col: str = "doc_id", item_col: str = "item_id", block: int = 100_000, span: int = 20_000) -> DataFrame:
     """(item_id, id): documents whose text holds an item's text whole, as it stands.
 
     An item's first words but one, which are whole words wherever it stands, seed the search; documents
-    that have the seed are compared with the item itself. Items of too few words for a seed are compared
-    with every document, in one pass.
+    that have the seed are compared with the item itself. Items of too few words for a seed are looked for
+    by one automaton for each block of them, in time in proportion to a text's length and its hits; an
+    empty item is in every document, a null one or one in a null text nowhere.
     """
     words = lambda c: F.split(c, r"\s+")
     n = SEED_WORDS
@@ -147,8 +153,26 @@ def holders(docs: DataFrame, items: DataFrame, text: str = "text", id_col: str =
     split = docs.select(F.col(id_col).alias(id_col), F.col(text).alias("_text"), words(F.col(text)).alias("_w")).where(F.size("_w") >= n)
     hit = split.select(id_col, F.explode(F.array_distinct(grams)).alias("_seed")).join(seeded, "_seed").select(id_col, "item_id", "_item")
     found = hit.join(docs.select(F.col(id_col), F.col(text).alias("_text")), id_col).where(F.contains("_text", F.col("_item"))).select("item_id", id_col)
-    short = own.where(F.size("_w") < n + 2).select("item_id", "_item")
-    rest = docs.join(short, F.contains(docs[text], F.col("_item"))).select("item_id", id_col)
+    short = own.where(F.size("_w") < n + 2).select(F.col("item_id").alias("_item_id"), "_item")
+    texts = docs.select(F.col(id_col).alias("_doc_id"), F.col(text).alias("_text")).where("_text is not null")
+    kinds = [StructField("item_id", short.schema["_item_id"].dataType), StructField(id_col, texts.schema["_doc_id"].dataType)]
+
+    def search(asked: pa.Table, known: pa.Table) -> pa.Table:
+        of: dict[str, list] = {}
+        for item, found in zip(asked["_item_id"].to_pylist(), asked["_item"].to_pylist()):
+            of.setdefault(found, []).append(item)
+        everywhere = of.pop("", [])
+        automaton = ahocorasick.Automaton()
+        for found in of:
+            automaton.add_word(found, found)
+        automaton.make_automaton()
+        hits = []
+        for of_doc, body in zip(known["_doc_id"].to_pylist(), known["_text"].to_pylist()):
+            seen = {found for _, found in automaton.iter(body)} if of else set()
+            hits += [(item, of_doc) for found in seen for item in of[found]] + [(item, of_doc) for item in everywhere]
+        return pa.table([pa.array([h[i] for h in hits], known["_doc_id"].type if i else asked["_item_id"].type) for i in (0, 1)], names=["item_id", id_col])
+
+    rest = searched(short, texts, search, StructType(kinds), "_item_id", "_doc_id", block, span)
     return found.unionByName(rest).distinct()
 
 
@@ -227,36 +251,53 @@ def neighbours(seeds: DataFrame, chunks: DataFrame, hops: int = 2, most: int = 3
 
 
 def within_budget(ranked: DataFrame, budget: int, size: str = "size", required: str = "required", query: str = "query_id", order: str = "rank") -> DataFrame:
-    """(query_id, rank): walks each ranked list, skips what overflows the budget; required rows always stay."""
-    lists = ranked.groupBy(query).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("r"), F.col(size).cast("long").alias("n"), F.col(required).alias("must")))).alias("_l"))
-    none = F.array().cast(f"array<{dict(ranked.dtypes)[order]}>")
+    """(query_id, rank): walks each ranked list, skips what overflows the budget; required rows always stay.
+
+    Lists are sorted by the shuffle and walked as they stream by: a task holds one batch and the sum so far.
+    A null size counts as 0 for a required row and never fits otherwise; a null flag is false.
+    """
+    rows = ranked.select(query, order, F.col(size).cast("long").alias("_size"), F.coalesce(F.col(required), F.lit(False)).alias("_must"))
 
-    def step(s: Column, x: Column) -> Column:
-        fits = x["must"] | (s["used"] + x["n"] <= budget)
-        return F.when(fits, F.struct((s["used"] + x["n"]).alias("used"), F.concat(s["kept"], F.array(x["r"])).alias("kept"))).otherwise(s)
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, used = _NO_KEY, 0
+        for b in batches:
+            kept = []
+            for key, n, must in zip(b.column(0).to_pylist(), b.column("_size").to_pylist(), b.column("_must").to_pylist()):
+                if key != last:
+                    last, used = key, 0
+                fits = must or (n is not None and used + n <= budget)
+                used += (n or 0) if fits else 0
+                kept.append(fits)
+            yield b.select([query, order]).filter(pa.array(kept, pa.bool_()))
 
-    kept = F.aggregate("_l", F.struct(F.lit(0).cast("long").alias("used"), none.alias("kept")), step, lambda s: s["kept"])
-    return lists.select(query, F.explode(kept).alias(order))
+    return rows.repartition(query).sortWithinPartitions(query, order, "_size", "_must").mapInArrow(walk, rows.select(query, order).schema)
 
 
 def packed_chunks(units: DataFrame, most: int, doc: str = "doc_id", order: str = "position", group: str = "group_key", size: str = "size") -> DataFrame:
     """Adds chunk: units of a document in order; a new one begins where the group changes or the text would exceed ``most`` (K6).
 
     Texts of a chunk are joined by one character. A unit larger than ``most`` is a chunk of its own, as it
-    is never split.
+    is never split; a null size is 0. One shuffle sorts the units, which are numbered as they stream by: a
+    task holds one batch and where the last chunk stands.
     """
-    lists = units.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("p"), F.col(group).cast("string").alias("g"), F.col(size).cast("long").alias("n")))).alias("_l"))
-    kind = dict(units.dtypes)[order]
-    start = F.struct(F.lit(-1).cast("long").alias("c"), F.lit(None).cast("string").alias("g"), F.lit(0).cast("long").alias("n"), F.array().cast(f"array<struct<p:{kind},c:bigint>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        new = (s["c"] < 0) | ~s["g"].eqNullSafe(x["g"]) | (s["n"] + 1 + x["n"] > most)
-        c = F.when(new, s["c"] + 1).otherwise(s["c"])
-        n = F.when(new, x["n"]).otherwise(s["n"] + 1 + x["n"])
-        return F.struct(c.alias("c"), x["g"].alias("g"), n.alias("n"), F.concat(s["out"], F.array(F.struct(x["p"].alias("p"), c.alias("c")))).alias("out"))
-
-    placed = lists.select(doc, F.explode(F.aggregate("_l", start, step, lambda s: s["out"])).alias("_o"))
-    return units.join(placed.select(doc, F.col("_o.p").alias(order), F.col("_o.c").alias("chunk")), [doc, order])
+    schema = StructType([*units.schema.fields, StructField("chunk", LongType())])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, of, used, number = _NO_KEY, None, 0, -1
+        for b in batches:
+            numbers = []
+            for key, kind, n in zip(*(b.column(c).to_pylist() for c in (doc, group, size))):
+                n = n or 0
+                if key != last:
+                    last, of, used, number = key, None, 0, -1
+                if number < 0 or kind != of or used + 1 + n > most:
+                    of, used, number = kind, n, number + 1
+                else:
+                    used += 1 + n
+                numbers.append(number)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(numbers, pa.int64())], names=[*b.schema.names, "chunk"])
+
+    return units.repartition(doc).sortWithinPartitions(doc, order, group, size).mapInArrow(walk, schema)
 
 
 def retrieval_metrics(results: DataFrame, gold: DataFrame, k: int, query: str = "query_id", id_col: str = "doc_id") -> DataFrame:

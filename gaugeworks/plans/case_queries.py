@@ -104,18 +104,19 @@ def resolution_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT doc_id, CAST(CASE WHEN a THEN 0 ELSE 1 END AS INTEGER) AS part, CASE WHEN a THEN n_chars ELSE -n_chars END AS position FROM (SELECT doc_id, n_chars, doc_id % 3 = 0 AS a FROM documents) WHERE a OR doc_id % 2 = 0""")
 def ordered_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two parts of the table stand for the two tables that are put in order."""
     d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     first = d.where("doc_id % 3 = 0").select("doc_id", F.col("n_chars").alias("position"))
     return C.ordered_union(first, d.where("doc_id % 2 = 0").select("doc_id", (-F.col("n_chars")).alias("position")), key="doc_id", position="position")
 
 
-_LINKS = "l AS (SELECT gun AS a, lead(gun) OVER (PARTITION BY value ORDER BY gun) AS b FROM (SELECT DISTINCT gun, value FROM ev WHERE code = 'error' AND k < 40)), e AS (SELECT a, b FROM l WHERE b IS NOT NULL UNION SELECT b, a FROM l WHERE b IS NOT NULL)"
+_LINKS = "l AS (SELECT gun AS a, lead(gun) OVER (PARTITION BY value ORDER BY gun) AS b FROM (SELECT DISTINCT gun, value FROM ev WHERE code = 'error')), e AS (SELECT a, b FROM l WHERE b IS NOT NULL UNION SELECT b, a FROM l WHERE b IS NOT NULL)"
 
 
 @query(f"WITH RECURSIVE {_LINKS}, r AS (SELECT a AS node, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node) SELECT node, min(root) AS component FROM r GROUP BY 1")
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Guns that had an error of the same value are linked."""
-    rows = readings(spark, sf_dir).where("code = 'error' and k < 40").select("gun", "value").distinct()
+    rows = readings(spark, sf_dir).where("code = 'error'").select("gun", "value").distinct()
     links = rows.select(F.col("gun").alias("a"), F.lead("gun").over(C.Window.partitionBy("value").orderBy("gun")).alias("b")).where("b is not null")
     return components.connected(links)
 

@@ -72,26 +72,26 @@ def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.unionByName(n)
 
 
-@query("SELECT DISTINCT 'n' || c_nationkey AS start, 'r' || n_regionkey AS \"end\" FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 3 <> 0 AND c_custkey % 10 = 0")
+@query("SELECT DISTINCT 'n' || c_nationkey AS start, 'r' || n_regionkey AS \"end\" FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 3 <> 0")
 def graph_two_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions of the nations in which some customers live."""
-    edges, nodes = _graph(spark, sf_dir), table(spark, sf_dir, "customer").where("c_custkey % 10 = 0").select(F.concat(F.lit("c"), "c_custkey").alias("id"))
+    """Regions of the nations in which customers live."""
+    edges, nodes = _graph(spark, sf_dir), table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"))
     nations = E.hop(nodes, edges, "lives").select(F.col("end").alias("id"))
     return E.hop(nations, edges, "part_of")
 
 
-@query("SELECT 'c' || c_custkey AS start, CASE WHEN c_custkey % 3 <> 0 THEN 'n' || c_nationkey END AS \"end\" FROM customer WHERE c_custkey % 10 = 0")
+@query("SELECT 'c' || c_custkey AS start, CASE WHEN c_custkey % 3 <> 0 THEN 'n' || c_nationkey END AS \"end\" FROM customer")
 def graph_optional_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J14."""
-    nodes = table(spark, sf_dir, "customer").where("c_custkey % 10 = 0").select(F.concat(F.lit("c"), "c_custkey").alias("id"))
+    nodes = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"))
     return E.optional_hop(nodes, _graph(spark, sf_dir), "lives")
 
 
-@query("SELECT lang AS code, doc_id AS chunk_id, CAST(row_number() OVER (PARTITION BY lang ORDER BY source, n_chars % 10, doc_id) AS INTEGER) AS position FROM documents WHERE doc_id % 7 = 0")
+@query("SELECT lang AS code, doc_id AS chunk_id, CAST(row_number() OVER (PARTITION BY lang ORDER BY source, n_chars % 10, doc_id) AS INTEGER) AS position FROM documents")
 def complete_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All chunks mapped to a code (here: a language)."""
     d = table(spark, sf_dir, "documents")
-    edges = d.where("doc_id % 7 = 0").select(F.col("lang").alias("source"), F.col("doc_id").alias("target"), F.lit("RELEVANT_EVIDENCE").alias("type"))
+    edges = d.select(F.col("lang").alias("source"), F.col("doc_id").alias("target"), F.lit("RELEVANT_EVIDENCE").alias("type"))
     return E.complete_evidence(d.select(F.col("lang").alias("code")).distinct(), edges, d.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc"), (F.col("n_chars") % 10).alias("page")))
 
 
@@ -104,13 +104,13 @@ def evidence_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.by_page(d)
 
 
-@query("""SELECT e.o_orderkey AS event_id, h.o_orderkey AS case_id FROM orders e JOIN orders h ON h.o_orderpriority = e.o_orderpriority AND h.o_orderstatus = e.o_orderstatus
-WHERE e.o_orderkey % 500 = 0 AND h.o_totalprice > 300000 AND h.o_custkey <> e.o_custkey AND h.o_orderdate <= e.o_orderdate""")
+@query("""SELECT e.o_orderkey AS event_id, h.o_orderkey AS case_id, CAST(row_number() OVER (PARTITION BY e.o_orderkey ORDER BY h.o_orderdate DESC, h.o_orderkey DESC) AS INTEGER) AS place FROM orders e
+JOIN orders h ON h.o_orderpriority = e.o_orderpriority AND h.o_orderstatus = e.o_orderstatus WHERE h.o_totalprice > 300000 AND h.o_custkey <> e.o_custkey AND h.o_orderdate <= e.o_orderdate QUALIFY place <= 5""")
 def eligible_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders of a class stand for confirmed cases of a scope and revision."""
+    """The five latest eligible cases of every order; dear orders of a class stand for its confirmed cases."""
     o = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_orderpriority as scope", "o_orderstatus as revision", "o_custkey as episode_id", "o_orderdate", "o_totalprice > 300000 as confirmed")
-    events = o.where("o_orderkey % 500 = 0").selectExpr("o_orderkey as event_id", "scope", "revision", "episode_id", "o_orderdate as at")
-    return E.eligible(o.selectExpr("o_orderkey as case_id", "scope", "revision", "episode_id", "o_orderdate as closed_at", "confirmed"), events).select("event_id", "case_id")
+    events = o.selectExpr("o_orderkey as event_id", "scope", "revision", "episode_id", "o_orderdate as at")
+    return E.latest_eligible(o.selectExpr("o_orderkey as case_id", "scope", "revision", "episode_id", "o_orderdate as closed_at", "confirmed"), events, 5)
 
 
 @query("SELECT o_custkey AS event_id, count(DISTINCT o_orderstatus) > 1 AS conflict FROM orders WHERE round(o_totalprice / 500000, 6) >= 0.5 GROUP BY 1")
@@ -121,21 +121,21 @@ def case_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.conflicts(scores, o.select(F.col("o_orderkey").alias("event_id"), F.col("o_orderstatus").alias("case_id")), 0.5)
 
 
-@query("""WITH s AS (SELECT DISTINCT gun, code, CAST(t // 86400000000 % 20 AS INTEGER) AS o FROM ev), c AS (SELECT event_id, gun, code, k % 20 AS a, (k * 7) % 20 AS b FROM ev WHERE event_id % 10 = 0)
+@query("""WITH s AS (SELECT DISTINCT gun, code, CAST(t // 86400000000 % 20 AS INTEGER) AS o FROM ev), c AS (SELECT event_id, gun, code, k % 20 AS a, (k * 7) % 20 AS b FROM ev)
 SELECT event_id AS claim_id, EXISTS (SELECT 1 FROM s WHERE s.gun = c.gun AND s.code = c.code AND o = a) AND EXISTS (SELECT 1 FROM s WHERE s.gun = c.gun AND s.code = c.code AND o = b) AS valid FROM c""")
 def claim_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K25."""
     ev = readings(spark, sf_dir)
     series = ev.selectExpr("gun as event_id", "code as channel", "cast(t div 86400000000 % 20 as int) as offset")
-    claims = ev.where("event_id % 10 = 0").selectExpr("event_id as claim_id", "gun as event_id", "code as channel", "k % 20 as start", "(k * 7) % 20 as end")
+    claims = ev.selectExpr("event_id as claim_id", "gun as event_id", "code as channel", "k % 20 as start", "(k * 7) % 20 as end")
     return E.endpoints_observed(claims, series).select("claim_id", "valid")
 
 
-_QUOTES = "q AS (SELECT doc_id AS ref_id, doc_id, CASE WHEN doc_id % 3 = 0 THEN 'not there' ELSE substr(text, 5, 30) END AS quote FROM documents WHERE doc_id % 20 = 0)"
+_QUOTES = "q AS (SELECT doc_id AS ref_id, doc_id, CASE WHEN doc_id % 3 = 0 THEN 'not there' ELSE substr(text, 5, 30) END AS quote FROM documents)"
 
 
 def _quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("doc_id % 20 = 0")
+    d = table(spark, sf_dir, "documents")
     return d.selectExpr("doc_id as ref_id", "source as doc", "doc_id as page", "if(doc_id % 3 = 0, 'not there', substr(text, 5, 30)) as quote")
 
 
@@ -165,13 +165,13 @@ def scope_of_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LETTERS = r"regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', '', 'g')"
 
 
-@query(f"""WITH g AS (SELECT doc_id, source, CASE WHEN doc_id % 4 = 0 THEN 'no such line' ELSE split_part(text, chr(10), 1) END AS line FROM documents WHERE doc_id % 10 = 0)
+@query(f"""WITH g AS (SELECT doc_id, source, CASE WHEN doc_id % 4 = 0 THEN 'no such line' ELSE split_part(text, chr(10), 1) END AS line FROM documents)
 SELECT g.source AS doc, round(avg(CASE WHEN contains({_LETTERS.format('d.text')}, {_LETTERS.format('line')}) THEN 1.0 ELSE 0.0 END), 6) AS recall,
 round(avg(CASE WHEN list_contains(list_transform(string_split(d.text, chr(10)), lambda x: {_LETTERS.format('x')}), {_LETTERS.format('line')}) THEN 1.0 ELSE 0.0 END), 6) AS exact FROM g JOIN documents d USING (doc_id) GROUP BY 1""")
 def parse_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First lines of some documents stand for golden lines."""
+    """First lines of documents stand for golden lines."""
     d = table(spark, sf_dir, "documents")
-    golden = d.where("doc_id % 10 = 0").selectExpr("source as doc", "doc_id as page", "if(doc_id % 4 = 0, 'no such line', split(text, '\\n')[0]) as line")
+    golden = d.selectExpr("source as doc", "doc_id as page", "if(doc_id % 4 = 0, 'no such line', split(text, '\\n')[0]) as line")
     return rounded(E.parse_audit(d.selectExpr("source as doc", "doc_id as page", "text"), golden))
 
 
