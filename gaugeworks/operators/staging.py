@@ -47,6 +47,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{home}/{name}-{uuid.uuid4().hex}"
 
 
+def finished(spark: SparkSession, *tables: DataFrame) -> None:
+    """Frees what the steps so far have left: staged ``tables`` that no later step reads, and shuffle files.
+
+    Spark removes a shuffle's files once the driver's garbage collection finds that nothing refers to it,
+    which without a call may be half an hour later. Call it only where all that follows reads staged tables.
+    """
+    home = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/"
+    for table in tables:
+        for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            if home.split("://")[-1].lstrip("/") not in path:
+                raise ValueError(f"{path} is no staged table")
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    spark._jvm.System.gc()
+
+
 def _deleted_at_exit(spark: SparkSession, home: str) -> None:
     if spark.conf.get(f"{_OWN}.marked", None) != home:
         where = spark._jvm.org.apache.hadoop.fs.Path(home)

@@ -1,5 +1,7 @@
 """Operators without a registered query, on a few rows."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from gaugeworks.operators import features as W
 from gaugeworks.operators import prep as P
 from gaugeworks.operators import retrieval as R
 from gaugeworks.operators import scoring, stats
+from gaugeworks.operators.staging import finished, staged
 
 
 def one(spark, *columns):
@@ -137,3 +140,13 @@ def test_keyword_search_in_blocks(spark):
         got = R.keyword_top_k(docs, terms, F.col("text"), 4, block=block)
         assert sorted(map(tuple, got.select("query_id", "doc_id", "score", "rank").collect())) == sorted(map(tuple, want.select("query_id", "doc_id", "score", "rank").collect()))
     assert R.keyword_top_k(docs, terms.where("false"), F.col("text"), 4).count() == 0
+
+
+def test_finished_tables_are_deleted(spark):
+    kept, gone = staged(spark.range(5), "kept"), staged(spark.range(5).repartition(2), "gone")
+    paths = [df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0] for df in (kept, gone)]
+    finished(spark, gone)
+    assert [os.path.exists(p) for p in paths] == [True, False] and kept.count() == 5
+    finished(spark)
+    with pytest.raises(ValueError):
+        finished(spark, spark.read.parquet("/root/testdata/sf0.001/region.parquet"))
