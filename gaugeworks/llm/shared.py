@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.operators.staging import staged
+from gaugeworks.operators.staging import finished, staged
 
-__all__ = ["id_and_text", "per_batch", "small_batches", "staged"]
+__all__ = ["finished", "id_and_text", "per_batch", "small_batches", "staged"]
 
 
 #: Rows of an Arrow batch: texts can be long, and a batch is held several times over.

@@ -18,6 +18,7 @@
 Scale: two shuffles of seeds' worth and one of the texts. Heads come from a sum that combines on the map
 side, and seeds meet them in a join of two scans, so AQE can split the rows of a hot seed; words are
 fetched in slices on a fixed grid, so thousands of chains into one document ask for the same few slices.
+What a step leaves that no later one reads, staged tables and shuffle files, is freed before the next.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.shared import id_and_text, small_batches, staged
+from gaugeworks.llm.shared import finished, id_and_text, small_batches, staged
 
 #: Words of a seed, and seeds of which a window gives one.
 K, WINDOW = 6, 16
@@ -113,10 +114,14 @@ def _seed_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "h long, doc_id long, pos int, first boolean")
 
 
-def _matches(seed_rows: DataFrame) -> DataFrame:
-    """(doc_id, partner, pos, at): each seed's occurrences against its head, for documents that differ."""
+def _heads(seed_rows: DataFrame) -> DataFrame:
+    """(h, partner, at): the head of each hash that two documents or more have."""
     heads = seed_rows.where("first").groupBy("h").agg(F.min("doc_id").alias("partner"), F.max("doc_id").alias("_last"), F.min_by("pos", "doc_id").alias("at"))
-    heads = staged(heads.where("partner <> _last").drop("_last"), "heads")
+    return heads.where("partner <> _last").drop("_last")
+
+
+def _matches(seed_rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """(doc_id, partner, pos, at): each seed's occurrences against its head, for documents that differ."""
     return seed_rows.join(heads, "h").where("doc_id <> partner").select("doc_id", "partner", "pos", "at")
 
 
@@ -346,10 +351,15 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     empty one.
     """
     rows = id_and_text(docs, id_col, text_col).where("doc_id is not null")
-    chains = staged(_chains(_matches(staged(_seed_rows(rows), "seeds"))), "chains")
+    found = staged(_seed_rows(rows), "seeds")
+    heads = staged(_heads(found), "heads")
+    finished(docs.sparkSession)
+    chains = staged(_chains(_matches(found, heads)), "chains")
+    finished(docs.sparkSession, found, heads)
     chains = _grid(chains.unionByName(staged(_joints(chains), "turns")))
     asked = chains.select("doc_id", "from", "to").unionByName(chains.selectExpr("partner as doc_id", "p_from as from", "p_to as to"))
     slices = staged(_slices(rows, asked), "slices")
+    finished(docs.sparkSession)
     spans = _aligned(chains, slices).distinct()
     stretches = _numbered(spans.withColumn("drift", F.col("ps") - F.col("s")), ["doc_id", "partner"], "stretch", apart=lambda w: F.abs(F.col("drift") - F.lag("drift").over(w)) > DRIFT)
     stretch = Window.partitionBy("doc_id", "partner", "stretch")
