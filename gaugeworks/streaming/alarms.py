@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.streaming.ordered import InOrder, Part, run
+from gaugeworks.streaming.ordered import InOrder, Part, frame, run
 
 
 def complete_windows(stream: DataFrame, width: str, late: str, columns: Sequence[str], key: str = "gun_id", time: str = "time") -> DataFrame:
@@ -70,24 +70,26 @@ class Rule:
 class TriggerProcessor(InOrder):
     """One gun's triggers: waiting rows, the code before, and when each code last triggered; all last under another model."""
 
-    parts = {"waiting": Part("map", ("at",), ("name",)), "before": Part("value", (), ("name",)), "accepted": Part("map", ("name",), ("at",))}
+    parts = {"waiting": Part("rows", (), ("at", "name")), "before": Part("value", (), ("name",)), "accepted": Part("map", ("name",), ("at",))}
 
     def __init__(self, rule: Rule) -> None:
         self.rule = rule
 
-    def judge(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
+    def judge(self, key: tuple, rows: list[tuple]) -> pd.DataFrame | None:
         before = self.value("before")
-        accepted = {k[0]: v[0] for k, v in self.state["accepted"].iterator()}
+        held = {k[0]: v[0] for k, v in self.state["accepted"].iterator()}
+        accepted = dict(held)
         fired = []
         for at, code in rows:
             fires, repeat = self.rule.step(before, code, at, accepted)
             if fires:
-                fired.append((key[0], code, at, repeat))
+                fired.append((code, at, repeat))
             before = code
         self.state["before"].update((before,))
         for code, at in accepted.items():
-            self.state["accepted"].updateValue((code,), (at,))
-        return pd.DataFrame(fired, columns=["gun_id", "code", "at", "repeat"])
+            if held.get(code) != at:
+                self.state["accepted"].updateValue((code,), (at,))
+        return frame(key, fired, ["code", "at", "repeat"])
 
 
 def triggers(stream: DataFrame, rule: Rule, late: str, key: str = "gun_id", time: str = "time", code: str = "code", initial: DataFrame | None = None) -> DataFrame:
@@ -136,21 +138,22 @@ class Gate:
 class GateProcessor(InOrder):
     """One gun's windows, gated in order of time; a restart's hold lasts under another model, a run of alarms does not."""
 
-    parts = {"waiting": Part("map", ("at",), ("a", "b")), "rest": Part("map", ("name",), ("at",)), "run": Part("map", ("name",), ("at",), lasting=False)}
+    parts = {"waiting": Part("rows", (), ("at", "a", "b")), "rest": Part("map", ("name",), ("at",)), "run": Part("map", ("name",), ("at",), lasting=False)}
     _RUN = ("run", "last")
 
     def __init__(self, gate: Gate) -> None:
         self.gate = gate
 
-    def judge(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
-        state = {k[0]: v[0] for part in ("rest", "run") for k, v in self.state[part].iterator()}
-        out = []
+    def judge(self, key: tuple, rows: list[tuple]) -> pd.DataFrame | None:
+        held = {k[0]: v[0] for part in ("rest", "run") for k, v in self.state[part].iterator()}
+        state, out = dict(held), []
         for at, score, idle in rows:
             r = self.gate.next(state, at, score, idle)
-            out.append((key[0], at, score, r["held"], r["alarm"], r["active"], r["onset"]))
+            out.append((at, score, r["held"], r["alarm"], r["active"], r["onset"]))
         for name, value in state.items():
-            self.state["run" if name in self._RUN else "rest"].updateValue((name,), (int(value),))
-        return pd.DataFrame(out, columns=["gun_id", "at", "score", "held", "alarm", "active", "onset"])
+            if held.get(name) != value:
+                self.state["run" if name in self._RUN else "rest"].updateValue((name,), (int(value),))
+        return frame(key, out, ["at", "score", "held", "alarm", "active", "onset"])
 
 
 def gated_windows(stream: DataFrame, gate: Gate, late: str, initial: DataFrame | None = None) -> DataFrame:

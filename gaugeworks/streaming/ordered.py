@@ -39,9 +39,11 @@ def rocksdb(spark: SparkSession) -> Iterator[None]:
 
 @dataclass(frozen=True)
 class Part:
-    """A part of state: its kind (value, map or list), the columns of its key and value, and whether it holds under another model.
+    """A part of state: its kind (value, map or rows), the columns of its key and value, and whether it holds under another model.
 
-    A column of a snapshot stands for each: ``key`` and ``value`` name them in order.
+    A column of a snapshot stands for each: ``key`` and ``value`` name them in order. ``rows`` is a list of
+    blocks, each an array for every column: Spark pickles an entry of a list by itself, which for entries of
+    one row takes longer than all else.
     """
 
     kind: str
@@ -53,8 +55,8 @@ class Part:
 _TYPES = {"name": "string", "at": "long", "a": "double", "b": "double"}
 
 
-def _ddl(columns: Sequence[str]) -> str:
-    return ", ".join(f"{c} {_TYPES[c]}" for c in columns)
+def _ddl(columns: Sequence[str], kind: str = "{}") -> str:
+    return ", ".join(f"{c} {kind.format(_TYPES[c])}" for c in columns)
 
 
 class Kept(StatefulProcessor):
@@ -68,20 +70,25 @@ class Kept(StatefulProcessor):
         for name, p in self.parts.items():
             if p.kind == "map":
                 self.state[name] = handle.getMapState(name, _ddl(p.key), _ddl(p.value))
+            elif p.kind == "rows":
+                self.state[name] = handle.getListState(name, _ddl(p.value, "array<{}>"))
             else:
-                self.state[name] = (handle.getListState if p.kind == "list" else handle.getValueState)(name, _ddl(p.value))
+                self.state[name] = handle.getValueState(name, _ddl(p.value))
 
     def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:  # noqa: ANN001, N802, N803
+        lists: dict[str, list[tuple]] = {}
         for row in initialState.to_dict("records"):
             p, part = self.parts[row["part"]], self.state[row["part"]]
             value = tuple(self._typed(c, row[c]) for c in p.value)
             if p.kind == "map":
                 part.updateValue(tuple(self._typed(c, row[c]) for c in p.key), value)
-            elif p.kind == "list":
-                part.appendValue(value)
+            elif p.kind == "rows":
+                lists.setdefault(row["part"], []).append(value)
             else:
                 part.update(value)
-            self.placed(row["part"], row)
+        for name, values in lists.items():
+            self.add(name, values)
+            self.placed(name, values)
 
     @staticmethod
     def _typed(column: str, value: object) -> object:
@@ -89,60 +96,98 @@ class Kept(StatefulProcessor):
             return None
         return {"string": str, "long": int, "double": float}[_TYPES[column]](value)
 
-    def placed(self, part: str, row: dict) -> None:
-        """An entry has been taken over."""
+    def placed(self, part: str, values: list[tuple]) -> None:
+        """Rows have been taken over."""
 
     def value(self, name: str, default: object = None) -> object:
         """The first column of a value."""
-        state = self.state[name]
-        return state.get()[0] if state.exists() else default
+        held = self.state[name].get()
+        return default if held is None else held[0]
+
+    def rows(self, name: str) -> list[tuple]:
+        """All of a part's rows, in the order in which they came."""
+        return [row for block in self.state[name].get() for row in zip(*block, strict=True)]
+
+    def add(self, name: str, rows: list[tuple]) -> None:
+        if rows:
+            self.state[name].appendValue(tuple(map(list, zip(*rows, strict=True))))
+
+    def put(self, name: str, rows: list[tuple]) -> None:
+        """A part's rows are these from now on."""
+        if rows:
+            self.state[name].put([tuple(map(list, zip(*rows, strict=True)))])
+        else:
+            self.state[name].clear()
 
     def close(self) -> None:
         pass
 
 
+def frame(key: tuple, rows: list[tuple], columns: Sequence[str]) -> pd.DataFrame | None:
+    """Rows of a key's output; the key is their first column, gun_id."""
+    if not rows:
+        return None
+    return pd.DataFrame({"gun_id": [key[0]] * len(rows)} | dict(zip(columns, map(list, zip(*rows, strict=True)), strict=True)))
+
+
 class InOrder(Kept):
     """Rows of a key in order of their time, each once the watermark has passed it; of rows of one time the last to arrive counts.
 
-    A row that is not after the last one judged is late and dropped. ``waiting`` holds a row's columns.
+    A row that is not after the last one judged is late and dropped. ``waiting`` has rows with
+    their time first. Every call of the state is a round trip to the JVM, so a batch's rows are read and written
+    together, and a timer stands at the first waiting row only.
     """
 
     def __init_subclass__(cls, **kwargs: object) -> None:
         super().__init_subclass__(**kwargs)
         cls.parts = {"taken": Part("value", (), ("at",)), **cls.parts}
 
-    def placed(self, part: str, row: dict) -> None:
+    def placed(self, part: str, values: list[tuple]) -> None:
         if part == "waiting":
-            self.handle.registerTimer(int(row["at"]))
+            self.handle.registerTimer(min(v[0] for v in values))
 
     def judge(self, key: tuple, rows: list[tuple]) -> pd.DataFrame | None:
         """What the next rows (at, ...) give; they are in order."""
         raise NotImplementedError
 
-    def _ready(self, key: tuple, watermark: int) -> Iterator[pd.DataFrame]:
-        waiting = self.state["waiting"]
-        ready = sorted((k[0], *v) for k, v in waiting.iterator() if k[0] <= watermark)
+    def _ready(self, key: tuple, watermark: int, waiting: dict[int, tuple]) -> Iterator[pd.DataFrame]:
+        """Judges the rows that the watermark has passed; the others stay in ``waiting``."""
+        ready = [waiting.pop(at) for at in sorted(at for at in waiting if at <= watermark)]
         if not ready:
             return
         out = self.judge(key, ready)
-        for row in ready:
-            waiting.removeKey((row[0],))
         self.state["taken"].update((ready[-1][0],))
-        if out is not None and len(out):
+        if out is not None:
             yield out
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         watermark, taken = timerValues.getCurrentWatermarkInMs(), self.value("taken", -1)
         columns = self.parts["waiting"].value
+        fresh: dict[int, tuple] = {}
         for part in rows:
-            for at, *row in zip(part["at"], *(part[c] for c in columns), strict=True):
-                if at > watermark and at > taken:
-                    self.state["waiting"].updateValue((int(at),), tuple(self._typed(c, v) for c, v in zip(columns, row, strict=True)))
-                    self.handle.registerTimer(int(at))
-        yield from self._ready(key, watermark)
+            for row in zip(*(part[c].tolist() for c in columns), strict=True):
+                if row[0] > watermark and row[0] > taken:
+                    fresh[int(row[0])] = tuple(self._typed(c, v) for c, v in zip(columns, row, strict=True))
+        waiting = {r[0]: r for r in self.rows("waiting")}
+        first, held = min(waiting, default=None), len(waiting)
+        yield from self._ready(key, watermark, waiting)
+        if len(waiting) < held or waiting.keys() & fresh.keys():
+            waiting |= fresh
+            self.put("waiting", list(waiting.values()))
+        elif fresh:
+            self.add("waiting", list(fresh.values()))
+            waiting |= fresh
+        if waiting and (first is None or min(waiting) != first):
+            self.handle.registerTimer(min(waiting))
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        yield from self._ready(key, timerValues.getCurrentWatermarkInMs())
+        waiting = {r[0]: r for r in self.rows("waiting")}
+        held = len(waiting)
+        yield from self._ready(key, timerValues.getCurrentWatermarkInMs(), waiting)
+        if len(waiting) < held:
+            self.put("waiting", list(waiting.values()))
+        if waiting:
+            self.handle.registerTimer(min(waiting))
 
 
 def run(rows: DataFrame, processor: Kept, out: str, initial: DataFrame | None = None, time_mode: str = "EventTime") -> DataFrame:
@@ -155,7 +200,9 @@ def read_part(spark: SparkSession, checkpoint: str, processor: Kept, part: str)
     """(gun_id, part, name, at, a, b): one part of the state as the last finished batch of a stopped stream left it."""
     p = processor.parts[part]
     rows = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", part).load()
-    held = {"map": "user_map_value", "list": "list_element", "value": "value"}[p.kind]
+    held = {"map": "user_map_value", "rows": "_row", "value": "value"}[p.kind]
+    if p.kind == "rows":
+        rows = rows.select("key", F.explode(F.arrays_zip(*[F.col(f"list_element.{c}").alias(c) for c in p.value])).alias("_row"))
     columns = {c: F.col(f"user_map_key.{c}") for c in p.key} | {c: F.col(f"{held}.{c}") for c in p.value}
     return rows.select(F.col("key.gun_id").alias("gun_id"), F.lit(part).alias("part"), *[columns.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in _TYPES.items()])
 
@@ -195,10 +242,10 @@ class WarmUpProcessor(InOrder):
     """One key's warm-up: mergeable moments and at most ``rows`` scores, dropped when they freeze."""
 
     parts = {
-        "waiting": Part("map", ("at",), ("a", "b")),
+        "waiting": Part("rows", (), ("at", "a", "b")),
         "moments": Part("value", (), ("at", "a", "b"), lasting=False),  # rows, mean, sum of squares about it
         "began": Part("value", (), ("at",), lasting=False),
-        "scores": Part("list", (), ("a",), lasting=False),
+        "scores": Part("rows", (), ("a",), lasting=False),
         "frozen": Part("value", (), ("at", "a", "name"), lasting=False),  # from when on, threshold, source
     }
 
@@ -207,7 +254,7 @@ class WarmUpProcessor(InOrder):
 
     def _freeze(self, at: int, n: int) -> tuple[int, float, str]:
         enough = n >= self.rule.rows
-        own = sorted(r[0] for r in self.state["scores"].get()) if enough else []
+        own = sorted(r[0] for r in self.rows("scores")) if enough else []
         self.state["scores"].clear()
         threshold = self.rule.common
         if enough:
@@ -222,14 +269,15 @@ class WarmUpProcessor(InOrder):
     def judge(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
         rule, out, fresh = self.rule, [], []
         began = self.value("began")
-        frozen = self.state["frozen"].get() if self.state["frozen"].exists() else None
-        n, mean, square = self.state["moments"].get() if self.state["moments"].exists() else (0, 0.0, 0.0)
+        frozen = self.state["frozen"].get()
+        held = self.state["moments"].get() or (0, 0.0, 0.0)
+        n, mean, square = held
         if began is None:
             began = rows[0][0]
             self.state["began"].update((began,))
         for at, score, normal in rows:
             if frozen is None and at >= began + rule.span:
-                self.state["scores"].appendList(fresh) if fresh else None
+                self.add("scores", fresh)
                 frozen, fresh = self._freeze(began + rule.span, n), []
             if frozen is None and normal:
                 n += 1
@@ -238,15 +286,15 @@ class WarmUpProcessor(InOrder):
                 square += step * (score - mean)
                 fresh.append((score,))
                 if n >= rule.rows:
-                    self.state["scores"].appendList(fresh)
+                    self.add("scores", fresh)
                     frozen, fresh = self._freeze(at, n), []
             own = frozen is not None and frozen[2] == "gun" and at >= frozen[0]
             z = (score - mean) / max(sqrt(square / n), rule.floor) if own else score
-            out.append((key[0], at, score, frozen[1] if own else rule.common, z, "warming_up" if frozen is None else frozen[2]))
-        if fresh:
-            self.state["scores"].appendList(fresh)
-        self.state["moments"].update((n, mean, square))
-        return pd.DataFrame(out, columns=["gun_id", "at", "score", "threshold", "z", "source"])
+            out.append((at, score, frozen[1] if own else rule.common, z, "warming_up" if frozen is None else frozen[2]))
+        self.add("scores", fresh)
+        if n != held[0]:
+            self.state["moments"].update((n, mean, square))
+        return frame(key, out, ["at", "score", "threshold", "z", "source"])
 
 
 def warm_up(stream: DataFrame, rule: WarmUp, late: str, initial: DataFrame | None = None) -> DataFrame:
@@ -263,20 +311,17 @@ def warm_up(stream: DataFrame, rule: WarmUp, late: str, initial: DataFrame | Non
 
 
 class RingProcessor(InOrder):
-    """The last ``size`` rows of a key in slots that are written over, in order of time."""
+    """The last ``size`` rows of a key, in order of time."""
 
-    parts = {"waiting": Part("map", ("at",), ("a",)), "count": Part("value", (), ("at",)), "ring": Part("map", ("at",), ("b", "a"))}
+    parts = {"waiting": Part("rows", (), ("at", "a")), "ring": Part("rows", (), ("at", "a"))}
 
     def __init__(self, size: int) -> None:
         self.size = size
 
     def judge(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
-        n = self.value("count", 0)
-        for i, (at, score) in enumerate(rows):
-            # a double holds a time in milliseconds exactly
-            self.state["ring"].updateValue(((n + i) % self.size,), (float(at), score))
-        self.state["count"].update((n + len(rows),))
-        return pd.DataFrame([(key[0], at, score) for at, score in rows], columns=["gun_id", "at", "score"])
+        before = [] if len(rows) >= self.size else self.rows("ring")
+        self.put("ring", [*before, *rows][-self.size :])
+        return frame(key, rows, ["at", "score"])
 
 
 def traced(stream: DataFrame, size: int, late: str, initial: DataFrame | None = None) -> DataFrame:
@@ -288,7 +333,7 @@ def traced(stream: DataFrame, size: int, late: str, initial: DataFrame | None =
 
 def last_traces(spark: SparkSession, checkpoint: str, size: int) -> DataFrame:
     """(gun_id, at, score): the ring of each key, read from a stopped stream's state."""
-    return read_part(spark, checkpoint, RingProcessor(size), "ring").select("gun_id", F.col("b").cast("long").alias("at"), F.col("a").alias("score"))
+    return read_part(spark, checkpoint, RingProcessor(size), "ring").select("gun_id", "at", F.col("a").alias("score"))
 
 
 # chunks (R3, P3, P16)
@@ -301,47 +346,49 @@ class ChunkProcessor(Kept):
     gets the values of the last row at work that left before it (the carry).
     """
 
-    parts = {"newest": Part("value", (), ("at",)), "buffer": Part("map", ("at",), ("a", "b")), "carry": Part("value", (), ("a",))}
+    parts = {"newest": Part("value", (), ("at",)), "buffer": Part("rows", (), ("at", "a", "b")), "carry": Part("value", (), ("a",))}
 
     def __init__(self, limit: int) -> None:
         self.limit = limit
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        given = pd.concat(list(rows))
         newest, out = self.value("newest"), []
-        buffer = {k[0]: v for k, v in self.state["buffer"].iterator()}
-        fresh: dict[int, tuple] = {}
-        for chunk, part in given.groupby("chunk", sort=True):
-            first, last = int(part["at"].min()), int(part["at"].max())
+        chunks: dict[int, list[tuple]] = {}
+        for part in rows:
+            for chunk, at, value, rest in zip(*(part[c].tolist() for c in ("chunk", "at", "a", "b")), strict=True):
+                if not pd.isna(chunk):
+                    chunks.setdefault(int(chunk), []).append((int(at), None if pd.isna(value) else float(value), float(rest)))
+        held = {r[0]: r for r in self.rows("buffer")}
+        buffer = dict(held)
+        for chunk, part in sorted(chunks.items()):
+            first, last = min(r[0] for r in part), max(r[0] for r in part)
             reason = "span" if last - first > self.limit else "clock went back" if newest is not None and last < newest - self.limit else None
             if reason:
-                out.append((key[0], "refused", int(chunk), None, None, reason))
+                out.append(("refused", chunk, None, None, reason))
                 continue
-            for at, value, rest in zip(part["at"], part["a"], part["b"], strict=True):
-                if newest is not None and at < newest - self.limit:
-                    out.append((key[0], "late", int(chunk), int(at), None if pd.isna(value) else float(value), None))
+            for row in part:
+                if newest is not None and row[0] < newest - self.limit:
+                    out.append(("late", chunk, row[0], row[1], None))
                 else:
-                    fresh[int(at)] = (None if pd.isna(value) else float(value), float(rest))
+                    buffer[row[0]] = row
             newest = last if newest is None else max(newest, last)
-        gone = [] if newest is None else sorted(at for at in buffer.keys() | fresh.keys() if at < newest - self.limit)
-        carry = self.value("carry")
+        gone = [] if newest is None else sorted(at for at in buffer if at < newest - self.limit)
+        carry = self.value("carry") if gone else None
         for at in gone:
-            value, rest = fresh.pop(at) if at in fresh else buffer[at]
-            if at in buffer:
-                self.state["buffer"].removeKey((at,))
+            _, value, rest = buffer.pop(at)
             if rest:
                 value = carry
             else:
                 carry = value
-            out.append((key[0], "row", None, at, value, None))
-        for at, row in fresh.items():
-            self.state["buffer"].updateValue((at,), row)
+            out.append(("row", None, at, value, None))
+        if buffer != held:
+            self.put("buffer", list(buffer.values()))
         if newest is not None:
             self.state["newest"].update((newest,))
         if gone:
             self.state["carry"].update((carry,))
         if out:
-            yield pd.DataFrame(out, columns=["gun_id", "tag", "chunk", "at", "value", "reason"]).astype({"chunk": "Int64", "at": "Int64"})
+            yield frame(key, out, ["tag", "chunk", "at", "value", "reason"]).astype({"chunk": "Int64", "at": "Int64"})
 
 
 def chunked(stream: DataFrame, limit: int, initial: DataFrame | None = None) -> DataFrame:
