@@ -27,8 +27,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group alike in five-word shingles (0.8 or more)."""
-    return simhash.one_of_each_group(docs, simhash.similar_groups(docs))
+    """One document, that of the smallest doc_id, of each group that links reach: SimHashes of 3 or fewer differing bits, found by pigeonring chains, or five-word shingles alike (0.8 or more)."""
+    groups = simhash.joined_groups(simhash.near_duplicate_groups(docs), simhash.similar_groups(docs))
+    return simhash.one_of_each_group(docs, groups)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ task returns a spanning forest of the links it finds, never all pairs.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -425,10 +426,19 @@ def _with_lowest(rows: DataFrame, nodes: DataFrame, roots: DataFrame, node: str)
     return rows.join(ids, node)
 
 
+def joined_groups(*groups: DataFrame) -> DataFrame:
+    """(doc_id, component_id) of the documents that links of any of ``groups`` join with others; documents without links have no row.
+
+    component_id is the smallest doc_id that links of all ``groups`` together reach.
+    """
+    links = [g.where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")) for g in groups]
+    return components(reduce(DataFrame.unionByName, links)).withColumnsRenamed({"node": "doc_id", "root": "component_id"})
+
+
 def one_of_each_group(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose doc_id is their group's component_id, with all their columns.
 
-    ``groups`` is what ``similar_groups`` or ``near_duplicate_groups`` gives. Rows that repeat a doc_id
+    ``groups`` is what ``similar_groups``, ``near_duplicate_groups`` or ``joined_groups`` gives. Rows that repeat a doc_id
     leave one; rows with a null doc_id stay.
     """
     gone = staged(groups.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct(), "near-duplicates")

@@ -277,8 +277,9 @@ def _slices(docs: DataFrame, asked: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     asks = asked.groupBy("doc_id").agg(F.collect_set(F.struct("from", "to")).alias("asks"))
-    got = docs.join(asks.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "asks")
-    return got.mapInArrow(run, "doc_id long, from long, to long, words binary").dropDuplicates(["doc_id", "from", "to"])
+    # rows that repeat meet in the join's tasks; the words themselves are not dealt out for that
+    got = docs.join(asks.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "asks").dropDuplicates(["doc_id"])
+    return got.mapInArrow(run, "doc_id long, from long, to long, words binary")
 
 
 def align(a: np.ndarray, b: np.ndarray, pos: np.ndarray, at: np.ndarray, k: int = K) -> tuple[int, int, int, int, int]:
