@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 from gaugeworks.operators.stats import cumulative, quantiles, same_keys
 
 
+#: Rows and trees that are walked at a time: few enough for a core's cache, and many enough for its calls.
+ROWS, TREES = 2048, 8
+
+
 @dataclass(frozen=True)
 class IsolationForest:
     """Trees as arrays: feature (-1 a leaf), threshold, children, and a leaf's depth with its correction."""
@@ -26,25 +31,46 @@ class IsolationForest:
     expected: float
     steps: int
 
+    @cached_property
+    def _walks(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(roots, feature, threshold, children, depth) of some trees at a time as one list of nodes; a leaf leads to itself.
+
+        Made once in a task, so that a batch costs its rows' steps only.
+        """
+        out = []
+        for t in range(0, len(self.feature), TREES):
+            feature = self.feature[t : t + TREES]
+            roots = np.arange(len(feature)) * feature.shape[1]
+            node = np.arange(feature.size).reshape(feature.shape)
+            leaf = feature < 0
+            child = np.stack([np.where(leaf, node, side[t : t + TREES] + roots[:, None]) for side in (self.right, self.left)], axis=2)
+            threshold = np.where(leaf, np.inf, self.threshold[t : t + TREES])
+            out.append((roots, np.where(leaf, 0, feature).ravel(), threshold.ravel(), child.ravel(), self.depth[t : t + TREES].ravel()))
+        return out
+
     def score(self, x: np.ndarray) -> np.ndarray:
         """From 0 to 1, higher: easier to isolate. Missing values are 0."""
-        x = np.ascontiguousarray(np.nan_to_num(x))
-        n, d = x.shape
-        flat, row = x.ravel(), np.arange(n) * d
-        total = np.zeros(n)
-        node = np.arange(self.feature.shape[1])
-        for t in range(len(self.feature)):
-            leaf = self.feature[t] < 0
-            # a leaf leads to itself, so every row takes the same number of steps
-            feature = np.where(leaf, 0, self.feature[t])
-            threshold = np.where(leaf, np.inf, self.threshold[t])
-            child = np.stack([np.where(leaf, node, self.right[t]), np.where(leaf, node, self.left[t])], axis=1).ravel()
-            at = np.zeros(n, np.int64)
-            for _ in range(self.steps):
-                at = child[2 * at + (flat[row + feature[at]] < threshold[at])]
-            total += self.depth[t, at]
+        x = np.nan_to_num(x)
+        total = np.zeros(len(x))
+        for low in range(0, len(x), ROWS):
+            total[low : low + ROWS] = self._depths(x[low : low + ROWS])
         return np.exp2(-total / len(self.feature) / self.expected)
 
+    def _depths(self, x: np.ndarray) -> np.ndarray:
+        """The sum of the depths of the leaves that each row reaches."""
+        n = len(x)
+        total, flat = np.zeros(n), np.ascontiguousarray(x.T).ravel()
+        for roots, feature, threshold, child, depth in self._walks:
+            row = np.tile(np.arange(n), len(roots))
+            at = np.repeat(roots, n)
+            # every row takes the same number of steps; numbers of nodes are all valid, so "clip" only skips the check
+            for _ in range(self.steps):
+                value = flat.take(feature.take(at, mode="clip") * n + row, mode="clip")
+                at = child.take(2 * at + (value < threshold.take(at, mode="clip")), mode="clip")
+            for d in depth.take(at, mode="clip").reshape(len(roots), n):
+                total += d
+        return total
+
 
 def _average_depth(n: float) -> float:
     return 0.0 if n < 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else 1.0
@@ -62,19 +88,27 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def salted(hashes: np.ndarray, place: int) -> np.ndarray:
+    """A batch's hashes, copies told apart: what ``draws`` makes a tree's numbers from."""
+    order = np.argsort(hashes, kind="stable")
+    new = np.concatenate(([True], hashes[order][1:] != hashes[order][:-1]))
+    first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    copy = np.empty(len(order), np.uint64)
+    copy[order] = (np.arange(len(order)) - first).astype(np.uint64)
+    return hashes ^ np.where(copy > 0, _mixed(copy + np.uint64([place]) * np.uint64(0x9E3779B97F4A7C15)), np.uint64(0))
+
+
+def numbers(own: np.ndarray, tree: int, seed: int) -> np.ndarray:
+    return _mixed(own ^ _mixed(np.uint64([(seed << 32) + tree + 1]))[0])
+
+
 def draws(hashes: np.ndarray, place: int, tree: int, seed: int) -> np.ndarray:
     """A number for each row of a batch and one tree; the rows of a tree's smallest numbers are its sample.
 
     A row's number comes from its own hash. Copies in a batch have numbers of their own, from the batch's
     place besides, so a row that is a third of all is a third of a sample.
     """
-    order = np.argsort(hashes, kind="stable")
-    new = np.concatenate(([True], hashes[order][1:] != hashes[order][:-1]))
-    first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-    copy = np.empty(len(order), np.uint64)
-    copy[order] = (np.arange(len(order)) - first).astype(np.uint64)
-    salt = np.where(copy > 0, _mixed(copy + np.uint64([place]) * np.uint64(0x9E3779B97F4A7C15)), np.uint64(0))
-    return _mixed(hashes ^ salt ^ _mixed(np.uint64([(seed << 32) + tree + 1]))[0])
+    return numbers(salted(hashes, place), tree, seed)
 
 
 def grown(x: np.ndarray, seed: int, tree: int, limit: int) -> list[tuple[int, float, int, int, float]]:
@@ -120,8 +154,9 @@ def fit_forest(df: DataFrame, columns: Sequence[str], trees: int = 300, sample:
         task = TaskContext.get().partitionId()
         for i, batch in enumerate(batches):
             hashes = batch.column(0).to_numpy().view(np.uint64)
+            own = salted(hashes, (task << 32) + i) if len(hashes) else hashes
             for tree in range(trees if len(hashes) else 0):
-                number = draws(hashes, (task << 32) + i, tree, seed)
+                number = numbers(own, tree, seed)
                 low = np.flatnonzero(number <= bar)
                 if len(low):
                     # the order of unsigned numbers holds for their halves
