@@ -12,6 +12,8 @@ import uuid
 
 from pyspark.sql import DataFrame
 
+from gaugeworks.operators.staging import staged
+
 #: Columns of a tick: its number from 1, files ended by then, and sums over them: odd score less even, files in which
 #: either is at least as good, false alarms of either.
 TICK = "tick long, n long, d double, odd_wins long, even_wins long, odd_fa long, even_fa long"
@@ -61,5 +63,6 @@ def control(ticks: DataFrame, variants: DataFrame) -> DataFrame:
     spark, own = ticks.sparkSession, uuid.uuid4().hex
     names = [f"{x}_{own}" for x in ("ticks", "variants")]
     for name, df in zip(names, (ticks, variants), strict=True):
-        df.createOrReplaceTempView(name)
+        # every round of the recursion reads both: unstaged, it would compute them from their sources again
+        staged(df, name).createOrReplaceTempView(name)
     return spark.sql(control_sql(*names).replace("VARCHAR(200)", "STRING").replace("VARCHAR(20)", "STRING"))
