@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -105,10 +106,10 @@ def _scored(hits: pa.Table, asked: pa.Table, k: int, digits: int, schema: pa.Sch
     q, idf = q[order], asked["idf"].to_numpy()[order]
     size = np.bincount(t, minlength=len(terms))
     start = np.cumsum(size) - size
-    term = np.array(hits["term"].to_pylist())
-    of = np.minimum(np.searchsorted(terms, term), len(terms) - 1)
-    known = terms[of] == term
-    d, gain, of = d[known], hits["gain"].to_numpy()[known], of[known]
+    # Arrow finds a hit's term: a NumPy array of texts pads each to the longest
+    of = pc.index_in(hits["term"], value_set=pa.array(terms.tolist(), hits["term"].type))
+    known = of.is_valid().to_numpy()
+    d, gain, of = d[known], hits["gain"].to_numpy()[known], of.fill_null(0).to_numpy()[known]
     order = np.argsort(d, kind="stable")
     d, gain, of = d[order], gain[order], of[order]
     best = np.zeros((len(query), 0))
