@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from gaugeworks.functions.text import collapsed
 from gaugeworks.operators.staging import staged
-from gaugeworks.operators.stats import cumulative
 
 
 def hop(nodes: DataFrame, edges: DataFrame, kind: str, node: str = "id") -> DataFrame:
@@ -78,28 +81,115 @@ def eligible(history: DataFrame, events: DataFrame, on: str = "scope") -> DataFr
 def latest_eligible(history: DataFrame, events: DataFrame, k: int, on: str = "scope") -> DataFrame:
     """(event_id, case_id, place): the ``k`` eligible cases of each event that were closed last, the latest first.
 
-    Of cases closed at once the greater case_id is later. No event meets all of its class's history: both
-    are numbered in one order, an event knows from that how many cases came before it and how many of those
-    are of its own episode, and so the numbers of the k last others, which are looked up. Classes and
-    episodes may be of any size. Rows without scope, revision or time are never eligible; null episodes are
-    the same one, and a case given twice counts once.
+    Of cases closed at once the greater case_id is later. Cases and events of a class are sorted by time
+    together, in ranges that split a class of any size, and each range is walked once: an event looks back
+    from the last case before it and jumps over a run of cases of its own episode, so no event meets more
+    than 2 * k cases. Events near a range's beginning that miss some look on in what the ranges before have
+    left: of each range the few last cases that can still be among anyone's k last. Rows without scope,
+    revision or time are never eligible; null episodes are the same one, and a case given twice counts once.
     """
     of = [on, "revision"]
     known = F.col(on).isNotNull() & F.col("revision").isNotNull()
-    cases = history.where(F.col("confirmed") & known & F.col("closed_at").isNotNull()).select(*of, "episode_id", F.struct(F.col("closed_at").alias("at"), F.lit(0).alias("kind")).alias("_at"), "case_id", F.lit(None).cast(dict(events.dtypes)["event_id"]).alias("event_id"), F.lit(1).alias("_one")).distinct()
-    asked = events.where(known & F.col("at").isNotNull()).select(*of, "episode_id", F.struct(F.col("at").alias("at"), F.lit(1).alias("kind")).alias("_at"), F.lit(None).cast(dict(history.dtypes)["case_id"]).alias("case_id"), "event_id", F.lit(0).alias("_one"))
-    rows = cases.unionByName(asked).withColumn("_order", F.struct("_at", "case_id", "event_id"))
-    rows = cumulative(rows, "_order", "_one", "_place", of)
-    rows = staged(cumulative(rows, "_order", "_one", "_own", [*of, "episode_id"]).select(*of, "episode_id", "case_id", "event_id", "_one", "_place", "_own"), "classes")
-    case, others = F.col("_one") == 1, F.col("_place") - F.col("_own")
-    # an own case stands before the j-th other if no more than j others stand before it
-    own = rows.where(case).select(*of, "episode_id", F.lit(None).cast(dict(rows.dtypes)["event_id"]).alias("event_id"), F.struct(others.alias("j"), F.lit(0).alias("kind"), F.col("_place").alias("n")).alias("_order"), "_one", F.lit(0).cast("long").alias("_j"), F.lit(0).cast("long").alias("_all"))
-    wanted = F.explode(F.sequence(F.greatest(others - k, F.lit(0)), others - 1))
-    ask = rows.where(~case & (others > 0)).select(*of, "episode_id", "event_id", wanted.alias("_j"), others.alias("_all"), "_one")
-    ask = ask.select(*of, "episode_id", "event_id", F.struct(F.col("_j").alias("j"), F.lit(1).alias("kind"), F.lit(None).cast(dict(rows.dtypes)["_place"]).alias("n")).alias("_order"), "_one", F.col("_j").cast("long").alias("_j"), F.col("_all").cast("long").alias("_all"))
-    found = cumulative(own.unionByName(ask), "_order", "_one", "_skipped", [*of, "episode_id"]).where("_one = 0")
-    found = found.select(*of, "event_id", (F.col("_j") + F.col("_skipped")).alias("_place"), (F.col("_all") - F.col("_j")).cast("int").alias("place"))
-    return found.join(rows.where(case).select(*of, "_place", "case_id"), [*of, "_place"]).select("event_id", "case_id", "place")
+    null = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    cases = history.where(F.col("confirmed") & known & F.col("closed_at").isNotNull()).select(*of, F.col("closed_at").alias("at"), F.lit(0).alias("_kind"), "case_id", "episode_id", null(events, "event_id"))
+    asked = events.where(known & F.col("at").isNotNull()).select(*of, "at", F.lit(1).alias("_kind"), null(history, "case_id"), "episode_id", "event_id")
+    rows = cases.unionByName(asked)
+    order = [*of, "at", "_kind", "case_id", "episode_id", "event_id"]
+    kinds = {f.name: f for f in rows.schema}
+    schema = StructType([StructField("_what", StringType()), StructField("_range", IntegerType()), *[StructField(c, kinds[c].dataType) for c in (*of, "event_id", "case_id", "episode_id")], StructField("place", IntegerType())])
+    walked = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda batches: _walked(batches, of, k), schema)
+    # written once: events and what ranges leave must be of the same ranges
+    walked = staged(walked, "latest")
+    before = StructType([f for f in schema if f.name in ("_range", "case_id", "episode_id", "place")])
+    left = walked.where("_what in ('range', 'last')").groupBy(*of).applyInArrow(lambda t: _before(t, k), before)
+    left = left.groupBy("_range").agg(F.sort_array(F.collect_list(F.struct("place", "case_id", "episode_id")), asc=False).alias("_before"))
+    short = walked.where("_what = 'short'").select("_range", "event_id", F.col("episode_id").alias("_episode"), F.col("place").alias("_place"))
+    more = F.filter("_before", lambda x: ~x["episode_id"].eqNullSafe(F.col("_episode")))
+    short = short.join(left, "_range").select("event_id", "_place", F.posexplode(F.slice(more, F.lit(1), k - F.col("_place"))).alias("_at", "_case"))
+    found = walked.where("_what = 'found'").select("event_id", "case_id", "place")
+    return found.unionByName(short.select("event_id", F.col("_case.case_id").alias("case_id"), (F.col("_place") + F.col("_at") + 1).alias("place")))
+
+
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    """A number for each value of a column, null included: equal numbers, equal values."""
+    return column.combine_chunks().dictionary_encode("encode").indices.to_numpy()
+
+
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Where the run of equal rows that a row lies in begins."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+
+
+def _last_cases(episode: np.ndarray, k: int) -> np.ndarray:
+    """Places of the cases that can be among the k last of other episodes: k of each of the last 2 * k runs.
+
+    Of two runs side by side one at least is of another episode than an event's own.
+    """
+    if not len(episode):
+        return np.zeros(0, np.int64)
+    start = _runs(episode)
+    first = np.unique(start)
+    run = np.searchsorted(first, start)
+    end = np.append(first[1:], len(episode))[run]
+    return np.flatnonzero((end - np.arange(len(episode)) <= k) & (run >= len(first) - 2 * k))
+
+
+def _walked(batches: Iterator[pa.RecordBatch], of: Sequence[str], k: int) -> Iterator[pa.RecordBatch]:
+    """A range's found pairs, its first class and that class's events that lack some, and its last class's last cases."""
+    at = TaskContext.get().partitionId()
+
+    def told(what: str, rows: pa.Table, place: np.ndarray) -> list[pa.RecordBatch]:
+        ids = {c: rows[c] if c in rows.column_names else pa.nulls(len(rows), kinds.field(c).type) for c in (*of, "event_id", "case_id", "episode_id")}
+        told = {"_what": pa.repeat(what, len(rows)), "_range": pa.repeat(pa.scalar(at, pa.int32()), len(rows)), **ids, "place": pa.array(place, pa.int32())}
+        return pa.table(told).combine_chunks().to_batches()
+
+    first = kept = kinds = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        if first is None:
+            first, kept, kinds = rows.select(of).slice(0, 1), rows.slice(0, 0), rows.schema
+            yield from told("range", first, np.zeros(1))
+        rows = pa.concat_tables([kept, rows])
+        group = _runs(*[_codes(rows[c]) for c in of])
+        episode, is_case = _codes(rows["episode_id"]), rows["_kind"].to_numpy() == 0
+        # a case given twice stands beside itself
+        is_case &= _runs(group, episode, is_case, *[_codes(rows[c]) for c in ("at", "case_id")]) == np.arange(len(rows))
+        case, event = np.flatnonzero(is_case), np.flatnonzero(rows["_kind"].to_numpy() == 1)
+        # the last place, which -1 means too, is no case
+        of_class, own = np.append(group[case], -1), np.append(episode[case], -1)
+        other = np.append(_runs(of_class[:-1], own[:-1]) - 1, -1) if len(case) else np.array([-1])
+        place, n = np.cumsum(is_case)[event] - 1, np.zeros(len(event), np.int64)
+        for _ in range(k):
+            place = np.where(own[place] == episode[event], other[place], place)
+            hit = of_class[place] == group[event]
+            n += hit
+            if hit.any():
+                yield from told("found", pa.table({"event_id": rows["event_id"].take(event[hit]), "case_id": rows["case_id"].take(case[place[hit]])}), n[hit])
+            place = np.where(hit, place - 1, -1)
+        if rows.slice(int(group[0]), 1).select(of) == first:
+            lacking = (n < k) & (group[event] == group[0])
+            yield from told("short", rows.take(event[lacking]).select([*of, "event_id", "episode_id"]), n[lacking])
+        last = case[group[case] == group[-1]]
+        kept = rows.take(last[_last_cases(episode[last], k)])
+    if kept is not None:
+        yield from told("last", kept, np.arange(len(kept)))
+
+
+def _before(rows: pa.Table, k: int) -> pa.Table:
+    """A class's last cases before each range that begins in it, numbered from the oldest."""
+    rows = rows.sort_by([("_range", "ascending"), ("place", "ascending")])
+    number, begins = rows["_range"].to_numpy(), np.array(rows["_what"].to_pylist()) == "range"
+    kept, out = rows.slice(0, 0), []
+    for n in np.unique(number):
+        if begins[number == n].any() and len(kept):
+            out.append(pa.table({"_range": pa.repeat(pa.scalar(int(n), pa.int32()), len(kept)), "case_id": kept["case_id"], "episode_id": kept["episode_id"], "place": pa.array(np.arange(len(kept)), pa.int32())}))
+        kept = pa.concat_tables([kept, rows.take(np.flatnonzero((number == n) & ~begins))])
+        kept = kept.take(_last_cases(_codes(kept["episode_id"]), k))
+    return pa.concat_tables(out) if out else rows.slice(0, 0).select(["_range", "case_id", "episode_id", "place"])
 
 
 def conflicts(scores: DataFrame, cases: DataFrame, same: float = 1.0) -> DataFrame:
