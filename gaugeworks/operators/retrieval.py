@@ -142,20 +142,20 @@ def holders(docs: DataFrame, items: DataFrame, text: str = "text", id_col: str =
     """(item_id, id): documents whose text holds an item's text whole, as it stands.
 
     An item's first words but one, which are whole words wherever it stands, seed the search; documents
-    that have the seed are compared with the item itself. Items of too few words for a seed are looked for
+    that have the seed are compared with the item itself. Candidates are written once, so that texts are
+    shuffled only if these are too many to be sent to them. Items of too few words for a seed are looked for
     by one automaton for each block of them, in time in proportion to a text's length and its hits; an
     empty item is in every document, a null one or one in a null text nowhere.
     """
-    words = lambda c: F.split(c, r"\s+")
-    n = SEED_WORDS
-    own = items.select(F.col(item_col).alias("item_id"), F.col(text).alias("_item"), words(F.col(text)).alias("_w")).where("_item is not null")
-    seeded = own.where(F.size("_w") >= n + 2).select("item_id", "_item", F.xxhash64(F.array_join(F.slice("_w", 2, n), " ")).alias("_seed"))
-    grams = F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("_w", i, n), " ")))
-    split = docs.select(F.col(id_col).alias(id_col), F.col(text).alias("_text"), words(F.col(text)).alias("_w")).where(F.size("_w") >= n)
-    hit = split.select(id_col, F.explode(F.array_distinct(grams)).alias("_seed")).join(seeded, "_seed").select(id_col, "item_id", "_item")
-    found = hit.join(docs.select(F.col(id_col), F.col(text).alias("_text")), id_col).where(F.contains("_text", F.col("_item"))).select("item_id", id_col)
-    short = own.where(F.size("_w") < n + 2).select(F.col("item_id").alias("_item_id"), "_item")
-    texts = docs.select(F.col(id_col).alias("_doc_id"), F.col(text).alias("_text")).where("_text is not null")
+    own = items.select(F.col(item_col).alias("item_id"), F.col(text).alias("_item"), F.size(F.split(text, r"\s+")).alias("_n")).where("_item is not null")
+    whole = docs.select(F.col(id_col).alias(id_col), F.col(text).alias("_text")).where("_text is not null")
+    seeded = _seeded(own.where(F.col("_n") >= SEED_WORDS + 2), "_item", ["item_id", "_item"], inner=True)
+    hit = staged(_seeded(whole, "_text", [id_col]).join(seeded, "_seed").select(id_col, "item_id", "_item").distinct(), "candidates")
+    found = hit.join(whole, id_col).where(F.contains("_text", F.col("_item"))).select("item_id", id_col)
+    short = own.where(F.col("_n") < SEED_WORDS + 2).select(F.col("item_id").alias("_item_id"), "_item")
+    if short.isEmpty():
+        return found.distinct()
+    texts = whole.withColumnRenamed(id_col, "_doc_id")
     kinds = [StructField("item_id", short.schema["_item_id"].dataType), StructField(id_col, texts.schema["_doc_id"].dataType)]
 
     def search(asked: pa.Table, known: pa.Table) -> pa.Table:
@@ -177,6 +177,71 @@ def holders(docs: DataFrame, items: DataFrame, text: str = "text", id_col: str =
     return found.unionByName(rest).distinct()
 
 
+def _seeded(df: DataFrame, text: str, kept: Sequence[str], inner: bool = False) -> DataFrame:
+    """(kept, _seed): hashes of every ``SEED_WORDS`` words of a text that stand together, or of the first within it."""
+
+    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(text).cast(pa.large_string())
+            for row, seed in _word_seeds(texts, inner):
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(row)) for c in kept], pa.array(seed)], names=[*kept, "_seed"])
+
+    return df.select(*dict.fromkeys([*kept, text])).mapInArrow(seeds, StructType([*[df.schema[c] for c in kept], StructField("_seed", LongType())]))
+
+
+#: Bytes of text whose words are hashed at once; a longer text is taken whole.
+SEED_BYTES = 4_000_000
+#: Java's white space, by which words are split.
+_BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\f\r"))
+#: Keeps a word's own bytes of the eight from its first on.
+_OWN_BYTES = np.array([2 ** (8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def _word_seeds(texts: pa.LargeStringArray, inner: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, seeds) of non-null texts, some rows at a time; ``inner``: of each text the first after a blank.
+
+    A word counts by its length and its first and last eight bytes, so longer ones may have equal seeds.
+    """
+    n, mix = SEED_WORDS, np.uint64(0x9E3779B97F4A7C15)
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    low = 0
+    while low < len(texts):
+        high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + SEED_BYTES, "right")) - 1)
+        begin = bounds[low : high + 1]
+        size = int(begin[-1] - begin[0])
+        raw = np.frombuffer(texts.buffers()[2], np.uint8, size, int(begin[0])) if size else np.zeros(0, np.uint8)
+        begin, low, at = begin - begin[0], high, low
+        edge = np.zeros(size + 1, bool)
+        edge[begin] = True
+        blank = _BLANK[raw]
+        after, before = edge[:-1].copy(), edge[1:].copy()
+        after[1:] |= blank[:-1]
+        before[:-1] |= blank[1:]
+        first, end = np.flatnonzero(~blank & after), np.flatnonzero(~blank & before) + 1
+        if len(first) < n:
+            continue
+        padded = np.concatenate((np.zeros(8, np.uint8), raw, np.zeros(8, np.uint8)))
+        eight = np.ndarray(size + 9, "<u8", padded, strides=(1,))
+        length = end - first
+        word = (eight[first + 8] & _OWN_BYTES[np.minimum(length, 8)]) * mix
+        word ^= word >> np.uint64(29)
+        word += np.where(length > 8, eight[end], 0) + length.astype(np.uint64)
+        word *= mix
+        word ^= word >> np.uint64(32)
+        seed = np.zeros(len(word) - n + 1, np.uint64)
+        for i in range(n):
+            seed = seed * mix + word[i : len(seed) + i]
+        row = np.searchsorted(begin, first, "right") - 1
+        within = row[: len(seed)] == row[n - 1 :]
+        if inner:
+            within &= first[: len(seed)] > begin[row[: len(seed)]]
+        row, seed = row[: len(seed)][within], seed[within].view(np.int64)
+        if inner:
+            row, one = np.unique(row, return_index=True)
+            seed = seed[one]
+        yield row + at, seed
+
+
 def top_k(scores: DataFrame, k: int, query: str = "query_id", id_col: str = "doc_id", score: str = "score") -> DataFrame:
     """The k best of each query, with rank; equal scores by id."""
     w = Window.partitionBy(query).orderBy(F.desc(score), id_col)
