@@ -143,24 +143,30 @@ def series_summary(df: DataFrame, column: str, key: str = "gun", time: str = "t"
     )
 
 
-def minute_document(df: DataFrame, measurements: Sequence[str], states: Sequence[str], setpoints: Sequence[str], scaler: dict[str, tuple[float, float]], width: int, key: str = "gun", time: str = "t") -> DataFrame:
-    """One document per window: measurements by |z| (null last), on-shares of states, setpoints.
+def minute_document(df: DataFrame, measurements: Sequence[str], states: Sequence[str], setpoints: Sequence[str], scaler: dict[str, tuple[float, float]], width: int, key: str = "gun", time: str = "t", order: Sequence[str] = ()) -> DataFrame:
+    """One document per window: measurements by |z| (NaN first, null last), on-shares of states, setpoints.
 
     ``scaler`` gives mean and deviation of each measurement; one without stands with a null z. Equal |z|
-    stand in the order of ``measurements``.
+    stand in the order of ``measurements``. With ``order`` a window's doubles are added up in the order of
+    these columns, whatever files or tasks its rows lie in: a last bit may decide which |z| is greater.
     """
-    g = df.groupBy(key, (F.floor(F.col(time) / width) * width).alias("w_start")).agg(
-        F.count("*").alias("n_samples"),
-        *[F.avg(c).alias(f"_m_{c}") for c in measurements],
-        *[F.avg((F.col(c) > 0).cast("double")).alias(f"_s_{c}") for c in states],
-        *[x for c in setpoints for x in (F.avg(c).alias(f"_p_{c}"), F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"_d_{c}"))],
-    )
+    start = (F.floor(F.col(time) / width) * width).alias("w_start")
+    totals = {"n_samples": F.count("*")} | {f"_m_{c}": F.avg(c) for c in measurements} | {f"_s_{c}": F.avg((F.col(c) > 0).cast("double")) for c in states}
+    totals |= {name: x for c in setpoints for name, x in ((f"_p_{c}", F.avg(c)), (f"_d_{c}", F.stddev_samp(c)))}
+    if order:
+        # a running total at a window's last row; partial sums of a groupBy would be added in no fixed order
+        w = Window.partitionBy(key, "w_start").orderBy(*order, *[c for c in measurements if c not in order])
+        running = {name: x.over(w.rowsBetween(Window.unboundedPreceding, 0)) for name, x in totals.items()}
+        g = df.withColumn("w_start", start).select(key, "w_start", *[x.alias(name) for name, x in running.items()], F.lead(F.lit(True)).over(w).alias("_more")).where("_more is null")
+    else:
+        g = df.groupBy(key, start).agg(*[x.alias(name) for name, x in totals.items()])
+    g = g.withColumns({f"_d_{c}": F.coalesce(F.col(f"_d_{c}"), F.lit(0.0)) for c in setpoints})
 
     def z(c: str) -> Column:
         mean, std = scaler.get(c, (None, None))
         return (F.col(f"_m_{c}") - mean) / std if std else F.lit(None).cast("double")
 
-    items = [F.struct(F.coalesce(-F.abs(z(c)), F.lit(1.0)).alias("k"), F.lit(i).alias("i"), F.lit(c).alias("feature"), z(c).alias("z"), F.col(f"_m_{c}").alias("value")) for i, c in enumerate(measurements)]
+    items = [F.struct(F.when(F.isnan(z(c)), float("-inf")).otherwise(F.coalesce(-F.abs(z(c)), F.lit(1.0))).alias("k"), F.lit(i).alias("i"), F.lit(c).alias("feature"), z(c).alias("z"), F.col(f"_m_{c}").alias("value")) for i, c in enumerate(measurements)]
     ordered_items = F.transform(F.sort_array(F.array(*items)), lambda x: F.struct(x["feature"].alias("feature"), x["z"].alias("z"), x["value"].alias("value")))
     state = F.array(*[F.struct(F.lit(c).alias("signal"), F.col(f"_s_{c}").alias("on_share")) for c in states])
     setpoint = F.array(*[F.struct(F.lit(c).alias("setpoint"), F.col(f"_p_{c}").alias("mean"), F.col(f"_d_{c}").alias("std")) for c in setpoints])
