@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import cached_property
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.operators.stats import cumulative, quantiles, same_keys
+from gaugeworks.operators.steps import steps_of
 
 
 #: Rows and trees that are walked at a time: few enough for a core's cache, and many enough for its calls.
@@ -31,6 +33,19 @@ class IsolationForest:
     expected: float
     steps: int
 
+    @cached_property
+    def parts(self) -> np.ndarray:
+        """``depth`` as multiples of a power of two so small that a row's sum over all trees is exact, in any order."""
+        most = max(1.0, float(np.abs(self.depth).max(initial=0.0))) * len(self.feature)
+        unit = 2.0 ** (np.ceil(np.log2(most)) - 52)
+        return np.rint(self.depth / unit) * unit
+
+    @cached_property
+    def token(self) -> str:
+        """Differs between forests."""
+        parts = (self.feature, self.threshold, self.left, self.right, self.depth)
+        return hashlib.blake2b(b"".join(np.ascontiguousarray(a).tobytes() for a in parts), digest_size=16).hexdigest()
+
     @cached_property
     def _walks(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(roots, feature, threshold, children, depth) of some trees at a time as one list of nodes; a leaf leads to itself.
@@ -45,19 +60,25 @@ class IsolationForest:
             leaf = feature < 0
             child = np.stack([np.where(leaf, node, side[t : t + TREES] + roots[:, None]) for side in (self.right, self.left)], axis=2)
             threshold = np.where(leaf, np.inf, self.threshold[t : t + TREES])
-            out.append((roots, np.where(leaf, 0, feature).ravel(), threshold.ravel(), child.ravel(), self.depth[t : t + TREES].ravel()))
+            out.append((roots, np.where(leaf, 0, feature).ravel(), threshold.ravel(), child.ravel(), self.parts[t : t + TREES].ravel()))
         return out
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """From 0 to 1, higher: easier to isolate. Missing values are 0."""
-        x = np.nan_to_num(x)
+        return self.scored(self.depths(np.nan_to_num(x)))
+
+    def scored(self, total: np.ndarray) -> np.ndarray:
+        """The score of rows from the sums of their depths."""
+        return np.exp2(-total / len(self.feature) / self.expected)
+
+    def depths(self, x: np.ndarray) -> np.ndarray:
+        """The sum of the depths of the leaves that each row reaches; no value is missing."""
         total = np.zeros(len(x))
         for low in range(0, len(x), ROWS):
             total[low : low + ROWS] = self._depths(x[low : low + ROWS])
-        return np.exp2(-total / len(self.feature) / self.expected)
+        return total
 
     def _depths(self, x: np.ndarray) -> np.ndarray:
-        """The sum of the depths of the leaves that each row reaches."""
         n = len(x)
         total, flat = np.zeros(n), np.ascontiguousarray(x.T).ravel()
         for roots, feature, threshold, child, depth in self._walks:
@@ -102,6 +123,25 @@ def numbers(own: np.ndarray, tree: int, seed: int) -> np.ndarray:
     return _mixed(own ^ _mixed(np.uint64([(seed << 32) + tree + 1]))[0])
 
 
+def low_numbers(own: np.ndarray, trees: int, seed: int, bar: np.uint64) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(tree, places, numbers) of each tree's ``numbers`` that are at most ``bar``, in buffers used again for each tree."""
+    start, y, z = own ^ (own >> np.uint64(30)), np.empty_like(own), np.empty_like(own)
+    # the last step of _mixed leaves the upper 31 bits as they are, so it is only taken for numbers low in these
+    nearly = bar | np.uint64(2**33 - 1)
+    for tree in range(trees):
+        salt = _mixed(np.uint64([(seed << 32) + tree + 1]))[0]
+        np.bitwise_xor(start, salt ^ (salt >> np.uint64(30)), out=y)
+        np.multiply(y, np.uint64(0xBF58476D1CE4E5B9), out=y)
+        np.right_shift(y, np.uint64(27), out=z)
+        np.bitwise_xor(y, z, out=y)
+        np.multiply(y, np.uint64(0x94D049BB133111EB), out=y)
+        if len(y) and y.min() <= nearly:
+            places = np.flatnonzero(y <= nearly)
+            number = y[places] ^ (y[places] >> np.uint64(31))
+            low = number <= bar
+            yield tree, places[low], number[low]
+
+
 def draws(hashes: np.ndarray, place: int, tree: int, seed: int) -> np.ndarray:
     """A number for each row of a batch and one tree; the rows of a tree's smallest numbers are its sample.
 
@@ -154,13 +194,12 @@ def fit_forest(df: DataFrame, columns: Sequence[str], trees: int = 300, sample:
         task = TaskContext.get().partitionId()
         for i, batch in enumerate(batches):
             hashes = batch.column(0).to_numpy().view(np.uint64)
-            own = salted(hashes, (task << 32) + i) if len(hashes) else hashes
-            for tree in range(trees if len(hashes) else 0):
-                number = numbers(own, tree, seed)
-                low = np.flatnonzero(number <= bar)
-                if len(low):
-                    # the order of unsigned numbers holds for their halves
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(low), tree, np.int32)), pa.array((number[low] >> np.uint64(1)).view(np.int64)), batch.column(1).take(pa.array(low))], schema=schema)
+            found = list(low_numbers(salted(hashes, (task << 32) + i), trees, seed, bar)) if len(hashes) else []
+            if found:
+                tree = np.repeat(np.array([t for t, _, _ in found], np.int32), [len(places) for _, places, _ in found])
+                places, number = (np.concatenate(a) for a in list(zip(*found, strict=True))[1:])
+                # the order of unsigned numbers holds for their halves
+                yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array((number >> np.uint64(1)).view(np.int64)), batch.column(1).take(pa.array(places))], schema=schema)
 
     limit = max(1, int(np.ceil(np.log2(max(min(sample, n), 2)))))
 
@@ -175,7 +214,8 @@ def fit_forest(df: DataFrame, columns: Sequence[str], trees: int = 300, sample:
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns_of, kinds, strict=True)], names=names)
 
     sent = rows.mapInArrow(chosen, "tree int, number long, x array<double>")
-    found = sent.groupBy("tree").applyInArrow(grow, _NODE).orderBy("tree", "node").collect()
+    # put in order here: an order of Spark's would grow the trees once more, for its ranges
+    found = sorted(sent.groupBy("tree").applyInArrow(grow, _NODE).collect(), key=lambda r: (r["tree"], r["node"]))
     by_tree: dict[int, list] = {}
     for r in found:
         by_tree.setdefault(r["tree"], []).append((r["feature"], r["threshold"], r["lower"], r["upper"], r["depth"]))
@@ -249,25 +289,22 @@ def ablation(df: DataFrame, forest: IsolationForest, columns: Sequence[str], ref
     share is the positive part over the sum of positive parts; ties go by the feature's place.
     """
     ref = np.asarray(reference, float)
-    names = np.array(columns)
-
-    @F.pandas_udf("array<struct<feature:string,contribution:double,share:double>>")
-    def contributions(rows):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        x = rows.to_numpy(float)
-        base = forest.score(x)
-        drops = np.empty_like(x)
-        for j in range(x.shape[1]):
-            y = x.copy()
-            y[:, j] = ref[j]
-            drops[:, j] = base - forest.score(y)
+    names = pa.array(list(columns), pa.string())
+    token = forest.token
+
+    @F.arrow_udf("array<struct<feature:string,contribution:double,share:double>>")
+    def contributions(*values):  # noqa: ANN002, ANN202
+        x = np.column_stack([v.to_numpy(zero_copy_only=False) for v in values])
+        total, alone = steps_of(token, forest, x).without(x, ref)
+        drops = forest.scored(total)[:, None] - forest.scored(alone)
         positive = np.maximum(drops, 0)
         shares = positive / np.maximum(positive.sum(axis=1, keepdims=True), 1e-12)
         order = np.argsort(-drops, axis=1, kind="stable")[:, :most]
-        return pd.Series([[{"feature": str(names[j]), "contribution": float(d[j]), "share": float(s[j])} for j in o] for o, d, s in zip(order, drops, shares, strict=True)])
+        found = [np.take_along_axis(a, order, axis=1).ravel() for a in (drops, shares)]
+        items = pa.StructArray.from_arrays([names.take(pa.array(order.ravel())), *map(pa.array, found)], names=["feature", "contribution", "share"])
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * order.shape[1]), items)
 
-    return df.withColumn("contributions", contributions(F.struct(*[F.col(c).cast("double") for c in columns])))
+    return df.withColumn("contributions", contributions(*[F.col(c).cast("double") for c in columns]))
 
 
 def findings(contributions: Column, deviations: Column, share: float = 0.03, deviation: float = 0.5, most: int = 6, clock: Sequence[str] = ("hour_sin", "hour_cos", "dow")) -> Column:
