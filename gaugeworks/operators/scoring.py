@@ -128,9 +128,9 @@ def low_numbers(own: np.ndarray, trees: int, seed: int, bar: np.uint64) -> Itera
     start, y, z = own ^ (own >> np.uint64(30)), np.empty_like(own), np.empty_like(own)
     # the last step of _mixed leaves the upper 31 bits as they are, so it is only taken for numbers low in these
     nearly = bar | np.uint64(2**33 - 1)
-    for tree in range(trees):
-        salt = _mixed(np.uint64([(seed << 32) + tree + 1]))[0]
-        np.bitwise_xor(start, salt ^ (salt >> np.uint64(30)), out=y)
+    salts = _mixed(np.arange(1, trees + 1, dtype=np.uint64) + np.uint64(seed << 32))
+    for tree, salt in enumerate(salts ^ (salts >> np.uint64(30))):
+        np.bitwise_xor(start, salt, out=y)
         np.multiply(y, np.uint64(0xBF58476D1CE4E5B9), out=y)
         np.right_shift(y, np.uint64(27), out=z)
         np.bitwise_xor(y, z, out=y)

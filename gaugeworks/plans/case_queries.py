@@ -137,7 +137,7 @@ def ablation_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     forest = scoring.fit_forest(rows, _COLUMNS)
     reference = rows.agg(*[F.percentile_approx(c, 0.5) for c in _COLUMNS]).first()
     out = scoring.ablation(rows, forest, _COLUMNS, list(reference), most=3)
-    return out.select("l_orderkey", "l_linenumber", F.transform("contributions", lambda c: c["feature"]).alias("features"), F.round(F.col("contributions")[0]["share"], 6).alias("share"))
+    return out.select("l_orderkey", "l_linenumber", F.col("contributions.feature").alias("features"), F.round(F.col("contributions")[0]["share"], 6).alias("share"))
 
 
 @query("SELECT l_orderkey, l_linenumber, round((cume_dist() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) + cume_dist() OVER (PARTITION BY l_returnflag ORDER BY l_quantity)) / 2, 6) AS score FROM lineitem")
