@@ -283,6 +283,15 @@ def combined(parts: Sequence[Column], weights: Sequence[float] | None = None, ki
     return out
 
 
+def medians(df: DataFrame, columns: Sequence[str]) -> list[float | None]:
+    """Each column's approximate median, as a reference for ``ablation``.
+
+    One task merges the digests of all others, so there are at most a few tasks a core, whatever the input.
+    """
+    few = df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+    return list(few.agg(*[F.percentile_approx(c, 0.5) for c in columns]).first())
+
+
 def ablation(df: DataFrame, forest: IsolationForest, columns: Sequence[str], reference: Sequence[float], most: int = 8) -> DataFrame:
     """Adds contributions: how far the score drops with each feature at its reference, the largest first (E5, O2).
 

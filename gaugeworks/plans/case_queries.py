@@ -135,8 +135,7 @@ def isolation_forest_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ablation_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *_COLUMNS)
     forest = scoring.fit_forest(rows, _COLUMNS)
-    reference = rows.agg(*[F.percentile_approx(c, 0.5) for c in _COLUMNS]).first()
-    out = scoring.ablation(rows, forest, _COLUMNS, list(reference), most=3)
+    out = scoring.ablation(rows, forest, _COLUMNS, scoring.medians(rows, _COLUMNS), most=3)
     return out.select("l_orderkey", "l_linenumber", F.col("contributions.feature").alias("features"), F.round(F.col("contributions")[0]["share"], 6).alias("share"))
 
 

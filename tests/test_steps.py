@@ -105,3 +105,18 @@ def test_steps_are_kept_from_task_to_task():
     assert f.token != other.token
     first = T.steps_of(f.token, f, x)
     assert T.steps_of(f.token, f, x) is first and T.steps_of(other.token, other, x) is not first and len(T._HELD) == 1
+
+
+def test_digests_of_medians_do_not_grow_with_partitions(spark):
+    sc = spark.sparkContext
+    df = spark.range(0, 5001, 1, 300).selectExpr("cast(id as double) as a", "if(id % 2 = 0, null, id) as b")
+    sc.setJobGroup("medians", "")
+    try:
+        got = S.medians(df, ["a", "b"])
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert abs(got[0] - 2500) <= 1 and abs(got[1] - 2500) <= 2
+    track = sc.statusTracker()
+    stages = [track.getStageInfo(s) for j in track.getJobIdsForGroup("medians") for s in track.getJobInfo(j).stageIds]
+    assert stages and max(s.numTasks for s in stages if s) <= 4 * sc.defaultParallelism
+    assert S.medians(df.where("false"), ["a"]) == [None]
